@@ -199,7 +199,7 @@ def _climb(nodes: DataFrame, weight: Column | None, join_weights) -> DataFrame:
     return state.select("v", "top", "dist", "acc", "size")
 
 
-def running_offsets(df: DataFrame, key: str, order: str, value: str, out: str) -> DataFrame:
+def running_offsets(df: DataFrame, key: str, order: str | list[str], value: str, out: str) -> DataFrame:
     """``out`` = sum of ``value`` over the rows of the same key that come before in ``order``, without a one-task group.
 
     Rows are range-partitioned by (key, order), so a hot key spreads over many tasks; each task sums its own part, and
@@ -207,8 +207,9 @@ def running_offsets(df: DataFrame, key: str, order: str, value: str, out: str) -
     """
     from pyspark.sql import Window
 
-    parts = cut(df.repartitionByRange(key, order).withColumn("_part", F.spark_partition_id()))
-    local = Window.partitionBy("_part", key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    order = [order] if isinstance(order, str) else order
+    parts = cut(df.repartitionByRange(key, *order).withColumn("_part", F.spark_partition_id()))
+    local = Window.partitionBy("_part", key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     totals = parts.groupBy("_part", key).agg(F.sum(value).alias("_total"))
     before = totals.select(F.col("_part").alias("_bp"), F.col(key).alias("_bk"), F.coalesce(
         F.sum("_total").over(Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
