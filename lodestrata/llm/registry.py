@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm import packing, tokens
+from lodestrata.llm import packing, spam, tokens
 from lodestrata.session import cut, table
 
 
@@ -29,5 +29,10 @@ def p6_summary(spark: SparkSession, d: str) -> DataFrame:
     return packing.packed_summary(_packed(spark, d), table(spark, d, "pack_capacity"))
 
 
-QUERIES = {"p5_ids": p5_ids, "p6_packed": p6_packed, "p6_summary": p6_summary}
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that are mostly repeated keywords, links or tags."""
+    return spam.spam_documents(table(spark, d, "documents"), table(spark, d, "doc_labels")).select("doc_id")
+
+
+QUERIES = {"p5_ids": p5_ids, "p6_packed": p6_packed, "p6_summary": p6_summary, "p7_found": p7_found}
 SQL: dict[str, str] = {}
