@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.session import cut, release
+from lodestrata.session import rows as _rows
 
 
 def current_rows(pages: DataFrame) -> DataFrame:
@@ -45,10 +46,6 @@ def page_links(current: DataFrame) -> DataFrame:
     return links.join(current.select(F.col("id").alias("child")), "child", "left_semi").select("parent", "child")
 
 
-def _rows(df: DataFrame) -> int:
-    return df.count()
-
-
 def _jump_tables(pointer: DataFrame) -> tuple[list[DataFrame], DataFrame, DataFrame]:
     """Doubling over single-parent pointers ``(v, p)``; p may lie outside the set of v (then it is a top).
 
@@ -56,20 +53,20 @@ def _jump_tables(pointer: DataFrame) -> tuple[list[DataFrame], DataFrame, DataFr
     ``(v, top)``; and the last table, whose v never reach a top (they lie on or below a pure cycle).
     The depths in a tree have no gaps, so an unchanged number of unsettled rows means that only those are left.
     """
-    state = cut(pointer.select("v", F.col("p").alias("a"), F.lit(True).alias("act")))
-    tables, n = [state.select("v", "a")], _rows(state)
+    active = cut(pointer.select("v", F.col("p").alias("a")))
+    tables, n = [active], _rows(active)
+    settled = active.where(F.lit(False)).select("v", F.col("a").alias("top"))
     while n:
-        x, y = state.alias("x"), state.alias("y")
-        state = cut(x.join(y, F.col("x.act") & (F.col("x.a") == F.col("y.v")), "left").select(
-            F.col("x.v").alias("v"), F.when(F.col("x.act"), F.coalesce("y.a", "x.a")).otherwise(F.col("x.a")).alias("a"),
-            (F.col("x.act") & F.coalesce("y.act", F.lit(False))).alias("act")))
-        left = state.where("act").select("v", "a")
-        m = _rows(left)
-        if m == n or m == 0:
+        # The ancestor is a top itself (it has no row), has a top, or has an ancestor as far up again.
+        seen = active.select(F.col("v").alias("y"), F.col("a").alias("ya"), F.lit(True).alias("act")).unionByName(
+            settled.select(F.col("v").alias("y"), F.col("top").alias("ya"), F.lit(False).alias("act")))
+        hop = cut(active.join(seen, F.col("a") == F.col("y"), "left").select("v", F.coalesce("ya", "a").alias("a"), F.coalesce("act", F.lit(False)).alias("act")))
+        settled = settled.unionByName(hop.where("NOT act").select("v", F.col("a").alias("top")))
+        active, before, n = hop.where("act").select("v", "a"), n, hop.where("act").count()
+        if n == before or n == 0:
             break
-        tables.append(left)
-        n = m
-    return tables, state.where("NOT act").select("v", F.col("a").alias("top")), state.where("act").select("v", "a")
+        tables.append(active)
+    return tables, settled, active
 
 
 def _on_pure_cycles(left: DataFrame) -> DataFrame:
@@ -186,7 +183,7 @@ def _climb(nodes: DataFrame, weight: Column | None, join_weights) -> DataFrame:
     """
     state = cut(nodes.select("v", F.coalesce("p", "v").alias("top"), F.col("p").isNotNull().cast("int").alias("dist"),
                              weight.alias("acc"), F.col("p").isNotNull().alias("act"), "size"))
-    while state.where("act").limit(1).count():
+    while not state.where("act").isEmpty():
         t = state.select(F.col("v").alias("tv"), F.col("top").alias("tt"), F.col("dist").alias("td"), F.col("acc").alias("ta"), F.col("act").alias("tact"))
         sums = state.where("act").groupBy(F.col("top").alias("sv")).agg(F.sum("size").alias("more"))
         moved = (state.where("act").join(t, F.col("top") == F.col("tv"))

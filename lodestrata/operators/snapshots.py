@@ -92,7 +92,7 @@ def snapshot_changes(rows: DataFrame, delivered: DataFrame, *, grp: str, snap: s
     step = paired.select("grp", F.explode(pairs).alias("p")).select("grp", "p.snap", "p.old", "p.new")
     # A word whose bits and vectors are both as before has no case.
     step = step.where("old.bits <> new.bits OR old.vec <> new.vec")
-    at = lambda side, i: F.col(side)["vec"][F.bit_count(F.col(side)["bits"].bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), i) - 1))]
+    at = lambda side, i: F.col(side)["vec"][F.bit_count(F.col(side)["bits"].bitwiseAND(F.bitwise_not(F.call_function("shiftleft", F.lit(-1).cast("bigint"), i))))]
     ob, nb = F.col("old.bits"), F.col("new.bits")
     case = lambda bits, side, name, test=lambda i: F.lit(True): F.transform(
         _bits(bits, test), lambda i: F.struct(at(side, i)["key"].alias("key"), F.lit(name).alias("change")))

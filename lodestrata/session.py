@@ -8,8 +8,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark import StorageLevel  # noqa: F401  (re-exported for callers that persist)
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_LIMIT_BYTES = 32 * 1024 * 1024
@@ -42,14 +41,21 @@ def cut(df: DataFrame, *, codec: str = "zstd") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodestrata/{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.option("compression", codec).parquet(path)
     if path.startswith("file:"):
         atexit.register(shutil.rmtree, path[len("file://"):] if path.startswith("file://") else path[5:], ignore_errors=True)
     out = spark.read.schema(df.schema).parquet(path)
-    out._lodestrata_path = path
+    out._lodestrata_path, out._lodestrata_rows = path, seen
     return out
 
 
+def rows(df: DataFrame) -> int:
+    """The number of rows; of a frame made by ``cut`` it was counted while writing."""
+    seen = getattr(df, "_lodestrata_rows", None)
+    return df.count() if seen is None else seen.get["n"]
+
+
 def release(*frames: DataFrame | None) -> None:
     """Delete the tables behind frames made by ``cut``; frames of any other kind are left alone."""
     for df in frames:
