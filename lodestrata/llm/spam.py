@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_LABELS = 20_000
+MAX_LABELS = 8_000
 MAX_LAG = 24
 BATCH_CHARS = 4_000_000
 # A leading title with a metadata list, or with "key: value" lines, as the sources of the project write them.
