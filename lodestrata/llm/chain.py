@@ -83,10 +83,10 @@ class Chain:
             nxt = np.zeros((b, k)) if i == t - 1 else lse(self.trans + (x[:, i + 1] + bw[:, i + 1])[:, None, :], 2)
             bw[:, i] = np.where((ends == i)[:, None], self.last, nxt)
         z = lse(fw[np.arange(b), ends] + self.last, 1)
-        m = np.exp(fw + bw - z[:, None, None])
+        m = np.exp(np.minimum(fw + bw - z[:, None, None], 0.0))  # behind a sequence's end are no probabilities
         pair = np.zeros((k, k))
         for i in range(1, t):
-            p = np.exp(fw[:, i - 1][:, :, None] + self.trans + (x[:, i] + bw[:, i])[:, None, :] - z[:, None, None])
+            p = np.exp(np.minimum(fw[:, i - 1][:, :, None] + self.trans + (x[:, i] + bw[:, i])[:, None, :] - z[:, None, None], 0.0))
             pair += p[mask[:, i]].sum(0)
         marg = m[mask]
         return marg, pair, np.exp(fw[:, 0] + bw[:, 0] - z[:, None]).sum(0), m[np.arange(b), ends].sum(0)

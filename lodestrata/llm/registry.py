@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm import packing, spam, tokens
+from lodestrata.llm import main_content, packing, scanned, spam, tokens
 from lodestrata.session import cut, table
 
 
@@ -34,5 +34,25 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return spam.spam_documents(table(spark, d, "documents"), table(spark, d, "doc_labels")).select("doc_id")
 
 
-QUERIES = {"p5_ids": p5_ids, "p6_packed": p6_packed, "p6_summary": p6_summary, "p7_found": p7_found}
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Paragraphs of captured pages that are not main content."""
+    return main_content.label_paragraphs(table(spark, d, "article_chrome_cases")).where("NOT is_main").select("id", "para_no").distinct()
+
+
+def p2_content(spark: SparkSession, d: str) -> DataFrame:
+    """The main content of every captured page."""
+    return main_content.main_text(main_content.label_paragraphs(table(spark, d, "article_chrome_cases")))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of scanned reports that are running lines, end in a cut word or hold a misread character."""
+    return scanned.defects(scanned.judge(table(spark, d, "dora_regression_cases")))
+
+
+def p4_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Every page's repaired text."""
+    return scanned.repaired(scanned.judge(table(spark, d, "dora_regression_cases")))
+
+
+QUERIES = {"p2_found": p2_found, "p2_content": p2_content, "p4_found": p4_found, "p4_pages": p4_pages, "p5_ids": p5_ids, "p6_packed": p6_packed, "p6_summary": p6_summary, "p7_found": p7_found}
 SQL: dict[str, str] = {}
