@@ -46,7 +46,7 @@ def p2_content(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Lines of scanned reports that are running lines, end in a cut word or hold a misread character."""
-    return scanned.defects(scanned.judge(table(spark, d, "dora_regression_cases")))
+    return scanned.defects(scanned.judge(table(spark, d, "dora_regression_cases"), repair=False))
 
 
 def p4_pages(spark: SparkSession, d: str) -> DataFrame:

@@ -20,6 +20,7 @@ from lodestrata.llm.chain import Chain
 from lodestrata.session import cut
 
 MAX_REVIEWED = 500
+TOGETHER = 64
 # What a scanned letter (or pair) is often read as, (read, printed).
 MISREAD = [("c", "e"), ("e", "c"), ("ri", "n"), ("l", "i"), ("i", "l"), ("f", "t"), ("t", "f"), ("ſ", "s"), ("@", "a"), ("5", "s"), ("$", "s"), ("1", "i"), ("1", "l"), ("0", "o"), ("о", "o"), ("!", "i"),
            ("!", "l"), ("|", "l"), ("|", "i"), ("li", "h"), ("cl", "d"), ("ii", "u"), ("ii", "ü"), ("6", "b"), ("6", "é"), ("6", "ó"), ("8", "b"), ("9", "g"), ("q", "g"), ("g", "q"), ("rn", "m"), ("m", "rn"),
@@ -31,6 +32,15 @@ SPACE = regex.compile(r"\s+")
 STARTS = ("flow", "para", "line")
 ROMAN = regex.compile(r"[ivxlc]+")
 NUMBER = regex.compile(r"\d+")
+UPPERS = regex.compile(r"\p{Lu}+")
+LOWERS = regex.compile(r"\p{Ll}+")
+LAST_PIECE = regex.compile(r"[\w@!|$]+$")
+FIRST_PIECE = regex.compile(r"[\w@!|$]+")
+HYPHENATED = regex.compile(r"(?<=\s)\w+-\w+(?=\s)")
+OWN_HYPHEN = regex.compile(r"\w[-‐]$")
+CHUNK = regex.compile(r"(\s*)(\S+)")
+BULLET = regex.compile(r"(?:[-*•–·▪o]|\(?\w{1,2}[.)]|\d+[.)])\s")
+ROW = regex.compile(r"[\p{L}_ ()-]+(?:\s+[\d.,%]+)+")
 AS_DIGIT = regex.compile(r"(?<=^|[\s\[|/–-])(?=[\dlIO|]*\d|[lIO]\s*$)[\dlIO|]{1,4}(?=[\s\]|/–-]*$)|^\s*(?=[lIO|]*\d)[\dlIO|]{1,4}(?=\s{2,}|\s*$)")
 DIGITS = str.maketrans("lI|O", "1110")
 
@@ -104,7 +114,7 @@ def layout_features(lines: list[tuple[int, int, str]]) -> tuple[list[int], list[
             share = "none" if rep < 2 or not inner else f"r{min(4, int(5 * rep / n_pages))}"
             share2 = "none" if rep2 < 2 or not inner else f"r{min(4, int(5 * rep2 / n_pages))}"
             f += [f"rep{share}", f"rep{share}{place}", f"repb{share2}{place}", f"n{min(rep, 5)}{place}"]
-            shape = SPACE.sub(" ", NUMBER.sub("9", regex.sub(r"\p{Lu}+", "X", regex.sub(r"\p{Ll}+", "x", s))))[:24]
+            shape = SPACE.sub(" ", NUMBER.sub("9", UPPERS.sub("X", LOWERS.sub("x", s))))[:24]
             f += [f"sh={shape}", f"sh={shape}{place}"]
             v = number.get(i)
             if v is not None:
@@ -131,8 +141,8 @@ def cut_forms(left: str, right: str) -> tuple[str, str, str, str, str] | None:
     s, r = left.rstrip(), right.lstrip()
     mark = s[-1] if s[-1:] in MARKS and s[-1:] else ""
     core = s[:-1] if mark else s
-    a = regex.search(r"[\w@!|$]+$", core)
-    b = regex.match(r"[\w@!|$]+", r)
+    a = LAST_PIECE.search(core)
+    b = FIRST_PIECE.match(r)
     if not a or not b or not LETTER.search(a[0]) and not LETTER.search(b[0]):
         return None
     x, y = a[0].lower(), b[0].lower().rstrip("!")
@@ -198,7 +208,7 @@ def reviewed_labels(lines: list[tuple[int, int, str]], expected: list[str | None
     text = "\n\n".join(p or "" for p in expected)
     want, bounds = squash(text), {0: "para"}
     n = 0
-    for m in regex.finditer(r"(\s*)(\S+)", text):
+    for m in CHUNK.finditer(text):
         if m[1] and n:
             bounds[n] = "para" if m[1].count("\n") > 1 else "line" if "\n" in m[1] else "flow"
         n += len(m[2])
@@ -233,7 +243,7 @@ def reviewed_labels(lines: list[tuple[int, int, str]], expected: list[str | None
             continue
         begins = bounds.get(pos, "flow")
         pos += best[1]
-        own = bool(regex.search(r"\w[-‐]$", s)) and want[pos - 1:pos] == s[-1]
+        own = bool(OWN_HYPHEN.search(s)) and want[pos - 1:pos] == s[-1]
         out.append(("body", pos < len(want) and pos not in bounds and not own, best[0] > 0, begins))
     return out if pos == len(want) else None
 
@@ -252,13 +262,12 @@ def fit_running(rows: list[tuple[list, list]]) -> Chain | None:
     return Chain(("body", "running"), epochs=10).fit(seqs, gold) if seqs else None
 
 
-def body_of(lines: list[tuple[int, int, str]], model: Chain | None) -> tuple[list[int], list[int]]:
-    """Positions of the body lines and of the running lines of a report."""
-    at, f = layout_features(lines)
-    if model is None or not at:
-        return at, []
-    y = model.decode([f])[0]
-    return [i for i, k in zip(at, y) if not k], [i for i, k in zip(at, y) if k]
+def bodies_of(reports: list[list[tuple[int, int, str]]], model: Chain | None) -> list[tuple[list[int], list[int]]]:
+    """Positions of the body lines and of the running lines of each report; the reports are decoded side by side."""
+    made = [layout_features(ls) for ls in reports]
+    if model is None:
+        return [(at, []) for at, _ in made]
+    return [([i for i, k in zip(at, y) if not k], [i for i, k in zip(at, y) if k]) for (at, _), y in zip(made, model.decode([f for _, f in made]))]
 
 
 def looked_up(lines: list[tuple[int, int, str]], body: list[int]) -> tuple[dict[str, int], set[str]]:
@@ -270,7 +279,7 @@ def looked_up(lines: list[tuple[int, int, str]], body: list[int]) -> tuple[dict[
         ws = words(t)
         for w in ws[1:-1]:
             inner[w] = inner.get(w, 0) + 1
-        for m in regex.findall(r"(?<=\s)\w+-\w+(?=\s)", t):
+        for m in HYPHENATED.findall(t):
             inner[m.lower()] = inner.get(m.lower(), 0) + 1
         for w in {*ws[:1], *ws[-1:]}:
             forms.add(w)
@@ -301,12 +310,20 @@ def is_misread(seen: dict[str, tuple[int, str | None, int]], w: str) -> str | No
     return v if m >= (2 if odd else 3) and m >= (2 if odd else 12) * max(n, 0.34) else None
 
 
-def findings(lines, body, running, breaks: Chain | None, seen) -> tuple[list[tuple[int, str]], list[bool], dict[tuple[int, int], str]]:
-    """(line position, kind) of every defect; per body line whether its end is cut; the printed words by (line, word)."""
-    feats = break_sequence(lines, body, seen)
-    broken = [bool(x) for x in breaks.decode([feats])[0]] if breaks and feats else [bool(cut_forms(lines[i][2], "x")) and lines[i][2].rstrip()[-1:] in MARKS for i in body]
-    if broken:
-        broken[-1] = False
+def broken_ends(reports: list[tuple[list, list[int], dict]], breaks: Chain | None) -> list[list[bool]]:
+    """Per body line of each (lines, body, seen): was a word cut at its end? Never at a report's last one."""
+    if breaks is None:
+        out = [[bool(cut_forms(lines[i][2], "x")) and lines[i][2].rstrip()[-1:] in MARKS for i in body] for lines, body, _ in reports]
+    else:
+        out = [[bool(x) for x in y] for y in breaks.decode([break_sequence(*r) for r in reports])]
+    for y in out:
+        if y:
+            y[-1] = False
+    return out
+
+
+def findings(lines, body, running, broken: list[bool], seen) -> tuple[list[tuple[int, str]], dict[tuple[int, int], str]]:
+    """(line position, kind) of every defect; the printed words by (line, word)."""
     out = [(i, "running") for i in running]
     fixed: dict[tuple[int, int], str] = {}
     for k, i in enumerate(body):
@@ -330,7 +347,7 @@ def findings(lines, body, running, breaks: Chain | None, seen) -> tuple[list[tup
                 if not v.endswith(y):
                     fixed[body[k + 1], 0] = v[len(x):] if v.startswith(x) else v[-len(y):]
     out += [(i, "misread") for i in sorted({i for i, _ in fixed})]
-    return out, broken, fixed
+    return out, fixed
 
 
 def start_features(lines, body) -> list[list[str]]:
@@ -344,7 +361,7 @@ def start_features(lines, body) -> list[list[str]]:
     for k, i in enumerate(body):
         p, _, t = lines[i]
         s = t.strip()
-        kind = "b" if regex.match(r"(?:[-*•–·▪o]|\(?\w{1,2}[.)]|\d+[.)])\s", s) else "#" if regex.fullmatch(r"[\p{L}_ ()-]+(?:\s+[\d.,%]+)+", s) else "9" if s[:1].isdigit() and len(s) < 12 else "u" if s[:1].isupper() else "l" if s[:1].islower() else "o"
+        kind = "b" if BULLET.match(s) else "#" if ROW.fullmatch(s) else "9" if s[:1].isdigit() and len(s) < 12 else "u" if s[:1].isupper() else "l" if s[:1].islower() else "o"
         rows.append((p, t, s, kind))
     out = []
     for k, i in enumerate(body):
@@ -411,7 +428,7 @@ def reassemble(lines, body, broken, fixed, starts: list[str]) -> dict[int, str]:
                     pages[p].append(("para", rest.strip()))
         elif starts[k] == "flow" and pages[p]:
             mode, txt = pages[p][-1]
-            hyphen = bool(regex.search(r"\w[-‐]$", txt)) and s[:1].isalnum()
+            hyphen = bool(OWN_HYPHEN.search(txt)) and s[:1].isalnum()
             pages[p][-1] = (mode, txt + ("" if hyphen else " ") + s)
         else:
             pages[p].append((starts[k] if pages[p] else "para", s))
@@ -430,8 +447,8 @@ def report_frame(reports: DataFrame, id_col: str, raw: str, expected: str) -> Da
     return src.groupBy("id", F.xxhash64("raw").alias("h")).agg(F.max(F.struct("exp", "raw")).alias("m")).select("id", "h", "m.raw", "m.exp")
 
 
-def judge(reports: DataFrame, *, id_col: str = "id", raw: str = "raw_pages", expected: str = "expected_pages", max_reviewed: int = MAX_REVIEWED) -> DataFrame:
-    """Every line's verdict: ``id, h, page_no, text, page, lines`` per page is built from what this frame streams.
+def judge(reports: DataFrame, *, id_col: str = "id", raw: str = "raw_pages", expected: str = "expected_pages", max_reviewed: int = MAX_REVIEWED, repair: bool = True) -> DataFrame:
+    """Every line's verdict and, with ``repair``, every page's repaired text.
 
     Columns: ``id``, ``page_no``, ``line_no``, ``kind`` (running | broken | misread, null for the page row) and ``text`` (the
     repaired page, only in the page row). Rows delivered twice count once. Null ids and null reports give nothing, null
@@ -447,9 +464,9 @@ def judge(reports: DataFrame, *, id_col: str = "id", raw: str = "raw_pages", exp
         model = shared.value
         for b in batches:
             cols: list[list] = [[], [], [], [], []]
-            for pages in b.column(2).to_pylist():
-                ls = report_lines(pages)
-                body, running = body_of(ls, model)
+            reports = [report_lines(pages) for pages in b.column(2).to_pylist()]
+            found = [x for a in range(0, len(reports), TOGETHER) for x in bodies_of(reports[a:a + TOGETHER], model)]
+            for ls, (body, running) in zip(reports, found):
                 inner, forms = looked_up(ls, body)
                 for c, x in zip(cols, (body, running, list(inner), list(inner.values()), sorted(forms))):
                     c.append(x)
@@ -487,24 +504,27 @@ def judge(reports: DataFrame, *, id_col: str = "id", raw: str = "raw_pages", exp
         seen = {s["form"]: (s["n"], s["variant"], s["vn"]) for s in r["seen"] or []}
         seqs.append(break_sequence(ls, r["body"], seen))
         gold.append([int(y[i][1]) for i in r["body"]])
-        begin.append(start_features(ls, r["body"]))
-        begun.append([STARTS.index(y[i][3]) for i in r["body"]])
+        if repair:
+            begin.append(start_features(ls, r["body"]))
+            begun.append([STARTS.index(y[i][3]) for i in r["body"]])
     breaks = Chain(("whole", "break"), epochs=10).fit(seqs, gold) if seqs else None
-    starts = Chain(STARTS, epochs=10).fit(begin, begun) if seqs else None
+    starts = Chain(STARTS, epochs=10).fit(begin, begun) if begin else None
     learned = spark.sparkContext.broadcast((breaks, starts))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         breaks, starts = learned.value
         for b in batches:
             rows = []
-            for i in range(b.num_rows):
-                id_, _, pages, body, running, seen = (b.column(c)[i].as_py() for c in range(6))
-                ls = report_lines(pages)
-                seen = {s["form"]: (s["n"], s["variant"], s["vn"]) for s in seen or []}
-                out, broken, fixed = findings(ls, body, running, breaks, seen)
-                rows += [(id_, ls[k][0], ls[k][1], kind, None) for k, kind in out]
-                how = [STARTS[k] for k in starts.decode([start_features(ls, body)])[0]] if starts and body else ["para"] * len(body)
-                rows += [(id_, p, None, None, t) for p, t in reassemble(ls, body, broken, fixed, how).items()]
+            for a in range(0, b.num_rows, TOGETHER):
+                ids, _, pages, bodies, runnings, looked = (b.column(c).slice(a, TOGETHER).to_pylist() for c in range(6))
+                made = [(report_lines(p), body, {s["form"]: (s["n"], s["variant"], s["vn"]) for s in seen or []}) for p, body, seen in zip(pages, bodies, looked)]
+                ends = broken_ends(made, breaks)
+                begins = starts.decode([start_features(ls, body) for ls, body, _ in made]) if starts else [np.ones(len(body), int) for body in bodies]
+                for id_, (ls, body, seen), running, broken, how in zip(ids, made, runnings, ends, begins):
+                    out, fixed = findings(ls, body, running, broken, seen)
+                    rows += [(id_, ls[k][0], ls[k][1], kind, None) for k, kind in out]
+                    if repair:
+                        rows += [(id_, p, None, None, t) for p, t in reassemble(ls, body, broken, fixed, [STARTS[k] for k in how]).items()]
             cols = list(zip(*rows)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string()))], ["id", "page_no", "line_no", "kind", "text"])
 
