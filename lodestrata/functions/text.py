@@ -13,8 +13,9 @@ WHITE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 
 
-def col(c: str | Column) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+def col(c: str | Column | None) -> Column:
+    """A column by its name; None stands for a null."""
+    return F.col(c) if isinstance(c, str) else F.lit(None) if c is None else c
 
 
 def strip(c: str | Column) -> Column:

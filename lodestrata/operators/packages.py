@@ -59,11 +59,11 @@ def references(items: DataFrame, listed: DataFrame, on: str) -> DataFrame:
     return bad.select(on, "path", "item_id", "code").unionByName(many)
 
 
-def item_problem(outcome: str | Column, error: str | Column, skip_reason: str | Column, locators: str | Column = F.array().cast("array<string>")) -> Column:
+def item_problem(outcome: str | Column, error: str | Column, skip_reason: str | Column, locators: str | Column | None = None) -> Column:
     """What an item record lacks for its outcome; null if nothing."""
     o = col(outcome)
     return (F.when(~F.coalesce(o.isin(*OUTCOMES), F.lit(False)), "unknown_outcome").when(o.isin("created", "unchanged") & col(error).isNotNull(), "success_with_error").when(o.isin("failed", "cancelled") & col(error).isNull(), "missing_error")
-            .when((o == "skipped") & (F.coalesce(col(skip_reason), F.lit("")) == ""), "missing_skip_reason").when(F.exists(col(locators), lambda x: F.length(x) > 2048), "locator_too_long"))
+            .when((o == "skipped") & (F.coalesce(col(skip_reason), F.lit("")) == ""), "missing_skip_reason").when(F.exists(F.array().cast("array<string>") if locators is None else col(locators), lambda x: F.length(x) > 2048), "locator_too_long"))
 
 
 def unsupported(required: str | Column, supported: str | Column) -> Column:

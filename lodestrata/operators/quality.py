@@ -13,8 +13,9 @@ def total(counts: str | Column) -> Column:
     return F.aggregate(F.map_values(col(counts)), F.lit(0).cast("bigint"), lambda a, x: a + F.greatest(F.coalesce(x, F.lit(0)), F.lit(0)))
 
 
-def classification(units: str | Column, cleanup: str | Column, remaining: str | Column, blockers: str | Column, mismatch: Column = F.lit(False)) -> Column:
+def classification(units: str | Column, cleanup: str | Column, remaining: str | Column, blockers: str | Column, mismatch: Column | None = None) -> Column:
     """a struct of state, promotion, effort, economics and reason from retained units and two maps of counts."""
+    mismatch = F.lit(False) if mismatch is None else mismatch
     u = F.greatest(F.coalesce(col(units), F.lit(0)), F.lit(0)).cast("bigint")
     left, kept = total(remaining), u > 0
     limit = F.greatest(F.lit(5).cast("bigint"), F.floor(u / 20))

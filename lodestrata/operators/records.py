@@ -24,7 +24,7 @@ def body_text(content: str | Column, empty: str = "") -> Column:
     return F.when(text == "", F.lit(empty)).otherwise(text) if empty else text
 
 
-def record_markdown(*, title, canonical_id, source_url, content, source, adapter, parent_id=F.lit(""), fetched_at=F.lit(""), updated_at=F.lit(""), extra: tuple[tuple[str, Column], ...] = (), note: str = "") -> Column:
+def record_markdown(*, title, canonical_id, source_url, content, source, adapter, parent_id=None, fetched_at=None, updated_at=None, extra: tuple[tuple[str, Column], ...] = (), note: str = "") -> Column:
     """A heading, the metadata list, optional further lines and a note, then the content.
 
     Null values print as empty; only the content's trailing line ends are dropped.
@@ -70,12 +70,12 @@ def comment_sections(heading: str, comments: str | Column, fields: tuple[str, ..
     return F.when(F.coalesce(F.size(c), F.lit(0)) > 0, F.concat(F.lit(f"\n\n## {heading}\n\n"), rstrip(F.array_join(one, "\n"), "\\n"))).otherwise("")
 
 
-def issue_markdown(*, kind: str, number, title, state, author, created_at, updated_at, source_url, repo, body, sections: Column = F.lit(""), empty: str = "_No description provided._") -> Column:
+def issue_markdown(*, kind: str, number, title, state, author, created_at, updated_at, source_url, repo, body, sections: Column | None = None, empty: str = "_No description provided._") -> Column:
     """One issue or pull request with its comment sections behind the body."""
     head = {"issue": "Issue", "pull_request": "Pull Request"}[kind]
     lines = [F.concat(F.lit(f"# {head} #"), col(number).cast("string"), F.lit(": "), F.coalesce(col(title), F.lit(""))), F.lit(""), F.lit("## Metadata"), _must("repo", repo), F.lit(f"- resource_type: {kind}"), _must("number", number),
              _must("state", state), _must("author", author), _must("created_at", created_at), _must("updated_at", updated_at), _must("source_url", source_url), F.lit(""), F.lit("## Body"), F.lit("")]
-    return F.concat(F.concat_ws("\n", *lines), F.lit("\n"), body_text(body, empty), sections, F.lit("\n"))
+    return F.concat(F.concat_ws("\n", *lines), F.lit("\n"), body_text(body, empty), F.lit("") if sections is None else sections, F.lit("\n"))
 
 
 def release_markdown(*, tag_name, title, release_id, author, created_at, published_at, draft, prerelease, source_url, repo, body, empty: str = "_No release notes provided._") -> Column:

@@ -14,7 +14,7 @@ TLS = ["certificate", "cert", "ssl", "tls", "handshake", "pem", "x509"]
 RETRIED = ["timeout", "throttled", "transient"]
 
 
-def page_failure(status: str | Column, error: str | Column = F.lit(None)) -> Column:
+def page_failure(status: str | Column, error: str | Column | None = None) -> Column:
     """M06, page API: the class of a failed request from its HTTP status, or from the transport error if there is none."""
     s, e = col(status), F.lower(col(error).cast("string"))
     tls = F.exists(F.array(*[F.lit(x) for x in TLS]), lambda x: F.contains(e, x))
@@ -29,7 +29,7 @@ def issue_failure(status: str | Column, retry_after: str | Column, remaining: st
     return F.when(limited, "expected_retryable").when(s.isin(401, 403), "auth").when(s == 404, "permanent").when(s.between(500, 599), "provider").otherwise("permanent")
 
 
-def provider_failure(message: str | Column, status: str | Column = F.lit(None)) -> Column:
+def provider_failure(message: str | Column, status: str | Column | None = None) -> Column:
     """What a provider's error text means for the item."""
     m, s = F.lower(F.coalesce(col(message), F.lit(""))), col(status)
     return F.when(m.rlike(r"time(d )?-?out"), "timeout").when((s == 429) | m.contains("429") | m.contains("too many requests"), "throttled").when(s.between(500, 599) | m.rlike(r"\b5\d\d\b"), "transient").otherwise("unavailable")

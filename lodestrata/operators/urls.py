@@ -8,6 +8,7 @@ import socket
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from lodestrata.functions.text import col, strip
 
@@ -17,7 +18,7 @@ def host_of(url: str | Column) -> Column:
     return F.lower(F.regexp_replace(F.regexp_replace(authority, r"^[^@]*@", ""), r"(?<=[^:\]]|\]):\d*\z", ""))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _address_problem(host: pd.Series) -> pd.Series:
     def one(h: str) -> str | None:
         h = h.strip("[]").rstrip(".")
