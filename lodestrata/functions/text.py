@@ -78,12 +78,6 @@ def any_match(columns: list[str | Column], patterns: list[str]) -> Column:
     return hit
 
 
-def contains_any(c: str | Column, phrases: list[str]) -> Column:
-    """Is any phrase a substring of the case-folded, white-space-collapsed text?"""
-    text = squeeze(casefold(c))
-    return F.exists(F.array(*[F.lit(p) for p in sorted(phrases)]), lambda p: F.contains(text, p))
-
-
 def sha256(c: str | Column) -> Column:
     """SHA-256 of the UTF-8 bytes, in hex."""
     return F.sha2(F.encode(col(c), "UTF-8"), 256)

@@ -81,11 +81,11 @@ def ordered(entries: DataFrame, on: list[str], order: str = "canonical_id") -> D
 def section(*, title, canonical_id, source_url, content, is_stale=None, fetched_at=None, path=None, ref=None, header: str = "full", flag_stale: bool = True) -> Column:
     """One bundle section; absent lines are nulls, which the join leaves out."""
     opt = lambda label, v: F.when(F.coalesce(col(v).cast("string"), F.lit("")) != "", F.concat(F.lit(f"{label}: "), col(v).cast("string")))
-    lines = [F.concat(F.lit("## "), F.coalesce(F.nullif(col(title), F.lit("")), col(canonical_id))), F.concat(F.lit("source_url: "), F.coalesce(col(source_url), F.lit("")))]
+    lines = [F.concat(F.lit("## "), F.coalesce(F.nullif(col(title), F.lit("")), col(canonical_id), F.lit(""))), F.concat(F.lit("source_url: "), F.coalesce(col(source_url), F.lit("")))]
     if flag_stale:
         lines.append(F.when(col(is_stale).cast("boolean"), F.lit("stale: true")))
     if header == "full":
-        lines += [F.concat(F.lit("canonical_id: "), col(canonical_id)), opt("fetched_at", fetched_at), opt("path", path), opt("ref", ref)]
+        lines += [F.concat(F.lit("canonical_id: "), F.coalesce(col(canonical_id), F.lit(""))), opt("fetched_at", fetched_at), opt("path", path), opt("ref", ref)]
     return rstrip(F.concat_ws("\n", *lines, F.lit(""), rstrip(F.coalesce(col(content), F.lit("")), "\\n")))
 
 

@@ -21,7 +21,7 @@ def host_of(url: str | Column) -> Column:
 @F.pandas_udf(StringType())
 def _address_problem(host: pd.Series) -> pd.Series:
     def one(h: str) -> str | None:
-        h = h.strip("[]").rstrip(".")
+        h = (h or "").strip("[]").rstrip(".")
         try:
             a = ipaddress.ip_address(h)
         except ValueError:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from lodestrata.functions.text import casefold, col, contains_any, squeeze, strip
+from lodestrata.functions.text import casefold, col, squeeze, strip
 
 # Phrases the operators below look for, compared case-folded with white space collapsed.
 CHROME = {
@@ -106,9 +106,14 @@ def extract_html(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "
     return pages.select(id_col, html_col).mapInPandas(run, f"id {kind}, title string, paragraphs array<string>, links array<struct<url:string,label:string,source:string>>")
 
 
-def chrome_reason(paragraph: str | Column) -> Column:
-    """Why a paragraph is page furniture; null if it is not known to be."""
-    text = squeeze(casefold(paragraph))
+def folded(text: str | Column) -> Column:
+    """The form phrases are looked for in: case-folded, white space collapsed."""
+    return squeeze(casefold(text))
+
+
+def chrome_reason(paragraph: str | Column, t: str | Column | None = None) -> Column:
+    """Why a paragraph is page furniture; null if it is not known to be. ``t`` is its folded form, if it is at hand."""
+    text = folded(paragraph) if t is None else col(t)
     out = F.when(F.lit(False), F.lit(""))
     for reason, phrases in CHROME.items():
         out = out.when(text.isin(*phrases), F.lit(reason))
@@ -116,30 +121,36 @@ def chrome_reason(paragraph: str | Column) -> Column:
 
 
 def text_paragraphs(pages: DataFrame, *, id_col: str, content: str) -> DataFrame:
-    """``id, pos, para, reason, kept_pos``: stripped paragraphs between empty lines; empty ones keep their position.
+    """``id, pos, para, t, reason, kept_pos``: stripped paragraphs between empty lines; empty ones keep their position.
 
-    ``kept_pos`` counts the paragraphs that are neither empty nor chrome. Done inside each row: no window, no shuffle.
+    ``t`` is the folded form; ``kept_pos`` counts the paragraphs that are neither empty nor chrome. Done inside each row: no window, no shuffle.
     """
-    ps = F.transform(F.split(col(content), "\n\n", -1), lambda p: strip(p))
-    marked = F.transform(ps, lambda p, i: F.struct(i.alias("pos"), p.alias("para"), F.when(p != "", chrome_reason(p)).alias("reason")))
-    out = pages.select(F.col(id_col).alias("id"), marked.alias("_m")).select("id", "_m", F.explode("_m").alias("m"))
+    ps = F.transform(F.transform(F.split(col(content), "\n\n", -1), lambda p: strip(p)), lambda p: F.struct(p.alias("para"), folded(p).alias("t")))
+    marked = F.transform(ps, lambda x, i: F.struct(i.alias("pos"), x["para"].alias("para"), x["t"].alias("t"), F.when(x["para"] != "", chrome_reason(x["para"], x["t"])).alias("reason")))
+    out = pages.select(F.col(id_col).alias("id"), F.explode(F.array(marked)).alias("_m")).select("id", "_m", F.explode("_m").alias("m"))
     kept = F.size(F.filter("_m", lambda x: (x["pos"] < F.col("m.pos")) & (x["para"] != "") & x["reason"].isNull()))
-    return out.select("id", "m.pos", "m.para", "m.reason", F.when((F.col("m.para") != "") & F.col("m.reason").isNull(), kept).alias("kept_pos"))
+    return out.select("id", "m.pos", "m.para", "m.t", "m.reason", F.when((F.col("m.para") != "") & F.col("m.reason").isNull(), kept).alias("kept_pos"))
+
+
+def has_any(t: str | Column, phrases: list[str]) -> Column:
+    """Is any phrase a substring of the folded text?"""
+    out = F.lit(False)
+    for p in sorted(phrases):
+        out = out | F.contains(col(t), F.lit(p))
+    return out
 
 
 def is_substantive(p: str | Column) -> Column:
     return (F.length(p) >= 140) & (F.size(F.split(squeeze(p), " ")) >= 24) & (F.length(F.regexp_replace(p, r"[^.?!]", "")) >= 2)
 
 
-def is_form_field(p: str | Column) -> Column:
-    t = squeeze(casefold(p))
-    return t.isin(*FORM_FIELDS) | ((F.size(F.split(t, " ")) <= 6) & contains_any(p, FORM_FIELDS))
+def is_form_field(t: str | Column) -> Column:
+    return col(t).isin(*FORM_FIELDS) | ((F.size(F.split(t, " ")) <= 6) & has_any(t, FORM_FIELDS))
 
 
-def is_catalog(p: str | Column) -> Column:
-    t = squeeze(casefold(p))
-    n = F.size(F.filter(F.array(*[F.lit(x) for x in CATALOG]), lambda x: F.contains(t, x)))
-    return (F.length(t) <= 100) & (t.isin(*CATALOG) | (n >= 3))
+def is_catalog(t: str | Column) -> Column:
+    n = sum((F.contains(col(t), F.lit(x)).cast("int") for x in CATALOG), F.lit(0))
+    return (F.length(t) <= 100) & (col(t).isin(*CATALOG) | (n >= 3))
 
 
 def is_selector_like(p: str | Column) -> Column:
@@ -150,14 +161,14 @@ def is_selector_like(p: str | Column) -> Column:
 def intent_counts(paras: DataFrame) -> DataFrame:
     """per page the eleven paragraph counts (some over the first 12, 30, 40 or 50 only, as the rule states) and sizes."""
     n = lambda test: F.count_if(test).cast("bigint")
-    kept, p = F.col("kept_pos").isNotNull(), F.col("para")
+    kept, p, t = F.col("kept_pos").isNotNull(), F.col("para"), F.col("t")
     size = F.sum(F.when(kept, F.length(p)).otherwise(0)) + 2 * F.greatest(n(kept) - 1, F.lit(0))
     return paras.groupBy("id").agg(
         size.cast("bigint").alias("retained_chars"), F.sum(F.when(F.col("reason").isNotNull(), F.length(p)).otherwise(0)).cast("bigint").alias("suppressed_chars"), n(kept).alias("retained"), n(F.col("reason").isNotNull()).alias("suppressed"),
-        n(kept & is_substantive(p)).alias("substantive"), n(is_form_field(p)).alias("form_fields"), n(contains_any(p, CTA)).alias("cta"), n(contains_any(p, DOWNLOAD_CTA)).alias("download_cta"), n(contains_any(p, LEGAL)).alias("legal"),
-        n(is_catalog(p)).alias("catalog"), n((F.col("kept_pos") < 12) & contains_any(p, REPORT_TITLE)).alias("report_title"), n(is_selector_like(p)).alias("selector_like"),
-        n((F.col("pos") < 30) & contains_any(p, BOOK)).alias("book"), n((F.col("pos") < 40) & contains_any(p, INDEX)).alias("research_index"), n((F.col("pos") < 50) & contains_any(p, CHAPTER)).alias("chapter"),
-        n((F.col("kept_pos") < 8) & contains_any(p, ["abstract", "doi", "published", "proceedings"])).alias("asset_marks"))
+        n(kept & is_substantive(p)).alias("substantive"), n(is_form_field(t)).alias("form_fields"), n(has_any(t, CTA)).alias("cta"), n(has_any(t, DOWNLOAD_CTA)).alias("download_cta"), n(has_any(t, LEGAL)).alias("legal"),
+        n(is_catalog(t)).alias("catalog"), n((F.col("kept_pos") < 12) & has_any(t, REPORT_TITLE)).alias("report_title"), n(is_selector_like(p)).alias("selector_like"),
+        n((F.col("pos") < 30) & has_any(t, BOOK)).alias("book"), n((F.col("pos") < 40) & has_any(t, INDEX)).alias("research_index"), n((F.col("pos") < 50) & has_any(t, CHAPTER)).alias("chapter"),
+        n((F.col("kept_pos") < 8) & has_any(t, ["abstract", "doi", "published", "proceedings"])).alias("asset_marks"))
 
 
 def intent_shape(counts: DataFrame, requested: str = "requested_url", resolved: str = "resolved_url") -> DataFrame:
