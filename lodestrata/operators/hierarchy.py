@@ -205,14 +205,14 @@ def running_offsets(df: DataFrame, key: str, order: str | list[str], value: str,
     from pyspark.sql import Window
 
     order = [order] if isinstance(order, str) else order
-    parts = cut(df.repartitionByRange(key, *order).withColumn("_part", F.spark_partition_id()))
-    local = Window.partitionBy("_part", key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    totals = parts.groupBy("_part", key).agg(F.sum(value).alias("_total"))
-    before = totals.select(F.col("_part").alias("_bp"), F.col(key).alias("_bk"), F.coalesce(
-        F.sum("_total").over(Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    return (parts.withColumn("_local", F.coalesce(F.sum(value).over(local), F.lit(0)))
-            .join(before, (F.col("_part") == F.col("_bp")) & F.col(key).eqNullSafe(F.col("_bk")))
-            .withColumn(out, F.col("_local") + F.col("_before")).drop("_part", "_local", "_bp", "_bk", "_before"))
+    parts = cut(df.repartitionByRange(key, *order).withColumn("__run_part", F.spark_partition_id()))
+    local = Window.partitionBy("__run_part", key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    totals = parts.groupBy("__run_part", key).agg(F.sum(value).alias("__run_total"))
+    before = totals.select(F.col("__run_part").alias("__run_bp"), F.col(key).alias("__run_bk"), F.coalesce(
+        F.sum("__run_total").over(Window.partitionBy(key).orderBy("__run_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__run_before"))
+    return (parts.withColumn("__run_local", F.coalesce(F.sum(value).over(local), F.lit(0)))
+            .join(before, (F.col("__run_part") == F.col("__run_bp")) & F.col(key).eqNullSafe(F.col("__run_bk")))
+            .withColumn(out, F.col("__run_local") + F.col("__run_before")).drop("__run_part", "__run_local", "__run_bp", "__run_bk", "__run_before"))
 
 
 def hierarchy(current: DataFrame) -> DataFrame:

@@ -43,13 +43,13 @@ def paced(requests: DataFrame, *, on: str, order: list[str], arrival: str, inter
     """
     from pyspark.sql import Window
 
-    n = running_offsets(requests.withColumn("_one", F.lit(1).cast("bigint")), on, order, "_one", "_n").drop("_one")
-    part = cut(n.withColumn("_z", F.col(arrival) - F.col("_n") * interval).repartitionByRange(on, *order).withColumn("_part", F.spark_partition_id()))
-    local = F.max("_z").over(Window.partitionBy("_part", on).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    tops = part.groupBy("_part", on).agg(F.max("_z").alias("_top"))
-    before = tops.select(F.col("_part").alias("_bp"), F.col(on).alias("_bk"), F.max("_top").over(Window.partitionBy(on).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
-    out = part.withColumn("_local", local).join(before, (F.col("_part") == F.col("_bp")) & F.col(on).eqNullSafe(F.col("_bk")))
-    return out.withColumn("start", F.greatest("_local", "_before") + F.col("_n") * interval).drop("_n", "_z", "_part", "_local", "_bp", "_bk", "_before")
+    n = running_offsets(requests.withColumn("__pace_one", F.lit(1).cast("bigint")), on, order, "__pace_one", "__pace_n").drop("__pace_one")
+    part = cut(n.withColumn("__pace_z", F.col(arrival) - F.col("__pace_n") * interval).repartitionByRange(on, *order).withColumn("__pace_part", F.spark_partition_id()))
+    local = F.max("__pace_z").over(Window.partitionBy("__pace_part", on).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    tops = part.groupBy("__pace_part", on).agg(F.max("__pace_z").alias("__pace_top"))
+    before = tops.select(F.col("__pace_part").alias("__pace_bp"), F.col(on).alias("__pace_bk"), F.max("__pace_top").over(Window.partitionBy(on).orderBy("__pace_part").rowsBetween(Window.unboundedPreceding, -1)).alias("__pace_before"))
+    out = part.withColumn("__pace_local", local).join(before, (F.col("__pace_part") == F.col("__pace_bp")) & F.col(on).eqNullSafe(F.col("__pace_bk")))
+    return out.withColumn("start", F.greatest("__pace_local", "__pace_before") + F.col("__pace_n") * interval).drop("__pace_n", "__pace_z", "__pace_part", "__pace_local", "__pace_bp", "__pace_bk", "__pace_before")
 
 
 def request_metrics(requests: DataFrame, by: list[str], *, seconds: str, hit: str) -> DataFrame:
