@@ -189,7 +189,7 @@ SQL = {
  SELECT s, CASE WHEN s IN (401, 403) THEN 'auth' WHEN s = 429 THEN 'expected_retryable' WHEN s = 404 THEN 'permanent' WHEN s BETWEEN 500 AND 599 THEN 'provider' WHEN s IS NOT NULL THEN 'permanent' END AS page_class,
   CASE WHEN w OR s = 429 THEN 'expected_retryable' WHEN s IN (401, 403) THEN 'auth' WHEN s = 404 THEN 'permanent' WHEN s BETWEEN 500 AND 599 THEN 'provider' ELSE 'permanent' END AS issue_class,
   CASE WHEN s = 429 THEN 'throttled' WHEN s BETWEEN 500 AND 599 THEN 'transient' ELSE 'unavailable' END AS provider_class, count(*) AS n FROM e GROUP BY ALL""",
-    "paced_starts": "WITH e AS (SELECT event_id, user_id, epoch_us(ts) AS at, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) - 1 AS n FROM events) SELECT event_id, user_id, max(at - n * 900000000) OVER (PARTITION BY user_id ORDER BY at, event_id ROWS UNBOUNDED PRECEDING) + n * 900000000 AS start FROM e",
+    "paced_starts": "WITH e AS (SELECT event_id, user_id, epoch_us(ts) AS a0, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) - 1 AS n FROM events) SELECT event_id, user_id, max(a0 - n * 900000000) OVER (PARTITION BY user_id ORDER BY a0, event_id ROWS UNBOUNDED PRECEDING) + n * 900000000 AS start FROM e",
     "request_metrics": "SELECT user_id, count(*) AS requests, count(*) FILTER (event_type = 'view') AS hits, count(*) FILTER (event_type <> 'view') AS misses, round(sum(value), 4) AS seconds, round(CASE WHEN sum(value) > 0 THEN count(*) / sum(value) END, 6) AS per_second FROM events GROUP BY 1",
     "attempt_counts": "SELECT user_id, count(*) AS attempts, arg_max(event_type, event_id) AS last_outcome, arg_max(event_type, event_id) IN ('timeout', 'throttled', 'transient') AS retryable FROM events WHERE event_type IS NOT NULL GROUP BY 1",
     "resume_reconcile": _REC + " SELECT * FROM rec",
