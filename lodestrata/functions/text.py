@@ -66,7 +66,7 @@ def path_regex(pattern: str) -> str:
         inner = fnmatch.translate(re.sub(r"\*+", "*", seg))
         inner = re.sub(r"^\(\?s:|\)\\[zZ]$", "", inner)
         segments.append(re.sub(r"\(\?>(.*?)\)", r"(?:\1)", inner).replace(".*", "[^/]*"))
-    return ("^" if pattern.startswith("/") else "(?:^|/)") + "/".join(segments) + r"\z"
+    return ("^/" if pattern.startswith("/") else "(?:^|/)") + "/".join(segments) + r"\z"
 
 
 def any_match(columns: list[str | Column], patterns: list[str]) -> Column:

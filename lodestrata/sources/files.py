@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from urllib.parse import unquote
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +18,11 @@ def scan_files(spark: SparkSession, path: str, *, pattern: str | None = None) ->
     r = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if pattern:
         r = r.option("pathGlobFilter", pattern)
-    f = r.load(path)
+    f = r.load(path).select("path", "length", "content")
+    # The scan leaves files of no bytes out; the index that Spark made of the folder has them.
+    listed = spark.createDataFrame([(unquote(x),) for x in f.inputFiles()], "path string")
+    empty = listed.join(f.select(F.regexp_replace("path", "^file:/+", "file:///").alias("path")), "path", "left_anti")
+    f = f.unionByName(empty.select("path", F.lit(0).cast("bigint").alias("length"), F.lit(b"").alias("content")))
     p = F.regexp_replace(F.regexp_replace("path", "^file:/+", "/"), "^dbfs:", "")
     return f.select(p.alias("canonical_id"), F.element_at(F.split(p, "/"), -1).alias("title"), F.concat(F.lit("file://"), p).alias("source_url"), F.col("length").alias("n_bytes"), F.sha2("content", 256).alias("sha256"), *text_or_reason("content"))
 

@@ -18,8 +18,8 @@ def _git(repo: str | None, *args: str) -> bytes:
 
 
 class _Files(InputPartition):
-    def __init__(self, paths: list[str]):
-        self.paths = paths
+    def __init__(self, at: str, sha: str, paths: list[str]):
+        self.at, self.sha, self.paths = at, sha, paths
 
 
 class _Reader(DataSourceReader):
@@ -58,22 +58,22 @@ class _Reader(DataSourceReader):
         raise ValueError(f"Could not resolve the reference {self.ref!r}")
 
     def partitions(self) -> list[InputPartition]:
-        self.at = self._place()
-        self.sha = self._commit(self.at)
-        listed = _git(self.at, "ls-tree", "-r", "-z", "--full-name", self.sha, *(["--", self.subdir] if self.subdir else [])).split(b"\0")
+        at = self._place()
+        sha = self._commit(at)
+        listed = _git(at, "ls-tree", "-r", "-z", "--full-name", sha, *(["--", self.subdir] if self.subdir else [])).split(b"\0")
         # A submodule's entry is a commit, not a blob; it is kept for its skip reason.
         rows = sorted(x.decode() for x in listed if x)
-        return [_Files(rows[i:i + self.step]) for i in range(0, len(rows), self.step)] or [_Files([])]
+        return [_Files(at, sha, rows[i:i + self.step]) for i in range(0, len(rows), self.step)] or [_Files(at, sha, [])]
 
     def read(self, partition: _Files):
         for row in partition.paths:
             meta, _, path = row.partition("\t")
             mode, kind, blob = meta.split()[:3]
-            head = (self.repo, self.ref or "", self.sha, path, f"{self.repo}@{self.sha}:{path}")
+            head = (self.repo, self.ref or "", partition.sha, path, f"{self.repo}@{partition.sha}:{path}")
             if kind != "blob" or mode == "120000":
                 yield (*head, None, "not a regular file; submodules are not supported")
                 continue
-            data = _git(self.at, "cat-file", "blob", blob)
+            data = _git(partition.at, "cat-file", "blob", blob)
             if b"\0" in data:
                 yield (*head, None, "binary file")
                 continue
