@@ -135,7 +135,7 @@ def test_spam_features():
     x = K.features([text, "", "One plain sentence follows another here, and none of its words return at even gaps.", "- [a b](https://x.example/1)\n" * 9], {})
     f = lambda i, name: x[i, K.FEATURES.index(name)]
     assert f(0, "gap2") > 0.7 and f(0, "auto") > 0.9 and f(2, "gap2") == 0 and f(3, "link") > 0.5 and not x[1].any()
-    assert K.body("# T\n\n## Metadata\n- source: x\n- id: y\n\n## Content\n\nbody") == "body" and K.body("T\n\nstate: open\nlabels: a, b\n\nbody") == "\nbody" and K.body(None) == ""
+    assert K.body("# T\n\n## Metadata\n- source: x\n- id: y\n\n## Content\n\nbody") == "body" and K.body("T\n\nstate: open\nlabels: a, b\n\nbody") == "body" and K.body(None) == ""
     t = K._Terms({})
     assert t.key[t["wоrkspаcе"]] == t.key[t["workspace"]] == t.key[t["workspac3"]] == t.key[t["WORKSPACE"]]
 
