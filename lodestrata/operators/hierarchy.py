@@ -164,9 +164,11 @@ def cyclic_links(links: DataFrame, *, src: str = "parent", dst: str = "child", _
     out = out.unionByName(closed.select("src", "dst"))
 
     # Every contracted node between such a link's source and its top lies on the cycle too.
-    marked = closed.select(F.col("src").alias("v")).distinct()
+    marked = cut(closed.select(F.col("src").alias("v")).distinct())
     for j in jumps:
-        marked = marked.unionByName(marked.join(j, "v").select(F.col("a").alias("v"))).distinct()
+        # Written at each step: the set is used twice, and unwritten plans would double with every table.
+        last, marked = marked, cut(marked.unionByName(marked.join(j, "v").select(F.col("a").alias("v"))).distinct())
+        release(last)
     up = single.join(marked, "v", "left_semi").select(F.col("p").alias("src"), F.col("v").alias("dst"))
     return cut(out.unionByName(up).distinct())
 
