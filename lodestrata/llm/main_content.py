@@ -145,8 +145,8 @@ def fit(rows: list[tuple[str, str]]) -> Chain | None:
     return Chain(("furniture", "main")).fit(seqs, gold) if seqs else None
 
 
-def label_paragraphs(pages: DataFrame, *, id_col: str = "id", raw: str = "raw_content", expected: str = "expected_content", max_reviewed: int = MAX_REVIEWED) -> DataFrame:
-    """``id, para_no, para, is_main`` of every paragraph of every page; rows delivered twice give one.
+def label_paragraphs(pages: DataFrame, *, id_col: str = "id", raw: str = "raw_content", expected: str = "expected_content", max_reviewed: int = MAX_REVIEWED, with_text: bool = True) -> DataFrame:
+    """``id, para_no, para, is_main`` of every paragraph of every page; rows delivered twice give one. Without ``with_text`` para is null.
 
     The weights are fitted on at most ``max_reviewed`` reviewed pages (lowest hashes of the id). Null ids and null or blank
     texts give no rows; without reviewed pages the density alone decides (a paragraph of several sentences is main).
@@ -165,7 +165,7 @@ def label_paragraphs(pages: DataFrame, *, id_col: str = "id", raw: str = "raw_co
                 pages = [paragraphs(t) for t in b.column(1).slice(a, 256).to_pylist()]
                 feats = [page_features(p) for p in pages]
                 got = model.decode(feats) if model else [np.array([len(SENTENCE.findall(x)) > 1 for x in p], int) for p in pages]
-                rows = [(i, n + 1, x, bool(y)) for i, p, ys in zip(ids, pages, got) for n, (x, y) in enumerate(zip(p, ys))]
+                rows = [(i, n + 1, x if with_text else None, bool(y)) for i, p, ys in zip(ids, pages, got) for n, (x, y) in enumerate(zip(p, ys))]
                 cols = list(zip(*rows)) or [[], [], [], []]
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.bool_())],
                                                  ["id", "para_no", "para", "is_main"])

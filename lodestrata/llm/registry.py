@@ -36,7 +36,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Paragraphs of captured pages that are not main content."""
-    return main_content.label_paragraphs(table(spark, d, "article_chrome_cases")).where("NOT is_main").select("id", "para_no").distinct()
+    return main_content.label_paragraphs(table(spark, d, "article_chrome_cases"), with_text=False).where("NOT is_main").select("id", "para_no").distinct()
 
 
 def p2_content(spark: SparkSession, d: str) -> DataFrame:

@@ -32,6 +32,7 @@ SPACE = regex.compile(r"\s+")
 STARTS = ("flow", "para", "line")
 ROMAN = regex.compile(r"[ivxlc]+")
 NUMBER = regex.compile(r"\d+")
+BANG = regex.compile(r"(?<=\p{L})!(?=[.,;:)])")
 UPPERS = regex.compile(r"\p{Lu}+")
 LOWERS = regex.compile(r"\p{Ll}+")
 LAST_PIECE = regex.compile(r"[\w@!|$]+$")
@@ -45,10 +46,15 @@ AS_DIGIT = regex.compile(r"(?<=^|[\s\[|/–-])(?=[\dlIO|]*\d|[lIO]\s*$)[\dlIO|]{
 DIGITS = str.maketrans("lI|O", "1110")
 
 
+def _no_bang(line: str) -> str:
+    """An exclamation mark right before other punctuation is a misread letter, not punctuation."""
+    return BANG.sub("|", line) if "!" in line else line
+
+
 def words(line: str) -> list[str]:
     """Lower-case words of a line with the odd characters misreading brings, in order."""
     out = []
-    for t in TOKEN.findall(line):
+    for t in TOKEN.findall(_no_bang(line)):
         t = t.rstrip("!").strip("_").lower()
         if t and t != "|" and LETTER.search(t):
             out.append(t)
@@ -411,7 +417,7 @@ def reassemble(lines, body, broken, fixed, starts: list[str]) -> dict[int, str]:
                     return m[0]
                 v = v.upper() if len(w) > 2 and w.isupper() else v[:1].upper() + v[1:] if w[:1].isupper() else v
                 return m[0].replace(w, v, 1)
-            s = TOKEN.sub(put, s)
+            s = TOKEN.sub(put, _no_bang(s))
         if broken[k]:
             s = s[:-1] if s[-1:] in MARKS else s
         elif s[-1:] == "\xad":

@@ -24,13 +24,13 @@ MAX_LAG = 24
 BATCH_CHARS = 4_000_000
 # A leading title with a metadata list, or with "key: value" lines, as the sources of the project write them.
 HEADER = regex.compile(r"\s*(?:# [^\n]*\n\s*)?## Metadata\n(?:.*\n){0,40}?\s*## Content\s*\n|[^\n]+\n\n(?:[a-z_ ]{2,24}: [^\n]*\n){2,12}\n")
-TOKEN = regex.compile(r"(?:https?:)?//[^\s\"'<>)\]]+|<[^<>\n]{0,400}>|#\w+|\w+(?:['’]\w+)?|[^\w\s]").findall
+TOKEN = regex.compile(r"(?:https?:)?//[^\s\"'<>)\]]+|<[^<>\n]{0,400}>|#\w+|\w+(?:['’]\w+)?|[^\w\s]|\n").findall
 # Cyrillic and Greek letters that look like Latin ones, and digits used as letters.
 LOOKALIKE = str.maketrans("аеорсухіјѕԁһвкмтгпΑΒΕΖΗΙΚΜΝΟΡΤΥΧαορν", "aeopcyxijsdhbkmtrnABEZHIKMNOPTYXaopv")
 LEET = str.maketrans("013457$@", "oieastsa")
-WORD, LINK, TAG, NUMBER, STOP, SEPARATOR, MARK, ODD = range(8)
+WORD, LINK, TAG, NUMBER, STOP, SEPARATOR, MARK, ODD, BREAK = range(9)
 FEATURES = ("tokens", "link", "tag", "number", "stop", "separator", "odd", "words_per_stop", "gap1", "gap2", "gap2_short", "even", "auto", "auto_lag",
-            "type_ratio", "statement", "statement_share", "noun_share", "unknown", "upper", "line_words", "long_lines")
+            "type_ratio", "statement", "statement_share", "noun_share", "unknown", "upper", "line_words", "long_lines", "segment_share", "over_half", "few_statements", "repeat_half")
 
 
 class _Terms(dict):
@@ -46,6 +46,8 @@ class _Terms(dict):
             kind, norm = LINK, "\0link"
         elif t[0] == "#" and len(t) > 1:
             kind, norm = TAG, t.lower()
+        elif t == "\n":
+            kind = BREAK
         elif len(t) == 1 and not t.isalnum():
             kind = STOP if t in ".!?" else SEPARATOR if t in "»|→>/;•·,-–—=*" else MARK
         elif any(c.isdigit() for c in t):
@@ -106,7 +108,7 @@ def features(texts: list[str], weights: dict[str, float]) -> np.ndarray:
     start = np.concatenate([[0], np.cumsum(m)[:-1]])
     kind, size, weight, upper, key = (np.array(x)[tok] for x in (terms.kind, terms.size, terms.weight, terms.upper, terms.key))
     total = lambda x: np.bincount(doc, x.astype(float), len(m))
-    chars = total(size)
+    chars = np.maximum(total(size * (kind != BREAK)), 1)
     word = (kind == WORD) | (kind == ODD)
     words = np.maximum(total(word), 1)
     put = {"tokens": np.log1p(m)}
@@ -148,6 +150,20 @@ def features(texts: list[str], weights: dict[str, float]) -> np.ndarray:
     put["unknown"] = total((weight == 0) & word) / words
     put["upper"] = total(upper & word) / words
     row = np.maximum(np.array(lines)[has], 1)
+    # Segments between sentence ends, line ends and menu separators: the share of words in those that state something.
+    border = (kind == STOP) | (kind == BREAK) | ((kind == SEPARATOR) & np.isin(tok, [terms[c] for c in "»|→" if c in terms]))
+    new_doc = np.zeros(len(tok), bool)
+    new_doc[start] = True
+    seg_of = np.cumsum(border | new_doc)
+    said = np.bincount(seg_of, ((weight < -0.7) & word).astype(float))
+    held = np.bincount(seg_of, word.astype(float))
+    states = (held >= 4) & (said >= 0.15 * held) & (said >= 1)
+    share = total(states[seg_of] & word) / words
+    bad = put["link"] + put["tag"]
+    put["segment_share"] = share
+    put["over_half"] = 1 / (1 + np.exp(-16 * (bad - 0.5)))
+    put["few_statements"] = 1 / (1 + np.exp(-16 * (0.5 - share)))
+    put["repeat_half"] = put["gap2"] * put["few_statements"]
     put["line_words"] = np.minimum(words / row, 60) / 60
     put["long_lines"] = np.minimum(row, 100) / 100
     out[has] = np.stack([put[f] for f in FEATURES], 1)
