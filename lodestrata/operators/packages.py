@@ -17,9 +17,9 @@ from lodestrata.functions.text import col
 from lodestrata.operators.urls import is_safe_path
 
 # Outcomes, envelope files and stages in their order.
-OUTCOMES = ["created", "unchanged", "skipped", "failed", "cancelled"]
+OUTCOMES = ["completed", "unchanged", "skipped", "failed", "cancelled"]
 ENVELOPE = ["package.json", "package.sha256"]
-STAGES = ["envelope", "manifest", "contract", "capabilities", "inventory", "content", "items", "accounting", "references", "lineage", "receipt"]
+STAGES = ["envelope", "sidecar-format", "manifest-digest", "manifest-parse", "compatibility", "path-safety", "inventory-coverage", "terminal-accounting", "item-semantics", "lineage", "artifact-integrity"]
 
 
 def inventory(artifacts: DataFrame, *, path: str = "path", data: str = "data") -> DataFrame:
@@ -62,7 +62,7 @@ def references(items: DataFrame, listed: DataFrame, on: str) -> DataFrame:
 def item_problem(outcome: str | Column, error: str | Column, skip_reason: str | Column, locators: str | Column | None = None) -> Column:
     """What an item record lacks for its outcome; null if nothing."""
     o = col(outcome)
-    return (F.when(~F.coalesce(o.isin(*OUTCOMES), F.lit(False)), "unknown_outcome").when(o.isin("created", "unchanged") & col(error).isNotNull(), "success_with_error").when(o.isin("failed", "cancelled") & col(error).isNull(), "missing_error")
+    return (F.when(~F.coalesce(o.isin(*OUTCOMES), F.lit(False)), "unknown_outcome").when(o.isin("completed", "unchanged") & col(error).isNotNull(), "success_with_error").when(o.isin("failed", "cancelled") & col(error).isNull(), "missing_error")
             .when((o == "skipped") & (F.coalesce(col(skip_reason), F.lit("")) == ""), "missing_skip_reason").when(F.exists(F.array().cast("array<string>") if locators is None else col(locators), lambda x: F.length(x) > 2048), "locator_too_long"))
 
 
@@ -116,8 +116,8 @@ def all_findings(package: DataFrame, observed: DataFrame, listed: DataFrame, ite
     semantic = items.withColumn("code", item_problem("outcome", "error", "skip_reason")).where("code IS NOT NULL")
     counted = accounting(items, on).select(on, *OUTCOMES).join(package.select(on, "counts"), on).select(on, F.explode(F.array(*[F.struct(F.lit(x).alias("o"), F.col(x).alias("n"), F.coalesce(F.element_at("counts", F.lit(x)), F.lit(0)).alias("m")) for x in OUTCOMES])).alias("c"))
     counted = counted.where("c.n <> c.m").select(on, F.col("c.o").alias("reference"), F.lit("count_mismatch").alias("code"))
-    parts = [put(caps, "capabilities", "reference"), put(unsafe, "inventory", "reference"), put(twice, "inventory", "reference"), put(coverage(observed, listed, on), "inventory", "path"), put(content, "content", "path"),
-             put(semantic, "items", "item_id"), put(counted, "accounting", "reference"), put(references(items, listed, on), "references", "path")]
+    parts = [put(caps, "compatibility", "reference"), put(unsafe, "path-safety", "reference"), put(twice, "path-safety", "reference"), put(coverage(observed, listed, on), "inventory-coverage", "path"), put(content, "artifact-integrity", "path"),
+             put(semantic, "item-semantics", "item_id"), put(counted, "terminal-accounting", "reference"), put(references(items, listed, on), "item-semantics", "path")]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

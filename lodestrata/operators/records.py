@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions.text import col, rstrip, sha256
 
+# What stands for an empty body.
+EMPTY = {"issue": "(empty issue body)", "pull_request": "(empty pull request body)", "release": "(empty release body)", "issue_comment": "(empty issue comment body)", "pull_request_comment": "(empty pull request comment body)",
+         "review_comment": "(empty pull request review comment body)"}
+
 
 def _line(label: str, value: str | Column) -> Column:
     """``- label: value``, without a space behind the colon if there is no value."""
@@ -70,17 +74,17 @@ def comment_sections(heading: str, comments: str | Column, fields: tuple[str, ..
     return F.when(F.coalesce(F.size(c), F.lit(0)) > 0, F.concat(F.lit(f"\n\n## {heading}\n\n"), rstrip(F.array_join(one, "\n"), "\\n"))).otherwise("")
 
 
-def issue_markdown(*, kind: str, number, title, state, author, created_at, updated_at, source_url, repo, body, sections: Column | None = None, empty: str = "_No description provided._") -> Column:
+def issue_markdown(*, kind: str, number, title, state, author, created_at, updated_at, source_url, repo, body, sections: Column | None = None) -> Column:
     """One issue or pull request with its comment sections behind the body."""
     head = {"issue": "Issue", "pull_request": "Pull Request"}[kind]
     lines = [F.concat(F.lit(f"# {head} #"), col(number).cast("string"), F.lit(": "), F.coalesce(col(title), F.lit(""))), F.lit(""), F.lit("## Metadata"), _must("repo", repo), F.lit(f"- resource_type: {kind}"), _must("number", number),
              _must("state", state), _must("author", author), _must("created_at", created_at), _must("updated_at", updated_at), _must("source_url", source_url), F.lit(""), F.lit("## Body"), F.lit("")]
-    return F.concat(F.concat_ws("\n", *lines), F.lit("\n"), body_text(body, empty), F.lit("") if sections is None else sections, F.lit("\n"))
+    return F.concat(F.concat_ws("\n", *lines), F.lit("\n"), body_text(body, EMPTY[kind]), F.lit("") if sections is None else sections, F.lit("\n"))
 
 
-def release_markdown(*, tag_name, title, release_id, author, created_at, published_at, draft, prerelease, source_url, repo, body, empty: str = "_No release notes provided._") -> Column:
+def release_markdown(*, tag_name, title, release_id, author, created_at, published_at, draft, prerelease, source_url, repo, body) -> Column:
     """One release; the title is left out of the heading if it is empty."""
     t = F.coalesce(col(title), F.lit(""))
     lines = [F.concat(F.lit("# Release "), col(tag_name), F.when(t != "", F.concat(F.lit(": "), t)).otherwise("")), F.lit(""), F.lit("## Metadata"), _must("repo", repo), F.lit("- resource_type: release"), _must("release_id", release_id),
              _must("tag_name", tag_name), _must("title", t), _must("author", author), _must("created_at", created_at), _must("published_at", published_at), _must("draft", col(draft).cast("string")), _must("prerelease", col(prerelease).cast("string")), _must("source_url", source_url), F.lit(""), F.lit("## Body"), F.lit("")]
-    return F.concat(F.concat_ws("\n", *lines), F.lit("\n"), body_text(body, empty), F.lit("\n"))
+    return F.concat(F.concat_ws("\n", *lines), F.lit("\n"), body_text(body, EMPTY["release"]), F.lit("\n"))

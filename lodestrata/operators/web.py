@@ -36,7 +36,7 @@ REJECT_PATHS = ["/blog", "/contact", "/docs", "/pricing", "/privacy", "/support"
 STOPWORDS = ["about", "after", "and", "assisted", "cloud", "content", "development", "download", "google", "report", "resources", "software", "state", "the", "with"]
 KEEPWORDS = ["2025", "ai", "devops", "dora"]
 STABLE_ASSET = [".pdf", "/article/", "/chapter/", "/detail.cfm", "/paper/", "/publication/", "/report/", "/whitepaper/"]
-BLOCK_TAGS = "address article aside blockquote br dd details dialog div dl dt figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p section table tr ul".split()
+BLOCK_TAGS = "address article aside blockquote br dd div dl dt figcaption figure footer h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul".split()
 SKIPPED_TAGS = "noscript script style svg template".split()
 
 
@@ -45,7 +45,7 @@ class _Page(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.hidden, self.in_title, self.title, self.words, self.paragraphs, self.links = 0, False, [], [], [], []
+        self.hidden, self.in_title, self.title, self.words, self.paragraphs, self.links, self.anchor = 0, False, [], [], [], [], None
 
     def cut(self) -> None:
         if self.words:
@@ -61,12 +61,12 @@ class _Page(HTMLParser):
         elif tag in BLOCK_TAGS:
             self.cut()
         if not self.hidden:
-            if tag == "a" and a.get("href"):
-                self.links.append([a["href"], "", "anchor"])
+            if tag == "a":
+                self.anchor = [a["href"], "", "anchor_href"] if a.get("href") else None
             elif tag == "link" and a.get("href"):
-                self.links.append([a["href"], a.get("rel") or "", "link"])
-            elif tag == "meta" and a.get("content", "").startswith("http"):
-                self.links.append([a["content"], a.get("property") or a.get("name") or "", "meta"])
+                self.links.append([a["href"], a.get("rel") or "", "link_href"])
+            elif tag == "meta" and a.get("content"):
+                self.links.append([a["content"], a.get("property") or a.get("name") or "", "meta_url"])
 
     def handle_endtag(self, tag: str) -> None:
         if tag in SKIPPED_TAGS:
@@ -75,6 +75,9 @@ class _Page(HTMLParser):
             self.in_title = False
         elif tag in BLOCK_TAGS:
             self.cut()
+        if tag == "a" and self.anchor is not None:
+            self.links.append(self.anchor)
+            self.anchor = None
 
     def handle_data(self, data: str) -> None:
         text = " ".join(data.split())
@@ -84,8 +87,8 @@ class _Page(HTMLParser):
             self.title.append(text)
             return
         self.words.append(text)
-        if self.links and self.links[-1][2] == "anchor" and not self.links[-1][1]:
-            self.links[-1][1] = text
+        if self.anchor is not None:
+            self.anchor[1] = f"{self.anchor[1]} {text}".strip()
 
 
 def extract_html(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
@@ -230,8 +233,8 @@ def scored_links(links: DataFrame, pages: DataFrame, *, keep: int = 12, least: i
     gate = ((h == host(F.col("_at"))) | (two(h) == two(host(F.col("_at"))))) & ~h.isin(*REJECT_HOSTS) & ~any_of(path, REJECT_PATHS) & ~F.lower("url").rlike(r"[?&](continue|redirectpath)=") & any_of(words, REPORT_TERMS) & ((shared >= 2) | (has("dora") & has("2025")))
     pdf, stable = path.endswith(".pdf"), any_of(path, STABLE_PATHS) | path.endswith(".pdf")
     n = lambda test, points: F.when(test, points).otherwise(0)
-    score = (F.when(pdf, 48).when(stable, 34).when(any_of(F.lower("url"), ["report", "whitepaper", "download"]), 28).otherwise(0) + n(F.col("source").isin("anchor", "link", "meta"), 8) + n(F.lower(F.coalesce("label", F.lit(""))).rlike("canonical|og:url"), 10)
-             + n(F.col("source") == "embedded", 6) + n(stable, 12) + F.least(F.lit(36), 6 * shared) + n(has("dora"), 8) + n(has("2025"), 8) - n(words.contains("abridged"), 35) - n(F.col("url").isin(F.col("requested_url"), F.col("resolved_url")), 40))
+    score = (F.when(pdf, 48).when(stable, 34).when(any_of(F.lower("url"), ["report", "whitepaper", "download"]), 28).otherwise(0) + n(F.col("source").isin("anchor_href", "link_href", "meta_url"), 8) + n(F.lower(F.coalesce("label", F.lit(""))).rlike("canonical|og:url"), 10)
+             + n(F.col("source") == "embedded_page_url", 6) + n(stable, 12) + F.least(F.lit(36), 6 * shared) + n(has("dora"), 8) + n(has("2025"), 8) - n(words.contains("abridged"), 35) - n(F.col("url").isin(F.col("requested_url"), F.col("resolved_url")), 40))
     got = j.where(gate).withColumn("score", score).where(F.col("score") >= least)
     return got.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "url"))).where(F.col("rank") <= keep).select("id", "url", "label", "source", "score", "rank")
 

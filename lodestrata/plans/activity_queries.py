@@ -48,7 +48,7 @@ def _comments(spark, d):
 def issue_markdown(spark, d):
     """Every record with its ordered comments as markdown, by size and hash."""
     o = I.hydrate(table(spark, d, "orders"), _comments(spark, d).withColumnRenamed("l_orderkey", "o_orderkey"), "o_orderkey")
-    s = R.comment_sections("Comments", "comments", ("author", "created_at", "updated_at"), "_No comment body provided._", "Comment")
+    s = R.comment_sections("Comments", "comments", ("author", "created_at", "updated_at"), R.EMPTY["issue_comment"], "Comment")
     md = R.issue_markdown(kind="issue", number="o_orderkey", title="o_orderpriority", state="o_orderstatus", author=F.concat(F.lit("c"), F.col("o_custkey").cast("string")), created_at=_text("o_orderdate"), updated_at=_text("o_orderdate"), source_url=F.lit("https://tracker.example/x"), repo=F.lit("a/b"), body=F.lit(None), sections=s)
     return o.select("o_orderkey", F.explode(F.array(md)).alias("md")).select("o_orderkey", byte_length("md").alias("n_bytes"), sha256("md").alias("content_hash"))
 
@@ -129,14 +129,14 @@ def run_selection(spark, d):
 
 def package_accounting(spark, d):
     """outcomes of each user's items with zeros filled in, and the status."""
-    o = F.when(F.col("event_type") == "click", "created").when(F.col("event_type") == "view", "unchanged").when(F.col("event_type") == "signup", "skipped").when(F.col("event_type") == "error", F.when(F.col("event_id") % 3 == 0, "failed").otherwise("created")).otherwise("unchanged")
+    o = F.when(F.col("event_type") == "click", "completed").when(F.col("event_type") == "view", "unchanged").when(F.col("event_type") == "signup", "skipped").when(F.col("event_type") == "error", F.when(F.col("event_id") % 3 == 0, "failed").otherwise("completed")).otherwise("unchanged")
     return P.accounting(table(spark, d, "events").select(F.col("user_id").alias("package_id"), o.alias("outcome")), "package_id")
 
 
 def item_problems(spark, d):
     """What is missing from item records."""
     p = P.item_problem(F.col("event_type"), F.when(F.col("value") > 50, F.lit("e")), F.when(F.col("event_id") % 2 == 0, F.lit("why")))
-    q = P.item_problem(F.when(F.col("event_type") == "view", "created").when(F.col("event_type") == "click", "failed").otherwise("skipped"), F.when(F.col("value") > 50, F.lit("e")), F.when(F.col("event_id") % 2 == 0, F.lit("why")))
+    q = P.item_problem(F.when(F.col("event_type") == "view", "completed").when(F.col("event_type") == "click", "failed").otherwise("skipped"), F.when(F.col("value") > 50, F.lit("e")), F.when(F.col("event_id") % 2 == 0, F.lit("why")))
     return table(spark, d, "events").groupBy(p.alias("raw_problem"), q.alias("problem")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -169,7 +169,7 @@ QUERIES = {f.__name__: f for f in (issue_list, pr_since, release_order, issue_ma
 _T = lambda c: f"strftime({c}, '%Y-%m-%d %H:%M:%S')"
 _REC = f"""WITH r AS (SELECT user_id, event_id, bool_or(event_type = 'purchase') OVER (PARTITION BY user_id, event_id) AS done FROM events WHERE user_id IS NOT NULL),
 rec AS (SELECT user_id, event_id, CASE WHEN done THEN 'preserved' WHEN coalesce(sum(CASE WHEN done THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < {BATCH} THEN 'attempted' ELSE 'unattempted' END AS disposition FROM r)"""
-_ITEM = lambda o: f"CASE WHEN {o} NOT IN ('created', 'unchanged', 'skipped', 'failed', 'cancelled') THEN 'unknown_outcome' WHEN {o} IN ('created', 'unchanged') AND value > 50 THEN 'success_with_error' WHEN {o} IN ('failed', 'cancelled') AND NOT coalesce(value > 50, false) THEN 'missing_error' WHEN {o} = 'skipped' AND event_id % 2 <> 0 THEN 'missing_skip_reason' END"
+_ITEM = lambda o: f"CASE WHEN {o} NOT IN ('completed', 'unchanged', 'skipped', 'failed', 'cancelled') THEN 'unknown_outcome' WHEN {o} IN ('completed', 'unchanged') AND value > 50 THEN 'success_with_error' WHEN {o} IN ('failed', 'cancelled') AND NOT coalesce(value > 50, false) THEN 'missing_error' WHEN {o} = 'skipped' AND event_id % 2 <> 0 THEN 'missing_skip_reason' END"
 
 SQL = {
     "issue_list": "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'O' ORDER BY o_orderkey LIMIT 100",
@@ -177,12 +177,12 @@ SQL = {
     "release_order": f"SELECT o_orderkey, row_number() OVER (ORDER BY coalesce(CASE WHEN o_orderstatus <> 'P' THEN {_T('o_orderdate')} END, ''), o_orderpriority, o_orderkey) AS place FROM orders",
     "issue_markdown": f"""WITH c AS (SELECT l_orderkey, {_T('l_shipdate')} AS t, 's' || l_suppkey::VARCHAR AS a, CASE WHEN l_returnflag = 'R' THEN '' ELSE 'part ' || l_partkey::VARCHAR || chr(10) END AS body, l_linenumber FROM lineitem),
  n AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY t, a, body, l_linenumber) AS i FROM c),
- s AS (SELECT l_orderkey, string_agg('### Comment ' || i::VARCHAR || chr(10) || chr(10) || '- author: ' || a || chr(10) || '- created_at: ' || t || chr(10) || '- updated_at: ' || t || chr(10) || chr(10) || CASE WHEN body = '' THEN '_No comment body provided._' ELSE rtrim(body, chr(10)) END || chr(10), chr(10) ORDER BY i) AS s FROM n GROUP BY 1),
+ s AS (SELECT l_orderkey, string_agg('### Comment ' || i::VARCHAR || chr(10) || chr(10) || '- author: ' || a || chr(10) || '- created_at: ' || t || chr(10) || '- updated_at: ' || t || chr(10) || chr(10) || CASE WHEN body = '' THEN '(empty issue comment body)' ELSE rtrim(body, chr(10)) END || chr(10), chr(10) ORDER BY i) AS s FROM n GROUP BY 1),
  m AS (SELECT o_orderkey, '# Issue #' || o_orderkey::VARCHAR || ': ' || o_orderpriority || chr(10) || chr(10) || '## Metadata' || chr(10) || '- repo: a/b' || chr(10) || '- resource_type: issue' || chr(10) || '- number: ' || o_orderkey::VARCHAR || chr(10) || '- state: ' || o_orderstatus || chr(10) || '- author: c' || o_custkey::VARCHAR || chr(10) || '- created_at: ' || {_T('o_orderdate')} || chr(10) || '- updated_at: ' || {_T('o_orderdate')}
-   || chr(10) || '- source_url: https://tracker.example/x' || chr(10) || chr(10) || '## Body' || chr(10) || chr(10) || '_No description provided._' || CASE WHEN s IS NULL THEN '' ELSE chr(10) || chr(10) || '## Comments' || chr(10) || chr(10) || rtrim(s, chr(10)) END || chr(10) AS md FROM orders LEFT JOIN s ON l_orderkey = o_orderkey)
+   || chr(10) || '- source_url: https://tracker.example/x' || chr(10) || chr(10) || '## Body' || chr(10) || chr(10) || '(empty issue body)' || CASE WHEN s IS NULL THEN '' ELSE chr(10) || chr(10) || '## Comments' || chr(10) || chr(10) || rtrim(s, chr(10)) END || chr(10) AS md FROM orders LEFT JOIN s ON l_orderkey = o_orderkey)
  SELECT o_orderkey, strlen(md) AS n_bytes, sha256(md) AS content_hash FROM m""",
     "release_markdown": """SELECT p_partkey, sha256('# Release ' || p_brand || CASE WHEN p_size > 10 THEN ': ' || p_name ELSE '' END || chr(10) || chr(10) || '## Metadata' || chr(10) || '- repo: a/b' || chr(10) || '- resource_type: release' || chr(10) || '- release_id: ' || p_partkey::VARCHAR || chr(10) || '- tag_name: ' || p_brand || chr(10) || '- title: ' || CASE WHEN p_size > 10 THEN p_name ELSE '' END
-  || chr(10) || '- author: ' || chr(10) || '- created_at: t' || chr(10) || '- published_at: ' || chr(10) || '- draft: ' || (p_size > 25)::VARCHAR || chr(10) || '- prerelease: ' || (p_size < 5)::VARCHAR || chr(10) || '- source_url: u' || chr(10) || chr(10) || '## Body' || chr(10) || chr(10) || CASE WHEN p_type = '' THEN '_No release notes provided._' ELSE p_type END || chr(10)) AS content_hash FROM part""",
+  || chr(10) || '- author: ' || chr(10) || '- created_at: t' || chr(10) || '- published_at: ' || chr(10) || '- draft: ' || (p_size > 25)::VARCHAR || chr(10) || '- prerelease: ' || (p_size < 5)::VARCHAR || chr(10) || '- source_url: u' || chr(10) || chr(10) || '## Body' || chr(10) || chr(10) || CASE WHEN p_type = '' THEN '(empty release body)' ELSE p_type END || chr(10)) AS content_hash FROM part""",
     "review_comment_order": f"SELECT l_orderkey, string_agg(l_linenumber::VARCHAR, ',' ORDER BY {_T('l_shipdate')}, l_returnflag, l_quantity::INT, l_linestatus, l_suppkey, l_partkey, l_linenumber) AS line_order FROM lineitem GROUP BY 1",
     "hydrate_after_limit": "WITH o AS (SELECT o_orderkey FROM orders ORDER BY o_orderkey DESC LIMIT 50) SELECT o_orderkey, count(l_partkey) AS n_comments, coalesce(string_agg(l_partkey::VARCHAR, ',' ORDER BY l_partkey), '') AS parts FROM o LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1",
     "failure_class": """WITH e AS (SELECT 400 + floor(value)::INT % 130 AS s, event_id % 7 = 0 AS w, lower(event_type) AS t FROM events)
@@ -197,9 +197,9 @@ SQL = {
     "run_report": """SELECT o_orderpriority, count(*) AS runs, count(*) FILTER (o_orderstatus = 'F') AS succeeded, count(*) FILTER (o_orderstatus = 'O') AS failed, count(*) FILTER (o_orderstatus NOT IN ('F', 'O')) AS interrupted, coalesce(sum(o_orderkey % 11) FILTER (o_custkey % 3 <> 0), 0)::BIGINT AS wrote, coalesce(sum(o_orderkey % 5) FILTER (o_custkey % 3 <> 0), 0)::BIGINT AS skipped,
  coalesce(sum(o_orderkey % 11) FILTER (o_custkey % 3 = 0), 0)::BIGINT AS would_write, coalesce(sum(o_orderkey % 5) FILTER (o_custkey % 3 = 0), 0)::BIGINT AS would_skip FROM orders GROUP BY 1""",
     "run_selection": "SELECT n_name AS name, n_nationkey, n_regionkey > 2 AS enabled FROM nation WHERE n_regionkey > 2",
-    "package_accounting": """WITH o AS (SELECT user_id AS package_id, CASE WHEN event_type = 'click' THEN 'created' WHEN event_type = 'view' THEN 'unchanged' WHEN event_type = 'signup' THEN 'skipped' WHEN event_type = 'error' THEN CASE WHEN event_id % 3 = 0 THEN 'failed' ELSE 'created' END ELSE 'unchanged' END AS o FROM events)
- SELECT package_id, count(*) FILTER (o = 'created') AS created, count(*) FILTER (o = 'unchanged') AS unchanged, count(*) FILTER (o = 'skipped') AS skipped, count(*) FILTER (o = 'failed') AS failed, 0::BIGINT AS cancelled, CASE WHEN count(*) FILTER (o = 'failed') > 0 THEN 'completed_with_errors' ELSE 'completed' END AS status FROM o GROUP BY 1""",
-    "item_problems": f"WITH e AS (SELECT *, CASE WHEN event_type = 'view' THEN 'created' WHEN event_type = 'click' THEN 'failed' ELSE 'skipped' END AS o FROM events) SELECT {_ITEM('event_type')} AS raw_problem, {_ITEM('o')} AS problem, count(*) AS n FROM e GROUP BY ALL",
+    "package_accounting": """WITH o AS (SELECT user_id AS package_id, CASE WHEN event_type = 'click' THEN 'completed' WHEN event_type = 'view' THEN 'unchanged' WHEN event_type = 'signup' THEN 'skipped' WHEN event_type = 'error' THEN CASE WHEN event_id % 3 = 0 THEN 'failed' ELSE 'completed' END ELSE 'unchanged' END AS o FROM events)
+ SELECT package_id, count(*) FILTER (o = 'completed') AS completed, count(*) FILTER (o = 'unchanged') AS unchanged, count(*) FILTER (o = 'skipped') AS skipped, count(*) FILTER (o = 'failed') AS failed, 0::BIGINT AS cancelled, CASE WHEN count(*) FILTER (o = 'failed') > 0 THEN 'completed_with_errors' ELSE 'completed' END AS status FROM o GROUP BY 1""",
+    "item_problems": f"WITH e AS (SELECT *, CASE WHEN event_type = 'view' THEN 'completed' WHEN event_type = 'click' THEN 'failed' ELSE 'skipped' END AS o FROM events) SELECT {_ITEM('event_type')} AS raw_problem, {_ITEM('o')} AS problem, count(*) AS n FROM e GROUP BY ALL",
     "package_references": """WITH r AS (SELECT DISTINCT l_suppkey AS package_id, l_orderkey AS item_id, l_partkey AS path, l_returnflag = 'A' AS diag FROM lineitem), p AS (SELECT p_partkey AS path, CASE WHEN p_size > 30 THEN 'diagnostic' ELSE 'record' END AS role FROM part WHERE p_size > 1),
  bad AS (SELECT package_id, CASE WHEN role IS NULL THEN 'unknown_reference' WHEN (role = 'diagnostic') <> diag THEN 'wrong_role' END AS code FROM r LEFT JOIN p USING (path)), many AS (SELECT package_id, 'claimed_by_several' AS code FROM r GROUP BY package_id, path HAVING count(DISTINCT item_id) > 1)
  SELECT package_id, code, count(*) AS n FROM (SELECT * FROM bad WHERE code IS NOT NULL UNION ALL SELECT * FROM many) GROUP BY ALL""",

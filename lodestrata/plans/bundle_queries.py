@@ -142,11 +142,11 @@ def package_coverage(spark, d):
 
 
 def package_first_failing_stage(spark, d):
-    """Unlisted files fail the inventory, changed hashes the content, stale entries the items; the first failing stage counts."""
+    """Unlisted files fail the inventory, stale entries the items, changed hashes the artifacts; the first failing stage counts."""
     e = entries(spark, d).join(_ends(spark, d), "bundle_name")
-    cov = package_coverage(spark, d).select("bundle_name", F.lit(5).alias("stage_no"))
-    chg = bundle_changed_only(spark, d).select("bundle_name", F.lit(6).alias("stage_no"))
-    old = e.where("is_stale AND snapshot_no = last_no").select("bundle_name", F.lit(7).alias("stage_no"))
+    cov = package_coverage(spark, d).select("bundle_name", F.lit(P.STAGES.index("inventory-coverage") + 1).alias("stage_no"))
+    chg = bundle_changed_only(spark, d).select("bundle_name", F.lit(P.STAGES.index("artifact-integrity") + 1).alias("stage_no"))
+    old = e.where("is_stale AND snapshot_no = last_no").select("bundle_name", F.lit(P.STAGES.index("item-semantics") + 1).alias("stage_no"))
     return P.first_failing_stage(cov.unionByName(chg).unionByName(old), e, "bundle_name")
 
 
@@ -256,10 +256,10 @@ SQL = {
     "bundle_without_stale": _q("SELECT bundle_name, snapshot_no, canonical_id FROM marked WHERE NOT is_stale"),
     "bundle_ordered": _q("SELECT bundle_name, canonical_id, row_number() OVER (PARTITION BY bundle_name ORDER BY canonical_id) AS position FROM first"),
     "package_coverage": _q("SELECT * FROM cov"),
-    "package_first_failing_stage": _q(""", f AS (SELECT bundle_name, 5 AS s FROM cov UNION ALL SELECT bundle_name, 6 FROM chg UNION ALL SELECT bundle_name, 7 FROM e JOIN ends USING (bundle_name) WHERE is_stale AND snapshot_no = last_no),
+    "package_first_failing_stage": _q(""", f AS (SELECT bundle_name, 7 AS s FROM cov UNION ALL SELECT bundle_name, 11 FROM chg UNION ALL SELECT bundle_name, 9 FROM e JOIN ends USING (bundle_name) WHERE is_stale AND snapshot_no = last_no),
  m AS (SELECT b.bundle_name, min(f.s) AS s FROM (SELECT DISTINCT e.bundle_name FROM e JOIN ends USING (bundle_name)) b LEFT JOIN f USING (bundle_name) GROUP BY 1)
- SELECT bundle_name, CASE WHEN s IS NULL THEN 'verified' ELSE 'rejected' END AS state, CASE s WHEN 5 THEN 'inventory' WHEN 6 THEN 'content' WHEN 7 THEN 'items' END AS failed_stage,
-        CASE WHEN s IS NULL THEN 'complete' WHEN s = 5 THEN 'capabilities' WHEN s = 6 THEN 'inventory' ELSE 'content' END AS last_completed_stage FROM m"""),
+ SELECT bundle_name, CASE WHEN s IS NULL THEN 'verified' ELSE 'rejected' END AS state, CASE s WHEN 7 THEN 'inventory-coverage' WHEN 11 THEN 'artifact-integrity' WHEN 9 THEN 'item-semantics' END AS failed_stage,
+        CASE WHEN s IS NULL THEN 'complete' WHEN s = 7 THEN 'path-safety' WHEN s = 11 THEN 'lineage' ELSE 'terminal-accounting' END AS last_completed_stage FROM m"""),
     "package_handoff": _q("SELECT coalesce(p.bundle_name, n.bundle_name) AS bundle_name, coalesce(p.snapshot_no, n.snapshot_no) AS snapshot_no, coalesce(p.canonical_id, n.canonical_id) AS canonical_id, CASE WHEN n.canonical_id IS NULL THEN 'missing' WHEN p.canonical_id IS NULL THEN 'unexpected' ELSE 'different' END AS code FROM prior p FULL JOIN (SELECT * FROM now WHERE prior_no IS NOT NULL) n ON n.bundle_name = p.bundle_name AND n.snapshot_no = p.snapshot_no AND n.canonical_id = p.canonical_id WHERE p.canonical_id IS NULL OR n.canonical_id IS NULL OR p.content_hash IS DISTINCT FROM n.content_hash OR p.artifact_path IS DISTINCT FROM n.artifact_path"),
     "lineage_checks": """WITH s AS (SELECT bundle_name, snapshot_no FROM bundle_snapshot WHERE bundle_name IS NOT NULL AND snapshot_no IS NOT NULL), own AS (SELECT DISTINCT bundle_name, snapshot_no AS own FROM s),
  j AS (SELECT o.bundle_name, o.own, count(s.snapshot_no) AS n, count(DISTINCT s.snapshot_no) AS k, coalesce(bool_or(s.snapshot_no = o.own - 1), false) AS has FROM own o LEFT JOIN s ON s.bundle_name = o.bundle_name AND s.snapshot_no < o.own GROUP BY ALL)

@@ -19,6 +19,7 @@ from lodestrata.operators import web as W
 from lodestrata.session import cut, table
 
 MAX_BYTES = 65_536
+FETCHED = "see manifest fetched_at; omitted from candidate markdown for stable diffs"
 
 
 def record_markdown(spark: SparkSession, d: str) -> DataFrame:
@@ -29,7 +30,7 @@ def record_markdown(spark: SparkSession, d: str) -> DataFrame:
 
 def web_markdown(spark, d):
     """Captured pages with their extra metadata lines and the note."""
-    md = R.record_markdown(title="description", canonical_id="id", source_url="resolved_url", content="raw_content", source=F.lit("public_webpage"), adapter=F.lit("public_webpage"), extra=(("candidate_status", F.lit("unreviewed")), ("requested_url", F.col("requested_url"))),
+    md = R.record_markdown(title="description", canonical_id="id", source_url="resolved_url", content="raw_content", source=F.lit("public_webpage"), adapter=F.lit("public_webpage"), extra=(("candidate_status", F.lit("unreviewed")), ("extraction_notes", F.lit("Unreviewed candidate material."))),
                            note="This is unreviewed candidate material generated from an external public source.")
     return table(spark, d, "article_chrome_cases").select("id", sha256(md).alias("content_hash")).distinct()
 
@@ -37,7 +38,7 @@ def web_markdown(spark, d):
 def paged_markdown(spark, d):
     """Scanned reports with one block a page; the hash doesn't depend on when they were fetched."""
     pages = F.array_join(F.transform(F.coalesce("raw_pages", F.array().cast("array<string>")), lambda p, i: F.concat(F.lit("## Page "), (i + 1).cast("string"), F.lit("\n\n"), F.coalesce(p, F.lit("")))), "\n\n")
-    md = R.record_markdown(title="description", canonical_id="id", source_url=F.lit(""), content=pages, source=F.lit("public_pdf"), adapter=F.lit("public_pdf"), extra=(("page_count", F.coalesce(F.size("raw_pages"), F.lit(0)).cast("string")),))
+    md = R.record_markdown(title="description", canonical_id="id", source_url=F.lit(""), content=pages, source=F.lit("public_pdf"), adapter=F.lit("public_pdf"), fetched_at=F.lit(FETCHED), extra=(("candidate_status", F.lit("unreviewed")), ("page_count", F.coalesce(F.size("raw_pages"), F.lit(0)).cast("string")), ("extraction_notes", F.lit("Unreviewed candidate material."))), note="This is unreviewed candidate material generated from an external public PDF/report.")
     return table(spark, d, "dora_regression_cases").select("id", byte_length(md).alias("n_bytes"), sha256(md).alias("content_hash")).distinct()
 
 
@@ -146,7 +147,7 @@ def web_source_intent(spark, d):
 def _links(spark, d):
     found = F.regexp_extract_all("text", F.lit(r"\[([^\]\n]*)\]\((https?://[^)\s]+)\)"), F.lit(0))
     e = table(spark, d, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("id"), F.posexplode(found).alias("pos", "m"))
-    return e.select("id", "pos", F.regexp_extract("m", r"\]\(([^)]*)\)", 1).alias("url"), F.regexp_extract("m", r"^\[([^\]]*)\]", 1).alias("label"), F.lit("anchor").alias("source"))
+    return e.select("id", "pos", F.regexp_extract("m", r"\]\(([^)]*)\)", 1).alias("url"), F.regexp_extract("m", r"^\[([^\]]*)\]", 1).alias("label"), F.lit("anchor_href").alias("source"))
 
 
 def web_link_choice(spark, d):
@@ -241,8 +242,8 @@ _in = lambda x, ps: f"{x} IN (" + ", ".join(f"'{p}'" for p in ps) + ")"  # noqa:
 _OPT = lambda label, x: f"'- {label}:' || CASE WHEN coalesce({x}, '') <> '' THEN ' ' || {x} ELSE '' END"
 
 
-def _md(title, cid, url, content, source, updated="''", extra=(), note=""):
-    lines = [f"'# ' || coalesce({title}, 'untitled')", "''", "'## Metadata'", f"'- source: ' || coalesce({source}, '')", f"'- canonical_id: ' || coalesce({cid}, '')", "'- parent_id:'", f"'- source_url: ' || coalesce({url}, '')", "'- fetched_at:'", _OPT("updated_at", updated), f"'- adapter: ' || coalesce({source}, '')"]
+def _md(title, cid, url, content, source, updated="''", extra=(), note="", fetched=""):
+    lines = [f"'# ' || coalesce({title}, 'untitled')", "''", "'## Metadata'", f"'- source: ' || coalesce({source}, '')", f"'- canonical_id: ' || coalesce({cid}, '')", "'- parent_id:'", f"'- source_url: ' || coalesce({url}, '')", f"'- fetched_at:{fetched and ' ' + fetched}'", _OPT("updated_at", updated), f"'- adapter: ' || coalesce({source}, '')"]
     lines += [f"'- {k}: ' || coalesce({v}, '')" for k, v in extra] + ["''", "'## Content'", "''"] + ([f"'> {note}'", "''"] if note else [])
     return " || chr(10) || ".join(lines) + f" || chr(10) || {_rstripn(f'coalesce({content}, {chr(39)*2})')} || chr(10)"
 
@@ -309,9 +310,9 @@ acc AS (SELECT s.source_key, s.label, s.path, coalesce(mm.value, 0) AS value, s.
 
 SQL = {
     "record_markdown": f"SELECT doc_id, strlen(md) AS n_bytes, sha256(md) AS content_hash FROM (SELECT doc_id, {_md('title', 'canonical_id', 'origin', 'text', 'source', 'lang')} AS md FROM documents)",
-    "web_markdown": "SELECT DISTINCT id, sha256(md) AS content_hash FROM (SELECT id, " + _md("description", "id", "resolved_url", "raw_content", "'public_webpage'", extra=(("candidate_status", "'unreviewed'"), ("requested_url", "requested_url")), note="This is unreviewed candidate material generated from an external public source.") + " AS md FROM article_chrome_cases)",
+    "web_markdown": "SELECT DISTINCT id, sha256(md) AS content_hash FROM (SELECT id, " + _md("description", "id", "resolved_url", "raw_content", "'public_webpage'", extra=(("candidate_status", "'unreviewed'"), ("extraction_notes", "'Unreviewed candidate material.'")), note="This is unreviewed candidate material generated from an external public source.") + " AS md FROM article_chrome_cases)",
     "paged_markdown": "WITH p AS (SELECT id, description, coalesce(len(raw_pages), 0) AS n, array_to_string(list_transform(range(1, coalesce(len(raw_pages), 0) + 1), lambda i: '## Page ' || i::VARCHAR || chr(10) || chr(10) || coalesce(raw_pages[i], '')), chr(10) || chr(10)) AS body FROM dora_regression_cases) SELECT DISTINCT id, strlen(md) AS n_bytes, sha256(md) AS content_hash FROM (SELECT id, "
-                      + _md("description", "id", "''", "body", "'public_pdf'", extra=(("page_count", "n::VARCHAR"),)) + " AS md FROM p)",
+                      + _md("description", "id", "''", "body", "'public_pdf'", extra=(("candidate_status", "'unreviewed'"), ("page_count", "n::VARCHAR"), ("extraction_notes", "'Unreviewed candidate material.'")), note="This is unreviewed candidate material generated from an external public PDF/report.", fetched=FETCHED) + " AS md FROM p)",
     "bundle_sections": f"WITH {_SECTIONS} SELECT doc_id, strlen(md) AS n_bytes, sha256(md) AS section_hash FROM sec",
     "bundle_split": _SPLIT + f"SELECT o.origin, o.doc_id, o.position, f.file_no, o.b + 1 > {MAX_BYTES} AS oversized FROM o JOIN f USING (origin, position)",
     "bundle_files": _SPLIT + ", m AS (SELECT o.origin, f.file_no, count(*) AS sections, string_agg(o.md, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY o.position) || chr(10) AS md FROM o JOIN f USING (origin, position) GROUP BY ALL) SELECT origin, file_no, sections, strlen(md) AS n_bytes, sha256(md) AS file_hash FROM m",

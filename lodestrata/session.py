@@ -68,6 +68,12 @@ def release(*frames: DataFrame | None) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Delete every table that ``cut`` has left in the shared folder; frames that still read one can't be used afterwards."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/lodestrata")
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate; for a scan of a ``cut`` table it is the file size."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -120,7 +120,7 @@ def test_footers(spark):
     assert got["many"]["pages"] == [f"Body line {chr(97 + i)} with words" for i in range(12)]
     assert got["small"]["pages"] == [f"text {chr(97 + i)}" for i in range(3)] and got["small"]["n_anchored"] == 6
     assert got["risky"]["n_context"] == 3 and got["risky"]["pages"] == risky and got["back"]["n_order"] == 3 and got["one"]["pages"] == ["a\nb\n1"]
-    assert G._Footers._sig if False else G._sig("  Page 3 of 9 | x  ") == "page # | x"
+    assert G._sig("  Page 3 of 9 | x  ") == "page # | x"
 
 
 def test_captions(spark):
@@ -157,7 +157,7 @@ def test_web_text(spark):
     df = spark.createDataFrame([("p", "Share\n\n\n\n Sign  In \n\nReal text.\n\n© 2030 X. Privacy. Terms\n\nMore"), ("q", "")], "id string, c string")
     got = {(r["id"], r["pos"]): (r["reason"], r["kept_pos"]) for r in W.text_paragraphs(df, id_col="id", content="c").collect()}
     assert got["p", 0] == ("share_prompt", None) and got["p", 1] == (None, None) and got["p", 2][0] == "subscription_sign_in_prompt" and got["p", 3] == (None, 0) and got["p", 4][0] == "footer_legal_text" and got["p", 5] == (None, 1)
-    links = spark.createDataFrame([(1, "https://h.example/report/dora-2025.pdf", "DORA 2025 report", "anchor"), (1, "https://h.example/privacy", "privacy report dora 2025", "anchor"), (1, "https://other.test/report/dora-2025.pdf", "dora 2025", "anchor"), (1, "https://h.example/x", "y", "anchor")], "id int, url string, label string, source string")
+    links = spark.createDataFrame([(1, "https://h.example/report/dora-2025.pdf", "DORA 2025 report", "anchor_href"), (1, "https://h.example/privacy", "privacy report dora 2025", "anchor_href"), (1, "https://other.test/report/dora-2025.pdf", "dora 2025", "anchor_href"), (1, "https://h.example/x", "y", "anchor_href")], "id int, url string, label string, source string")
     pages = spark.createDataFrame([(1, "The DORA 2025 report", "accelerate performance", "https://h.example/land", "https://h.example/land", True, False)], "id int, title string, visible_text string, requested_url string, resolved_url string, likely_target_mismatch boolean, commercial_landing boolean")
     s = W.scored_links(links, pages)
     assert [(r["url"], r["score"], r["rank"]) for r in s.collect()] == [("https://h.example/report/dora-2025.pdf", 48 + 8 + 12 + 12 + 16, 1)]

@@ -54,3 +54,10 @@ def test_known_dictionary_gives_the_same_changes(spark):
     n = 4
     keys = spark.createDataFrame([("a", "x")], "grp string, key string").select(F.pmod(F.xxhash64("grp", "key"), F.lit(n)).cast("int").alias("bucket"), "grp", "key")
     assert changes(spark, rows, [("a", 1), ("a", 2)], known=S.key_ordinals(keys)) == [("a", 2, "x", "changed"), ("a", 2, "y", "added")]
+
+
+def test_salted_join_beyond_the_broadcast_limit(spark, monkeypatch):
+    monkeypatch.setattr(S, "broadcast_if_small", lambda df: None)
+    rows = [row("a", 1, f"k{i}", "1") for i in range(300)] + [row("a", 2, f"k{i}", "1" if i % 3 else "2") for i in range(100, 300)]
+    got = changes(spark, rows, [("a", 1), ("a", 2)])
+    assert len(got) == 100 + sum(i % 3 == 0 for i in range(100, 300))

@@ -140,7 +140,7 @@ def test_config(spark, tmp_path):
 
 def test_packages(spark, tmp_path):
     at = str(tmp_path / "p")
-    items = [{"item_id": "1", "outcome": "created", "artifacts": ["data/a.txt"]}, {"item_id": "2", "outcome": "skipped", "skip_reason": "old"}]
+    items = [{"item_id": "1", "outcome": "completed", "artifacts": ["data/a.txt"]}, {"item_id": "2", "outcome": "skipped", "skip_reason": "old"}]
     address = P.seal(at, package_id="pk", run_id="r", request={"request_id": "q"}, items=items, artifacts={"data/a.txt": (b"hello", "record", "text/plain")}, created_at="t")
     assert len(address) == 64 and PK.verify(spark, at)["state"] == "verified"
     with pytest.raises(FileExistsError):
@@ -149,8 +149,8 @@ def test_packages(spark, tmp_path):
         P.seal(str(tmp_path / "q"), package_id="pk", run_id="r", request={}, items=[], artifacts={"../x": (b"", "record", "")}, created_at="t")
     open(os.path.join(at, "data/a.txt"), "w").write("jello")
     r = PK.verify(spark, at)
-    assert (r["state"], r["failed_stage"], r["findings"]) == ("rejected", "content", ["data/a.txt: digest_mismatch"])
+    assert (r["state"], r["failed_stage"], r["findings"]) == ("rejected", "artifact-integrity", ["data/a.txt: digest_mismatch"])
     open(os.path.join(at, "extra"), "w").write("x")
-    assert PK.verify(spark, at)["failed_stage"] == "inventory"
+    assert PK.verify(spark, at)["failed_stage"] == "inventory-coverage"
     os.symlink("extra", os.path.join(at, "link"))
     assert PK.verify(spark, at)["failed_stage"] == "envelope"
