@@ -41,11 +41,11 @@ def choose(tracks: DataFrame, *, on: str, languages: list[str], policy: str = "c
 
 def collapse(cues: str | Column, automatic: Column) -> Column:
     """Cues in order; of automatic tracks a cue that starts with the one kept last replaces it, repeats in a row go."""
-    def step(a: Column, x: Column) -> Column:
-        last = F.element_at(a, -1)
-        grows = automatic & x.startswith(last)
-        return F.when(F.size(a) == 0, F.array(x)).when(grows, F.concat(F.slice(a, 1, F.size(a) - 1), F.array(x))).when(x == last, a).otherwise(F.concat(a, F.array(x)))
-    return F.aggregate(F.filter(col(cues), lambda x: x.isNotNull() & (x != "")), F.array().cast("array<string>"), step)
+    kept = F.filter(col(cues), lambda x: x.isNotNull() & (x != ""))
+    # The cue kept last is always the one before: it was added, or replaced what it grew from. So a cue stays unless the next grows from it.
+    pairs = F.arrays_zip(kept.alias("x"), F.slice(kept, 2, 1 << 30).alias("next"))
+    gone = lambda p: F.coalesce(F.when(automatic, p["next"].startswith(p["x"])).otherwise(p["next"] == p["x"]), F.lit(False))
+    return F.transform(F.filter(pairs, lambda p: ~gone(p)), lambda p: p["x"])
 
 
 def _cues(data: bytes | None, automatic: bool) -> tuple[list[str] | None, str | None]:

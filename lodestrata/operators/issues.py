@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampNTZType, TimestampType
 
 from lodestrata.functions.text import col
 
@@ -22,8 +23,13 @@ def since_filter(rows: DataFrame, column: str, since: str | None) -> DataFrame:
     """
     if since is None:
         return rows
-    datetime.fromisoformat(since.replace("Z", "+00:00"))
-    return rows.where(F.to_timestamp(F.col(column).cast("string")) >= F.lit(since).cast("timestamp"))
+    at = datetime.fromisoformat(since.replace("Z", "+00:00"))
+    at = at.replace(tzinfo=UTC) if at.tzinfo is None else at.astimezone(UTC)
+    kind = rows.schema[column].dataType
+    # A column of times is compared as it is, so that the scan can skip row groups; texts are parsed.
+    value = F.col(column) if isinstance(kind, (TimestampType, TimestampNTZType)) else F.try_to_timestamp(column)
+    text = at.strftime("%Y-%m-%d %H:%M:%S.%f")
+    return rows.where(value >= F.lit(text if isinstance(kind, TimestampNTZType) else f"{text}+00:00").cast(kind if isinstance(kind, TimestampNTZType) else "timestamp"))
 
 
 def first_rows(rows: DataFrame, order: list[str], limit: int | None) -> DataFrame:

@@ -331,6 +331,8 @@ SQL = {
     "web_link_choice": r"""WITH m AS (SELECT doc_id AS id, unnest(l) AS m, unnest(range(len(l))) AS pos FROM (SELECT doc_id, regexp_extract_all(text, '\[([^\]\n]*)\]\((https?://[^)\s]+)\)') AS l FROM documents WHERE text IS NOT NULL)),
  k AS (SELECT id, pos, regexp_extract(m, '\]\(([^)]*)\)', 1) AS url, regexp_extract(m, '^\[([^\]]*)\]', 1) AS label FROM m)
  SELECT id, url, min(pos)::INT AS pos, arg_min(label, CASE WHEN label <> '' THEN pos ELSE 1000000000 - pos END) AS label FROM k GROUP BY ALL""",
+    "rolling_cues": f"""WITH l AS (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '{_EOL}'), lambda x: trim(x, ' ')), lambda x: x <> '') AS c FROM documents WHERE text IS NOT NULL),
+ k AS (SELECT doc_id, list_filter(c, lambda x, i: NOT coalesce(starts_with(c[i + 1], x), false)) AS c FROM l) SELECT doc_id, len(c)::INT AS cues, sha256(array_to_string(c, chr(10))) AS cue_hash FROM k""",
     "pdf_trailing_lines": _D + "SELECT id, page_no::INT AS page_no, (n - i)::INT AS depth, line FROM ln WHERE n - i <= 4",
     "pdf_footer_signatures": _D + f", s AS (SELECT id, page_no, (n - i)::INT AS depth, {_sig('line')} AS signature FROM ln WHERE n - i <= 4 AND length({_squeeze('line')}) <= 140), c AS (SELECT id, depth, signature, count(DISTINCT page_no) AS pages FROM s GROUP BY ALL), np AS (SELECT id, count(*) AS n_pages FROM pg GROUP BY 1) SELECT id, depth, signature, pages, n_pages FROM c JOIN np USING (id) WHERE pages >= CASE WHEN n_pages <= 2 THEN 2 ELSE n_pages // 2 + 1 END",
     "pdf_line_diagnostics": _DIAG + "SELECT *, printf('%.3f', layout_artifacts / n_lines) AS density FROM diag",
