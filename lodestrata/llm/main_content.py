@@ -2,9 +2,10 @@
 
 The captured text has no markup left, so the page is read as a tree of its layout: page, paragraphs (blank lines), lines,
 and the items that separators make of a line. A paragraph's composite density is its characters, less those in link-like
-items, per node below it. Densities of a paragraph, of its neighbours and of the page's densest run, and the words of
-the paragraph, enter a linear chain whose weights come from reviewed pages; the labelling of the page with the largest
-summed score is the body, so single thin lines inside it (headings, dates) are kept and dense ones outside it are not.
+items, per node below it. The run of paragraphs with the largest sum of densities above a threshold from the path between
+page and densest paragraph is the body by density alone (``dense_labels``). Density can't tell a heading of the article from
+a teaser of the same words, so that run, its threshold and the paragraphs' own words enter a linear chain whose weights come
+from reviewed pages; the labelling with the largest summed score is the body.
 """
 
 from __future__ import annotations
@@ -59,6 +60,32 @@ def density(par: str) -> tuple[float, int, int]:
     return plain / max(1, nodes), nodes, links
 
 
+def body_run(dens: list[float]) -> tuple[int, int, float]:
+    """(first, last, threshold) of the run of paragraphs with the largest sum of densities above the threshold.
+
+    The threshold is the density on the path from the page down to its densest paragraph at its lowest: the page's own mean.
+    A run of paragraphs is a subtree of the layout tree; (0, -1, 0) if the page has no text but links.
+    """
+    if not any(dens):
+        return 0, -1, 0.0
+    floor = min(sum(dens) / len(dens), max(dens) / 2)
+    best, a, b, run, start = 0.0, 0, -1, 0.0, 0
+    for i, d in enumerate(dens):
+        run += d - floor
+        if run <= 0:
+            run, start = 0.0, i + 1
+        elif run > best:
+            best, a, b = run, start, i
+    return a, b, floor
+
+
+def dense_labels(pars: list[str]) -> list[int]:
+    """The labelling by density alone: paragraphs of the body run that reach the threshold."""
+    dens = [density(p)[0] for p in pars]
+    a, b, floor = body_run(dens)
+    return [int(a <= i <= b and d >= floor) for i, d in enumerate(dens)]
+
+
 def _shape(word: str) -> str:
     return "9" if word.isdigit() else "Xx" if word[:1].isupper() and len(word) > 1 else "X" if word.isupper() else word if not word[:1].isalnum() else "x"
 
@@ -91,6 +118,7 @@ def page_features(pars: list[str]) -> list[list[str]]:
             f += [f"ind{any(x[:1] in ' \t' for x in p.split('\n')[1:])}", f"bul{all(x.lstrip()[:1] in '*-•' or x.lstrip()[:1].isdigit() for x in p.split('\n'))}"]
         base.append(f)
     m = len(pars)
+    run_a, run_b, floor = body_run(dens)
     big = [i for i, k in enumerate(kinds) if k[0] == "S"]
     first, last = (big[0], big[-1]) if big else (m, -1)
     seen: dict[str, int] = {}
@@ -116,7 +144,10 @@ def page_features(pars: list[str]) -> list[list[str]]:
         seen[pars[i]] = rep + 1
         if rep:
             f.append("again")
-        # Sum of densities of the neighbourhood, the body's own measure.
+        where = "in" if run_a <= i <= run_b else "none" if run_b < 0 else f"pre{min(5, run_a - i)}" if i < run_a else f"post{min(5, i - run_b)}"
+        over = "none" if not floor else "over" if dens[i] >= floor else "some" if dens[i] else "zero"
+        f += [f"run{where[:3]}{over}", f"run{where[:3]}{over}{k}"]
+        # Sum of densities of the neighbourhood.
         s = sum(dens[max(0, i - 2):i + 3])
         f.append(f"D{min(12, int(np.log1p(s) * 1.5))}{k[0]}")
         out.append(f)
@@ -149,7 +180,7 @@ def label_paragraphs(pages: DataFrame, *, id_col: str = "id", raw: str = "raw_co
     """``id, para_no, para, is_main`` of every paragraph of every page; rows delivered twice give one. Without ``with_text`` para is null.
 
     The weights are fitted on at most ``max_reviewed`` reviewed pages (lowest hashes of the id). Null ids and null or blank
-    texts give no rows; without reviewed pages the density alone decides (a paragraph of several sentences is main).
+    texts give no rows; without reviewed pages the density alone decides (``dense_labels``).
     Where one id has different texts, the paragraphs of each are given.
     """
     src = pages.select(F.col(id_col).cast("string").alias("id"), F.col(raw).alias("raw"), F.col(expected).alias("exp")).where("id IS NOT NULL AND raw IS NOT NULL")
@@ -164,7 +195,7 @@ def label_paragraphs(pages: DataFrame, *, id_col: str = "id", raw: str = "raw_co
                 ids = b.column(0).slice(a, 256).to_pylist()
                 pages = [paragraphs(t) for t in b.column(1).slice(a, 256).to_pylist()]
                 feats = [page_features(p) for p in pages]
-                got = model.decode(feats) if model else [np.array([len(SENTENCE.findall(x)) > 1 for x in p], int) for p in pages]
+                got = model.decode(feats) if model else [dense_labels(p) for p in pages]
                 rows = [(i, n + 1, x if with_text else None, bool(y)) for i, p, ys in zip(ids, pages, got) for n, (x, y) in enumerate(zip(p, ys))]
                 cols = list(zip(*rows)) or [[], [], [], []]
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.bool_())],

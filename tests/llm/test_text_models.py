@@ -71,6 +71,12 @@ def test_main_content_odd_rows(spark):
     assert [r["is_main"] for r in bare.orderBy("para_no").collect()] == [False, True] and M.main_text(bare).first()["content"] == body
 
 
+def test_density_alone():
+    long = "This is a sentence of some length. It is followed by another one that is no shorter than it."
+    assert M.body_run([]) == (0, -1, 0.0) and M.body_run([0, 0]) == (0, -1, 0.0) and M.body_run([0, 90, 40, 90, 0])[:2] == (1, 3)
+    assert M.dense_labels(["Home | About | Blog", long, "Heading", long, "Share", "Privacy | Terms"]) == [0, 1, 0, 1, 0, 0] and M.dense_labels([]) == []
+
+
 # Scanned pages
 
 
