@@ -249,7 +249,7 @@ def _md(title, cid, url, content, source, updated="''", extra=(), note="", fetch
 
 
 _SEC = ("'## ' || coalesce(nullif(title, ''), coalesce(canonical_id, '')) || chr(10) || 'source_url: ' || coalesce(origin, '') || chr(10) || CASE WHEN lang IS NULL THEN 'stale: true' || chr(10) ELSE '' END || 'canonical_id: ' || coalesce(canonical_id, '') || chr(10)"
-        " || CASE WHEN fetched_at IS NOT NULL THEN 'fetched_at: ' || strftime(fetched_at, '%Y-%m-%d %H:%M:%S') || chr(10) ELSE '' END || CASE WHEN coalesce(source, '') <> '' THEN 'path: ' || source || chr(10) ELSE '' END || CASE WHEN coalesce(lang, '') <> '' THEN 'ref: ' || lang || chr(10) ELSE '' END || chr(10) || " + _rstripn("coalesce(text, '')"))
+        " || CASE WHEN fetched_at IS NOT NULL THEN 'fetched_at: ' || strftime(fetched_at AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') || chr(10) ELSE '' END || CASE WHEN coalesce(source, '') <> '' THEN 'path: ' || source || chr(10) ELSE '' END || CASE WHEN coalesce(lang, '') <> '' THEN 'ref: ' || lang || chr(10) ELSE '' END || chr(10) || " + _rstripn("coalesce(text, '')"))
 _SECTIONS = f"sec AS (SELECT doc_id, coalesce(origin, '') AS origin, coalesce(canonical_id, '') AS canonical_id, regexp_replace({_SEC}, '{_WS}$', '') AS md FROM documents)"
 _SPLIT = f"""WITH RECURSIVE {_SECTIONS},
 o AS (SELECT origin, doc_id, md, strlen(md) AS b, row_number() OVER (PARTITION BY origin ORDER BY doc_id, canonical_id) AS position FROM sec),
