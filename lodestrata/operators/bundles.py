@@ -12,7 +12,7 @@ from pyspark.sql import Window
 
 from lodestrata.functions.text import any_match, byte_length, col, rstrip
 from lodestrata.operators.hierarchy import running_offsets
-from lodestrata.session import cut
+from lodestrata.session import cut, rows
 
 # Fixed value: what stands between two sections of a bundle.
 SEPARATOR = "\n\n---\n\n"
@@ -132,7 +132,7 @@ def split(sections: DataFrame, on: str, *, max_bytes: int, size: str = "n_bytes"
     while True:
         jump_n = jump.select("k", F.col("v").alias("_v"), "a")
         marked_next = cut(marked.join(jump_n, (marked.k == jump_n.k) & (F.col("v") == F.col("_v"))).select(marked.k, F.col("a").alias("v")).unionByName(marked).distinct())
-        m = marked_next.count()
+        m = rows(marked_next)
         marked = marked_next
         if m == n:
             break

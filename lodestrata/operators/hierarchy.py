@@ -60,9 +60,9 @@ def _jump_tables(pointer: DataFrame) -> tuple[list[DataFrame], DataFrame, DataFr
         # The ancestor is a top itself (it has no row), has a top, or has an ancestor as far up again.
         seen = active.select(F.col("v").alias("y"), F.col("a").alias("ya"), F.lit(True).alias("act")).unionByName(
             settled.select(F.col("v").alias("y"), F.col("top").alias("ya"), F.lit(False).alias("act")))
-        hop = cut(active.join(seen, F.col("a") == F.col("y"), "left").select("v", F.coalesce("ya", "a").alias("a"), F.coalesce("act", F.lit(False)).alias("act")))
+        hop = cut(active.join(seen, F.col("a") == F.col("y"), "left").select("v", F.coalesce("ya", "a").alias("a"), F.coalesce("act", F.lit(False)).alias("act")), counted=F.col("act"))
         settled = settled.unionByName(hop.where("NOT act").select("v", F.col("a").alias("top")))
-        active, before, n = hop.where("act").select("v", "a"), n, hop.where("act").count()
+        active, before, n = hop.where("act").select("v", "a"), n, _rows(hop)
         if n == before or n == 0:
             break
         tables.append(active)
@@ -184,15 +184,15 @@ def _climb(nodes: DataFrame, weight: Column | None, join_weights) -> DataFrame:
     ``join_weights(upper, lower)`` must be associative. ``size`` becomes the sum of ``size`` over the subtree of v.
     """
     state = cut(nodes.select("v", F.coalesce("p", "v").alias("top"), F.col("p").isNotNull().cast("int").alias("dist"),
-                             weight.alias("acc"), F.col("p").isNotNull().alias("act"), "size"))
-    while not state.where("act").isEmpty():
+                             weight.alias("acc"), F.col("p").isNotNull().alias("act"), "size"), counted=F.col("act"))
+    while _rows(state):
         t = state.select(F.col("v").alias("tv"), F.col("top").alias("tt"), F.col("dist").alias("td"), F.col("acc").alias("ta"), F.col("act").alias("tact"))
         sums = state.where("act").groupBy(F.col("top").alias("sv")).agg(F.sum("size").alias("more"))
         moved = (state.where("act").join(t, F.col("top") == F.col("tv"))
                  .select("v", F.col("tt").alias("top"), (F.col("dist") + F.col("td")).alias("dist"),
                          join_weights(F.col("ta"), F.col("acc")).alias("acc"), F.col("tact").alias("act"), "size"))
         nxt = cut(state.where("NOT act").unionByName(moved).join(sums, F.col("v") == F.col("sv"), "left")
-                  .select("v", "top", "dist", "acc", "act", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size")))
+                  .select("v", "top", "dist", "acc", "act", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size")), counted=F.col("act"))
         release(state)
         state = nxt
     return state.select("v", "top", "dist", "acc", "size")

@@ -8,7 +8,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_LIMIT_BYTES = 32 * 1024 * 1024
@@ -33,16 +33,16 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _OWN_DIR[app]
 
 
-def cut(df: DataFrame, *, codec: str = "zstd") -> DataFrame:
+def cut(df: DataFrame, *, codec: str = "zstd", counted: Column | None = None) -> DataFrame:
     """Write ``df`` once as a parquet table in the shared folder and return a scan of it.
 
     The returned frame has no lineage beyond the files, so lost executors recompute nothing, and nondeterministic
-    numbering in ``df`` is frozen. The table is dropped by ``release`` or when the session's process ends.
+    numbering in ``df`` is frozen. ``rows`` of it gives the number of rows (those where ``counted`` holds) without a job. The table is dropped by ``release`` or when the session's process ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodestrata/{uuid.uuid4().hex}"
     seen = Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("n")).write.option("compression", codec).parquet(path)
+    df.observe(seen, (F.count(F.lit(1)) if counted is None else F.count_if(counted)).alias("n")).write.option("compression", codec).parquet(path)
     if path.startswith("file:"):
         atexit.register(shutil.rmtree, path[len("file://"):] if path.startswith("file://") else path[5:], ignore_errors=True)
     out = spark.read.schema(df.schema).parquet(path)
