@@ -21,6 +21,7 @@ from lodestrata.session import cut
 
 MAX_REVIEWED = 500
 TOGETHER = 64
+EDGE = 5
 # What a scanned letter (or pair) is often read as, (read, printed).
 MISREAD = [("c", "e"), ("e", "c"), ("ri", "n"), ("l", "i"), ("i", "l"), ("f", "t"), ("t", "f"), ("ſ", "s"), ("@", "a"), ("5", "s"), ("$", "s"), ("1", "i"), ("1", "l"), ("0", "o"), ("о", "o"), ("!", "i"),
            ("!", "l"), ("|", "l"), ("|", "i"), ("li", "h"), ("cl", "d"), ("ii", "u"), ("ii", "ü"), ("6", "b"), ("6", "é"), ("6", "ó"), ("8", "b"), ("9", "g"), ("q", "g"), ("g", "q"), ("rn", "m"), ("m", "rn"),
@@ -55,6 +56,9 @@ def words(line: str) -> list[str]:
     """Lower-case words of a line with the odd characters misreading brings, in order."""
     out = []
     for t in TOKEN.findall(_no_bang(line)):
+        if t.isalpha():
+            out.append(t.lower())
+            continue
         t = t.rstrip("!").strip("_").lower()
         if t and t != "|" and LETTER.search(t):
             out.append(t)
@@ -89,7 +93,16 @@ def layout_features(lines: list[tuple[int, int, str]]) -> tuple[list[int], list[
     pages: dict[int, list[int]] = {}
     for i in at:
         pages.setdefault(lines[i][0], []).append(i)
-    sig = {i: _signature(lines[i][2]) for i in at}
+    sig = {i: _signature(lines[i][2]) for own in pages.values() for i in {*own[:EDGE], *own[-EDGE:]}}
+    # A running line that was misread on one page counts as the line it repeats.
+    times: dict[str, set[int]] = {}
+    for i, g in sig.items():
+        times.setdefault(g, set()).add(lines[i][0])
+    often = [g for g, on in times.items() if len(on) > 1 and len(g) > 5]
+    for i, g in sig.items():
+        if len(times[g]) < 2 and len(g) > 5:
+            limit = max(1, len(g) // 6)
+            sig[i] = next((o for o in often if abs(len(o) - len(g)) <= 2 and _distance(g, o, limit) <= limit), g)
     edge: dict[str, set[int]] = {}
     bare: dict[str, set[int]] = {}
     nums: dict[int, set[int]] = {}
@@ -112,6 +125,9 @@ def layout_features(lines: list[tuple[int, int, str]]) -> tuple[list[int], list[
         for j, i in enumerate(own):
             t = lines[i][2]
             s, k = t.strip(), len(own) - 1 - j
+            if min(j, k) >= EDGE:  # far from both edges: what a line says can't make it a running line
+                out.append(["far", f"far{min(6, int(len(t) / max(width, 1) * 4))}"])
+                continue
             top, low = min(j, 4), min(k, 4)
             rep, rep2 = len(edge.get(sig[i], ())), len(bare.get(sig[i].strip("9 |-–/[]."), ()))
             f = [f"top{top}", f"low{low}", f"top{top}low{low}"]
@@ -332,13 +348,15 @@ def findings(lines, body, running, broken: list[bool], seen) -> tuple[list[tuple
     """(line position, kind) of every defect; the printed words by (line, word)."""
     out = [(i, "running") for i in running]
     fixed: dict[tuple[int, int], str] = {}
+    wrong = {w: v for w in seen if (v := is_misread(seen, w))}
     for k, i in enumerate(body):
         t = lines[i][2]
-        ws = words(t)
+        low = t.lower().replace("!", "|")
+        ws = words(t) if broken[k] or any(w.replace("!", "|") in low for w in wrong) else []
         for j, w in enumerate(ws):
             if j == len(ws) - 1 and broken[k] or j == 0 and k and broken[k - 1]:
                 continue
-            v = is_misread(seen, w)
+            v = wrong.get(w)
             if v:
                 fixed[i, j] = v
         if broken[k]:
