@@ -18,6 +18,11 @@ def col(c: str | Column | None) -> Column:
     return F.col(c) if isinstance(c, str) else F.lit(None) if c is None else c
 
 
+def bind(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once per row: Catalyst pastes a named column into each of its uses."""
+    return F.transform(F.array(value), use)[0]
+
+
 def strip(c: str | Column) -> Column:
     """``str.strip()``."""
     return F.regexp_replace(col(c), f"^[{WHITE}]+|[{WHITE}]+\\z", "")

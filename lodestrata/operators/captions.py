@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.functions.text import col
+from lodestrata.functions.text import bind, col
 
 TIMING = re.compile(r"(?:\d{2}:)?\d{2}:\d{2}\.\d{3}\s+-->\s+(?:\d{2}:)?\d{2}:\d{2}\.\d{3}(?:\s+.*)?")
 VOICE = re.compile(r"<v(?:\.[^ >]+)*\s+([^>]+)>(.*?)</v>", re.S | re.I)
@@ -43,8 +43,8 @@ def collapse(cues: str | Column, automatic: Column) -> Column:
     """Cues in order; of automatic tracks a cue that starts with the one kept last replaces it, repeats in a row go."""
     kept = F.filter(col(cues), lambda x: x.isNotNull() & (x != ""))
     # The cue kept last is always the one before: it was added, or replaced what it grew from. So a cue stays unless the next grows from it.
-    pairs = F.arrays_zip(kept.alias("x"), F.slice(kept, 2, 1 << 30).alias("next"))
     gone = lambda p: F.coalesce(F.when(automatic, p["next"].startswith(p["x"])).otherwise(p["next"] == p["x"]), F.lit(False))
+    pairs = bind(kept, lambda k: F.zip_with(k, F.slice(k, 2, 1 << 30), lambda x, n: F.struct(x.alias("x"), n.alias("next"))))
     return F.transform(F.filter(pairs, lambda p: ~gone(p)), lambda p: p["x"])
 
 

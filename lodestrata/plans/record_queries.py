@@ -44,7 +44,7 @@ def paged_markdown(spark, d):
 
 def _sections(spark, d):
     s = B.section(title="title", canonical_id="canonical_id", source_url="origin", content="text", is_stale=F.col("lang").isNull(), fetched_at=F.date_format("fetched_at", "yyyy-MM-dd HH:mm:ss"), path="source", ref="lang")
-    return table(spark, d, "documents").select("doc_id", F.coalesce("origin", F.lit("")).alias("origin"), F.coalesce("canonical_id", F.lit("")).alias("canonical_id"), s.alias("md"))
+    return table(spark, d, "documents").select("doc_id", F.coalesce("origin", F.lit("")).alias("origin"), F.coalesce("canonical_id", F.lit("")).alias("canonical_id"), F.explode(F.array(s)).alias("md"))
 
 
 def bundle_sections(spark, d):
@@ -198,7 +198,7 @@ def pdf_footer_suppressed(spark, d):
 def rolling_cues(spark, d):
     """The lines of every text as automatic cues."""
     cues = C.collapse(F.filter(F.transform(splitlines("text"), lambda x: F.trim(x)), lambda x: x != ""), F.lit(True))
-    return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.size(cues).alias("cues"), sha256(F.array_join(cues, "\n")).alias("cue_hash"))
+    return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.explode(F.array(cues)).alias("c")).select("doc_id", F.size("c").alias("cues"), sha256(F.array_join("c", "\n")).alias("cue_hash"))
 
 
 def caption_selection(spark, d):
