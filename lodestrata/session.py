@@ -7,12 +7,14 @@ import os
 import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_LIMIT_BYTES = 32 * 1024 * 1024
 _OWN_DIR: dict[str, str] = {}
+_SHIPPED: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -84,5 +86,27 @@ def broadcast_if_small(df: DataFrame, *, blow_up: int = 8, limit: int = BROADCAS
     return F.broadcast(df) if plan_bytes(df) * blow_up <= limit else None
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once a session, so that it need not be installed on them.
+
+    The archive is made on the driver and handed out by Spark's own file server.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    at = tempfile.mkdtemp(prefix="lodestrata-ship-")
+    atexit.register(shutil.rmtree, at, ignore_errors=True)
+    path = os.path.join(at, "lodestrata.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(root):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    spark.sparkContext.addPyFile(path)
+    _SHIPPED.add(app)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
