@@ -232,7 +232,12 @@ def hierarchy(current: DataFrame) -> DataFrame:
     kept = links.join(cyc.select(F.col("src").alias("parent"), F.col("dst").alias("child")), ["parent", "child"], "left_anti")
     up = kept.groupBy("child").agg(F.min("parent").alias("p"))
     forest = cut(current.select(F.col("id").alias("v")).join(up, F.col("v") == F.col("child"), "left").select("v", "p"))
+    on = cyc.select(F.col("dst").alias("id")).distinct().withColumn("on_cycle", F.lit(True))
+    return _numbered(forest).join(on, "id", "left").withColumn("on_cycle", F.coalesce("on_cycle", F.lit(False)))
+
 
+def _numbered(forest: DataFrame) -> DataFrame:
+    """The columns of ``hierarchy`` but ``on_cycle``, from a forest ``(v, p)`` with one row a node and p null at the roots."""
     tops = _climb(forest.withColumn("size", F.lit(1).cast("bigint")), F.lit(0), lambda a, b: a + b)
     tree = cut(forest.join(tops.select("v", F.col("top").alias("root"), F.col("dist").alias("depth"), "size"), "v"))
     best = tree.where("p IS NOT NULL").groupBy("p").agg(F.min(F.struct((-F.col("size")).alias("s"), "v")).alias("b"))
@@ -261,14 +266,14 @@ def hierarchy(current: DataFrame) -> DataFrame:
                .select("n0", "pre", "ids", F.posexplode("chain").alias("i", "m"))
                .select(F.col("m.v").alias("id"), F.concat("pre", F.slice("ids", 1, F.col("i") + 1)).alias("path"),
                        (F.col("n0") + F.col("i")).alias("first_no"), (F.col("n0") + F.col("i") + F.col("m.size") - 1).alias("last_no"), (F.col("m.size") - 1).alias("n_descendants")))
-    on = cyc.select(F.col("dst").alias("id")).distinct().withColumn("on_cycle", F.lit(True))
     return (members.join(tree.select(F.col("v").alias("id"), F.col("p").alias("parent"), "root", "depth"), "id")
-            .join(on, "id", "left")
-            .select("id", "parent", "root", "depth", "path", "n_descendants", "first_no", "last_no", F.coalesce("on_cycle", F.lit(False)).alias("on_cycle")))
+            .select("id", "parent", "root", "depth", "path", "n_descendants", "first_no", "last_no"))
 
 
 def descendants(tree: DataFrame, wanted: DataFrame, *, block: int = 4096) -> DataFrame:
-    """All (id, descendant, distance) below the ids in ``wanted(id)``, linear in the output.
+    """All (id, descendant, distance) below the ids in ``wanted(id)`` in the tree of smallest parents, linear in the output.
+
+    Links that the tree leaves out don't count; ``all_descendants`` follows those too.
 
     An interval of numbers is cut at multiples of ``block``, so the equi-join on (root, block) never meets more than
     ``block`` pages a key, however large the tree.
@@ -280,3 +285,54 @@ def descendants(tree: DataFrame, wanted: DataFrame, *, block: int = 4096) -> Dat
     below = tree.select("root", cell(F.col("first_no")).alias("cell"), F.col("first_no").alias("no"), F.col("id").alias("descendant"), "depth")
     return (spans.join(below, ["root", "cell"]).where("no > first_no AND no <= last_no")
             .select("id", "descendant", (F.col("depth") - F.col("d0")).alias("distance")))
+
+
+def _components(links: DataFrame) -> DataFrame:
+    """(v, c): the smallest id c that v is connected with, whichever way the links ``(src, dst)`` point."""
+    label = cut(links.select(F.col("src").alias("v")).union(links.select("dst")).distinct().withColumn("c", F.col("v")))
+    while True:
+        named = links.join(label.select(F.col("v").alias("src"), F.col("c").alias("a")), "src").join(label.select(F.col("v").alias("dst"), F.col("c").alias("b")), "dst").where("a <> b")
+        hooks = cut(named.groupBy(F.greatest("a", "b").alias("v")).agg(F.min(F.least("a", "b")).alias("p")))
+        if not _rows(hooks):
+            return label
+        # Each hook leads to a smaller label, so there are no cycles among them.
+        names = label.select(F.col("c").alias("v")).distinct().join(hooks, "v", "left").withColumn("size", F.lit(1).cast("bigint"))
+        tops = _climb(names, F.lit(0), lambda a, b: a + b).select(F.col("v").alias("c"), "top")
+        label = cut(label.join(tops, "c").select("v", F.col("top").alias("c")))
+
+
+def all_descendants(current: DataFrame, wanted: DataFrame, *, block: int = 4096) -> DataFrame:
+    """Distinct (id, descendant) of all pages met along the links from the ids in ``wanted(id)``, the id itself left out.
+
+    Every link counts: those of all parents of a page, and those on cycles. Pages on one cycle are contracted to one node;
+    what is left has no cycles, and the smallest parent of each node makes a forest of intervals (``_numbered``). From an
+    interval that is reached, the links that the forest leaves out lead to further ones, round by round until nothing is
+    new; there are as many rounds as such links on the path that has fewest. Input as for ``hierarchy``.
+    """
+    current = cut(current)
+    links = cut(page_links(current))
+    joined = _components(cyclic_links(links))
+    node = cut(current.select(F.col("id").alias("v")).join(joined, "v", "left").select("v", F.coalesce("c", "v").alias("c")))
+    between = cut(links.join(node.select(F.col("v").alias("parent"), F.col("c").alias("p")), "parent").join(node.select(F.col("v").alias("child"), F.col("c")), "child")
+                  .where("p <> c").select("p", "c").distinct())
+    up = cut(between.groupBy("c").agg(F.min("p").alias("p")))
+    tree = cut(_numbered(cut(node.select(F.col("c").alias("v")).distinct().join(up.withColumnRenamed("c", "v"), "v", "left").select("v", "p")))
+               .select("id", "root", "first_no", "last_no"))
+    cell = lambda c: F.floor(c / block)
+    spans = cut(tree.select(F.col("id").alias("via"), "root", "first_no", "last_no"))
+    at = tree.select("id", "root", cell(F.col("first_no")).alias("cell"), F.col("first_no").alias("no"))
+    extra = cut(between.join(up, ["p", "c"], "left_anti").join(at.withColumnRenamed("id", "p"), "p").select("root", "cell", "no", F.col("c").alias("next")))
+
+    def met(reached: DataFrame, what: DataFrame) -> DataFrame:
+        cells = reached.join(spans, "via").withColumn("cell", F.explode(F.sequence(cell(F.col("first_no")), cell(F.col("last_no")))))
+        return cells.join(what, ["root", "cell"]).where("no BETWEEN first_no AND last_no")
+
+    asked = wanted.select("id").distinct().join(node.withColumnRenamed("v", "id"), "id")
+    reached = cut(asked.select(F.col("c").alias("of"), F.col("c").alias("via")).distinct())
+    fresh = reached
+    while _rows(fresh):
+        fresh = cut(met(fresh, extra).select("of", F.col("next").alias("via")).distinct().join(reached, ["of", "via"], "left_anti"))
+        reached = cut(reached.unionByName(fresh))
+    below = met(reached, at.withColumnRenamed("id", "c")).select("of", "c").distinct()
+    return (asked.select("id", F.col("c").alias("of")).join(below, "of").join(node.withColumnRenamed("v", "descendant"), "c")
+            .where("id <> descendant").select("id", "descendant"))

@@ -30,6 +30,12 @@ def p1_descendants(spark: SparkSession, d: str) -> DataFrame:
     return H.descendants(tree, tree.where(F.try_to_number("id", F.lit("999999999999999999")) % 100 == 0))
 
 
+def p1_all_descendants(spark: SparkSession, d: str) -> DataFrame:
+    """As ``p1_descendants``, but along every link: those of all parents of a page and those on cycles."""
+    cur = cut(H.current_rows(table(spark, d, "pages")))
+    return H.all_descendants(cur, cur.where(F.try_to_number("id", F.lit("999999999999999999")) % 100 == 0))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Records added, removed or changed between consecutive delivered snapshots of a bundle."""
     return S.snapshot_changes(
@@ -37,7 +43,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
         values={"content_hash": S.normal_hash("content_hash"), "is_stale": F.coalesce("is_stale", F.lit(False))})
 
 
-QUERIES = {"p1_found": p1_found, "p1_hierarchy": p1_hierarchy, "p1_descendants": p1_descendants, "p3_found": p3_found}
+QUERIES = {"p1_found": p1_found, "p1_hierarchy": p1_hierarchy, "p1_descendants": p1_descendants, "p1_all_descendants": p1_all_descendants, "p3_found": p3_found}
 
 _LINKS = r"""
 cur AS (SELECT id, child_page_ids FROM pages WHERE id IS NOT NULL
@@ -57,6 +63,7 @@ walk(id, parent, root, depth, path) AS (
 
 SQL = {
     "p1_found": "WITH RECURSIVE " + _LINKS + " SELECT DISTINCT a AS id FROM reach WHERE a = b",
+    "p1_all_descendants": "WITH RECURSIVE " + _LINKS + " SELECT DISTINCT a AS id, b AS descendant FROM reach WHERE a <> b AND TRY_CAST(a AS BIGINT) % 100 = 0",
     "p1_descendants": _FOREST + """, below(id, descendant, distance) AS (
   SELECT w.id, w.id, 0 FROM walk w WHERE TRY_CAST(w.id AS BIGINT) % 100 = 0
   UNION ALL SELECT b.id, u.id, b.distance + 1 FROM below b JOIN up u ON u.parent = b.descendant)

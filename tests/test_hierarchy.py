@@ -87,6 +87,26 @@ def test_descendants_and_blocks(spark):
     assert sum(r["id"] == "0" for r in got) == 62 and {r["descendant"] for r in got if r["id"] == "2" and r["distance"] == 1} == {"5", "6"} and not any(r["id"] == "40" for r in got)
 
 
+@pytest.mark.parametrize("seed,n,m", [(1, 12, 14), (2, 40, 44), (3, 30, 70)])
+def test_all_descendants_follow_every_link(spark, seed, n, m):
+    rng = random.Random(seed)
+    kids = {str(i): [] for i in range(n)}
+    for _ in range(m):
+        kids[str(rng.randrange(n))].append(str(rng.randrange(n)))
+    r = reach({(p, c) for p, cs in kids.items() for c in cs})
+    cur = H.current_rows(spark.createDataFrame([page(i, k) for i, k in kids.items()], PAGES))
+    got = [tuple(x) for x in H.all_descendants(cur, cur.select("id"), block=4).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(a, b) for a, bs in r.items() for b in bs if a != b}
+
+
+def test_all_descendants_of_a_second_parent_and_of_a_cycle(spark):
+    rows = [page("a", ["x"]), page("b", ["x"]), page("x", ["y"]), page("y", None), page("c", ["d"]), page("d", ["c", "b"])]
+    cur = H.current_rows(spark.createDataFrame(rows, PAGES))
+    got = {tuple(r) for r in H.all_descendants(cur, spark.createDataFrame([("b",), ("c",), ("zz",), (None,)], "id string")).collect()}
+    assert got == {("b", "x"), ("b", "y"), ("c", "d"), ("c", "b"), ("c", "x"), ("c", "y")}
+    assert H.all_descendants(cur.where("false"), cur.select("id")).count() == 0
+
+
 def test_empty_pages(spark):
     none = H.current_rows(spark.createDataFrame([], PAGES))
     assert H.cycle_members(H.page_links(none)).count() == 0 and H.hierarchy(none).count() == 0
