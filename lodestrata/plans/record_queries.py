@@ -91,12 +91,20 @@ def git_skip_reasons(spark, d):
     return table(spark, d, "documents").groupBy("source", why.alias("skip_reason")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(byte_length(t), F.lit(0))).cast("bigint").alias("n_bytes"))
 
 
-def tree_bfs(spark, d):
-    """Pages below each page that has no parent, by their shortest depth, at most eight levels down."""
+def _links_and_roots(spark, d):
     cur = cut(H.current_rows(table(spark, d, "pages")))
     links = cut(H.page_links(cur))
-    roots = cur.select(F.col("id").alias("root")).join(links.select(F.col("child").alias("root")), "root", "left_anti")
-    return T.walk(links, roots, max_depth=8)
+    return links, cur.select(F.col("id").alias("root")).join(links.select(F.col("child").alias("root")), "root", "left_anti")
+
+
+def tree_bfs(spark, d):
+    """Pages below each page that has no parent, by their shortest depth, at most eight levels down."""
+    return T.walk(*_links_and_roots(spark, d), max_depth=8)
+
+
+def tree_bfs_all(spark, d):
+    """As ``tree_bfs``, down to the deepest page."""
+    return T.walk(*_links_and_roots(spark, d))
 
 
 def space_listing(spark, d):
@@ -228,7 +236,7 @@ def acceptance_report(spark, d):
     return Q.acceptance_report(acceptance_ranges(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (record_markdown, web_markdown, paged_markdown, bundle_sections, bundle_split, bundle_files, package_inventory, package_totals, canonical_json, git_skip_reasons, tree_bfs, space_listing, url_output_name, public_url_check,
+QUERIES = {f.__name__: f for f in (record_markdown, web_markdown, paged_markdown, bundle_sections, bundle_split, bundle_files, package_inventory, package_totals, canonical_json, git_skip_reasons, tree_bfs, tree_bfs_all, space_listing, url_output_name, public_url_check,
                                    api_roots, web_chrome_reasons, web_shape_counts, web_source_intent, web_link_choice, web_link_scores, pdf_trailing_lines, pdf_footer_signatures, pdf_line_diagnostics, pdf_repairs, pdf_footer_suppressed, rolling_cues,
                                    caption_selection, replay_classification, acceptance_ranges, acceptance_report)}
 
@@ -348,5 +356,9 @@ SQL = {
     "tree_bfs": r"""WITH RECURSIVE cur AS (SELECT id, child_page_ids FROM pages WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY version DESC NULLS LAST, fetched_at DESC NULLS LAST) = 1),
  links AS (SELECT DISTINCT c.id AS p, k.kid AS c FROM cur c, LATERAL (SELECT trim(u.x, E' \t\n\r') AS kid FROM unnest(c.child_page_ids) AS u(x)) k WHERE k.kid <> '' AND k.kid IN (SELECT id FROM cur)),
  w(root, id, depth) AS (SELECT id, id, 0 FROM cur WHERE id NOT IN (SELECT c FROM links) UNION SELECT w.root, l.c, w.depth + 1 FROM w JOIN links l ON l.p = w.id WHERE w.depth < 8)
+ SELECT root, id, min(depth) AS depth FROM w GROUP BY ALL""",
+    "tree_bfs_all": r"""WITH RECURSIVE cur AS (SELECT id, child_page_ids FROM pages WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY version DESC NULLS LAST, fetched_at DESC NULLS LAST) = 1),
+ links AS (SELECT DISTINCT c.id AS p, k.kid AS c FROM cur c, LATERAL (SELECT trim(u.x, E' \t\n\r') AS kid FROM unnest(c.child_page_ids) AS u(x)) k WHERE k.kid <> '' AND k.kid IN (SELECT id FROM cur)),
+ w(root, id, depth) AS (SELECT id, id, 0 FROM cur WHERE id NOT IN (SELECT c FROM links) UNION SELECT w.root, l.c, w.depth + 1 FROM w JOIN links l ON l.p = w.id WHERE w.depth < (SELECT count(*) FROM cur))
  SELECT root, id, min(depth) AS depth FROM w GROUP BY ALL""",
 }

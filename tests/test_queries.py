@@ -44,3 +44,11 @@ def test_entry_and_names(spark):
 @pytest.mark.parametrize("name", sorted(n for n in set(entry.queries()) - set(entry.oracle_sql()) if not n[:2] in ("p2", "p4", "p5", "p6", "p7")))
 def test_runs_without_sql(spark, name):
     assert entry.queries()[name](spark, D).count() >= 0
+
+
+def test_walk_reaches_pages_of_any_depth(spark, tmp_path):
+    rows = [(str(i), [str(i + 1)] + ["x"] * (i == 20), 1) for i in range(40)] + [("40", ["35"], 1), ("x", None, 1)]
+    spark.createDataFrame(rows, "id string, child_page_ids array<string>, version int").selectExpr("*", "timestamp'2030-01-01' AS fetched_at").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["id"]: r["depth"] for r in entry.queries()["tree_bfs_all"](spark, str(tmp_path)).collect()}
+    assert got == {str(i): i for i in range(41)} | {"x": 21}
+    assert max(r["depth"] for r in entry.queries()["tree_bfs"](spark, str(tmp_path)).collect()) == 8
