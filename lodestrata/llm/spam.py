@@ -2,7 +2,8 @@
 
 Per document (whole text, without a leading title and metadata block) the tokens are numbered and the signal is taken
 from positions: gaps between a term's or term pair's recurrences, how even these gaps are, the agreement of the token
-sequence with itself at lags 1..MAX_LAG (positional autocorrelation) within the document, the share of text that is
+sequence with itself at lags 1..MAX_LAG and at the document's own most frequent gap between equal pairs (positional
+autocorrelation) within the document, the share of text that is
 links, tags, numbers and separators, and how far the words are of the kind that statements have (function words,
 verbs), which a distinct-noun list lacks. A linear model over these, fitted on the labelled documents, decides.
 
@@ -30,7 +31,7 @@ LOOKALIKE = str.maketrans("аеорсухіјѕԁһвкмтгпΑΒΕΖΗΙΚΜ
 LEET = str.maketrans("013457$@", "oieastsa")
 WORD, LINK, TAG, NUMBER, STOP, SEPARATOR, MARK, ODD, BREAK = range(9)
 FEATURES = ("tokens", "link", "tag", "number", "stop", "separator", "odd", "words_per_stop", "gap1", "gap2", "gap2_short", "even", "auto", "auto_lag",
-            "type_ratio", "statement", "statement_share", "noun_share", "unknown", "upper", "line_words", "long_lines", "segment_share", "over_half", "few_statements", "repeat_half")
+            "gap2_any", "auto_far", "type_ratio", "statement", "statement_share", "noun_share", "unknown", "upper", "line_words", "long_lines", "segment_share", "over_half", "few_statements", "repeat_half")
 
 
 class _Terms(dict):
@@ -131,6 +132,7 @@ def features(texts: list[str], weights: dict[str, float]) -> np.ndarray:
     nw = np.maximum(by(np.ones(len(at))), 1)
     put["gap1"] = by((one > 0) & (one <= MAX_LAG)) / nw
     put["gap2"] = by((pair > 0) & (pair <= 3 * MAX_LAG)) / nw
+    put["gap2_any"] = by(pair > 0) / nw
     put["gap2_short"] = by((pair > 0) & (pair <= MAX_LAG)) / nw
     g = np.where(pair > 0, np.log(np.maximum(pair, 1)), 0.0)
     cnt = np.maximum(by(pair > 0), 1)
@@ -144,6 +146,21 @@ def features(texts: list[str], weights: dict[str, float]) -> np.ndarray:
             lag_at = np.where(r > best, lag, lag_at)
             best = np.maximum(best, r)
     put["auto"], put["auto_lag"] = best, lag_at / MAX_LAG
+    # A list repeated as a whole: the agreement at the document's most frequent pair gap, however long (the shortest of equals).
+    far = np.zeros(len(m), np.int64)
+    held = pair > 0
+    if held.any():
+        width = int(pair.max()) + 1
+        code, times = np.unique(wd[held] * width + pair[held], return_counts=True)
+        of, gap = code // width, code % width
+        order = np.lexsort((gap, -times, of))
+        first = np.r_[True, of[order][1:] != of[order][:-1]]
+        far[of[order][first]] = gap[order][first]
+    back = np.arange(len(at)) - far[wd]
+    ok = (far[wd] > 0) & (back >= 0)
+    hit = np.zeros(len(at), bool)
+    hit[ok] = (wk[ok] == wk[back[ok]]) & (wd[ok] == wd[back[ok]])
+    put["auto_far"] = by(hit) / np.maximum(nw - far, 8)
     put["statement"] = total(weight * word) / words
     put["statement_share"] = total((weight < -1) & word) / words
     put["noun_share"] = total((weight > 0.3) & word) / words

@@ -146,6 +146,14 @@ def test_spam_features():
     assert t.key[t["wоrkspаcе"]] == t.key[t["workspace"]] == t.key[t["workspac3"]] == t.key[t["WORKSPACE"]]
 
 
+def test_spam_features_of_a_list_repeated_at_a_long_period():
+    a = lambda i: chr(97 + i // 26) + chr(97 + i % 26)
+    terms = [f"w{a(i)}" for i in range(130)]
+    x = K.features([" ".join(terms * 4), " ".join(f"w{a(i)}{a(j)}" for i in range(20) for j in range(26)), ""], {})
+    f = lambda i, name: x[i, K.FEATURES.index(name)]
+    assert f(0, "gap2") == f(0, "auto") == 0 and f(0, "gap2_any") > 0.7 and f(0, "auto_far") == 1 and f(1, "gap2_any") == f(1, "auto_far") == 0 and not x[2].any()
+
+
 @tables
 def test_spam_on_held_out_labels():
     y = {r["doc_id"]: r["label"] == "spam" for r in read("doc_labels", "doc_id", "label")}
