@@ -24,7 +24,8 @@ MAX_LABELS = 8_000
 MAX_LAG = 24
 BATCH_CHARS = 4_000_000
 # A leading title with a metadata list, or with "key: value" lines, as the sources of the project write them.
-HEADER = regex.compile(r"\s*(?:# [^\n]*\n\s*)?## Metadata\n(?:.*\n){0,40}?\s*## Content\s*\n|[^\n]+\n\n(?:[a-z_ ]{2,24}: [^\n]*\n){2,12}\n")
+# Lines end in \n or \r\n; a block has any number of lines, the list up to the next heading.
+HEADER = regex.compile(r"\s*(?:# [^\n]*\n\s*)?## Metadata\r?\n(?:(?!##? ).*\n)*?\s*## Content\s*\n|[^\r\n][^\n]*\n\r?\n(?:[a-z_ ]{2,24}: [^\n]*\n){2,}\r?\n")
 TOKEN = regex.compile(r"(?:https?:)?//[^\s\"'<>)\]]+|<[^<>\n]{0,400}>|#\w+|\w+(?:['’]\w+)?|[^\w\s]|\n").findall
 # Cyrillic and Greek letters that look like Latin ones, and digits used as letters.
 LOOKALIKE = str.maketrans("аеорсухіјѕԁһвкмтгпΑΒΕΖΗΙΚΜΝΟΡΤΥΧαορν", "aeopcyxijsdhbkmtrnABEZHIKMNOPTYXaopv")

@@ -146,6 +146,16 @@ def test_spam_features():
     assert t.key[t["wоrkspаcе"]] == t.key[t["workspace"]] == t.key[t["workspac3"]] == t.key[t["WORKSPACE"]]
 
 
+def test_body_behind_blocks_of_any_length_and_line_end():
+    for n in (2, 60):
+        for end in ("\n", "\r\n"):
+            rows = "".join(f"key {chr(97 + i % 26)}: v{end}" for i in range(n))
+            assert K.body(f"T{end}{end}{rows}{end}body") == "body"
+            assert K.body(f"# T{end}{end}## Metadata{end}{rows}{end}## Content{end}{end}body") == "body"
+    for text in ("# T\n\n## Metadata\nx\n\n## Other\n\n## Content\n\nbody", "one\r\n\r\ntwo\r\n"):
+        assert K.body(text) == text
+
+
 def test_spam_features_of_a_list_repeated_at_a_long_period():
     a = lambda i: chr(97 + i // 26) + chr(97 + i % 26)
     terms = [f"w{a(i)}" for i in range(130)]
