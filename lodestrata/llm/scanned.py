@@ -93,7 +93,7 @@ def layout_features(lines: list[tuple[int, int, str]]) -> tuple[list[int], list[
     pages: dict[int, list[int]] = {}
     for i in at:
         pages.setdefault(lines[i][0], []).append(i)
-    sig = {i: _signature(lines[i][2]) for own in pages.values() for i in {*own[:EDGE], *own[-EDGE:]}}
+    sig = {i: _signature(lines[i][2]) for own in pages.values() for i in own}
     # A running line that was misread on one page counts as the line it repeats.
     times: dict[str, set[int]] = {}
     for i, g in sig.items():
@@ -103,13 +103,13 @@ def layout_features(lines: list[tuple[int, int, str]]) -> tuple[list[int], list[
         if len(times[g]) < 2 and len(g) > 5:
             limit = max(1, len(g) // 6)
             sig[i] = next((o for o in often if abs(len(o) - len(g)) <= 2 and _distance(g, o, limit) <= limit), g)
-    edge: dict[str, set[int]] = {}
+    on_pages: dict[str, set[int]] = {}
     bare: dict[str, set[int]] = {}
     nums: dict[int, set[int]] = {}
     number: dict[int, int | None] = {}
     for p, own in pages.items():
-        for i in {*own[:4], *own[-4:]}:
-            edge.setdefault(sig[i], set()).add(p)
+        for i in own:
+            on_pages.setdefault(sig[i], set()).add(p)
             bare.setdefault(sig[i].strip("9 |-–/[]."), set()).add(p)
             found = NUMBER.findall(_digits(lines[i][2]))
             v = int(found[-1][:9]) if found and len(found) <= 3 else _roman(lines[i][2].strip().lower())
@@ -125,16 +125,15 @@ def layout_features(lines: list[tuple[int, int, str]]) -> tuple[list[int], list[
         for j, i in enumerate(own):
             t = lines[i][2]
             s, k = t.strip(), len(own) - 1 - j
-            if min(j, k) >= EDGE:  # far from both edges: what a line says can't make it a running line
+            if min(j, k) >= EDGE and len(on_pages[sig[i]]) < 2:  # far from both edges and on no other page: no running line
                 out.append(["far", f"far{min(6, int(len(t) / max(width, 1) * 4))}"])
                 continue
             top, low = min(j, 4), min(k, 4)
-            rep, rep2 = len(edge.get(sig[i], ())), len(bare.get(sig[i].strip("9 |-–/[]."), ()))
+            rep, rep2 = len(on_pages.get(sig[i], ())), len(bare.get(sig[i].strip("9 |-–/[]."), ()))
             f = [f"top{top}", f"low{low}", f"top{top}low{low}"]
-            inner = 4 > min(j, k)
             place = f"T{top}" if j <= k else f"B{low}"
-            share = "none" if rep < 2 or not inner else f"r{min(4, int(5 * rep / n_pages))}"
-            share2 = "none" if rep2 < 2 or not inner else f"r{min(4, int(5 * rep2 / n_pages))}"
+            share = "none" if rep < 2 else f"r{min(4, int(5 * rep / n_pages))}"
+            share2 = "none" if rep2 < 2 else f"r{min(4, int(5 * rep2 / n_pages))}"
             f += [f"rep{share}", f"rep{share}{place}", f"repb{share2}{place}", f"n{min(rep, 5)}{place}"]
             shape = SPACE.sub(" ", NUMBER.sub("9", UPPERS.sub("X", LOWERS.sub("x", s))))[:24]
             f += [f"sh={shape}", f"sh={shape}{place}"]
@@ -152,7 +151,7 @@ def layout_features(lines: list[tuple[int, int, str]]) -> tuple[list[int], list[
             f += [f"end{s[-1] if not s[-1].isalnum() else 'a' if s[-1].isalpha() else '9'}", f"beg{'l' if s[0].islower() else 'u' if s[0].isupper() else '9' if s[0].isdigit() else s[0]}", f"up{s.isupper()}", f"pages{min(n_pages, 4)}{place}"]
             ws = words(s)
             f += ["w=" + w for w in ws[:3]] + ["z=" + w for w in ws[-2:]] + [f"words{min(8, len(ws))}{place}"]
-            if inner and rep >= 2:
+            if rep >= 2:
                 f.append(f"W={len(ws) > 0}{place}")
             out.append(f)
     return at, out

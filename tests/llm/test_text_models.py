@@ -92,6 +92,26 @@ def test_line_rules():
     assert S.report_lines(None) == [] and S.report_lines([None, ""]) == [(2, 1, "")]
 
 
+def deep_report(seed):
+    rng = random.Random(seed)
+    line = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(3, 8))) for _ in range(7))
+    raw, want, at = [], [], []
+    for p in range(6):
+        body = [line() for _ in range(16)]
+        raw.append("\n".join([*body[:7], f"Quarterly inventory {seed} page {p + 1}", *body[7:]]))
+        want.append(" ".join(body))
+        at.append((p + 1, 8))
+    return raw, want, at
+
+
+def test_running_lines_deep_in_the_page():
+    f = S.layout_features(S.report_lines(deep_report(1)[0]))[1]
+    assert "repr4" in f[7] and f[6][0] == "far"
+    model = S.fit_running([deep_report(k)[:2] for k in range(2, 22)])
+    ls = S.report_lines(deep_report(1)[0])
+    assert [ls[i][:2] for i in S.bodies_of([ls], model)[0][1]] == deep_report(1)[2]
+
+
 @tables
 def test_scanned_pages_on_held_out_reports(spark):
     src = spark.read.parquet(f"{D}/dora_regression_cases.parquet")
