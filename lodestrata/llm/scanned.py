@@ -188,20 +188,31 @@ def left_space(mark: str, right: str) -> str:
     return f"{mark}{right[:1].isspace()}"
 
 
+def one_step(w: str, pairs: list[tuple[str, str]] = MISREAD) -> set[str]:
+    """``w`` with one of the pairs' first parts replaced by the second, at any one place."""
+    out = set()
+    for a, b in pairs:
+        i = w.find(a)
+        while i >= 0:
+            out.add(w[:i] + b + w[i + len(a):])
+            i = w.find(a, i + 1)
+    return out
+
+
+def _is_odd(form: str) -> bool:
+    return any(not c.isalpha() and c not in "'’" or c in "ſоνаесрﬁﬂ" for c in form)
+
+
 def variants(form: str) -> list[str]:
-    """Forms that ``form`` may be a misreading of: up to two of the misreadings undone."""
-    def once(w: str) -> set[str]:
-        out = set()
-        for a, b in MISREAD:
-            i = w.find(a)
-            while i >= 0:
-                out.add(w[:i] + b + w[i + len(a):])
-                i = w.find(a, i + 1)
-        return out
-    first = once(form)
+    """Forms that ``form`` may be a misreading of: one of the misreadings undone, or up to two if it has several odd characters.
+
+    Two steps of any other form are found in the middle (``judge``): what one step makes of the form is met by what one
+    misreading makes of the words of the corpus.
+    """
+    first = one_step(form)
     odd = sum(not c.isalpha() or c in "ſоνаеср" for c in form)
     if odd > 1:
-        first |= {v for w in list(first)[:60] for v in once(w)}
+        first |= {v for w in list(first) for v in one_step(w)}
     first.discard(form)
     return sorted(first)
 
@@ -327,7 +338,7 @@ def is_misread(seen: dict[str, tuple[int, str | None, int]], w: str) -> str | No
     n, v, m = seen.get(w, (0, None, 0))
     if v is None:
         return None
-    odd = any(not c.isalpha() and c not in "'’" or c in "ſоνаесрﬁﬂ" for c in w)
+    odd = _is_odd(w)
     return v if m >= (2 if odd else 3) and m >= (2 if odd else 12) * max(n, 0.34) else None
 
 
@@ -509,6 +520,25 @@ def judge(reports: DataFrame, *, id_col: str = "id", raw: str = "raw_pages", exp
     best = (needed.mapInArrow(undo, "form string, variant string").join(counted.select(F.col("form").alias("variant"), "n"), "variant")
             .groupBy("form").agg(F.max(F.struct("n", "variant")).alias("b")).select("form", F.col("b.variant").alias("variant"), F.col("b.n").alias("vn")))
     known = cut(counted.join(best, "form", "full").select("form", F.coalesce("n", F.lit(0)).alias("n"), "variant", F.coalesce("vn", F.lit(0)).alias("vn")))
+    # Forms that no such variant explains: two steps, met in the middle, that explain them by the same measure (``is_misread``).
+    def unread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(f, n, _is_odd(f), w) for f, n, v, m in zip(*(c.to_pylist() for c in b.columns)) if not is_misread({f: (n, v, m)}, f) for w in sorted(one_step(f))]
+            cols = list(zip(*rows)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int64(), pa.bool_(), pa.string()))], ["form", "n", "odd", "middle"])
+
+    def misread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(v, m, w) for v, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for w in sorted(one_step(v, [(y, x) for x, y in MISREAD]))]
+            cols = list(zip(*rows)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int64(), pa.string()))], ["variant", "vn", "middle"])
+
+    left = needed.join(known, "form", "left").select("form", F.coalesce("n", F.lit(0)).alias("n"), "variant", F.coalesce("vn", F.lit(0)).alias("vn"))
+    twice = (left.mapInArrow(unread, "form string, n bigint, odd boolean, middle string")
+             .join(counted.where("n >= 2").mapInArrow(misread, "variant string, vn bigint, middle string"), "middle")
+             .where("variant <> form AND vn >= IF(odd, 2, 3) AND vn >= IF(odd, 2, 12) * greatest(n, 0.34D)")
+             .groupBy("form").agg(F.max("n").alias("n2"), F.max(F.struct("vn", "variant")).alias("b")))
+    known = cut(known.join(twice, "form", "full").select("form", F.coalesce("n", "n2").alias("n"), F.coalesce("b.variant", "variant").alias("variant"), F.coalesce("b.vn", "vn").alias("vn")))
     # Of the words inside lines only suspects go back to their reports; of the forms at line ends all that are known.
     suspects = known.where("vn >= 2 AND vn >= 2 * n")
     back = (lines.select("id", "h", F.explode("words").alias("form")).join(suspects, "form")

@@ -153,6 +153,16 @@ def test_scanned_odd_rows(spark):
     assert S.judge(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_two_misreadings_in_a_word(spark):
+    many = [("a%d" % k, ["we keep the inventory schedule here today"], None) for k in range(30)]
+    rows = [*many, ("x", ["we keep the invcntorv here today"], None), ("y", ["we keep the schcdu1e here today"], None), ("z", ["we keep the sundry here today"], None)]
+    j = S.judge(spark.createDataFrame(rows, "id string, raw_pages array<string>, expected_pages array<string>"))
+    assert {tuple(r) for r in S.defects(j).collect()} == {("x", 1, 1, "misread"), ("y", 1, 1, "misread")}
+    assert {r["id"]: r["text"] for r in S.repaired(j).collect() if r["id"] in "xy"} == {"x": "we keep the inventory here today", "y": "we keep the schedule here today"}
+    far = "l0!1|5$8" * 3
+    assert {w for v in S.one_step(far) for w in S.one_step(v)} - {far} <= set(S.variants(far))
+
+
 # Spam
 
 
