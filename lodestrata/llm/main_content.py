@@ -92,7 +92,7 @@ def _shape(word: str) -> str:
 
 def page_features(pars: list[str]) -> list[list[str]]:
     """Named features of each paragraph of a page."""
-    base, dens, kinds = [], [], []
+    base, dens, kinds, begin = [], [], [], []
     for p in pars:
         d, nodes, links = density(p)
         dens.append(d)
@@ -111,12 +111,13 @@ def page_features(pars: list[str]) -> list[list[str]]:
             f.append(f"date{'!' if n < 12 else ''}")
         if n <= 14:
             f.append("t=" + " ".join(ws))
-        f += ["w=" + w for w in set(ws[:14])] + ["b=" + a + " " + b for a, b in zip(ws[:9], ws[1:10])]
+        f += ["w=" + w for w in dict.fromkeys(ws)] + ["b=" + a + " " + b for a, b in dict.fromkeys(zip(ws, ws[1:]))]
         tail = ws[-5:]
         f += ["z=" + w for w in tail] + (["zz=" + " ".join(ws[-2:])] if n > 1 else [])
         if lines > 1:
             f += [f"ind{any(x[:1] in ' \t' for x in p.split('\n')[1:])}", f"bul{all(x.lstrip()[:1] in '*-•' or x.lstrip()[:1].isdigit() for x in p.split('\n'))}"]
         base.append(f)
+        begin.append(dict.fromkeys(ws[:14]))
     m = len(pars)
     run_a, run_b, floor = body_run(dens)
     big = [i for i, k in enumerate(kinds) if k[0] == "S"]
@@ -138,7 +139,7 @@ def page_features(pars: list[str]) -> list[list[str]]:
         for o in (-1, 1):
             j = i + o
             if 0 <= j < m:
-                near = [x for x in base[j] if x[:2] in ("t=", "sh")] + [x for x in base[j] if x[:2] == "w="][:14]
+                near = [x for x in base[j] if x[:2] in ("t=", "sh")] + ["w=" + w for w in begin[j]]
                 f += [f"N{o}{x}" for x in near]
         rep = seen.get(pars[i], 0)
         seen[pars[i]] = rep + 1

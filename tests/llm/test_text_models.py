@@ -71,6 +71,18 @@ def test_main_content_odd_rows(spark):
     assert [r["is_main"] for r in bare.orderBy("para_no").collect()] == [False, True] and M.main_text(bare).first()["content"] == body
 
 
+def test_words_in_the_middle_of_a_paragraph_count():
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(60)]
+    par = lambda mark: " ".join([*words[:30], *mark, *words[30:]])
+    f = M.page_features([par(["cookie", "policy"])])[0]
+    assert "w=cookie" in f and "b=cookie policy" in f
+    pages = [([par(["plain", "text"]), par(["cookie", "policy"])], [1, 0]) if k % 2 else ([par(["cookie", "policy"]), par(["plain", "text"])], [0, 1]) for k in range(120)]
+    rows = [("\n\n".join(ps), ps[y.index(1)]) for ps, y in pages]
+    got = M.fit(rows[:80]).decode([M.page_features(ps) for ps, _ in pages[80:]])
+    assert np.mean([list(g) == y for g, (_, y) in zip(got, pages[80:])]) == 1
+
+
 def test_density_alone():
     long = "This is a sentence of some length. It is followed by another one that is no shorter than it."
     assert M.body_run([]) == (0, -1, 0.0) and M.body_run([0, 0]) == (0, -1, 0.0) and M.body_run([0, 90, 40, 90, 0])[:2] == (1, 3)
