@@ -1,6 +1,6 @@
 """What changed between consecutive full snapshots of keyed records.
 
-Keys get persistent ordinals inside hash buckets; a snapshot of a bucket is a set of 64-bit words (only words with a
+Keys get ordinals inside hash buckets, which persist if the caller stores them (``key_ordinals``, ``known``); a snapshot of a bucket is a set of 64-bit words (only words with a
 member exist, which is the compression) plus, for each word, value vectors aligned with the word's set bits. AND-NOT of
 two snapshots' words gives additions and removals, AND gives the common keys, whose aligned vectors are compared.
 One shuffle of the records; everything after it stays inside the bucket.
@@ -28,13 +28,14 @@ def key_ordinals(keys: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Dense ordinals for distinct ``(bucket, grp, key)``; those in ``known`` (same columns + ordinal) keep theirs.
 
     New keys are numbered behind the highest known ordinal of their bucket, in order of (grp, key), so a dictionary that
-    is stored and passed in again never renumbers. Nulls in grp or key are not keys and are left out.
+    is stored and passed in again never renumbers. A key is known by (grp, key) and keeps its stored bucket too, so the
+    number of buckets may change between runs. Nulls in grp or key are not keys and are left out.
     """
     keys = keys.select("bucket", "grp", "key").where("grp IS NOT NULL AND key IS NOT NULL").distinct()
     w = Window.partitionBy("bucket").orderBy("grp", "key")
     if known is None:
         return keys.withColumn("ordinal", (F.row_number().over(w) - 1).cast("bigint"))
-    fresh = keys.join(known.select("bucket", "grp", "key"), ["bucket", "grp", "key"], "left_anti")
+    fresh = keys.join(known.select("grp", "key"), ["grp", "key"], "left_anti")
     top = known.groupBy("bucket").agg(F.max("ordinal").alias("top"))
     fresh = fresh.join(top, "bucket", "left").withColumn("ordinal", F.coalesce(F.col("top") + 1, F.lit(0)) + F.row_number().over(w) - 1)
     return known.select("bucket", "grp", "key", "ordinal").unionByName(fresh.select("bucket", "grp", "key", "ordinal"))
@@ -63,11 +64,10 @@ def snapshot_changes(rows: DataFrame, delivered: DataFrame, *, grp: str, snap: s
     bucket = F.pmod(F.xxhash64("grp", "key"), F.lit(n)).cast("int")
     latest = (src.groupBy(bucket.alias("bucket"), "grp", "key", "snap").agg(F.max(F.struct(F.col("ld").isNotNull().alias("h"), "ld", "val")).alias("m"))
               .select("bucket", "grp", "key", "snap", F.col("m.val").alias("val")))
-    latest = latest.repartition("bucket")
     if known is None:  # the dictionary is made where the rows lie
-        latest = latest.withColumn("ordinal", F.dense_rank().over(Window.partitionBy("bucket").orderBy("grp", "key")) - 1)
+        latest = latest.repartition("bucket").withColumn("ordinal", F.dense_rank().over(Window.partitionBy("bucket").orderBy("grp", "key")) - 1)
     else:
-        latest = latest.join(key_ordinals(latest, known), ["bucket", "grp", "key"])
+        latest = latest.drop("bucket").join(key_ordinals(latest, known), ["grp", "key"])
     word, bit = F.floor(F.col("ordinal") / 64), F.col("ordinal") % 64
     words = (latest.groupBy("bucket", "grp", word.alias("word"), "snap")
              .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit.cast("int"))).alias("bits"),

@@ -49,6 +49,17 @@ def test_ordinals_persist(spark):
     assert got == {(0, "x"): 0, (0, "z"): 1, (1, "q"): 0, (0, "b"): 2, (2, "n"): 0}
 
 
+def test_ordinals_persist_when_the_number_of_buckets_changes(spark):
+    keys = lambda ks, n: spark.createDataFrame([("a", k) for k in ks], "grp string, key string").select(F.pmod(F.xxhash64("grp", "key"), F.lit(n)).cast("int").alias("bucket"), "grp", "key")
+    old, new = [f"k{i}" for i in range(40)], [f"n{i}" for i in range(40)]
+    known = S.key_ordinals(keys(old, 5))
+    more = S.key_ordinals(keys(old + new, 3), known).collect()
+    assert len(more) == 80 == len({(r["bucket"], r["ordinal"]) for r in more})
+    assert {tuple(r) for r in known.collect()} <= {(r["bucket"], r["grp"], r["key"], r["ordinal"]) for r in more}
+    rows = [row("a", 1, k, "1") for k in old] + [row("a", 2, k, "1" if k != "k7" else "2") for k in old[1:] + new[:1]]
+    assert changes(spark, rows, [("a", 1), ("a", 2)], known=known) == [("a", 2, "k0", "removed"), ("a", 2, "k7", "changed"), ("a", 2, "n0", "added")]
+
+
 def test_known_dictionary_gives_the_same_changes(spark):
     rows = [row("a", 1, "x", "1"), row("a", 2, "x", "2"), row("a", 2, "y", "1")]
     n = 4
