@@ -8,6 +8,9 @@ counted and compared with its likely misreadings once, and the verdicts are join
 
 from __future__ import annotations
 
+import functools
+import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +24,6 @@ from lodestrata.session import cut
 
 MAX_REVIEWED = 500
 TOGETHER = 64
-EDGE = 5
 # What a scanned letter (or pair) is often read as, (read, printed).
 MISREAD = [("c", "e"), ("e", "c"), ("ri", "n"), ("l", "i"), ("i", "l"), ("f", "t"), ("t", "f"), ("ſ", "s"), ("@", "a"), ("5", "s"), ("$", "s"), ("1", "i"), ("1", "l"), ("0", "o"), ("о", "o"), ("!", "i"),
            ("!", "l"), ("|", "l"), ("|", "i"), ("li", "h"), ("cl", "d"), ("ii", "u"), ("ii", "ü"), ("6", "b"), ("6", "é"), ("6", "ó"), ("8", "b"), ("9", "g"), ("q", "g"), ("g", "q"), ("rn", "m"), ("m", "rn"),
@@ -45,6 +47,9 @@ BULLET = regex.compile(r"(?:[-*•–·▪o]|\(?\w{1,2}[.)]|\d+[.)])\s")
 ROW = regex.compile(r"[\p{L}_ ()-]+(?:\s+[\d.,%]+)+")
 AS_DIGIT = regex.compile(r"(?<=^|[\s\[|/–-])(?=[\dlIO|]*\d|[lIO]\s*$)[\dlIO|]{1,4}(?=[\s\]|/–-]*$)|^\s*(?=[lIO|]*\d)[\dlIO|]{1,4}(?=\s{2,}|\s*$)")
 DIGITS = str.maketrans("lI|O", "1110")
+RUNS = re.compile(r"([xX9 ])\1+")
+AT_NUMBER = frozenset("0123456789lIO|")
+BEHIND_NUMBER = "".join(c for c in map(chr, range(0x3001)) if c.isspace()) + "]|/–-"
 
 
 def _no_bang(line: str) -> str:
@@ -54,15 +59,19 @@ def _no_bang(line: str) -> str:
 
 def words(line: str) -> list[str]:
     """Lower-case words of a line with the odd characters misreading brings, in order."""
+    return list(_words(line))
+
+
+@functools.lru_cache(maxsize=16384)
+def _words(line: str) -> tuple[str, ...]:
     out = []
-    for t in TOKEN.findall(_no_bang(line)):
-        if t.isalpha():
-            out.append(t.lower())
-            continue
-        t = t.rstrip("!").strip("_").lower()
-        if t and t != "|" and LETTER.search(t):
-            out.append(t)
-    return out
+    for t in TOKEN.findall(_no_bang(line).lower()):
+        if not t.isalpha():
+            t = t.rstrip("!").strip("_")
+            if not t or t == "|" or not LETTER.search(t):
+                continue
+        out.append(t)
+    return tuple(out)
 
 
 def _roman(s: str) -> int | None:
@@ -74,12 +83,44 @@ def _roman(s: str) -> int | None:
 
 def _digits(line: str) -> str:
     """The line with letters that stand for digits in a number at its start or end read as digits."""
-    return AS_DIGIT.sub(lambda m: m[0].translate(DIGITS), line)
+    if line.lstrip()[:1] in AT_NUMBER or line.rstrip(BEHIND_NUMBER)[-1:] in AT_NUMBER:
+        return AS_DIGIT.sub(lambda m: m[0].translate(DIGITS), line)
+    return line
 
 
 def _signature(line: str) -> str:
-    line = _digits(line)
-    return NUMBER.sub("9", SPACE.sub(" ", line.strip()).casefold())
+    return NUMBER.sub("9", " ".join(_digits(line).split()).casefold())
+
+
+class _Classes(dict):
+    """Characters -> what a line's shape shows of them."""
+
+    def __missing__(self, c: int) -> int:
+        kind = unicodedata.category(chr(c))
+        self[c] = out = ord("x") if kind == "Ll" else ord("X") if kind == "Lu" else ord("9") if kind == "Nd" else ord(" ") if SPACE.fullmatch(chr(c)) else c
+        return out
+
+
+CLASSES = _Classes()
+
+
+@functools.lru_cache(maxsize=4096)
+def _pieces(signature: str, n: int) -> tuple[str, ...]:
+    cuts = [len(signature) * i // n for i in range(n + 1)]
+    return tuple(signature[a:b] for a, b in zip(cuts, cuts[1:]))
+
+
+def _repeated(g: str, often: dict[int, list[str]]) -> str:
+    """The repeated signature that ``g`` is a misreading of (``often`` by length), or ``g`` itself.
+
+    Of two texts at most ``limit`` edits apart, one has a piece of the other's ``limit + 1`` unchanged: only then are the edits counted.
+    """
+    limit = max(1, len(g) // 6)
+    for n in range(len(g) - 2, len(g) + 3):
+        for o in often.get(n, ()):
+            if any(x in g for x in _pieces(o, limit + 1)) and _distance(g, o, limit) <= limit:
+                return o
+    return g
 
 
 def report_lines(pages: list[str | None] | None) -> list[tuple[int, int, str]]:
@@ -87,82 +128,104 @@ def report_lines(pages: list[str | None] | None) -> list[tuple[int, int, str]]:
     return [(p, n, t) for p, page in enumerate(pages or [], 1) if page is not None for n, t in enumerate(page.split("\n"), 1)]
 
 
-def layout_features(lines: list[tuple[int, int, str]]) -> tuple[list[int], list[list[str]]]:
-    """The positions of the non-blank lines and their named layout features; one sequence is one report."""
+def layout_keys(lines: list[tuple[int, int, str]]) -> tuple[list[int], list[list[tuple]]]:
+    """The positions of the non-blank lines and the keys of their layout features (``layout_names``); one sequence is one report."""
     at = [i for i, (_, _, t) in enumerate(lines) if t.strip()]
     pages: dict[int, list[int]] = {}
+    sig: dict[int, str] = {}
+    found: dict[int, list[str]] = {}
+    times: dict[str, set[int]] = {}
     for i in at:
-        pages.setdefault(lines[i][0], []).append(i)
-    sig = {i: _signature(lines[i][2]) for own in pages.values() for i in own}
+        p, _, t = lines[i]
+        pages.setdefault(p, []).append(i)
+        d = _digits(t)
+        found[i] = NUMBER.findall(d)
+        sig[i] = g = _signature(d)
+        times.setdefault(g, set()).add(p)
     # A running line that was misread on one page counts as the line it repeats.
-    times: dict[str, set[int]] = {}
-    for i, g in sig.items():
-        times.setdefault(g, set()).add(lines[i][0])
-    often = [g for g, on in times.items() if len(on) > 1 and len(g) > 5]
-    for i, g in sig.items():
-        if len(times[g]) < 2 and len(g) > 5:
-            limit = max(1, len(g) // 6)
-            sig[i] = next((o for o in often if abs(len(o) - len(g)) <= 2 and _distance(g, o, limit) <= limit), g)
+    often: dict[int, list[str]] = {}
+    for g, on in times.items():
+        if len(on) > 1 and len(g) > 5:
+            often.setdefault(len(g), []).append(g)
+    if often:
+        for i, g in sig.items():
+            if len(times[g]) < 2 and len(g) > 5:
+                sig[i] = _repeated(g, often)
     on_pages: dict[str, set[int]] = {}
     bare: dict[str, set[int]] = {}
     nums: dict[int, set[int]] = {}
     number: dict[int, int | None] = {}
-    for p, own in pages.items():
-        for i in own:
-            on_pages.setdefault(sig[i], set()).add(p)
-            bare.setdefault(sig[i].strip("9 |-–/[]."), set()).add(p)
-            found = NUMBER.findall(_digits(lines[i][2]))
-            v = int(found[-1][:9]) if found and len(found) <= 3 else _roman(lines[i][2].strip().lower())
-            number[i] = v
-            if v is not None:
-                nums.setdefault(v - p, set()).add(p)
-            if found and len(found) > 1:
-                nums.setdefault(int(found[0][:9]) - p, set()).add(p)
-    width = float(np.median([len(lines[i][2]) for i in at])) if at else 1.0
+    for i in at:
+        p, _, t = lines[i]
+        on_pages.setdefault(sig[i], set()).add(p)
+        bare.setdefault(sig[i].strip("9 |-–/[]."), set()).add(p)
+        v = int(found[i][-1][:9]) if found[i] and len(found[i]) <= 3 else _roman(t.strip().lower())
+        number[i] = v
+        if v is not None:
+            nums.setdefault(v - p, set()).add(p)
+        if len(found[i]) > 1:
+            nums.setdefault(int(found[i][0][:9]) - p, set()).add(p)
+    width = max(float(np.median([len(lines[i][2]) for i in at])), 1) if at else 1.0
     n_pages = max(1, len(pages))
     out = []
     for p, own in pages.items():
         for j, i in enumerate(own):
             t = lines[i][2]
             s, k = t.strip(), len(own) - 1 - j
-            if min(j, k) >= EDGE and len(on_pages[sig[i]]) < 2:  # far from both edges and on no other page: no running line
-                out.append(["far", f"far{min(6, int(len(t) / max(width, 1) * 4))}"])
-                continue
             top, low = min(j, 4), min(k, 4)
-            rep, rep2 = len(on_pages.get(sig[i], ())), len(bare.get(sig[i].strip("9 |-–/[]."), ()))
-            f = [f"top{top}", f"low{low}", f"top{top}low{low}"]
+            rep, rep2 = len(on_pages[sig[i]]), len(bare[sig[i].strip("9 |-–/[].")])
             place = f"T{top}" if j <= k else f"B{low}"
-            share = "none" if rep < 2 else f"r{min(4, int(5 * rep / n_pages))}"
-            share2 = "none" if rep2 < 2 else f"r{min(4, int(5 * rep2 / n_pages))}"
-            f += [f"rep{share}", f"rep{share}{place}", f"repb{share2}{place}", f"n{min(rep, 5)}{place}"]
-            shape = SPACE.sub(" ", NUMBER.sub("9", UPPERS.sub("X", LOWERS.sub("x", s))))[:24]
-            f += [f"sh={shape}", f"sh={shape}{place}"]
-            v = number.get(i)
+            v, number_key = number[i], None
             if v is not None:
-                d = max(len(nums.get(v - p, ())), max((len(nums.get(int(x[:9]) - p, ())) for x in NUMBER.findall(_digits(t))[:1]), default=0))
-                f += [f"num{min(d, 4)}", f"num{min(d, 4)}{place}{'bare' if len(s) < 12 else ''}", f"diff{'same' if v == p else 'off'}"]
-                if n_pages > 1:
-                    f.append(f"nshare{int(4 * d / n_pages)}{place}{'bare' if len(s) < 12 else ''}")
-            ratio = len(t) / max(width, 1)
-            f += [f"len{min(6, int(ratio * 4))}", f"len{min(6, int(ratio * 4))}{place}"]
+                d = max(len(nums.get(v - p, ())), len(nums.get(int(found[i][0][:9]) - p, ())) if found[i] else 0)
+                number_key = ("num", min(d, 4), place, len(s) < 12, v == p, int(4 * d / n_pages) if n_pages > 1 else None)
             gap_up = i == 0 or lines[i - 1][0] != p or not lines[i - 1][2].strip()
             gap_dn = i + 1 == len(lines) or lines[i + 1][0] != p or not lines[i + 1][2].strip()
-            f += [f"gap{int(gap_up)}{int(gap_dn)}", f"gap{int(gap_up)}{int(gap_dn)}{place}", f"ind{min(3, (len(t) - len(t.lstrip())) // 2)}", f"wide{'   ' in s}"]
-            f += [f"end{s[-1] if not s[-1].isalnum() else 'a' if s[-1].isalpha() else '9'}", f"beg{'l' if s[0].islower() else 'u' if s[0].isupper() else '9' if s[0].isdigit() else s[0]}", f"up{s.isupper()}", f"pages{min(n_pages, 4)}{place}"]
-            ws = words(s)
-            f += ["w=" + w for w in ws[:3]] + ["z=" + w for w in ws[-2:]] + [f"words{min(8, len(ws))}{place}"]
-            if rep >= 2:
-                f.append(f"W={len(ws) > 0}{place}")
+            ws = _words(t)
+            f = [("at", top, low, place, min(4, int(5 * rep / n_pages)) if rep > 1 else None, min(4, int(5 * rep2 / n_pages)) if rep2 > 1 else None, min(rep, 5)),
+                 ("sh", RUNS.sub(r"\1", s.translate(CLASSES))[:24], place), ("form", min(6, int(len(t) / width * 4)), place, gap_up, gap_dn, min(3, (len(t) - len(t.lstrip())) // 2), "   " in s),
+                 ("ends", s[-1] if not s[-1].isalnum() else "a" if s[-1].isalpha() else "9", "l" if s[0].islower() else "u" if s[0].isupper() else "9" if s[0].isdigit() else s[0], s.isupper(), min(n_pages, 4), place),
+                 ("words", min(8, len(ws)), place, rep > 1)]
+            if number_key:
+                f.append(number_key)
+            f += [("w", w) for w in ws[:3]]
+            f += [("z", w) for w in ws[-2:]]
             out.append(f)
     return at, out
 
 
+def layout_names(key: tuple) -> list[str]:
+    """The named features behind a key of ``layout_keys``."""
+    what, *x = key
+    if what == "at":
+        top, low, place, share, share2, rep = x
+        a, b = ("none" if y is None else f"r{y}" for y in (share, share2))
+        return [f"top{top}", f"low{low}", f"top{top}low{low}", f"rep{a}", f"rep{a}{place}", f"repb{b}{place}", f"n{rep}{place}"]
+    if what == "sh":
+        return [f"sh={x[0]}", f"sh={x[0]}{x[1]}"]
+    if what == "form":
+        size, place, up, down, indent, wide = x
+        gap = f"gap{int(up)}{int(down)}"
+        return [f"len{size}", f"len{size}{place}", gap, gap + place, f"ind{indent}", f"wide{wide}"]
+    if what == "ends":
+        end, begin, upper, n, place = x
+        return [f"end{end}", f"beg{begin}", f"up{upper}", f"pages{n}{place}"]
+    if what == "words":
+        n, place, repeats = x
+        return [f"words{n}{place}"] + ([f"W={n > 0}{place}"] if repeats else [])
+    if what == "num":
+        d, place, short, same, share = x
+        short = "bare" if short else ""
+        return [f"num{d}", f"num{d}{place}{short}", f"diff{'same' if same else 'off'}"] + ([] if share is None else [f"nshare{share}{place}{short}"])
+    return [f"{what}={x[0]}"]
+
+
 def cut_forms(left: str, right: str) -> tuple[str, str, str, str, str] | None:
     """(mark, joined, hyphenated, left piece, right piece) for a line's last and the next body line's first word."""
     s, r = left.rstrip(), right.lstrip()
     mark = s[-1] if s[-1:] in MARKS and s[-1:] else ""
     core = s[:-1] if mark else s
-    a = LAST_PIECE.search(core)
+    a = LAST_PIECE.search(core.rsplit(None, 1)[-1]) if core and not core[-1].isspace() else None
     b = FIRST_PIECE.match(r)
     if not a or not b or not LETTER.search(a[0]) and not LETTER.search(b[0]):
         return None
@@ -170,22 +233,31 @@ def cut_forms(left: str, right: str) -> tuple[str, str, str, str, str] | None:
     return mark, x + y, f"{x}-{y}", x, y
 
 
-def break_features(c: tuple[str, str, str, str, str] | None, right: str, seen: dict[str, tuple[int, str | None, int]], style: dict[str, int]) -> list[str]:
+def break_keys(c: tuple[str, str, str, str, str] | None, here: str, right: str, seen: dict[str, tuple[int, str | None, int]], style: dict[str, int]) -> list[tuple]:
     if c is None:
-        return ["none"]
+        return [("none", here[-1:].isspace())]
     mark, joined, hyph, x, y = c
+
     def b(w: str) -> int:
-        n, v, m = seen.get(w, (0, None, 0))
-        return min(6, int(np.log2(n + 1))) if n else -1 if not v else -2
-    j, h, px, py = b(joined), b(hyph), b(x), b(y)
-    own = style.get(mark, 0)
-    m = mark or "0"
-    return [f"m{m}", f"m{m}j{j}", f"m{m}h{h}", f"j{j}h{h}m{bool(mark)}", f"m{m}x{px > 3}y{py > 3}j{j > 1}", f"x{px}m{bool(mark)}", f"y{py}m{bool(mark)}", f"j{j > 0}x{px > 0}y{py > 0}h{h > 0}m{bool(mark)}",
-            f"low{right.lstrip()[:1].islower()}m{bool(mark)}", f"st{min(4, own)}m{m}", f"len{min(4, len(x))}{min(4, len(y))}m{bool(mark)}j{j > 0}", f"tail{left_space(mark, right)}"]
+        n, v, _ = seen.get(w, (0, None, 0))
+        return min(6, (n + 1).bit_length() - 1) if n else -1 if not v else -2
 
+    j, px, py = b(joined), b(x), b(y)
+    return [("forms", mark, j, b(hyph), px, py), ("cut", mark, right.lstrip()[:1].islower(), min(4, style.get(mark, 0)), min(4, len(x)), min(4, len(y)), j > 0, right[:1].isspace(), here[-1:].isspace())]
 
-def left_space(mark: str, right: str) -> str:
-    return f"{mark}{right[:1].isspace()}"
+
+def break_names(key: tuple) -> list[str]:
+    """The named features behind a key of ``break_keys``."""
+    what, *v = key
+    if what == "none":
+        return ["none", f"sp{v[0]}m"]
+    if what == "forms":
+        mark, j, h, px, py = v
+        m, marked = mark or "0", f"m{bool(mark)}"
+        return [f"m{m}", f"m{m}j{j}", f"m{m}h{h}", f"j{j}h{h}{marked}", f"m{m}x{px > 3}y{py > 3}j{j > 1}", f"x{px}{marked}", f"y{py}{marked}", f"j{j > 0}x{px > 0}y{py > 0}h{h > 0}{marked}"]
+    mark, lower, style, left, right, known, indented, spaced = v
+    m, marked = mark or "0", f"m{bool(mark)}"
+    return [f"low{lower}{marked}", f"st{style}m{m}", f"len{left}{right}{marked}j{known}", f"tail{mark}{indented}", f"sp{spaced}m{mark}"]
 
 
 def one_step(w: str, pairs: list[tuple[str, str]] = MISREAD) -> set[str]:
@@ -222,17 +294,30 @@ def squash(s: str) -> str:
 
 
 def _distance(a: str, b: str, limit: int) -> int:
+    """Edits between two texts, by bit vectors of the columns; anything above ``limit`` may come out as ``limit + 1``."""
     if abs(len(a) - len(b)) > limit:
         return limit + 1
-    prev = list(range(len(b) + 1))
-    for i, ca in enumerate(a, 1):
-        cur = [i]
-        for j, cb in enumerate(b, 1):
-            cur.append(min(prev[j - 1] + (ca != cb), prev[j] + 1, cur[-1] + 1))
-        if min(cur) > limit:
-            return limit + 1
-        prev = cur
-    return prev[-1]
+    n = 0
+    for x, y in zip(a, b):
+        if x != y:
+            break
+        n += 1
+    a, b = a[n:], b[n:]
+    if not a or not b:
+        return max(len(a), len(b))
+    at: dict[str, int] = {}
+    for i, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << i
+    full, top, score = (1 << len(a)) - 1, 1 << len(a) - 1, len(a)
+    up, down = full, 0
+    for c in b:
+        eq = at.get(c, 0)
+        flat = (((eq & up) + up) ^ up) | eq
+        more, less = down | full & ~(flat | up), up & flat
+        score += bool(more & top) - bool(less & top)
+        more, less = more << 1 | 1, less << 1
+        up, down = (less | ~(eq | down | more)) & full, more & (eq | down) & full
+    return score
 
 
 def reviewed_labels(lines: list[tuple[int, int, str]], expected: list[str | None]) -> list[tuple[str, bool, bool, str]] | None:
@@ -287,16 +372,16 @@ def fit_running(rows: list[tuple[list, list]]) -> Chain | None:
         y = reviewed_labels(ls, exp)
         if y is None:
             continue
-        at, f = layout_features(ls)
+        at, f = layout_keys(ls)
         if f:
             seqs.append(f)
             gold.append([int(y[i][0] == "running") for i in at])
-    return Chain(("body", "running"), epochs=10).fit(seqs, gold) if seqs else None
+    return Chain(("body", "running"), layout_names, epochs=10).fit(seqs, gold) if seqs else None
 
 
 def bodies_of(reports: list[list[tuple[int, int, str]]], model: Chain | None) -> list[tuple[list[int], list[int]]]:
     """Positions of the body lines and of the running lines of each report; the reports are decoded side by side."""
-    made = [layout_features(ls) for ls in reports]
+    made = [layout_keys(ls) for ls in reports]
     if model is None:
         return [(at, []) for at, _ in made]
     return [([i for i, k in zip(at, y) if not k], [i for i, k in zip(at, y) if k]) for (at, _), y in zip(made, model.decode([f for _, f in made]))]
@@ -308,10 +393,10 @@ def looked_up(lines: list[tuple[int, int, str]], body: list[int]) -> tuple[dict[
     forms: set[str] = set()
     for k, i in enumerate(body):
         t = lines[i][2]
-        ws = words(t)
+        ws = _words(t)
         for w in ws[1:-1]:
             inner[w] = inner.get(w, 0) + 1
-        for m in HYPHENATED.findall(t):
+        for m in HYPHENATED.findall(t) if "-" in t else ():
             inner[m.lower()] = inner.get(m.lower(), 0) + 1
         for w in {*ws[:1], *ws[-1:]}:
             forms.add(w)
@@ -322,7 +407,7 @@ def looked_up(lines: list[tuple[int, int, str]], body: list[int]) -> tuple[dict[
     return inner, forms
 
 
-def break_sequence(lines, body, seen) -> list[list[str]]:
+def break_sequence(lines, body, seen) -> list[list[tuple]]:
     cuts = [cut_forms(lines[i][2], lines[body[k + 1]][2]) if k + 1 < len(body) else None for k, i in enumerate(body)]
     style: dict[str, int] = {}
     for c in cuts:
@@ -330,7 +415,7 @@ def break_sequence(lines, body, seen) -> list[list[str]]:
             style[c[0]] = style.get(c[0], 0) + 1
         elif c and not c[0] and seen.get(c[1], (0, None, 0))[0] > 2 and seen.get(c[3], (0, None, 0))[0] == 0:
             style[""] = style.get("", 0) + 1
-    return [break_features(c, lines[body[k + 1]][2] if k + 1 < len(body) else "", seen, style) + [f"sp{lines[i][2][-1:].isspace()}m{c[0] if c else ''}"] for k, (i, c) in enumerate(zip(body, cuts))]
+    return [break_keys(c, lines[i][2], lines[body[k + 1]][2] if k + 1 < len(body) else "", seen, style) for k, (i, c) in enumerate(zip(body, cuts))]
 
 
 def is_misread(seen: dict[str, tuple[int, str | None, int]], w: str) -> str | None:
@@ -362,8 +447,8 @@ def findings(lines, body, running, broken: list[bool], seen) -> tuple[list[tuple
     for k, i in enumerate(body):
         t = lines[i][2]
         low = t.lower().replace("!", "|")
-        ws = words(t) if broken[k] or any(w.replace("!", "|") in low for w in wrong) else []
-        for j, w in enumerate(ws):
+        ws = _words(t) if broken[k] or len(wrong) > 8 or any(w.replace("!", "|") in low for w in wrong) else ()
+        for j, w in enumerate(() if wrong.keys().isdisjoint(ws) else ws):
             if j == len(ws) - 1 and broken[k] or j == 0 and k and broken[k - 1]:
                 continue
             v = wrong.get(w)
@@ -498,12 +583,12 @@ def judge(reports: DataFrame, *, id_col: str = "id", raw: str = "raw_pages", exp
         model = shared.value
         for b in batches:
             cols: list[list] = [[], [], [], [], []]
-            reports = [report_lines(pages) for pages in b.column(2).to_pylist()]
-            found = [x for a in range(0, len(reports), TOGETHER) for x in bodies_of(reports[a:a + TOGETHER], model)]
-            for ls, (body, running) in zip(reports, found):
-                inner, forms = looked_up(ls, body)
-                for c, x in zip(cols, (body, running, list(inner), list(inner.values()), sorted(forms))):
-                    c.append(x)
+            for a in range(0, b.num_rows, TOGETHER):
+                reports = [report_lines(pages) for pages in b.column(2).slice(a, TOGETHER).to_pylist()]
+                for ls, (body, running) in zip(reports, bodies_of(reports, model)):
+                    inner, forms = looked_up(ls, body)
+                    for c, x in zip(cols, (body, running, list(inner), list(inner.values()), sorted(forms))):
+                        c.append(x)
             kinds = (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *(pa.array(c, pa.list_(k)) for c, k in zip(cols, kinds))], ["id", "h", "raw", "body", "running", "words", "counts", "forms"])
 
@@ -544,7 +629,8 @@ def judge(reports: DataFrame, *, id_col: str = "id", raw: str = "raw_pages", exp
     back = (lines.select("id", "h", F.explode("words").alias("form")).join(suspects, "form")
             .unionByName(lines.select("id", "h", F.explode("forms").alias("form")).join(known, "form"))
             .groupBy("id", "h").agg(F.collect_set(F.struct("form", "n", "variant", "vn")).alias("seen")))
-    ready = cut(lines.select("id", "h", "raw", "body", "running").join(back, ["id", "h"], "left"))
+    # The verdicts are written, not the texts beside them again.
+    ready = lines.select("id", "h", "raw", "body", "running").join(cut(back), ["id", "h"], "left")
 
     picked = {(r["id"], r["h"]): r["exp"] for r in sample}
     keys = spark.createDataFrame(list(picked) or [("", 0)], "id string, h bigint")
@@ -560,7 +646,7 @@ def judge(reports: DataFrame, *, id_col: str = "id", raw: str = "raw_pages", exp
         if repair:
             begin.append(start_features(ls, r["body"]))
             begun.append([STARTS.index(y[i][3]) for i in r["body"]])
-    breaks = Chain(("whole", "break"), epochs=10).fit(seqs, gold) if seqs else None
+    breaks = Chain(("whole", "break"), break_names, epochs=10).fit(seqs, gold) if seqs else None
     starts = Chain(STARTS, epochs=10).fit(begin, begun) if begin else None
     learned = spark.sparkContext.broadcast((breaks, starts))
 

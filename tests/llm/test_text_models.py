@@ -55,7 +55,7 @@ def test_main_content_on_held_out_pages():
     tp = fp = fn = 0
     for r in rows[1::2]:
         ps = M.paragraphs(r["raw_content"])
-        for a, b in zip(M.reviewed_labels(ps, r["expected_content"]), model.decode([M.page_features(ps)])[0] if ps else []):
+        for a, b in zip(M.reviewed_labels(ps, r["expected_content"]), M.Labeller(model).labels([ps])[0] if ps else []):
             tp, fp, fn = tp + (not a and not b), fp + (a and not b), fn + (not a and b)
     assert tp / (tp + fp) > 0.985 and tp / (tp + fn) > 0.985
 
@@ -75,11 +75,13 @@ def test_words_in_the_middle_of_a_paragraph_count():
     rng = random.Random(3)
     words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(60)]
     par = lambda mark: " ".join([*words[:30], *mark, *words[30:]])
-    f = M.page_features([par(["cookie", "policy"])])[0]
+    f = [n for k in M.page_keys([par(["cookie", "policy"])])[0] for n in M.expand(k)]
     assert "w=cookie" in f and "b=cookie policy" in f
     pages = [([par(["plain", "text"]), par(["cookie", "policy"])], [1, 0]) if k % 2 else ([par(["cookie", "policy"]), par(["plain", "text"])], [0, 1]) for k in range(120)]
     rows = [("\n\n".join(ps), ps[y.index(1)]) for ps, y in pages]
-    got = M.fit(rows[:80]).decode([M.page_features(ps) for ps, _ in pages[80:]])
+    model = M.fit(rows[:80])
+    got = M.Labeller(model).labels([ps for ps, _ in pages[80:]])
+    assert [list(x) for x in got] == [list(x) for x in model.decode([M.page_keys(ps) for ps, _ in pages[80:]])]
     assert np.mean([list(g) == y for g, (_, y) in zip(got, pages[80:])]) == 1
 
 
@@ -117,13 +119,43 @@ def deep_report(seed):
 
 
 def test_running_lines_deep_in_the_page():
-    f = S.layout_features(S.report_lines(deep_report(1)[0]))[1]
-    assert "repr4" in f[7] and f[6][0] == "far"
+    f = [[n for k in keys for n in S.layout_names(k)] for keys in S.layout_keys(S.report_lines(deep_report(1)[0]))[1]]
+    assert "repr4" in f[7] and "repnone" in f[6] and any(x.startswith("w=") for x in f[6])  # lines inside a page are read as those at its edges
     model = S.fit_running([deep_report(k)[:2] for k in range(2, 22)])
     ls = S.report_lines(deep_report(1)[0])
     assert [ls[i][:2] for i in S.bodies_of([ls], model)[0][1]] == deep_report(1)[2]
 
 
+def test_edits_and_repeated_lines():
+    def plain(a, b):
+        prev = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            cur = [i]
+            for j, y in enumerate(b, 1):
+                cur.append(min(prev[j - 1] + (x != y), prev[j] + 1, cur[-1] + 1))
+            prev = cur
+        return prev[-1]
+
+    rng = random.Random(4)
+    often: dict[int, list[str]] = {}
+    for _ in range(30):
+        g = "".join(rng.choice("abcd 9") for _ in range(rng.randrange(6, 40)))
+        often.setdefault(len(g), []).append(g)
+    all_often = [g for n in sorted(often) for g in often[n]]
+    for _ in range(400):
+        g = list(rng.choice(all_often))
+        for _ in range(rng.randrange(0, 8)):
+            k = rng.randrange(len(g))
+            g[k:k + rng.randrange(2)] = rng.choice(["", "a", "9", "xy"])
+            g = g or ["a"]
+        g = "".join(g)
+        o = rng.choice(all_often)
+        n = plain(g, o)
+        assert min(S._distance(g, o, 100), 101) == min(n, 101) and (S._distance(g, o, 3) > 3) == (n > 3)
+        near = [o for o in all_often if abs(len(o) - len(g)) <= 2 and plain(g, o) <= max(1, len(g) // 6)]
+        assert S._repeated(g, often) == (near[0] if near else g)
+
+
 @tables
 def test_scanned_pages_on_held_out_reports(spark):
     src = spark.read.parquet(f"{D}/dora_regression_cases.parquet")
