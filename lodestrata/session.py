@@ -3,17 +3,22 @@
 from __future__ import annotations
 
 import atexit
+import functools
 import os
 import shutil
+import subprocess
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_LIMIT_BYTES = 32 * 1024 * 1024
 _OWN_DIR: dict[str, str] = {}
+_KEPT_CLEAN: set[str] = set()
+_SCOPES: list[list[DataFrame]] = []
 _SHIPPED: set[str] = set()
 
 
@@ -35,23 +40,72 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _OWN_DIR[app]
 
 
+def app_dir(spark: SparkSession) -> str:
+    """This application's own folder inside the shared one; other applications' folders are never touched.
+
+    It is deleted through the file system of its scheme when the driver ends: by Python at its exit, else by the JVM.
+    """
+    sc = spark.sparkContext
+    path = f"{shared_dir(spark)}/lodestrata/{sc.applicationId}"
+    if path not in _KEPT_CLEAN:
+        p = sc._jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(sc._jsc.hadoopConfiguration())
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
+        atexit.register(_delete, fs, p)
+        _KEPT_CLEAN.add(path)
+    return path
+
+
+def _delete(fs, path) -> None:
+    try:
+        fs.delete(path, True)
+    except Exception:  # the JVM may be gone, and deletes the folder itself then
+        pass
+
+
 def cut(df: DataFrame, *, codec: str = "zstd", counted: Column | None = None) -> DataFrame:
-    """Write ``df`` once as a parquet table in the shared folder and return a scan of it.
+    """Write ``df`` once as a parquet table in the application's shared folder and return a scan of it.
 
     The returned frame has no lineage beyond the files, so lost executors recompute nothing, and nondeterministic
-    numbering in ``df`` is frozen. ``rows`` of it gives the number of rows (those where ``counted`` holds) without a job. The table is dropped by ``release`` or when the session's process ends.
+    numbering in ``df`` is frozen. ``rows`` of it gives the number of rows (those where ``counted`` holds) without a job.
+    The table is dropped by ``release``, at the end of a ``scoped`` function, or when the driver ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lodestrata/{uuid.uuid4().hex}"
+    path = f"{app_dir(spark)}/{uuid.uuid4().hex}"
     seen = Observation()
     df.observe(seen, (F.count(F.lit(1)) if counted is None else F.count_if(counted)).alias("n")).write.option("compression", codec).parquet(path)
-    if path.startswith("file:"):
-        atexit.register(shutil.rmtree, path[len("file://"):] if path.startswith("file://") else path[5:], ignore_errors=True)
     out = spark.read.schema(df.schema).parquet(path)
     out._lodestrata_path, out._lodestrata_rows = path, seen
+    if _SCOPES:
+        _SCOPES[-1].append(out)
     return out
 
 
+def scoped(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """For functions that return a frame made by ``cut``: the other tables they wrote are dropped when they are done.
+
+    A frame of another kind may still read those tables; then the function around it, or the driver's end, drops them.
+    """
+
+    @functools.wraps(f)
+    def run(*args, **kwargs) -> DataFrame:
+        _SCOPES.append([])
+        try:
+            out = f(*args, **kwargs)
+        finally:
+            made = _SCOPES.pop()
+        path = getattr(out, "_lodestrata_path", None)
+        if path:
+            release(*(x for x in made if x._lodestrata_path != path))
+            made = [out]
+        if _SCOPES:
+            _SCOPES[-1].extend(made)
+        return out
+
+    return run
+
+
 def rows(df: DataFrame) -> int:
     """The number of rows; of a frame made by ``cut`` it was counted while writing."""
     seen = getattr(df, "_lodestrata_rows", None)
@@ -71,8 +125,8 @@ def release(*frames: DataFrame | None) -> None:
 
 
 def sweep(spark: SparkSession) -> None:
-    """Delete every table that ``cut`` has left in the shared folder; frames that still read one can't be used afterwards."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/lodestrata")
+    """Delete every table that this application's ``cut`` has left; frames that still read one can't be used afterwards."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(app_dir(spark))
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
@@ -110,3 +164,13 @@ def ship(spark: SparkSession) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+
+
+def runtime_identity(spark: SparkSession) -> DataFrame:
+    """C17: one row: the package's version and place, Spark's version, the application, and the commit if the package lies in a repository."""
+    import lodestrata
+
+    at = os.path.dirname(os.path.abspath(lodestrata.__file__))
+    done = subprocess.run(["git", "-C", at, "rev-parse", "HEAD"], capture_output=True, text=True, check=False)
+    row = (getattr(lodestrata, "__version__", "0"), at, spark.version, spark.sparkContext.applicationId, done.stdout.strip() or None if done.returncode == 0 else None)
+    return spark.createDataFrame([row], "version string, place string, spark string, application string, commit string")
