@@ -4,7 +4,8 @@ Everything runs on (parent, child) link frames in O(log depth) join rounds; no s
 
 * ``cyclic_links`` separates cycles. Nodes with one parent are contracted into the nearest ancestor with another number
   of parents by pointer doubling; what remains is a much smaller graph between nodes of several parents, which is
-  contracted again with its links turned round, and so on. Results are carried back down the levels.
+  contracted again with its links turned round, and so on. Results are carried back down the levels. What contraction does not
+  shrink goes by reachability over jumps of doubling length (``_cyclic_by_colour``).
 * ``hierarchy`` then labels the forest by heavy-path decomposition: subtree sizes (doubling sums), the heavy child of
   each node, chains; a path is the concatenation of chain segments, and preorder numbers that run down each chain first
   make the descendants of a node one interval of numbers.
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.session import cut, release
+from lodestrata.session import cut, release, scoped
 from lodestrata.session import rows as _rows
 
 
@@ -85,47 +86,64 @@ def _on_pure_cycles(left: DataFrame) -> DataFrame:
     return image
 
 
-def _cyclic_by_colour(edges: DataFrame) -> DataFrame:
-    """Exact fallback for graphs in which every node has several parents and several children.
+@scoped
+def _cyclic_by_colour(edges: DataFrame, *, growth: int = 4) -> DataFrame:
+    """The links ``(src, dst)`` on cycles of a graph that contraction does not shrink; links from a node to itself are left out.
 
-    Spreads the greatest id forward until nothing changes, then walks back from the colour's own node inside the colour:
-    what is met is one strongly connected component. Repeats on the links that remain.
+    Jumps of 1, 2, 4, ... links are joined from shorter ones, as long as a length has at most ``growth`` times as many jumps
+    as there are links. In each turn every node learns the highest-ranked node that reaches it and the highest-ranked one it
+    reaches (one pass from the longest jumps to the shortest; more passes only if long jumps were given up). Both ends of a
+    link on a cycle learn the same two, so other links go; where the two are one node, its component is found. Ranks are
+    hashes drawn anew each turn: the parts shrink geometrically, whatever the shape of the graph.
     """
-    rest, out = edges, None
+    step = cut(edges.where("src <> dst").select("src", "dst").distinct().withColumn("k", F.lit(0)))
+    n = _rows(step)
+    if not n:
+        return cut(step.select("src", "dst"))
+    levels, whole = [step], False
     while True:
-        nodes = rest.select(F.col("src").alias("v")).union(rest.select("dst")).distinct()
-        colour = cut(nodes.withColumn("c", F.col("v")))
-        while True:
-            heard = rest.join(colour, rest.src == colour.v).groupBy("dst").agg(F.max("c").alias("h"))
-            nxt = cut(colour.join(heard, colour.v == heard.dst, "left")
-                      .select("v", F.greatest("c", "h").alias("c"), (F.col("h") > F.col("c")).alias("moved")))
-            moved = nxt.where("moved").limit(1).count()
-            release(colour)
-            colour = nxt.select("v", "c")
-            if not moved:
-                break
-        inside = cut(rest.join(colour.select(F.col("v").alias("src"), F.col("c").alias("cs")), "src")
-                     .join(colour.select(F.col("v").alias("dst"), F.col("c").alias("cd")), "dst")
-                     .where("cs = cd").select("src", "dst", F.col("cs").alias("c")))
-        met = cut(colour.where("v = c").select("v"))
-        n = _rows(met)
+        y = step.select(F.col("src").alias("via"), F.col("dst").alias("far"))
+        step = cut(step.join(y, F.col("dst") == F.col("via")).where("src <> far").select("src", F.col("far").alias("dst")).distinct().withColumn("k", F.lit(len(levels))))
+        m = _rows(step)
+        whole = m == 0 or 2 ** len(levels) > n
+        if whole or m > growth * n:
+            break
+        levels.append(step)
+    jumps = levels[0]
+    for x in levels[1:]:
+        jumps = jumps.unionByName(x)
+    found, turn, ks = None, 0, range(len(levels))
+    while True:
+        v = F.col("v")
+        rank = F.struct(F.xxhash64(F.lit(turn), v).alias("h"), v.alias("v"))
+        ends = jumps.where("k = 0")
+        label = cut(ends.select(F.col("src").alias("v")).union(ends.select("dst")).distinct().select("v", rank.alias("f"), rank.alias("b"), F.lit(True).alias("moved")))
+        none = F.lit(None).cast(label.schema["f"].dataType)
         while True:
-            back = inside.join(met.select(F.col("v").alias("dst")), "dst", "left_semi").select(F.col("src").alias("v"))
-            nxt = cut(met.union(back).distinct())
-            m = _rows(nxt)
-            met = nxt
-            if m == n:
+            moved = 0
+            for k in sorted(ks, reverse=True):
+                hop = jumps.where(F.col("k") == k)
+                told = (hop.join(label, F.col("src") == v).select(F.col("dst").alias("to"), F.col("f").alias("nf"), none.alias("nb"))
+                        .unionByName(hop.join(label, F.col("dst") == v).select(F.col("src").alias("to"), none.alias("nf"), F.col("b").alias("nb")))
+                        .groupBy("to").agg(F.max("nf").alias("nf"), F.max("nb").alias("nb")))
+                last, label = label, cut(label.join(told, v == F.col("to"), "left").select(
+                    "v", F.greatest("f", "nf").alias("f"), F.greatest("b", "nb").alias("b"), (F.coalesce(F.col("nf") > F.col("f"), F.lit(False)) | F.coalesce(F.col("nb") > F.col("b"), F.lit(False))).alias("moved")), counted=F.col("moved"))
+                release(last)
+                moved += _rows(label)
+            if whole or not moved:
                 break
-            n = m
-        found = cut(inside.join(met.select(F.col("v").alias("src")), "src", "left_semi")
-                    .join(met.select(F.col("v").alias("dst")), "dst", "left_semi").select("src", "dst"))
-        out = found if out is None else out.unionByName(found)
-        rest = cut(inside.join(met.select(F.col("v").alias("src")), "src", "left_anti")
-                   .join(met.select(F.col("v").alias("dst")), "dst", "left_anti").select("src", "dst"))
-        if not _rows(rest):
-            return out
-
-
+        a, b = (label.select(v.alias(end), F.col("f").alias(f"f_{end}"), F.col("b").alias(f"b_{end}")) for end in ("src", "dst"))
+        jumps = cut(jumps.join(a, "src").join(b, "dst").where("f_src = f_dst AND b_src = b_dst").select("k", "src", "dst", (F.col("f_src") == F.col("b_src")).alias("closed")))
+        here = jumps.where("k = 0 AND closed").select("src", "dst")
+        found = here if found is None else found.unionByName(here)
+        jumps = jumps.where("NOT closed").select("k", "src", "dst")
+        ks = [r["k"] for r in jumps.select("k").distinct().collect()]  # at most one row a power of two
+        if 0 not in ks:
+            return cut(found)
+        turn += 1
+
+
+@scoped
 def cyclic_links(links: DataFrame, *, src: str = "parent", dst: str = "child", _stuck: int = 0) -> DataFrame:
     """The links that lie on a cycle, a link from a node to itself included; columns ``src`` and ``dst``.
 
@@ -137,7 +155,7 @@ def cyclic_links(links: DataFrame, *, src: str = "parent", dst: str = "child", _
     plain = edges.where("src <> dst")
     parents = cut(plain.groupBy("dst").agg(F.count(F.lit(1)).alias("n"), F.min("src").alias("p")))
     if not _rows(parents):
-        return loops
+        return cut(loops)
     single = parents.where("n = 1").select(F.col("dst").alias("v"), "p")
     heads = parents.where("n > 1").select(F.col("dst").alias("head"))
     jumps, settled, left = _jump_tables(single)
@@ -151,11 +169,12 @@ def cyclic_links(links: DataFrame, *, src: str = "parent", dst: str = "child", _
     pairs = cut(between.where("top <> dst").select(F.col("top").alias("a"), F.col("dst").alias("b")).distinct())
     n, before = _rows(pairs), _rows(edges)
     if n:
-        if n >= before and _stuck >= 1:
+        small = 4 * n <= 3 * before  # contraction has to pay, or its levels would be as many as the graph is long
+        if not small and _stuck >= 1:
             inner = _cyclic_by_colour(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")))
             inner = inner.select(F.col("src").alias("a"), F.col("dst").alias("b"))
         else:
-            turned = cyclic_links(pairs, src="b", dst="a", _stuck=_stuck + 1 if n >= before else 0)
+            turned = cyclic_links(pairs, src="b", dst="a", _stuck=0 if small else _stuck + 1)
             inner = turned.select(F.col("dst").alias("a"), F.col("src").alias("b"))
         closed = between.join(inner.select(F.col("a").alias("top"), F.col("b").alias("dst")), ["top", "dst"], "left_semi").select("src", "dst", "top")
     else:
@@ -179,7 +198,7 @@ def cycle_members(links: DataFrame) -> DataFrame:
 
 
 def _climb(nodes: DataFrame, weight: Column | None, join_weights) -> DataFrame:
-    """Doubling over ``nodes(v, p, w, size)``: (v, top, dist, acc, size) with acc the weights from below the top to v.
+    """Doubling over ``nodes(v, p, w, size)``: (v, top, dist, acc, act, size) with acc the weights from below the top to v.
 
     ``join_weights(upper, lower)`` must be associative. ``size`` becomes the sum of ``size`` over the subtree of v.
     """
@@ -195,7 +214,7 @@ def _climb(nodes: DataFrame, weight: Column | None, join_weights) -> DataFrame:
                   .select("v", "top", "dist", "acc", "act", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size")), counted=F.col("act"))
         release(state)
         state = nxt
-    return state.select("v", "top", "dist", "acc", "size")
+    return state
 
 
 def running_offsets(df: DataFrame, key: str, order: str | list[str], value: str, out: str) -> DataFrame:
@@ -239,18 +258,22 @@ def hierarchy(current: DataFrame) -> DataFrame:
 def _numbered(forest: DataFrame) -> DataFrame:
     """The columns of ``hierarchy`` but ``on_cycle``, from a forest ``(v, p)`` with one row a node and p null at the roots."""
     tops = _climb(forest.withColumn("size", F.lit(1).cast("bigint")), F.lit(0), lambda a, b: a + b)
-    tree = cut(forest.join(tops.select("v", F.col("top").alias("root"), F.col("dist").alias("depth"), "size"), "v"))
+    tree = first = cut(forest.join(tops.select("v", F.col("top").alias("root"), F.col("dist").alias("depth"), "size"), "v"))
+    release(tops)
     best = tree.where("p IS NOT NULL").groupBy("p").agg(F.min(F.struct((-F.col("size")).alias("s"), "v")).alias("b"))
     heavy = best.select(F.col("b.v").alias("hv"), F.lit(True).alias("is_heavy"))
     tree = cut(tree.join(heavy, F.col("v") == F.col("hv"), "left").select("v", "p", "root", "depth", "size", F.coalesce("is_heavy", F.lit(False)).alias("is_heavy")))
+    release(first)
 
     # Chains: climb along heavy links only.
     chain = _climb(tree.select("v", F.when(F.col("is_heavy"), F.col("p")).alias("p"), F.lit(0).cast("bigint").alias("size")), F.lit(0), lambda a, b: a + b)
-    tree = cut(tree.join(chain.select("v", F.col("top").alias("head"), F.col("dist").alias("pos")), "v"))
+    second, tree = tree, cut(tree.join(chain.select("v", F.col("top").alias("head"), F.col("dist").alias("pos")), "v"))
+    release(second, chain)
+    best = tree.where("p IS NOT NULL").groupBy("p").agg(F.min((-F.col("size"))).alias("s"))
     # Light children come after the heavy child's whole subtree, in the order of their ids.
     light = tree.where("p IS NOT NULL AND NOT is_heavy").select("v", "p", "size")
     offs = running_offsets(light, "p", "v", "size", "off").select("v", "off")
-    heavy_size = best.select(F.col("p").alias("hp"), (-F.col("b.s")).alias("hsize"))
+    heavy_size = best.select(F.col("p").alias("hp"), (-F.col("s")).alias("hsize"))
     place = tree.select(F.col("v").alias("pv"), F.col("head").alias("phead"), F.col("pos").alias("ppos"))
     heads = (tree.where("v = head").select("v", "p")
              .join(offs, "v", "left").join(heavy_size, F.col("p") == F.col("hp"), "left").join(place, F.col("p") == F.col("pv"), "left")

@@ -117,3 +117,30 @@ def test_running_offsets_with_a_hot_and_a_null_key(spark):
     df = spark.createDataFrame(rows, "k string, o int, v int")
     got = {(r["k"], r["o"]): r["off"] for r in H.running_offsets(df, "k", "o", "v", "off").collect()}
     assert got["hot", 499] == 499 and got["hot", 0] == 0 and got["b", 3] == 2 and got[None, 2] == 4 and len(got) == 504
+
+
+def ladder(n, ring, rng):
+    ids = [f"n{x}" for x in rng.sample(range(10**6), 2 * n)]
+    return [(ids[2 * i + a], ids[2 * ((i + 1) % n) + b]) for i in range(n if ring else n - 1) for a in (0, 1) for b in (0, 1)]
+
+
+def test_ladders_take_few_tables(spark, monkeypatch):
+    """Every node has two parents and two children, so contraction ends nowhere; the tables written grow with the square of the logarithm at most."""
+    made, cut = [], H.cut
+    monkeypatch.setattr(H, "cut", lambda *a, **k: made.append(1) or cut(*a, **k))
+    for n in (8, 200):
+        for ring in (False, True):
+            made.clear()
+            links = ladder(n, ring, random.Random(n))
+            got = {tuple(r) for r in H.cyclic_links(spark.createDataFrame(links, "parent string, child string")).collect()}
+            assert got == (set(links) if ring else set())
+            assert len(made) <= 20 + 3 * n.bit_length() ** 2, (n, ring, len(made))
+
+
+def test_jumps_that_are_given_up(spark):
+    """Layers in which jumps multiply: the long jumps are dropped, and the passes go on until nothing moves."""
+    rng = random.Random(9)
+    links = {(f"{i}.{a}", f"{i + 1}.{rng.randrange(6)}") for i in range(12) for a in range(6) for _ in range(3)} | {("12.0", "5.1"), ("3.2", "0.0")}
+    r = reach(links)
+    found = H._cyclic_by_colour(spark.createDataFrame(sorted(links), "src string, dst string"), growth=1)
+    assert {tuple(x) for x in found.collect()} == {(a, b) for a, b in links if a in r.get(b, ())}
