@@ -1,20 +1,21 @@
 """What changed between consecutive full snapshots of keyed records.
 
-Keys get ordinals inside hash buckets, which persist if the caller stores them (``key_ordinals``, ``known``); a snapshot of a bucket is a set of 64-bit words (only words with a
-member exist, which is the compression) plus, for each word, value vectors aligned with the word's set bits. AND-NOT of
-two snapshots' words gives additions and removals, AND gives the common keys, whose aligned vectors are compared.
-One shuffle of the records; everything after it stays inside the bucket.
+Keys get ordinals inside hash buckets, kept from run to run in a dictionary (``extend_dictionary``); a snapshot of a bucket is
+a set of 64-bit words (only words with a member exist, which is the compression), each with the value vectors aligned with
+its set bits. AND-NOT of two consecutive snapshots' words gives additions and removals, AND gives the common keys, whose
+aligned vectors are compared. The records are shuffled to their latest versions and then to their buckets; everything
+behind that stays inside the bucket.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from lodestrata.session import broadcast_if_small
+from lodestrata.session import broadcast_if_small, cut, plan_bytes
 
-ROWS_PER_BUCKET = 200_000
+BUCKET_BYTES = 32 << 20
 
 
 def normal_hash(c: str | Column) -> Column:
@@ -46,50 +47,108 @@ def _bits(word: Column, test) -> Column:
     return F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: (F.call_function("shiftrightunsigned", word, i).bitwiseAND(F.lit(1).cast("bigint")) != 0) & test(i))
 
 
+def packed(c: str | Column) -> Column:
+    """A text as bytes that are equal exactly when the texts are: pairs of lower-case hex digits take a byte each."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.when(c.rlike(r"^(?:[0-9a-f]{2})+\z"), F.concat(F.lit(bytearray(b"\x01")), F.unhex(c))).otherwise(F.concat(F.lit(bytearray(b"\x00")), F.encode(c, "UTF-8")))
+
+
+DICTIONARY = "bucket int, grp string, key string, ordinal bigint, buckets int"
+
+
+def stored_dictionary(spark: SparkSession, path: str | None) -> DataFrame | None:
+    """The dictionary of ordinals kept below ``path`` (``bucket, grp, key, ordinal, buckets``), None if there is none yet."""
+    if path is None:
+        return None
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+        return None
+    return spark.read.schema(DICTIONARY).parquet(path)
+
+
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("grp", "key"), F.lit(buckets)).cast("int")
+
+
+def extend_dictionary(keys: DataFrame, path: str, buckets: int) -> tuple[DataFrame, int]:
+    """The dictionary below ``path`` with the new ones of ``(grp, key)`` appended, and its number of buckets; one writer at a time.
+
+    The number of buckets is set by the first run and kept, so a key's bucket never changes; known keys keep their ordinals, new
+    ones are numbered behind the highest of their bucket, in order. Nulls are no keys; repeated keys count once.
+    """
+    spark = keys.sparkSession
+    known = stored_dictionary(spark, path)
+    first = known.select("buckets").head() if known is not None else None
+    buckets = first["buckets"] if first else buckets
+    all_keys = keys.where("grp IS NOT NULL AND key IS NOT NULL").select("grp", "key", F.lit(None).cast("bigint").alias("ordinal"))
+    if known is not None:
+        all_keys = all_keys.unionByName(known.select("grp", "key", "ordinal"))
+    one = all_keys.groupBy(_bucket(buckets).alias("bucket"), "grp", "key").agg(F.max("ordinal").alias("ordinal"))
+    bucket = Window.partitionBy("bucket")
+    new = one.withColumn("top", F.max("ordinal").over(bucket)).where("ordinal IS NULL").withColumn("ordinal", F.coalesce(F.col("top") + 1, F.lit(0)) + F.row_number().over(bucket.orderBy("grp", "key")) - 1)
+    new = new.select("bucket", "grp", "key", "ordinal", F.lit(buckets).alias("buckets"))
+    if known is not None:
+        new = cut(new)  # what is appended must not be read from where it is appended to
+    new.write.mode("append").parquet(path)
+    return stored_dictionary(spark, path), buckets
+
+
 def snapshot_changes(rows: DataFrame, delivered: DataFrame, *, grp: str, snap: str, key: str, loaded: str, values: dict[str, Column],
-                     known: DataFrame | None = None) -> DataFrame:
+                     known: DataFrame | None = None, dictionary: str | None = None) -> DataFrame:
     """Records added, removed or changed between each delivered snapshot and the delivered one with the next lower number.
 
     ``rows`` holds full contents, ``delivered`` says which (grp, snap) exist; a delivered one without rows is empty, rows
     of one that was not delivered don't count, a first snapshot gives nothing. Per (grp, snap, key) the row with the
     latest ``loaded`` counts (null is earliest; ties by the greatest values). ``values`` are compared null-safely. Rows
     with a null in grp, snap or key are no records. Repeated rows, extra columns and empty tables are harmless.
-    Returns (grp, snap, key, change) under the names given.
+    ``dictionary`` names a folder in which the keys' ordinals are kept from run to run (``extend_dictionary``), ``known`` is
+    such a dictionary as a frame; without either the ordinals last one run. The result is the same.
+    Returns (grp, snap, key, change) under the names given. Work and memory grow with the records of each snapshot: a
+    word of a snapshot is one row and meets the same word of the snapshot before it only.
     """
     spark = rows.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // ROWS_PER_BUCKET))
+    size = plan_bytes(rows)
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES) if size < 1 << 54 else 0)  # beyond that Catalyst doesn't know the size
     names = list(values)
     src = rows.select(F.col(grp).alias("grp"), F.col(snap).alias("snap"), F.col(key).alias("key"), F.col(loaded).alias("ld"),
                       F.struct(*[values[v].alias(v) for v in names]).alias("val")).where("grp IS NOT NULL AND snap IS NOT NULL AND key IS NOT NULL")
-    bucket = F.pmod(F.xxhash64("grp", "key"), F.lit(n)).cast("int")
-    latest = (src.groupBy(bucket.alias("bucket"), "grp", "key", "snap").agg(F.max(F.struct(F.col("ld").isNotNull().alias("h"), "ld", "val")).alias("m"))
+    if dictionary is not None:
+        stored, n = extend_dictionary(src, dictionary, n)
+    latest = (src.groupBy(_bucket(n).alias("bucket"), "grp", "key", "snap").agg(F.max(F.struct(F.col("ld").isNotNull().alias("h"), "ld", "val")).alias("m"))
               .select("bucket", "grp", "key", "snap", F.col("m.val").alias("val")))
-    if known is None:  # the dictionary is made where the rows lie
-        latest = latest.repartition("bucket").withColumn("ordinal", F.dense_rank().over(Window.partitionBy("bucket").orderBy("grp", "key")) - 1)
-    else:
+    if dictionary is not None:  # the stored ordinals go to the buckets with the records, and meet them there
+        none = lambda c: F.lit(None).cast(latest.schema[c].dataType).alias(c)
+        both = latest.withColumn("ordinal", F.lit(None).cast("bigint")).unionByName(stored.select("bucket", "grp", "key", none("snap"), none("val"), "ordinal"))
+        latest = both.repartition("bucket").withColumn("ordinal", F.max("ordinal").over(Window.partitionBy("bucket", "grp", "key"))).where("snap IS NOT NULL")
+    elif known is not None:
         latest = latest.drop("bucket").join(key_ordinals(latest, known), ["grp", "key"])
+    else:  # the dictionary is made where the rows lie
+        latest = latest.repartition("bucket").withColumn("ordinal", F.dense_rank().over(Window.partitionBy("bucket").orderBy("grp", "key")) - 1)
     word, bit = F.floor(F.col("ordinal") / 64), F.col("ordinal") % 64
     words = (latest.groupBy("bucket", "grp", word.alias("word"), "snap")
              .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit.cast("int"))).alias("bits"),
-                  F.array_sort(F.collect_list(F.struct(bit.cast("int").alias("bit"), "key", "val"))).alias("vec"))
-             .groupBy("bucket", "grp", "word").agg(F.map_from_entries(F.collect_list(F.struct("snap", F.struct("bits", "vec")))).alias("by_snap")))
+                  F.array_sort(F.collect_list(F.struct(bit.cast("int").alias("bit"), "key", "val"))).alias("vec")))
 
-    seq = (delivered.select(F.col(grp).alias("grp"), F.col(snap).alias("snap")).where("grp IS NOT NULL AND snap IS NOT NULL")
-           .groupBy("grp").agg(F.array_sort(F.collect_set("snap")).alias("seq")).where("size(seq) > 1"))
+    # Every delivered snapshot with the numbers of the ones before and behind it.
+    turn = Window.partitionBy("grp").orderBy("snap")
+    seq = (delivered.select(F.col(grp).alias("grp"), F.col(snap).alias("snap")).where("grp IS NOT NULL AND snap IS NOT NULL").distinct()
+           .select("grp", "snap", F.lag("snap").over(turn).alias("before"), F.lead("snap").over(turn).alias("behind")))
     small = broadcast_if_small(delivered)
     if small is not None:
-        paired = words.join(F.broadcast(seq), "grp")
-    else:  # a group may hold a large share of the words: spread each over salts
+        placed = words.join(F.broadcast(seq), ["grp", "snap"])
+    else:  # one snapshot may hold a large share of the words: spread each over salts
         salts = 64
-        paired = (words.withColumn("salt", F.pmod(F.hash("bucket", "word"), F.lit(salts)))
-                  .join(seq.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), ["grp", "salt"]))
-
-    none = F.struct(F.lit(0).cast("bigint").alias("bits"), F.array().cast(words.select(F.map_values("by_snap")[0]["vec"].alias("v")).schema["v"].dataType).alias("vec"))
-    pairs = F.transform(F.sequence(F.lit(1), F.size("seq") - 1), lambda i: F.struct(
-        F.col("seq")[i].alias("snap"),
-        F.coalesce(F.try_element_at("by_snap", F.col("seq")[i - 1]), none).alias("old"),
-        F.coalesce(F.try_element_at("by_snap", F.col("seq")[i]), none).alias("new")))
-    step = paired.select("grp", F.explode(pairs).alias("p")).select("grp", "p.snap", "p.old", "p.new")
+        placed = (words.withColumn("salt", F.pmod(F.hash("bucket", "word"), F.lit(salts)))
+                  .join(seq.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), ["grp", "snap", "salt"]))
+
+    # A word meets its own state in the snapshot before, if it has one there; a word without one behind it has lost all its bits.
+    line = Window.partitionBy("bucket", "grp", "word").orderBy("snap")
+    empty = F.struct(F.lit(0).cast("bigint").alias("bits"), F.array().cast(words.schema["vec"].dataType).alias("vec"))
+    here = F.struct("bits", "vec")
+    met = placed.select("bucket", "grp", "word", "snap", "before", "behind", "bits", "vec", F.lag("snap").over(line).alias("last"), F.lag(here).over(line).alias("old"), F.lead("snap").over(line).alias("next"))
+    into = F.when(F.col("before").isNotNull(), F.struct(F.col("snap").alias("snap"), F.when(F.col("last") == F.col("before"), F.col("old")).otherwise(empty).alias("old"), here.alias("new")))
+    gone = F.when(F.col("behind").isNotNull() & ~F.coalesce(F.col("next") == F.col("behind"), F.lit(False)), F.struct(F.col("behind").alias("snap"), here.alias("old"), empty.alias("new")))
+    step = met.select("grp", F.explode(F.array_compact(F.array(into, gone))).alias("p")).select("grp", "p.snap", "p.old", "p.new")
     # A word whose bits and vectors are both as before has no case.
     step = step.where("old.bits <> new.bits OR old.vec <> new.vec")
     at = lambda side, i: F.col(side)["vec"][F.bit_count(F.col(side)["bits"].bitwiseAND(F.bitwise_not(F.call_function("shiftleft", F.lit(-1).cast("bigint"), i))))]

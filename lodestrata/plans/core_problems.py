@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.operators import hierarchy as H
 from lodestrata.operators import snapshots as S
-from lodestrata.session import cut, table
+from lodestrata.session import app_dir, cut, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -37,10 +39,14 @@ def p1_all_descendants(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    """Records added, removed or changed between consecutive delivered snapshots of a bundle."""
+    """Records added, removed or changed between consecutive delivered snapshots of a bundle.
+
+    The keys' ordinals are kept below ``spark.lodestrata.dictionaries``, from run to run, or for this application if that is unset.
+    """
+    kept = f"{spark.conf.get('spark.lodestrata.dictionaries', None) or app_dir(spark)}/p3-{hashlib.sha256(d.encode()).hexdigest()[:16]}"
     return S.snapshot_changes(
         table(spark, d, "bundle_artifact"), table(spark, d, "bundle_snapshot"), grp="bundle_name", snap="snapshot_no", key="canonical_id", loaded="loaded_at",
-        values={"content_hash": S.normal_hash("content_hash"), "is_stale": F.coalesce("is_stale", F.lit(False))})
+        values={"content_hash": S.packed(S.normal_hash("content_hash")), "is_stale": F.coalesce("is_stale", F.lit(False))}, dictionary=kept)
 
 
 QUERIES = {"p1_found": p1_found, "p1_hierarchy": p1_hierarchy, "p1_descendants": p1_descendants, "p1_all_descendants": p1_all_descendants, "p3_found": p3_found}

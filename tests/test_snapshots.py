@@ -72,3 +72,37 @@ def test_salted_join_beyond_the_broadcast_limit(spark, monkeypatch):
     rows = [row("a", 1, f"k{i}", "1") for i in range(300)] + [row("a", 2, f"k{i}", "1" if i % 3 else "2") for i in range(100, 300)]
     got = changes(spark, rows, [("a", 1), ("a", 2)])
     assert len(got) == 100 + sum(i % 3 == 0 for i in range(100, 300))
+
+
+def test_a_stored_dictionary_keeps_every_ordinal(spark, tmp_path):
+    """Rows and partitions grow between the runs; the known keys keep bucket and ordinal, new ones are numbered behind them."""
+    at = str(tmp_path / "dictionary")
+    values = {"h": S.normal_hash("h"), "s": F.coalesce("s", F.lit(False))}
+    run = lambda rows: sorted(tuple(r) for r in S.snapshot_changes(spark.createDataFrame(rows, ROWS), spark.createDataFrame([("a", 1), ("a", 2)], GIVEN), grp="g", snap="n", key="k", loaded="at", values=values, dictionary=at).collect())
+    kept = lambda: {(r["grp"], r["key"]): (r["bucket"], r["ordinal"]) for r in S.stored_dictionary(spark, at).collect()}
+    old = [row("a", 1, f"k{i}", "1") for i in range(30)] + [row("a", 2, f"k{i}", "1") for i in range(29)]
+    assert S.stored_dictionary(spark, at) is None and run(old) == [("a", 2, "k29", "removed")]
+    first = kept()
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "7")
+        assert run(old + [row("a", 2, f"n{i}", "1") for i in range(300)]) == sorted([("a", 2, "k29", "removed"), *(("a", 2, f"n{i}", "added") for i in range(300))])
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    second = kept()
+    assert len(first) == 30 and len(second) == 330 == len(set(second.values())) and first.items() <= second.items()
+    assert run(old) == [("a", 2, "k29", "removed")] and kept() == second
+
+
+def test_packed_texts_differ_as_the_texts_do(spark):
+    texts = ["", "a", "ab", "AB", "abc", "0a", "a0", "00", "0", "\u00ab", "zz", "01ab", None]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(S.packed("t")).collect()]
+    assert len({bytes(x) for x in got[:-1]}) == len(texts) - 1 and got[-1] is None
+
+
+def test_a_thousand_snapshots(spark):
+    """Each word of a snapshot meets the one before it only; a gap between deliveries and a last absence are found."""
+    rows = [row("a", n, k, str(n // 400)) for n in range(1000) for k in ("x", "y") if not (k == "y" and n % 250 == 0)]
+    given = [("a", n) for n in range(1000)]
+    want = [("a", n, "x", "changed") for n in (400, 800)] + [("a", n, "y", "removed") for n in (250, 500, 750)] + [("a", n, "y", "added") for n in (1, 251, 501, 751)] + [("a", n, "y", "changed") for n in (400, 800)]
+    assert changes(spark, rows, given) == sorted(want)
