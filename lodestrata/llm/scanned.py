@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm.chain import Chain
-from lodestrata.session import cut
+from lodestrata.session import cut, release
 
 MAX_REVIEWED = 500
 TOGETHER = 64
@@ -439,6 +439,17 @@ def broken_ends(reports: list[tuple[list, list[int], dict]], breaks: Chain | Non
     return out
 
 
+def verdicts(seen: pa.ListArray) -> list[dict[str, tuple[int, str | None, int]]]:
+    """What is known of each report's forms: form -> (count, variant, the variant's count); a null list gives an empty dict."""
+    part = seen.flatten()
+    forms, *known = (part.field(k).to_pylist() for k in ("form", "n", "variant", "vn"))
+    pairs, out, at = list(zip(forms, zip(*known))), [], 0
+    for n in seen.value_lengths().to_pylist():
+        out.append(dict(pairs[at:at + (n or 0)]))
+        at += n or 0
+    return out
+
+
 def findings(lines, body, running, broken: list[bool], seen) -> tuple[list[tuple[int, str]], dict[tuple[int, int], str]]:
     """(line position, kind) of every defect; the printed words by (line, word)."""
     out = [(i, "running") for i in running]
@@ -590,9 +601,9 @@ def judge(reports: DataFrame, *, id_col: str = "id", raw: str = "raw_pages", exp
                     for c, x in zip(cols, (body, running, list(inner), list(inner.values()), sorted(forms))):
                         c.append(x)
             kinds = (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.string())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *(pa.array(c, pa.list_(k)) for c, k in zip(cols, kinds))], ["id", "h", "raw", "body", "running", "words", "counts", "forms"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, pa.list_(k)) for c, k in zip(cols, kinds))], ["id", "h", "body", "running", "words", "counts", "forms"])
 
-    lines = cut(once.select("id", "h", "raw").mapInArrow(label, "id string, h bigint, raw array<string>, body array<int>, running array<int>, words array<string>, counts array<bigint>, forms array<string>"))
+    lines = cut(once.select("id", "h", "raw").mapInArrow(label, "id string, h bigint, body array<int>, running array<int>, words array<string>, counts array<bigint>, forms array<string>"))
     counted = cut(lines.select(F.explode(F.arrays_zip("words", "counts")).alias("z")).groupBy(F.col("z.words").alias("form")).agg(F.sum("z.counts").alias("n")))
     needed = counted.select("form").unionByName(lines.select(F.explode("forms").alias("form")).distinct()).distinct()
 
@@ -604,7 +615,7 @@ def judge(reports: DataFrame, *, id_col: str = "id", raw: str = "raw_pages", exp
 
     best = (needed.mapInArrow(undo, "form string, variant string").join(counted.select(F.col("form").alias("variant"), "n"), "variant")
             .groupBy("form").agg(F.max(F.struct("n", "variant")).alias("b")).select("form", F.col("b.variant").alias("variant"), F.col("b.n").alias("vn")))
-    known = cut(counted.join(best, "form", "full").select("form", F.coalesce("n", F.lit(0)).alias("n"), "variant", F.coalesce("vn", F.lit(0)).alias("vn")))
+    known = single = cut(counted.join(best, "form", "full").select("form", F.coalesce("n", F.lit(0)).alias("n"), "variant", F.coalesce("vn", F.lit(0)).alias("vn")))
     # Forms that no such variant explains: two steps, met in the middle, that explain them by the same measure (``is_misread``).
     def unread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -629,8 +640,8 @@ def judge(reports: DataFrame, *, id_col: str = "id", raw: str = "raw_pages", exp
     back = (lines.select("id", "h", F.explode("words").alias("form")).join(suspects, "form")
             .unionByName(lines.select("id", "h", F.explode("forms").alias("form")).join(known, "form"))
             .groupBy("id", "h").agg(F.collect_set(F.struct("form", "n", "variant", "vn")).alias("seen")))
-    # The verdicts are written, not the texts beside them again.
-    ready = lines.select("id", "h", "raw", "body", "running").join(cut(back), ["id", "h"], "left")
+    ready = cut(once.select("id", "h", "raw").join(lines.select("id", "h", "body", "running"), ["id", "h"]).join(back, ["id", "h"], "left"))
+    release(lines, once, counted, single, known)
 
     picked = {(r["id"], r["h"]): r["exp"] for r in sample}
     keys = spark.createDataFrame(list(picked) or [("", 0)], "id string, h bigint")
@@ -655,8 +666,8 @@ def judge(reports: DataFrame, *, id_col: str = "id", raw: str = "raw_pages", exp
         for b in batches:
             rows = []
             for a in range(0, b.num_rows, TOGETHER):
-                ids, _, pages, bodies, runnings, looked = (b.column(c).slice(a, TOGETHER).to_pylist() for c in range(6))
-                made = [(report_lines(p), body, {s["form"]: (s["n"], s["variant"], s["vn"]) for s in seen or []}) for p, body, seen in zip(pages, bodies, looked)]
+                ids, _, pages, bodies, runnings = (b.column(c).slice(a, TOGETHER).to_pylist() for c in range(5))
+                made = [(report_lines(p), body, seen) for p, body, seen in zip(pages, bodies, verdicts(b.column(5).slice(a, TOGETHER)))]
                 ends = broken_ends(made, breaks)
                 begins = starts.decode([start_features(ls, body) for ls, body, _ in made]) if starts else [np.ones(len(body), int) for body in bodies]
                 for id_, (ls, body, seen), running, broken, how in zip(ids, made, runnings, ends, begins):
@@ -667,7 +678,7 @@ def judge(reports: DataFrame, *, id_col: str = "id", raw: str = "raw_pages", exp
             cols = list(zip(*rows)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string()))], ["id", "page_no", "line_no", "kind", "text"])
 
-    return ready.mapInArrow(find, "id string, page_no int, line_no int, kind string, text string")
+    return ready.select("id", "h", "raw", "body", "running", "seen").mapInArrow(find, "id string, page_no int, line_no int, kind string, text string")
 
 
 def defects(judged: DataFrame) -> DataFrame:
