@@ -13,9 +13,13 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions.text import bind, col
 
+# The two patterns of the format, blocks that are no cues, and the messages.
 TIMING = re.compile(r"(?:\d{2}:)?\d{2}:\d{2}\.\d{3}\s+-->\s+(?:\d{2}:)?\d{2}:\d{2}\.\d{3}(?:\s+.*)?")
 VOICE = re.compile(r"<v(?:\.[^ >]+)*\s+([^>]+)>(.*?)</v>", re.S | re.I)
 
+ASIDE = ("NOTE", "STYLE", "REGION")
+NO_UTF8, NO_HEADER, MALFORMED, NO_CUES = "captions are not valid UTF-8", "missing WEBVTT header", "malformed WebVTT cue", "WebVTT contains no spoken cues"
+
 
 def choose(tracks: DataFrame, *, on: str, languages: list[str], policy: str = "creator_then_automatic", base_fallback: bool = True) -> DataFrame:
     """The best track of each video: columns ``on, language, kind, format, name, reason``; no row if none is eligible.
@@ -52,33 +56,40 @@ def _cues(data: bytes | None, automatic: bool) -> tuple[list[str] | None, str |
     try:
         lines = unicodedata.normalize("NFC", (data or b"").decode("utf-8-sig").replace("\r\n", "\n").replace("\r", "\n")).split("\n")
     except UnicodeDecodeError:
-        return None, "captions are not valid UTF-8"
+        return None, NO_UTF8
     if lines[0].strip() != "WEBVTT":
-        return None, "missing WEBVTT header"
-    # Blocks are what stands between blank lines; the header's own block is dropped.
-    blocks: list[list[str]] = [[]]
-    for x in lines:
-        if x.strip():
-            blocks[-1].append(x)
-        elif blocks[-1]:
-            blocks.append([])
-    out, wait = [], False
-    for n, b in enumerate(b for b in blocks if b):
-        if n == 0 or b[0].startswith(("NOTE", "STYLE", "REGION")):
-            continue
-        timed = next((i for i in (0, 1) if i < len(b) and TIMING.fullmatch(b[i].strip())), None)
-        if timed is None:
-            if not wait:
-                return None, "malformed WebVTT cue"
-            body, wait = b, False
-        else:
-            body = b[timed + 1:]
-            wait = automatic and not body
-        text = VOICE.sub(lambda m: f"**{m[1].strip()}:** {m[2]}", " ".join(x.strip() for x in body))
-        text = " ".join(html.unescape(re.sub(r"<[^>]+>", "", text)).split())
-        if text:
-            out.append(text)
-    return (out, None) if out else (None, "WebVTT contains no spoken cues")
+        return None, NO_HEADER
+    out: list[str] = []
+    block: list[str] = []
+    place = "header"  # then between cues, in a comment, timed (its text is awaited) or in a text
+    for at, x in enumerate([*lines[1:], ""], 1):
+        full = bool(x.strip())
+        if place in ("header", "note"):
+            place = place if full else "between"
+        elif place == "between" and full:
+            if x.startswith(ASIDE):
+                place = "note"
+            elif TIMING.fullmatch(x.strip()):
+                place = "timed"
+            elif at + 1 < len(lines) and TIMING.fullmatch(lines[at + 1].strip()):
+                place = "named"
+            else:
+                return None, MALFORMED
+        elif place == "named":
+            place = "timed"
+        elif place == "timed" and not full and automatic and at + 1 < len(lines) and lines[at + 1].strip() and not TIMING.fullmatch(lines[at + 1].strip()):
+            place = "text"  # one empty line before the text, whatever the text begins with
+        elif place in ("timed", "text"):
+            if full:
+                place = "text"
+                block.append(x)
+                continue
+            text = VOICE.sub(lambda m: f"**{m[1].strip()}:** {m[2]}", " ".join(y.strip() for y in block))
+            text = " ".join(html.unescape(re.sub(r"<[^>]+>", "", text)).split())
+            if text:
+                out.append(text)
+            block, place = [], "between"
+    return (out, None) if out else (None, NO_CUES)
 
 
 def parse(tracks: DataFrame, *, id_col: str, data: str = "data", automatic: str = "automatic") -> DataFrame:

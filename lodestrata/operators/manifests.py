@@ -74,3 +74,12 @@ def prune_plan(stale_rows: DataFrame, references: DataFrame, on: list[str]) -> D
     p = F.col("output_path")
     bad = (F.when(p.startswith("/") | p.contains("\\") | p.rlike(r"(^|/)\.\.?(/|\z)"), "outside the output folder").when(~p.endswith(".md"), "not a markdown file").when(F.col("_ref"), "still referenced"))
     return stale_rows.join(refs, keys, "left").select(*stale_rows.columns, bad.alias("violation"))
+
+
+# What the reports are ordered by.
+REPORT_ORDER = {"stale": ["output_path", "canonical_id"], "orphaned": ["output_path"], "inventory": ["path"]}
+
+
+def in_report_order(rows: DataFrame, kind: str, by: list[str] = ()) -> DataFrame:
+    """The rows of a stale, orphaned or inventory report in its order: a range-partitioned sort."""
+    return rows.orderBy(*by, *REPORT_ORDER[kind])

@@ -22,6 +22,12 @@ ENVELOPE = ["package.json", "package.sha256"]
 STAGES = ["envelope", "sidecar-format", "manifest-digest", "manifest-parse", "compatibility", "path-safety", "inventory-coverage", "terminal-accounting", "item-semantics", "lineage", "artifact-integrity"]
 
 
+# The states of a collection's progress, and the lineage that manifest and receipt must agree on.
+PROGRESS = ["continuation_remaining", "exhausted"]
+LINEAGE = ["run_id", "resumes_run_id", "prior_run_ids", "prior_package_ids", "reconciliation_summary", "final_attempt_counts", "collection_progress"]
+CONTRACT = "sealed-package"
+
+
 def inventory(artifacts: DataFrame, *, path: str = "path", data: str = "data") -> DataFrame:
     """Bytes and SHA-256 of every artifact of each package."""
     d = col(data).cast("binary")
@@ -59,11 +65,17 @@ def references(items: DataFrame, listed: DataFrame, on: str) -> DataFrame:
     return bad.select(on, "path", "item_id", "code").unionByName(many)
 
 
-def item_problem(outcome: str | Column, error: str | Column, skip_reason: str | Column, locators: str | Column | None = None) -> Column:
-    """What an item record lacks for its outcome; null if nothing."""
-    o = col(outcome)
-    return (F.when(~F.coalesce(o.isin(*OUTCOMES), F.lit(False)), "unknown_outcome").when(o.isin("completed", "unchanged") & col(error).isNotNull(), "success_with_error").when(o.isin("failed", "cancelled") & col(error).isNull(), "missing_error")
-            .when((o == "skipped") & (F.coalesce(col(skip_reason), F.lit("")) == ""), "missing_skip_reason").when(F.exists(F.array().cast("array<string>") if locators is None else col(locators), lambda x: F.length(x) > 2048), "locator_too_long"))
+def item_problem(outcome: str | Column, error: str | Column, skip_reason: str | Column, locators: str | Column | None = None, identity: str | Column | None = None, references: str | Column | None = None) -> Column:
+    """What an item record lacks for its outcome; null if nothing.
+
+    ``identity`` is an array of texts of 1 to 200 characters, ``locators`` one of texts of at most 2,048, ``references`` has at most 256 entries.
+    """
+    o, none = col(outcome), F.array().cast("array<string>")
+    given = lambda c: none if c is None else F.coalesce(col(c), none)
+    return (F.when(~F.coalesce(o.isin(*OUTCOMES), F.lit(False)), "unknown_outcome").when(F.exists(given(identity), lambda x: x.isNull() | ~F.length(x).between(1, 200)), "invalid_identity")
+            .when(o.isin("completed", "unchanged") & col(error).isNotNull(), "success_with_error").when(o.isin("failed", "cancelled") & col(error).isNull(), "missing_error")
+            .when((o == "skipped") & (F.coalesce(col(skip_reason), F.lit("")) == ""), "missing_skip_reason").when(F.exists(given(locators), lambda x: F.length(x) > 2048), "locator_too_long")
+            .when((F.size(given(references)) > 256) | F.exists(given(references), lambda x: x.isNull()), "invalid_references"))
 
 
 def unsupported(required: str | Column, supported: str | Column) -> Column:
@@ -96,6 +108,48 @@ def bounded(value: str | Column, limit: int = 200) -> Column:
     return F.when(F.length(col(value)) <= limit, col(value))
 
 
+def shortened(message: str | Column, limit: int = 200) -> Column:
+    """A finding's message, cut behind ``limit`` characters."""
+    m = col(message)
+    return F.when(F.length(m) > limit, F.concat(F.substring(m, 1, limit), F.lit("…"))).otherwise(m)
+
+
+def claims(verified: DataFrame, manifests: DataFrame, on: str) -> DataFrame:
+    """What may be said of each package, as far as its verification came: texts beyond 200 characters are null.
+
+    ``verified`` as ``first_failing_stage`` gives it; ``manifests``: (on, package_id, run_id, status, counts, prior_run_ids, artifacts). Names come with
+    the parsed manifest, status and counts with the accounting, lineage with its stage, the inventory's totals with the last.
+    """
+    done = F.coalesce(F.array_position(F.array(*[F.lit(s) for s in STAGES]), F.col("last_completed_stage")), F.lit(0))
+    done = F.when(F.col("last_completed_stage") == "complete", len(STAGES)).otherwise(done)
+    at = lambda stage: done > STAGES.index(stage)
+    j = manifests.join(verified.select(on, "state", "last_completed_stage"), on)
+    size = F.struct(F.size("artifacts").cast("bigint").alias("files"), F.aggregate("artifacts", F.lit(0).cast("bigint"), lambda a, x: a + x["bytes"]).alias("bytes"))
+    return j.select(on, "state", *[F.when(at("manifest-parse"), bounded(c)).alias(c) for c in ("package_id", "run_id")], F.when(at("terminal-accounting"), bounded("status")).alias("status"), F.when(at("terminal-accounting"), F.col("counts")).alias("counts"),
+                    F.when(at("lineage"), F.transform("prior_run_ids", lambda x: bounded(x))).alias("prior_run_ids"), F.when(at("artifact-integrity"), size).alias("totals"))
+
+
+# C14: the records of a request and of a package's lineage; members that are null are left out of their JSON.
+REQUEST = ("request_id string, adapter_type string, targets array<string>, scope map<string,string>, output_location string, credential_reference string, selection map<string,string>, checkpoint_reference string, "
+           "retry_policy map<string,bigint>, expected_contract string, extensions map<string,string>")
+LINEAGE_RECORD = "run_id string, resumes_run_id string, prior_run_ids array<string>, prior_package_ids array<string>, reconciliation_summary map<string,bigint>, final_attempt_counts map<string,bigint>, collection_progress struct<state:string>"
+
+
+def record_json(*columns: str) -> Column:
+    """C14: a record's members as JSON in the order of their names, absent ones left out."""
+    return F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "true"})
+
+
+def request_problem() -> Column:
+    """C14: what a request record (``REQUEST``) breaks first; null if nothing. Extensions may not use a member's name."""
+    own = [x.split()[0] for x in REQUEST.split(", ") if " " in x]
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    return (F.when(blank("request_id"), "missing request_id").when(blank("adapter_type"), "missing adapter_type").when(F.coalesce(F.size("targets"), F.lit(0)) < 1, "no targets").when(F.exists("targets", lambda x: x.isNull() | (x == "")), "blank target")
+            .when(F.size(F.array_distinct("targets")) != F.size("targets"), "repeated target").when(blank("output_location"), "missing output_location")
+            .when(F.exists(F.map_values(F.coalesce("retry_policy", F.create_map().cast("map<string,bigint>"))), lambda x: x < 0), "negative retry_policy")
+            .when(F.size(F.array_intersect(F.map_keys(F.coalesce("extensions", F.create_map().cast("map<string,string>"))), F.array(*[F.lit(x) for x in own]))) > 0, "reserved extension"))
+
+
 def first_failing_stage(findings: DataFrame, packages: DataFrame, on: str) -> DataFrame:
     """Per package its state, the stage that failed first, and the last completed one. ``findings``: (on, stage_no from 1, code)."""
     f = findings.groupBy(on).agg(F.min("stage_no").alias("s"))
@@ -156,9 +210,10 @@ def canonical(df: DataFrame, *, id_col: str, text: str) -> DataFrame:
     return df.select(id_col, text).mapInPandas(run, f"id {df.schema[id_col].dataType.simpleString()}, canonical string, depth int, problem string")
 
 
-def seal(destination: str, *, package_id: str, run_id: str, request: dict, items: list[dict], artifacts: dict[str, tuple[bytes, str, str]], created_at: str, capabilities: tuple[str, ...] = ()) -> str:
+def seal(destination: str, *, package_id: str, run_id: str, request: dict, items: list[dict], artifacts: dict[str, tuple[bytes, str, str]], created_at: str, capabilities: tuple[str, ...] = (), lineage: dict | None = None) -> str:
     """Write one package atomically (temporary folder, then rename) and return its content address.
 
+    ``lineage`` holds the manifest's further fields (``LINEAGE``, ``run_receipt``); items without a ``resource_kind`` are records.
     A package is a bounded artifact of one run and is written by the driver; the inventory of many packages is ``inventory``.
     """
     if os.path.exists(destination):
@@ -166,10 +221,11 @@ def seal(destination: str, *, package_id: str, run_id: str, request: dict, items
     for p in artifacts:
         if p in (*ENVELOPE, "request.json") or p.startswith(("/", "items/")) or "\\" in p or any(s in ("", ".", "..") for s in p.split("/")):
             raise ValueError(f"unsafe artifact path: {p}")
+    items = [{"resource_kind": "record", **i} for i in items]
     files = {"request.json": canonical_json(request), **{f"items/{i['item_id']}.json": canonical_json(i) for i in items}, **{p: d for p, (d, _, _) in artifacts.items()}}
     kinds = {p: (role, kind) for p, (_, role, kind) in artifacts.items()}
     counts = {o: sum(i["outcome"] == o for i in items) for o in OUTCOMES}
-    manifest = {"package_id": package_id, "run_id": run_id, "created_at": created_at, "required_capabilities": sorted(capabilities), "counts": counts, "items": sorted(f"items/{i['item_id']}.json" for i in items),
+    manifest = {**(lineage or {}), "contract_name": CONTRACT, "contract_version": "1.1.0", "package_id": package_id, "run_id": run_id, "created_at": created_at, "required_capabilities": sorted(capabilities), "counts": counts, "items": sorted(f"items/{i['item_id']}.json" for i in items),
                 "status": "completed_with_errors" if counts["failed"] or counts["cancelled"] else "completed",
                 "artifacts": [{"path": p, "bytes": len(d), "sha256": hashlib.sha256(d).hexdigest(), "role": kinds.get(p, ("record", ""))[0], "media_type": kinds.get(p, ("", "application/json"))[1]} for p, d in sorted(files.items())]}
     body = canonical_json(manifest)
@@ -177,7 +233,7 @@ def seal(destination: str, *, package_id: str, run_id: str, request: dict, items
     os.makedirs(os.path.dirname(destination) or ".", exist_ok=True)
     tmp = tempfile.mkdtemp(dir=os.path.dirname(destination) or ".", prefix=".seal-")
     try:
-        for p, d in {**files, "package.json": body, "package.sha256": f"{address}  package.json\n".encode()}.items():
+        for p, d in {**files, "package.json": body, "package.sha256": f"{address}\n".encode()}.items():
             at = os.path.join(tmp, p)
             os.makedirs(os.path.dirname(at), exist_ok=True)
             with open(at, "wb") as f:

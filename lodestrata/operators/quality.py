@@ -1,8 +1,8 @@
-"""Replay quality of captured sources: classification and acceptance."""
+"""Replay quality of captured sources: classification and acceptance and bounded previews."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions.text import col
@@ -38,3 +38,14 @@ def acceptance(specs: DataFrame, metrics: DataFrame) -> DataFrame:
 def acceptance_report(results: DataFrame) -> DataFrame:
     """F16: stable if nothing failed; the failed labels in order."""
     return results.groupBy("source_key").agg(F.bool_and("ok").alias("stable"), F.count_if(~F.col("ok")).alias("n_failed"), F.array_join(F.array_sort(F.collect_set(F.when(~F.col("ok"), F.col("label")))), ",").alias("failed"))
+
+
+def first_examples(rows: DataFrame, by: list[str], order: list[str], fields: list[str], k: int) -> DataFrame:
+    """The first ``k`` rows of each group in encounter order, as one array, and how many there are.
+
+    The rank is taken with a limit that Spark applies before the shuffle, so a group of any size sends ``k`` rows a task.
+    """
+    n = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("total"))
+    top = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_rank") <= k)
+    got = top.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_rank", *fields))).alias("_e")).select(*by, F.transform("_e", lambda x: F.struct(*[x[f].alias(f) for f in fields])).alias("examples"))
+    return n.join(got, by)

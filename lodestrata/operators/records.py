@@ -48,6 +48,16 @@ def tree_output_path(path: str | Column, prefix: str = "") -> Column:
     return F.concat(F.lit(prefix), F.when(p.endswith(".md"), p).otherwise(F.concat(p, F.lit(".md"))))
 
 
+def tracked_id(adapter: str | Column, host: str | Column, repo: str | Column, kind: str | Column, number: str | Column) -> Column:
+    """The id of an issue, pull request or release: adapter, host, repository, kind and number or tag."""
+    return F.concat_ws(":", col(adapter), col(host), col(repo), col(kind), col(number).cast("string"))
+
+
+def file_id(repo_url: str | Column, commit: str | Column, path: str | Column) -> Column:
+    """The id of a repository's file at a commit; a public page's id is its final URL."""
+    return F.concat(col(repo_url), F.lit("@"), col(commit), F.lit(":"), col(path))
+
+
 def output_name(url: str | Column) -> Column:
     """C11: a slug of the last path part without its suffix (or of the host), then 12 digits of the URL's hash."""
     u = col(url)

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import contextlib
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.functions.text import col
@@ -101,3 +105,98 @@ def cache_lookup(wanted: DataFrame, cache: DataFrame, *, on: list[str]) -> DataF
     j = wanted.join(c, on, "left")
     hit = F.coalesce((F.col("_v") == F.col("page_version")) & (F.col("_m").isNull() | F.col("last_modified").isNull() | (F.col("_m") == F.col("last_modified"))), F.lit(False))
     return j.withColumn("hit", hit).withColumn("payload", F.when(F.col("hit"), F.col("payload"))).drop("_v", "_m")
+
+
+def retry_rule(log: DataFrame, *, key: str, run: str, order: str, outcome: str, max_attempts: int) -> DataFrame:
+    """Per run and item the attempts in it and in all runs up to it, the last outcome, and the ``decision``.
+
+    ``retry`` while the last failure is of a kind that may pass and the run has attempts left, ``done`` after a success, else ``give_up``.
+    Runs are ordered by their key; an item's runs are few, its attempts are aggregates.
+    """
+    from pyspark.sql import Window
+
+    n = log.groupBy(run, key).agg(F.count(F.lit(1)).alias("attempts"), F.max_by(outcome, F.struct(order, outcome)).alias("last_outcome"))
+    total = F.sum("attempts").over(Window.partitionBy(key).orderBy(run).rowsBetween(Window.unboundedPreceding, 0))
+    last = F.col("last_outcome")
+    return n.withColumn("total_attempts", total).withColumn("decision", F.when(last == "completed", "done").when(last.isin(*RETRIED) & (F.col("attempts") < max_attempts), "retry").otherwise("give_up"))
+
+
+def reconciliation_summary(reconciled: DataFrame, log: DataFrame, *, on: str, key: str) -> DataFrame:
+    """per run how many items were reused, acquired, dropped and left pending, and the attempts of those tried.
+
+    ``reconciled`` as ``reconcile`` gives it, ``log`` one row an attempt (on, key). Attempts are summed as a histogram (attempts -> items), which
+    has as many entries as an item may have attempts, so no run's items are gathered.
+    """
+    tried = log.groupBy(on, key).agg(F.count(F.lit(1)).alias("n"))
+    hist = tried.groupBy(on, "n").agg(F.count(F.lit(1)).alias("items")).groupBy(on).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("n", "items")))).alias("attempts"))
+    got = tried.select(on, key, F.lit(True).alias("_tried"))
+    n = lambda t: F.count_if(t)
+    d, was = F.col("disposition"), F.coalesce("_tried", F.lit(False))
+    s = reconciled.join(got, [on, key], "left").groupBy(on).agg(n(d == "preserved").alias("reused"), n((d == "attempted") & was).alias("acquired"), n((d == "attempted") & ~was).alias("dropped"), n(d == "unattempted").alias("pending"))
+    return s.join(hist, on, "left").select(on, "reused", "acquired", "dropped", "pending", F.coalesce("attempts", F.create_map().cast("map<bigint,bigint>")).alias("attempts"))
+
+
+def bundle_inputs(bundles: DataFrame, runs: DataFrame) -> DataFrame:
+    """The input folder of each run that a bundle names, in the order of the names: ``bundle, position, run, input_dir, problem``.
+
+    ``bundles``: (bundle, runs); ``runs``: (name, output_dir). A name that is no run, or whose run has no output folder, is the row's problem.
+    """
+    named = bundles.select("bundle", F.posexplode("runs").alias("position", "run"))
+    known = runs.select(F.col("name").alias("run"), "output_dir", F.lit(True).alias("_there")).dropDuplicates(["run"])
+    j = named.join(known, "run", "left")
+    problem = F.when(F.col("_there").isNull(), "unknown run").when(F.coalesce("output_dir", F.lit("")) == "", "run without an output folder")
+    return j.select("bundle", "position", "run", F.when(problem.isNull(), F.col("output_dir")).alias("input_dir"), problem.alias("problem"))
+
+
+def readiness(features: DataFrame, dimensions: list[str]) -> DataFrame:
+    """one row an adapter, one flag a dimension, from (adapter, dimension) rows; dimensions nobody has are false."""
+    return features.groupBy("adapter").pivot("dimension", dimensions).agg(F.count(F.lit(1)) > 0).na.fill(False).select("adapter", *dimensions)
+
+
+def report_markdown(records: DataFrame, *, title: str = "Run report") -> DataFrame:
+    """One markdown text from the runs' records (position, name, run_type, status, dry_run, wrote, skipped, message).
+
+    A report is of one invocation, whose runs are bounded by its configuration.
+    """
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", F.col("position").cast("string"), F.coalesce("name", F.lit("")), "run_type", "status", F.when(F.col("dry_run"), "yes").otherwise("no"), F.coalesce(F.col("wrote").cast("string"), F.lit("-")),
+                                             F.coalesce(F.col("skipped").cast("string"), F.lit("-")), F.translate(F.coalesce("message", F.lit("")), "|\r\n", "/  ")), F.lit(" |"))
+    s = lambda c, dry: F.coalesce(F.sum(F.when(F.col("dry_run") == dry, F.col(c))), F.lit(0)).cast("string")
+    n = lambda x: F.count_if(F.col("status") == x).cast("string")
+    text = F.concat(F.lit(f"# {title}\n\n"), F.concat_ws("\n", F.concat(F.lit("- runs: "), F.count(F.lit(1)).cast("string")), *[F.concat(F.lit(f"- {x}: "), n(x)) for x in ("succeeded", "failed", "interrupted")],
+                    F.concat(F.lit("- wrote: "), s("wrote", False), F.lit(", skipped: "), s("skipped", False)), F.concat(F.lit("- would write: "), s("wrote", True), F.lit(", would skip: "), s("skipped", True))),
+                    F.lit("\n\n| # | name | type | status | dry run | wrote | skipped | message |\n| --- | --- | --- | --- | --- | --- | --- | --- |\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", line.alias("line")))), lambda x: x["line"]), "\n"), F.lit("\n"))
+    return records.agg(text.alias("markdown"))
+
+
+REPORT_SCHEMA = "position int, name string, run_type string, status string, dry_run boolean, wrote bigint, skipped bigint, message string"
+
+
+def run_all(spark: SparkSession, plans: list[tuple[str, str, Callable[[SparkSession], tuple[int, int]]]], *, dry_run: bool = False, continue_on_error: bool = False) -> DataFrame:
+    """The plans (name, type, work) one after the other; ``work`` says how many records it wrote and skipped.
+
+    An interrupt stops the current run's Spark jobs by their tag and goes on with the next; a second one in a row ends the whole.
+    An error ends the whole too, unless ``continue_on_error``. The records of all runs, those not reached included, come back.
+    """
+    records, stopped, interrupts = [], False, 0
+    for i, (name, kind, work) in enumerate(plans, 1):
+        if stopped:
+            records.append((i, name, kind, "not_run", dry_run, None, None, None))
+            continue
+        tag = f"lodestrata-{uuid.uuid4().hex}"
+        spark.addTag(tag)
+        try:
+            wrote, skipped = work(spark)
+            records.append((i, name, kind, "succeeded", dry_run, wrote, skipped, None))
+            interrupts = 0
+        except KeyboardInterrupt:
+            with contextlib.suppress(Exception):
+                spark.interruptTag(tag)
+            interrupts += 1
+            stopped = interrupts > 1
+            records.append((i, name, kind, "interrupted", dry_run, None, None, None))
+        except Exception as e:  # noqa: BLE001 - every failure is a run's result
+            records.append((i, name, kind, "failed", dry_run, None, None, str(e).splitlines()[0][:200] if str(e) else type(e).__name__))
+            stopped = not continue_on_error
+        finally:
+            spark.removeTag(tag)
+    return spark.createDataFrame(records, REPORT_SCHEMA)

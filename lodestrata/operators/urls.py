@@ -18,23 +18,25 @@ def host_of(url: str | Column) -> Column:
     return F.lower(F.regexp_replace(F.regexp_replace(authority, r"^[^@]*@", ""), r"(?<=[^:\]]|\]):\d*\z", ""))
 
 
+def special_address(host: str | None) -> str | None:
+    """Why an address, in any of its spellings, is not a public one; null for public ones and for names."""
+    h = (host or "").strip("[]").rstrip(".")
+    try:
+        a = ipaddress.ip_address(h)
+    except ValueError:
+        try:
+            a = ipaddress.ip_address(socket.inet_aton(h))
+        except OSError:
+            return None
+    for name, bad in (("loopback", a.is_loopback), ("link-local", a.is_link_local), ("multicast", a.is_multicast), ("unspecified", a.is_unspecified), ("reserved", a.is_reserved), ("private", a.is_private)):
+        if bad:
+            return f"{name} address"
+    return None
+
+
 @F.pandas_udf(StringType())
 def _address_problem(host: pd.Series) -> pd.Series:
-    def one(h: str) -> str | None:
-        h = (h or "").strip("[]").rstrip(".")
-        try:
-            a = ipaddress.ip_address(h)
-        except ValueError:
-            try:
-                a = ipaddress.ip_address(socket.inet_aton(h))
-            except OSError:
-                return None
-        for name, bad in (("loopback", a.is_loopback), ("link-local", a.is_link_local), ("multicast", a.is_multicast), ("unspecified", a.is_unspecified), ("reserved", a.is_reserved), ("private", a.is_private)):
-            if bad:
-                return f"{name} address"
-        return None
-
-    return host.map(one)
+    return host.map(special_address)
 
 
 def url_problem(url: str | Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -10,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from lodestrata.functions.text import casefold, col, squeeze, strip
+from lodestrata.functions.text import bind, casefold, col, join_url, rstrip, squeeze, strip, unescaped, url_part
+from lodestrata.operators.urls import host_of, url_problem
 
 # Phrases the operators below look for, compared case-folded with white space collapsed.
 CHROME = {
@@ -36,8 +38,22 @@ REJECT_PATHS = ["/blog", "/contact", "/docs", "/pricing", "/privacy", "/support"
 STOPWORDS = ["about", "after", "and", "assisted", "cloud", "content", "development", "download", "google", "report", "resources", "software", "state", "the", "with"]
 KEEPWORDS = ["2025", "ai", "devops", "dora"]
 STABLE_ASSET = [".pdf", "/article/", "/chapter/", "/detail.cfm", "/paper/", "/publication/", "/report/", "/whitepaper/"]
-BLOCK_TAGS = "address article aside blockquote br dd div dl dt figcaption figure footer h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul".split()
-SKIPPED_TAGS = "noscript script style svg template".split()
+BLOCK_TAGS = ["address", "article", "aside", "blockquote", "br", "dd", "div", "dl", "dt", "figcaption", "figure", "footer", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "li", "main", "nav", "ol", "p", "pre", "section", "table", "td", "th", "tr", "ul"]
+SKIPPED_TAGS = ["noscript", "script", "style", "svg", "template"]
+
+
+# Escapes that page sources write URLs with, what such a URL looks like, and endings of translated assets.
+ESCAPES = [("\\u0026", "&"), ("\\u003a", ":"), ("\\u003c", "<"), ("\\u003d", "="), ("\\u003e", ">"), ('\\"', '"'), ("\\/", "/")]
+EMBEDDED = r"""https?://[^\s"'<>\\]+"""
+LOCALIZED = r"_(de|es|fr|id|it|ja|ko|pt-br|zh-cn|zh-tw)(\.pdf|\z)"
+# Status, reason, canonical status and confidence of each outcome of a target selection.
+TARGETS = {
+    "commercial": ("no_selection_commercial_landing_page", "commercial_landing_page_requires_operator_source_choice", "no_selection", "none"),
+    "no_mismatch": ("not_applicable_no_target_mismatch", "source_intent_assessment_did_not_flag_target_mismatch", "not_applicable", ""),
+    "none": ("no_high_confidence_target", "no_same_page_report_asset_met_selection_guards", "no_selection", "none"),
+    "ambiguous": ("ambiguous_multiple_high_confidence_targets", "multiple_same_page_report_assets_met_selection_guards", "ambiguous", "low"),
+    "selected": ("selected", "", "selected_stable_canonical_asset", ""),
+}
 
 
 class _Page(HTMLParser):
@@ -130,9 +146,10 @@ def text_paragraphs(pages: DataFrame, *, id_col: str, content: str) -> DataFrame
     """
     ps = F.transform(F.transform(F.split(col(content), "\n\n", -1), lambda p: strip(p)), lambda p: F.struct(p.alias("para"), folded(p).alias("t")))
     marked = F.transform(ps, lambda x, i: F.struct(i.alias("pos"), x["para"].alias("para"), x["t"].alias("t"), F.when(x["para"] != "", chrome_reason(x["para"], x["t"])).alias("reason")))
-    out = pages.select(F.col(id_col).alias("id"), F.explode(F.array(marked)).alias("_m")).select("id", "_m", F.explode("_m").alias("m"))
-    kept = F.size(F.filter("_m", lambda x: (x["pos"] < F.col("m.pos")) & (x["para"] != "") & x["reason"].isNull()))
-    return out.select("id", "m.pos", "m.para", "m.t", "m.reason", F.when((F.col("m.para") != "") & F.col("m.reason").isNull(), kept).alias("kept_pos"))
+    stays = lambda x: (x["para"] != "") & x["reason"].isNull()
+    row = lambda x, n: F.struct(*[x[f].alias(f) for f in ("pos", "para", "t", "reason")], n.alias("kept_pos"))
+    both = bind(marked, lambda m: F.concat(F.transform(F.filter(m, stays), row), F.transform(F.filter(m, lambda x: ~stays(x)), lambda x: row(x, F.lit(None).cast("int")))))
+    return pages.select(F.col(id_col).alias("id"), F.explode(both).alias("m")).select("id", "m.*")
 
 
 def has_any(t: str | Column, phrases: list[str]) -> Column:
@@ -208,40 +225,101 @@ def link_choice(links: DataFrame, *, on: str, url: str = "url", label: str = "la
     return links.groupBy(on, url).agg(F.min(pos).alias(pos), pick.alias("_p")).select(on, url, pos, "_p.*")
 
 
+def spaced(text: str | Column) -> Column:
+    """Case-folded, with underscores and hyphens as spaces."""
+    return squeeze(F.translate(casefold(text), "_-", "  "))
+
+
 def identity_tokens(text: str | Column) -> Column:
     """Words that name a page: kept words, or four letters and no stop word."""
-    toks = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)))
+    toks = F.array_distinct(F.regexp_extract_all(spaced(text), F.lit("[a-z0-9]+"), F.lit(0)))
     return F.filter(toks, lambda t: t.isin(*KEEPWORDS) | ((F.length(t) >= 4) & ~t.isin(*STOPWORDS)))
 
 
+def has_report_terms(text: str | Column) -> Column:
+    return has_any(text, REPORT_TERMS)
+
+
+def embedded_links(pages: DataFrame, *, id_col: str = "id", html_col: str = "html") -> DataFrame:
+    """``id, url, label, source, pos`` of report-like URLs that stand anywhere in the page's source, escaped ones included."""
+    raw = col(html_col)
+    for old, new in ESCAPES:
+        raw = F.replace(raw, F.lit(old), F.lit(new))
+    found = pages.select(F.col(id_col).alias("id"), unescaped(raw).alias("_h")).select("id", F.posexplode(F.array_distinct(F.regexp_extract_all("_h", F.lit(EMBEDDED), F.lit(0)))).alias("pos", "url"))
+    found = found.withColumn("url", F.replace(rstrip(unescaped("url"), r".,;)"), F.lit("\\/"), F.lit("/")))
+    return found.where(has_report_terms(spaced("url"))).groupBy("id", "url").agg(F.min("pos").alias("pos")).select("id", "url", F.lit("").alias("label"), F.lit("embedded_page_url").alias("source"), "pos")
+
+
+def absolute_links(links: DataFrame, pages: DataFrame) -> DataFrame:
+    """``links`` (id, url, label, source, pos) with URLs joined to their page's; anchors, mail, phone and script links go."""
+    base = pages.select("id", F.coalesce("resolved_url", "requested_url").alias("_at"))
+    ok = (F.col("url") != "") & ~F.col("url").startswith("#") & ~F.lower("url").rlike("^(mailto|tel|javascript):")
+    return links.where(ok).join(base, "id").withColumn("url", join_url("_at", unescaped(strip("url")))).drop("_at")
+
+
 def scored_links(links: DataFrame, pages: DataFrame, *, keep: int = 12, least: int = 35) -> DataFrame:
     """Candidate targets of each page by score, the best ``keep`` of those with at least ``least`` points.
 
-    ``links``: (id, url, label, source); ``pages``: (id, title, visible_text, requested_url, resolved_url). A link must lie on the
-    page's host or second-level domain, must not be rejected, must speak of reports and share two identity words.
+    ``links``: (id, url, label, source), one row a URL (``absolute_links``, ``link_choice``); ``pages``: (id, title, visible_text,
+    requested_url, resolved_url). A target must be public, lie on the page's host or second-level domain, must not be
+    rejected, must speak of reports and share two identity words (or both of ``dora`` and ``2025``). ``reason`` says what counted.
     """
-    host = lambda u: F.lower(F.regexp_extract(u, r"^https?://([^/?#:]*)", 1))
     two = lambda h: F.regexp_extract(h, r"([^.]+\.[^.]+)\z", 1)
-    path = F.lower(F.regexp_extract("url", r"^https?://[^/?#]*([^?#]*)", 1))
-    base = pages.select("id", F.array_union(identity_tokens(F.coalesce("title", F.lit(""))), identity_tokens(F.substring(F.coalesce("visible_text", F.lit("")), 1, 2000))).alias("_who"), F.coalesce("resolved_url", "requested_url").alias("_at"), "requested_url", "resolved_url")
-    j = links.where(F.col("url").rlike("^https?://[^/]")).join(base, "id")
-    words = squeeze(F.regexp_replace(F.lower(F.concat_ws(" ", "url", "label")), r"[_\-]+", " "))
-    shared = F.size(F.array_intersect("_who", identity_tokens(words)))
-    has = lambda t: F.array_contains(F.array_intersect("_who", identity_tokens(words)), t)
+    who = identity_tokens(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.substring(F.coalesce("visible_text", F.lit("")), 1, 2000)))
+    base = pages.select("id", F.explode(F.array(who)).alias("_who"), F.coalesce("resolved_url", "requested_url").alias("_at"), F.coalesce("requested_url", F.lit("")).alias("_req"), F.coalesce("resolved_url", F.lit("")).alias("_res"))
+    # An explode of one element keeps Catalyst from pasting the folded texts into each of their uses.
+    once = lambda df, **c: df.select("*", F.explode(F.array(F.struct(*[x.alias(n) for n, x in c.items()]))).alias("_x")).select(*df.columns, "_x.*")
+    j = once(links.join(base, "id"), _host=host_of("url"), _home=host_of("_at"), _path=F.lower(url_part("url", "path")), _label=spaced(F.coalesce("label", F.lit(""))),
+             _text=spaced(F.concat_ws(" ", url_part("url", "netloc"), url_part("url", "path"), url_part("url", "query"))))
+    j = once(j, matches=F.array_sort(F.array_intersect("_who", identity_tokens(F.concat_ws(" ", "_text", "_label")))), _spoken=F.concat_ws(" ", "_text", "_label"))
     any_of = lambda c, xs: F.exists(F.array(*[F.lit(x) for x in xs]), lambda x: F.contains(c, x))
-    h = host(F.col("url"))
-    gate = ((h == host(F.col("_at"))) | (two(h) == two(host(F.col("_at"))))) & ~h.isin(*REJECT_HOSTS) & ~any_of(path, REJECT_PATHS) & ~F.lower("url").rlike(r"[?&](continue|redirectpath)=") & any_of(words, REPORT_TERMS) & ((shared >= 2) | (has("dora") & has("2025")))
-    pdf, stable = path.endswith(".pdf"), any_of(path, STABLE_PATHS) | path.endswith(".pdf")
-    n = lambda test, points: F.when(test, points).otherwise(0)
-    score = (F.when(pdf, 48).when(stable, 34).when(any_of(F.lower("url"), ["report", "whitepaper", "download"]), 28).otherwise(0) + n(F.col("source").isin("anchor_href", "link_href", "meta_url"), 8) + n(F.lower(F.coalesce("label", F.lit(""))).rlike("canonical|og:url"), 10)
-             + n(F.col("source") == "embedded_page_url", 6) + n(stable, 12) + F.least(F.lit(36), 6 * shared) + n(has("dora"), 8) + n(has("2025"), 8) - n(words.contains("abridged"), 35) - n(F.col("url").isin(F.col("requested_url"), F.col("resolved_url")), 40))
-    got = j.where(gate).withColumn("score", score).where(F.col("score") >= least)
-    return got.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "url"))).where(F.col("rank") <= keep).select("id", "url", "label", "source", "score", "rank")
+    shared, path, text, label = F.size("matches"), F.col("_path"), F.col("_text"), F.col("_label")
+    has = lambda t: F.array_contains("matches", t)
+    rejected = F.col("_host").isin(*REJECT_HOSTS) | any_of(path, REJECT_PATHS) | F.col("url").rlike(r"[?&](continue|redirectPath)=[^&#]")
+    gate = (url_problem("url").isNull() & (F.col("_host") != "") & ((F.col("_host") == F.col("_home")) | ((two(F.col("_host")) == two(F.col("_home"))) & (two(F.col("_host")) != ""))) & ~rejected
+            & has_report_terms("_spoken") & ((shared >= 2) | (has("dora") & has("2025"))))
+    pdf = path.endswith(".pdf")
+    stable = (pdf | any_of(path, STABLE_PATHS) | path.rlike(r"/(toc|table-of-contents)/?\z") | ((F.col("_host") == "queue.acm.org") & path.endswith("/detail.cfm") & F.lower(url_part("url", "query")).contains("id="))
+              | (label.contains("canonical") & has_report_terms(F.concat_ws(" ", F.translate("_path", "_-", "  "), "_label"))))
+    bare = lambda u: F.struct(url_part(u, "netloc").alias("a"), F.regexp_replace(url_part(u, "path"), r"/+\z", "").alias("b"))
+    terms = [(pdf, 48, "pdf_asset"), (~pdf & stable, 34, "stable_publication_url"), (~pdf & ~stable & any_of(text, ["report", "whitepaper", "download"]), 28, "report_like_html_target"),
+             *((F.col("source") == x, 8, f"observed_in_{x}") for x in ("anchor_href", "link_href", "meta_url")), (any_of(label, ["canonical", "citation_pdf_url", "og:url"]), 10, "explicit_canonical_metadata"),
+             (F.col("source") == "embedded_page_url", 6, "observed_in_embedded_page_url"), (stable, 12, "stable_research_asset"), (F.lit(True), F.least(F.lit(36), 6 * shared), None), (has("dora"), 8, None), (has("2025"), 8, None),
+             (text.contains("abridged"), -35, "abridged_asset_penalty"), (text.rlike(LOCALIZED), -20, "localized_asset_penalty"), (bare("url").isin(bare("_req"), bare("_res")), -40, "points_back_to_wrapper_page_penalty")]
+    score = sum((F.when(t, n).otherwise(0) for t, n, _ in terms), F.lit(0))
+    reason = F.concat_ws(",", *[F.when(t, F.lit(why)) for t, _, why in terms if why])
+    got = once(j.where(gate), score=score, reason=reason, content_type=F.when(pdf, "pdf").otherwise("html"), stable=stable).where(F.col("score") >= least)
+    return (got.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "url"))).where(F.col("rank") <= keep)
+            .select("id", "url", "label", "source", "score", "rank", "matches", "reason", "content_type", "stable"))
 
 
 def target_selection(pages: DataFrame, scored: DataFrame) -> DataFrame:
-    """Which candidate, if any, a page's capture should have gone to, and how sure that is."""
-    best = scored.groupBy("id").agg(F.count_if(F.col("score") >= 70).alias("strong"), F.max_by("url", F.struct("score", F.when(F.col("score") >= 70, 1).otherwise(0))).alias("top"), F.max("score").alias("top_score"))
-    j = pages.join(best, "id", "left").withColumn("strong", F.coalesce("strong", F.lit(0)))
-    status = F.when(F.col("commercial_landing"), "no_selection").when(~F.col("likely_target_mismatch"), "not_applicable").when(F.col("strong") == 0, "none").when(F.col("strong") > 1, "ambiguous").otherwise("selected")
-    return j.select("id", status.alias("status"), F.when(status == "selected", F.col("top")).alias("selected_url"), F.when(status == "selected", F.when(F.col("top_score") >= 75, "high").otherwise("medium")).alias("confidence"))
+    """Which candidate, if any, a page's capture should have gone to, why, and how sure that is.
+
+    ``pages``: (id, commercial_landing, likely_target_mismatch, confidence); one row each comes back, with its candidates in order.
+    """
+    strong = F.col("score") >= 70
+    one = F.struct("rank", *[c for c in ("url", "label", "source", "content_type", "score", "matches", "stable", "reason")])
+    best = scored.groupBy("id").agg(F.count_if(strong).alias("_n"), F.min_by(F.struct("url", "content_type", "reason", "score"), F.when(strong, F.col("rank"))).alias("_top"), F.array_sort(F.collect_list(one)).alias("_c"))
+    j = pages.join(best, "id", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    case = (F.when(F.coalesce("commercial_landing", F.lit(False)), "commercial").when(~F.coalesce("likely_target_mismatch", F.lit(False)), "no_mismatch").when(F.col("_n") == 0, "none").when(F.col("_n") > 1, "ambiguous").otherwise("selected"))
+    j = j.withColumn("_case", case)
+    pick = lambda k: functools.reduce(lambda w, x: w.when(F.col("_case") == x[0], F.lit(x[1][k])), TARGETS.items(), F.when(F.lit(False), F.lit("")))
+    chosen = F.col("_case") == "selected"
+    sure = F.when(chosen, F.when(F.col("_top.score") >= 75, "high").otherwise("medium")).when(F.col("_case") == "no_mismatch", F.coalesce("confidence", F.lit("none"))).otherwise(pick(3))
+    hidden = F.col("_case").isin("commercial", "no_mismatch") | F.col("_c").isNull()
+    return j.select("id", pick(0).alias("status"), F.when(chosen, F.col("_top.reason")).otherwise(pick(1)).alias("reason"), pick(2).alias("canonical_status"), sure.alias("canonical_confidence"),
+                    F.when(chosen, F.col("_top.url")).otherwise("").alias("selected_url"), F.when(chosen, F.col("_top.content_type")).otherwise("").alias("selected_content_type"),
+                    F.when(hidden, F.array().cast(j.schema["_c"].dataType)).otherwise(F.col("_c")).alias("candidates"))
+
+
+def second_hop(pages: DataFrame, selection: DataFrame, fetched: DataFrame) -> DataFrame:
+    """The capture that counts of each page: that of its selected target if it was fetched, else its own; one hop only.
+
+    ``pages`` and ``fetched`` have the columns of ``extract_html`` by ``id``, ``fetched`` by the selected URL as ``id``.
+    """
+    to = selection.where("selected_url <> ''").select("id", "selected_url")
+    far = fetched.select(F.col("id").alias("selected_url"), F.struct("title", "paragraphs", "links").alias("_far"))
+    j = pages.join(to, "id", "left").join(far, "selected_url", "left")
+    own = F.struct("title", "paragraphs", "links")
+    return j.select("id", F.when(F.col("_far").isNotNull(), F.col("selected_url")).alias("followed"), F.coalesce("_far", own).alias("_p")).select("id", "followed", "_p.*")

@@ -31,6 +31,22 @@ def load(spark: SparkSession, root: str, base_url: str) -> DataFrame:
     return latest.select("canonical_id", "m.*")
 
 
+def store_listing(listings: DataFrame, root: str, base_url: str, *, at: str) -> None:
+    """Appends listings of one base URL: (kind, key, ids) with kind ``child`` or ``space``; later rows win on reading."""
+    listings.select("kind", "key", "ids", F.lit(at).alias("stored_at"), _host(base_url).alias("base")).write.partitionBy("base").mode("append").parquet(root)
+
+
+def load_listing(spark: SparkSession, root: str, base_url: str) -> DataFrame:
+    """The latest listing of each (kind, key) of one base URL; entries with a null or blank id, or of another kind, are misses."""
+    schema = "kind string, key string, ids array<string>, stored_at string, base string"
+    try:
+        df = spark.read.schema(schema).parquet(root)
+    except Exception:  # a cache never fails a run
+        df = spark.createDataFrame([], schema)
+    sound = F.col("kind").isin("child", "space") & F.col("key").isNotNull() & F.col("ids").isNotNull() & ~F.exists("ids", lambda i: i.isNull() | (F.trim(i) == ""))
+    return df.where((F.col("base") == _host(base_url)) & sound).groupBy("kind", "key").agg(F.max_by("ids", F.struct("stored_at", "ids")).alias("ids"))
+
+
 def clear(spark: SparkSession, root: str, base_url: str) -> bool:
     """Drops one base URL's partition only; says whether there was one."""
     import hashlib

@@ -48,6 +48,25 @@ def _known(given: Mapping, allowed: set[str], where: str) -> None:
         raise ValueError(f"{where}: unknown keys {', '.join(sorted(map(str, extra)))}")
 
 
+# The options each type of run takes, and those that are whole numbers of at least one.
+OPTIONS: dict[str, set[str]] = {
+    "confluence": {"base_url", "target", "output_dir", "space_key", "space_url", "ca_bundle_path", "fetch_cache_dir", "tree_cache_dir", "force_refresh", "clear_cache", "auth", "tree", "max_depth", "request_delay_ms", "max_requests_per_second"},
+    "git_repo": {"repo_url", "output_dir", "ref", "include", "exclude", "subdir"},
+    "github_metadata": {"repo", "output_dir", "base_url", "token_env", "resource_type", "state", "since", "max_items", "include_comments", "include_review_comments"},
+    "local_files": {"file_path", "output_dir"}, "public_webpage": {"url", "output_dir"}, "public_pdf": {"url", "output_dir"}, "bundle": {"inputs", "output_path"},
+}
+NUMBERS = {"max_depth", "request_delay_ms", "max_requests_per_second", "max_items"}
+
+
+def option_problem(kind: str, options: Mapping[str, object]) -> str | None:
+    """What is wrong with a run's options: a key its type doesn't take, or a number that is none."""
+    extra = set(options) - OPTIONS.get(kind, set(options))
+    if extra:
+        return f"unknown options {', '.join(sorted(extra))}"
+    bad = sorted(k for k in NUMBERS & set(options) if not (str(options[k]).isdigit() and int(str(options[k])) >= (0 if k != "max_items" else 1)))
+    return f"{bad[0]} must be a whole number" if bad else None
+
+
 def load(path: str) -> tuple[list[Run], list[Bundle]]:
     """The runs and bundles of a file; every bundle's runs must exist, have an output folder and be no bundles."""
     with open(path, encoding="utf-8") as f:
@@ -70,6 +89,8 @@ def load(path: str) -> tuple[list[Run], list[Bundle]]:
             if not isinstance(r.get(k, False), bool):
                 raise ValueError(f"run {i + 1}: {k} must be true or false")
         opts = {k: os.path.normpath(os.path.join(os.path.dirname(os.path.abspath(path)), v)) if k.endswith(("_dir", "_path")) else str(v) for k, v in (r.get("options") or {}).items()}
+        if problem := option_problem(r["type"], opts):
+            raise ValueError(f"run {i + 1}: {problem}")
         runs.append(Run(i, r["name"], r["type"], r.get("enabled", True), r.get("dry_run", False), opts))
     if len({r.name for r in runs}) != len(runs):
         raise ValueError("run names must not repeat")

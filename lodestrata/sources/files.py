@@ -6,6 +6,7 @@ import os
 from urllib.parse import unquote
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,17 +67,22 @@ def numbered_name(output: str, index: int, total: int) -> str:
 def delete_files(plan: DataFrame, root: str, *, path: str = "output_path") -> int:
     """Deletes the planned files if not one row of the plan has a violation; else raises with all of them first.
 
-    The plan is checked on the cluster; paths stream to the driver, which alone deletes.
+    The plan is checked on the cluster, and the files, in a folder all executors share, are deleted there; one that is gone already is none.
     """
     bad = plan.where("violation IS NOT NULL").select(path, "violation").orderBy(path).limit(1000).collect()
     if bad:
         raise ValueError("; ".join(f"{r[path]}: {r['violation']}" for r in bad))
-    n = 0
-    for r in plan.select(path).distinct().orderBy(path).toLocalIterator():
-        at = os.path.realpath(os.path.join(root, r[path]))
-        if not at.startswith(os.path.realpath(root) + os.sep):
-            raise ValueError(f"{r[path]}: outside the output folder")
-        if os.path.isfile(at):
-            os.remove(at)
-            n += 1
-    return n
+
+    def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, top = 0, os.path.realpath(root)
+        for b in batches:
+            for p in b.column(0).to_pylist():
+                at = os.path.realpath(os.path.join(top, p))
+                if not at.startswith(top + os.sep):
+                    raise ValueError(f"{p}: outside the output folder")
+                if os.path.isfile(at):
+                    os.remove(at)
+                    n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    return plan.select(path).distinct().mapInArrow(drop, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

@@ -49,13 +49,21 @@ class _Reader(DataSourceReader):
         return at
 
     def _commit(self, at: str) -> str:
-        """Without a reference the remote's head, else the first of ref and origin/ref that exists."""
-        tries = [self.ref, f"origin/{self.ref}"] if self.ref else ["origin/HEAD", "HEAD"]
-        for t in tries:
-            done = subprocess.run(["git", "-C", at, "rev-parse", "--verify", "--quiet", f"{t}^{{commit}}"], capture_output=True)
-            if not done.returncode:
-                return done.stdout.decode().strip()
-        raise ValueError(f"Could not resolve the reference {self.ref!r}")
+        """Without a reference the remote's head, else the first of ref and origin/ref that exists; one the clone lacks is fetched by name."""
+        def first(names: list[str]) -> str | None:
+            for t in names:
+                done = subprocess.run(["git", "-C", at, "rev-parse", "--verify", "--quiet", f"{t}^{{commit}}"], capture_output=True, check=False)
+                if not done.returncode:
+                    return done.stdout.decode().strip()
+            return None
+
+        found = first([self.ref, f"origin/{self.ref}"] if self.ref else ["origin/HEAD", "HEAD"])
+        if found is None and self.ref and not self.ref.startswith("-"):
+            done = subprocess.run(["git", "-C", at, "fetch", "origin", self.ref], capture_output=True, check=False)
+            found = None if done.returncode else first(["FETCH_HEAD", self.ref, f"origin/{self.ref}"])
+        if found is None:
+            raise ValueError(f"Could not resolve the reference {self.ref!r}")
+        return found
 
     def partitions(self) -> list[InputPartition]:
         at = self._place()

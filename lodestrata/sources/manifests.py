@@ -53,14 +53,21 @@ def read_manifests(spark: SparkSession, paths: list[str]) -> DataFrame | None:
 def write_manifest(path: str, entries: DataFrame, *, generated_at: str, root_page_id: str | None = None, max_depth: int | None = None, stale: DataFrame | None = None) -> str:
     """One run's manifest as a JSON file, replaced whole; absent values are left out.
 
-    Rows stream to the driver in order of path; for manifests beyond a file's size keep the table (``commit_state``).
+    Rows stream through the driver in order of path and into the file one by one; for manifests beyond a file's size keep the table (``commit_state``).
     """
     head = {"generated_at": generated_at} | ({"root_page_id": root_page_id} if root_page_id else {}) | ({"max_depth": max_depth} if max_depth is not None else {})
-    rows = lambda df: [{k: v for k, v in r.asDict().items() if v is not None and v != ""} for r in df.orderBy("output_path", "canonical_id").toLocalIterator()]
-    body = head | {"files": rows(entries)} | ({"stale_artifacts": s} if stale is not None and (s := rows(stale)) else {})
+    text = lambda x: json.dumps(x, indent=2, ensure_ascii=False)
     os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
     with open(f"{path}.tmp", "w", encoding="utf-8") as f:
-        f.write(json.dumps(body, indent=2, ensure_ascii=False) + "\n")
+        f.write(text(head).removesuffix("\n}"))
+        for name, part in (("files", entries), ("stale_artifacts", stale)):
+            n = 0
+            for r in () if part is None else part.orderBy("output_path", "canonical_id").toLocalIterator():
+                f.write((",\n    " if n else f',\n  "{name}": [\n    ') + text({k: v for k, v in r.asDict().items() if v is not None and v != ""}).replace("\n", "\n    "))
+                n += 1
+            if n or name == "files":
+                f.write("\n  ]" if n else ',\n  "files": []')
+        f.write("\n}\n")
     os.replace(f"{path}.tmp", path)
     return path
 

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 
 def file_stream(spark: SparkSession, path: str, schema, *, files_per_batch: int = 100) -> DataFrame:
@@ -34,3 +35,29 @@ def drain(stream: DataFrame, sink: str, checkpoint: str, *, mode: str = "append"
 def windowed_counts(events: DataFrame, *, ts: str | Column = "ts", by: list[str], width: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Counts a window, with a watermark for late rows; works on a stream and on a table alike."""
     return events.withWatermark(ts, late).groupBy(F.window(ts, width).alias("w"), *by).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("window_start"), *by, "n")
+
+
+def thresholds(before: int, after: int, every: int = 500) -> list[int]:
+    """The multiples of ``every`` that a count has reached or passed on its way."""
+    return list(range((before // every + 1) * every, after + 1, every))
+
+
+class Progress(StreamingQueryListener):
+    """Tells ``report`` each multiple of ``every`` input rows that a stream has read; add it with ``spark.streams.addListener``."""
+
+    def __init__(self, report: Callable[[int], None], every: int = 500):
+        self.report, self.every, self.seen = report, every, 0
+
+    def onQueryStarted(self, event) -> None:
+        self.seen = 0
+
+    def onQueryProgress(self, event) -> None:
+        before, self.seen = self.seen, self.seen + event.progress.numInputRows
+        for n in thresholds(before, self.seen, self.every):
+            self.report(n)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass

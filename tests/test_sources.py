@@ -70,7 +70,7 @@ def test_http(spark):
     threading.Thread(target=s.serve_forever, daemon=True).start()
     at = f"http://127.0.0.1:{s.server_port}"
     http.register(spark)
-    r = spark.read.format("lodestrata_urls").option("urls", json.dumps([f"{at}/{x}" for x in ("ok", "big", "pdf", "none")])).option("maxbytes", "1000").option("accept", "text/html").load()
+    r = spark.read.format("lodestrata_urls").option("urls", json.dumps([f"{at}/{x}" for x in ("ok", "big", "pdf", "none")])).option("maxbytes", "1000").option("accept", "text/html").option("private", "true").load()
     assert {x["requested_url"].rpartition("/")[2]: (x["status"], x["body"], x["problem"]) for x in r.collect()} == {"ok": (200, "é", None), "big": (200, None, "too large"), "pdf": (200, None, "content type not accepted"), "none": (404, None, "status 404")}
     read = lambda p: spark.read.format("lodestrata_listing").option("urls", json.dumps([f"{at}/{p}"])).load()
     assert [x["id"] for x in read("l1").orderBy("position").collect()] == ["2", "10", "1"]
@@ -149,8 +149,8 @@ def test_packages(spark, tmp_path):
         P.seal(str(tmp_path / "q"), package_id="pk", run_id="r", request={}, items=[], artifacts={"../x": (b"", "record", "")}, created_at="t")
     open(os.path.join(at, "data/a.txt"), "w").write("jello")
     r = PK.verify(spark, at)
-    assert (r["state"], r["failed_stage"], r["findings"]) == ("rejected", "artifact-integrity", ["data/a.txt: digest_mismatch"])
+    assert (r["state"], r["failed_stage"], r["findings"]) == ("rejected", "artifact-integrity", ["data/a.txt: artifact-digest-mismatch"])
     open(os.path.join(at, "extra"), "w").write("x")
     assert PK.verify(spark, at)["failed_stage"] == "inventory-coverage"
     os.symlink("extra", os.path.join(at, "link"))
-    assert PK.verify(spark, at)["failed_stage"] == "envelope"
+    assert PK.verify(spark, at)["findings"] == ["link: symlink-not-allowed", "extra: inventory-coverage-mismatch"]
