@@ -157,11 +157,11 @@ def discovered(rows: DataFrame, *, payload: str = "payload", max_items: int = 50
     text = lambda x, p: F.nullif(F.try_variant_get(x, p, "string"), F.lit(""))
     entries = F.coalesce(F.try_variant_get(v, "$.entries", "array<variant>"), F.array(v))
     src = rows.select(text(v, "$.id").alias("collection_id"), F.size(entries).alias("_n"), F.posexplode(entries).alias("_i", "_e"))
-    src = src.withColumn("_n", F.when(F.col("_n") > max_items, F.raise_error(F.lit(f"more than {max_items} entries"))).otherwise(F.col("_n")))
+    place = F.when(F.col("_n") > max_items, F.raise_error(F.lit(f"more than {max_items} entries")).cast("bigint")).otherwise(F.coalesce(F.try_variant_get("_e", "$.playlist_index", "bigint"), F.col("_i") + 1))
     why = F.coalesce(text(F.col("_e"), "$.availability"), F.lit("public"))
     failure = F.when(text(F.col("_e"), "$.id").isNull(), "no_id").when(why.isin(*UNAVAILABLE), why).when(~why.isin(*AVAILABLE), "unavailable")
-    return src.select("collection_id", text(F.col("_e"), "$.id").alias("video_id"), F.coalesce(F.try_variant_get("_e", "$.playlist_index", "bigint"), F.col("_i") + 1).alias("position"), text(F.col("_e"), "$.title").alias("title"),
-                      failure.isNull().alias("available"), failure.alias("failure"), "_n").drop("_n")
+    return src.select("collection_id", text(F.col("_e"), "$.id").alias("video_id"), place.alias("position"), text(F.col("_e"), "$.title").alias("title"),
+                      failure.isNull().alias("available"), failure.alias("failure"))
 
 
 # How a video's availability is named.
