@@ -20,13 +20,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.session import cut, release
+
 MAX_LABELS = 8_000
 MAX_LAG = 24
 BATCH_CHARS = 4_000_000
 # A leading title with a metadata list, or with "key: value" lines, as the sources of the project write them.
 # Lines end in \n or \r\n; a block has any number of lines, the list up to the next heading.
 HEADER = regex.compile(r"\s*(?:# [^\n]*\n\s*)?## Metadata\r?\n(?:(?!##? ).*\n)*?\s*## Content\s*\n|[^\r\n][^\n]*\n\r?\n(?:[a-z_ ]{2,24}: [^\n]*\n){2,}\r?\n")
-TOKEN = regex.compile(r"(?:https?:)?//[^\s\"'<>)\]]+|<[^<>\n]{0,400}>|#\w+|\w+(?:['’]\w+)?|[^\w\s]|\n").findall
+TOKEN = regex.compile(r"(?:https?:)?//[^\s\"'<>)\]]+|<[^<>\n]*>|#\w+|\w+(?:['’]\w+)?|[^\w\s]|\n").findall
 # Cyrillic and Greek letters that look like Latin ones, and digits used as letters.
 LOOKALIKE = str.maketrans("аеорсухіјѕԁһвкмтгпΑΒΕΖΗΙΚΜΝΟΡΤΥΧαορν", "aeopcyxijsdhbkmtrnABEZHIKMNOPTYXaopv")
 LEET = str.maketrans("013457$@", "oieastsa")
@@ -188,19 +190,24 @@ def features(texts: list[str], weights: dict[str, float]) -> np.ndarray:
     return out
 
 
+def distinct_words(text: str | None) -> set[str]:
+    """The words of a text behind its leading block, in the spelling they are counted by."""
+    terms = _Terms({})
+    return {tok.translate(LOOKALIKE).lower() for tok in set(TOKEN(body(text))) if terms.kind[terms[tok]] in (WORD, ODD)}
+
+
+def log_odds(counts: dict[str, tuple[int, int]], spam: int, ok: int) -> dict[str, float]:
+    """Log-odds of words by the number of (ok, spam) documents they are in; words of fewer than 4 documents have none."""
+    return {w: float(np.log((b + 0.5) / (max(1, spam) + 1)) - np.log((a + 0.5) / (max(1, ok) + 1))) for w, (a, b) in counts.items() if a + b >= 4}
+
+
 def word_weights(texts: list[str], spam: np.ndarray) -> dict[str, float]:
-    """Log-odds of words by the number of spam and other documents they are in; words of fewer than 4 documents have none."""
+    """``log_odds`` of the words of labelled texts at hand."""
     count: dict[str, list[int]] = {}
-    terms = _Terms({})
-    names: dict[int, str] = {}
     for t, y in zip(texts, spam):
-        for tok in set(TOKEN(body(t))):
-            i = terms[tok]
-            if terms.kind[i] in (WORD, ODD):
-                names.setdefault(terms.key[i], next(k for k, v in ((tok.translate(LOOKALIKE).lower(), 0),)))
-                count.setdefault(names[terms.key[i]], [0, 0])[int(y)] += 1
-    n1, n0 = max(1, int(spam.sum())), max(1, int((~spam).sum()))
-    return {w: float(np.log((b + 0.5) / (n1 + 1)) - np.log((a + 0.5) / (n0 + 1))) for w, (a, b) in count.items() if a + b >= 4}
+        for w in distinct_words(t):
+            count.setdefault(w, [0, 0])[int(y)] += 1
+    return log_odds({w: (a, b) for w, (a, b) in count.items()}, int(spam.sum()), int((~spam).sum()))
 
 
 def expand(x: np.ndarray) -> np.ndarray:
@@ -244,6 +251,46 @@ def fit(texts: list[str], spam: np.ndarray) -> tuple[dict[str, float], Model]:
     return word_weights(texts, spam), Model(expand(x), spam.astype(float))
 
 
+def _fit_there(known: DataFrame) -> tuple[dict[str, float], Model] | None:
+    """``fit`` on labelled documents ``(_id, _t, _y)`` where they lie; None if all labels are of one kind.
+
+    The driver gets the counts of words that at least four documents have and one row of FEATURES a document, never a text. Half of
+    the documents (by a hash of the id) are described by the words of the other half.
+    """
+    known = known.select(F.coalesce("_t", F.lit("")).alias("t"), (F.col("_y") == "spam").alias("y"), (F.pmod(F.xxhash64("_id"), F.lit(2)) == 0).alias("half"))
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t, y, half in zip(*(c.to_pylist() for c in b.columns)):
+                ws = sorted(distinct_words(t))
+                yield pa.RecordBatch.from_arrays([pa.array(ws, pa.string()), pa.array([y] * len(ws), pa.bool_()), pa.array([half] * len(ws), pa.bool_())], ["word", "y", "half"])
+
+    sizes = {(r["half"], r["y"]): r["n"] for r in known.groupBy("half", "y").agg(F.count(F.lit(1)).alias("n")).collect()}  # four rows
+    size = lambda half, y: sum(n for (h, k), n in sizes.items() if k == y and (half is None or h == half))
+    if not size(None, True) or not size(None, False):
+        return None
+    n = lambda half, y: F.count_if((F.col("half") == half) & (F.col("y") == y)).alias(f"n{int(half)}{int(y)}")
+    rows = (known.mapInArrow(spell, "word string, y boolean, half boolean").groupBy("word").agg(*[n(h, y) for h in (False, True) for y in (False, True)])
+            .where("n00 + n01 + n10 + n11 >= 4").orderBy("word").collect())
+    counts = lambda *halves: {r["word"]: tuple(sum(r[f"n{int(h)}{y}"] for h in halves) for y in (0, 1)) for r in rows}
+    whole, *sides = (log_odds(counts(*hs), sum(size(h, True) for h in hs), sum(size(h, False) for h in hs)) for hs in ((False, True), (False,), (True,)))
+    other = known.sparkSession.sparkContext.broadcast(sides)
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts, ys, halves = (c.to_pylist() for c in b.columns)
+            x = np.zeros((len(texts), len(FEATURES)))
+            for side in (False, True):
+                mine = [i for i, h in enumerate(halves) if h == side]
+                if mine:
+                    x[mine] = features([texts[i] for i in mine], other.value[not side])
+            yield pa.RecordBatch.from_arrays([pa.array(ys, pa.bool_()), pa.array(list(x), pa.list_(pa.float64()))], ["y", "x"])
+
+    got = known.mapInArrow(describe, "y boolean, x array<double>").collect()
+    got.sort(key=lambda r: (r["y"], r["x"]))
+    return whole, Model(expand(np.array([r["x"] for r in got])), np.array([r["y"] for r in got], float))
+
+
 def spam_documents(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "label", max_labels: int = MAX_LABELS) -> DataFrame:
     """Distinct ids of the documents that are mostly keywords, links or tags, with their ``score`` (above 0).
 
@@ -251,13 +298,13 @@ def spam_documents(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
     from, and the result is empty. Repeated ids count once each text; extra columns are ignored.
     """
     named = labels.select(F.col(id_col).alias("_id"), F.col(label_col).alias("_y")).where("_id IS NOT NULL AND _y IN ('spam', 'ok')").distinct()
-    named = named.orderBy(F.xxhash64("_id"), "_id").limit(max_labels)
-    known = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(F.broadcast(named), "_id").orderBy("_id").limit(max_labels).collect()
-    texts, y = [r["_t"] or "" for r in known], np.array([r["_y"] == "spam" for r in known], bool)
-    empty = docs.select(F.col(id_col), F.lit(0.0).alias("score")).where(F.lit(False))
-    if not y.any() or y.all():
-        return empty
-    weights, model = fit(texts, y)
+    named = named.orderBy(F.xxhash64("_id"), "_id", "_y").limit(max_labels)
+    known = cut(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(F.broadcast(named), "_id"))
+    fitted = _fit_there(known)
+    release(known)
+    if fitted is None:
+        return docs.select(F.col(id_col), F.lit(0.0).alias("score")).where(F.lit(False))
+    weights, model = fitted
     shared = docs.sparkSession.sparkContext.broadcast((weights, model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
