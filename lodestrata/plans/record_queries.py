@@ -53,7 +53,9 @@ def bundle_sections(spark, d):
 
 
 def _split(spark, d):
-    s = B.ordered(_sections(spark, d).select("doc_id", "origin", F.col("canonical_id"), byte_length("md").alias("n_bytes")).withColumns({"input_index": F.lit(0), "entry_index": F.col("doc_id")}), ["origin"], "manifest")
+    # Written once: range partitioning looks at its input twice, which would render every section twice.
+    sizes = cut(_sections(spark, d).select("doc_id", "origin", F.col("canonical_id"), byte_length("md").alias("n_bytes")))
+    s = B.ordered(sizes.withColumns({"input_index": F.lit(0), "entry_index": F.col("doc_id")}), ["origin"], "manifest")
     return B.split(s, "origin", max_bytes=MAX_BYTES)
 
 
@@ -163,12 +165,6 @@ def web_link_choice(spark, d):
     return W.link_choice(_links(spark, d), on="id").select("id", "url", "pos", "label")
 
 
-def web_link_scores(spark, d):
-    """The scored links of each document towards its own title."""
-    pages = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "title", F.col("text").alias("visible_text"), F.concat(F.lit("https://"), "origin").alias("requested_url"), F.concat(F.lit("https://"), "origin").alias("resolved_url"))
-    return W.scored_links(W.link_choice(_links(spark, d), on="id"), pages)
-
-
 def _pages(spark, d):
     rows = table(spark, d, "dora_regression_cases").where("id IS NOT NULL AND raw_pages IS NOT NULL").select("id", "raw_pages").distinct()
     return rows.select("id", F.posexplode("raw_pages").alias("p", "t")).select("id", (F.col("p") + 1).alias("page_no"), F.coalesce("t", F.lit("")).alias("text"))
@@ -203,6 +199,13 @@ def pdf_footer_suppressed(spark, d):
     return G.without_footers(G.repaired_pages(rows)).withColumn("text_hash", sha256(F.array_join("pages", "\f"))).drop("pages")
 
 
+def pdf_cleanup_counters(spark, d):
+    """what each repair did to every report, in all and by pages."""
+    rows = table(spark, d, "dora_regression_cases").where("id IS NOT NULL AND raw_pages IS NOT NULL").select("id", "raw_pages").distinct()
+    pages = cut(G.repaired_pages(rows))
+    return G.cleanup_counters(pages, G.without_footers(pages))
+
+
 def rolling_cues(spark, d):
     """The lines of every text as automatic cues."""
     cues = C.collapse(F.filter(F.transform(splitlines("text"), lambda x: F.trim(x)), lambda x: x != ""), F.lit(True))
@@ -237,7 +240,7 @@ def acceptance_report(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (record_markdown, web_markdown, paged_markdown, bundle_sections, bundle_split, bundle_files, package_inventory, package_totals, canonical_json, git_skip_reasons, tree_bfs, tree_bfs_all, space_listing, url_output_name, public_url_check,
-                                   api_roots, web_chrome_reasons, web_shape_counts, web_source_intent, web_link_choice, web_link_scores, pdf_trailing_lines, pdf_footer_signatures, pdf_line_diagnostics, pdf_repairs, pdf_footer_suppressed, rolling_cues,
+                                   api_roots, web_chrome_reasons, web_shape_counts, web_source_intent, web_link_choice, pdf_trailing_lines, pdf_footer_signatures, pdf_line_diagnostics, pdf_repairs, pdf_footer_suppressed, pdf_cleanup_counters, rolling_cues,
                                    caption_selection, replay_classification, acceptance_ranges, acceptance_report)}
 
 _WS = r"[\t\n\x0b\x0c\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
@@ -311,6 +314,62 @@ def _sig(x: str) -> str:
 _PAGED = G.PAGED.replace("\\z", "$")
 _DIAG = _D + f""", diag AS (SELECT id, count(*) AS n_lines, {_n("regexp_matches(line, '^\\d{1,4}$')")} AS bare, {_n("regexp_matches(line, '^\\d{1,4}$') AND n - i <= 4")} AS bare_trailing, {_n("regexp_matches(line, '^\\d{1,4}$') AND (" + _CTX('prev') + ' OR ' + _CTX('nxt') + ')')} AS bare_near_numbers,
  {_n(f"regexp_matches(line, '{_PAGED}') AND n - i > 4")} AS footer_like_inside, {_n("regexp_matches(line, '\\S\\s{3,}\\S') OR (regexp_matches(line, '[A-Za-z]{2,}-$') AND regexp_matches(nxt, '^\\p{Ll}'))")} AS layout_artifacts FROM ln GROUP BY id)"""
+_z = lambda p: p.replace(chr(92) + "z", "$").replace("'", "''")
+_rstrip = lambda x: f"regexp_replace({x}, '{_WS}$', '')"
+_LINES = lambda x: f"(SELECT CASE WHEN len(q) > 0 AND q[len(q)] = '' THEN q[:len(q) - 1] ELSE q END FROM (SELECT string_split_regex({x}, '{_EOL}') AS q))"
+
+
+def _joined(src: str, out: str, hits: str, test: str, keep: str) -> str:
+    """Lines of ``src`` (id, page_no, l) that join the next: every other one of a run; ``out`` has (id, page_no, text, hits)."""
+    return f"""{out}a AS (SELECT *, string_aggs(l) AS f FROM {src}),
+{out} AS (SELECT * EXCLUDE (l, f), {_strip("array_to_string(list_filter(list_transform(range(1, len(l) + 1), lambda i: CASE WHEN i > 1 AND f[i - 1] = '1' THEN NULL WHEN f[i] = '1' THEN " + keep + " || " + _strip('l[i + 1]') + " ELSE " + _rstrip('l[i]') + " END), lambda x: x IS NOT NULL), chr(10))")} AS text, length(f) - length(replace(f, '1', '')) AS {hits} FROM {out}a)""".replace(
+        "string_aggs(l)", "regexp_replace(array_to_string(list_transform(range(1, len(l) + 1), lambda i: CASE WHEN coalesce(i < len(l) AND " + test + ", false) THEN '1' ELSE '0' END), ''), '11', '10', 'g')")
+
+
+_WRAPS = f"{_strip('l[i + 1]')} <> '' AND regexp_matches({_rstrip('l[i]')}, '{_z(G.URL_WRAP)}') AND regexp_matches({_strip('l[i + 1]')}, '[-._~/%!$&''()*+,;=:@?#]') AND regexp_matches({_strip('l[i + 1]')}, '^[a-z0-9][a-z0-9._~%!$&''()*+,;=:@/?#-]*$')"
+_SPLITS = f"regexp_matches({_strip(chr(99) + 'oalesce(CASE WHEN i > 1 THEN l[i - 1] END, ' + chr(39) * 2 + ')')}, '{_z(G.SPLIT_BEFORE)}') AND regexp_matches({_strip('l[i]')}, '^\\p{{L}}$') AND regexp_matches({_strip('l[i + 1]')}, '^\\p{{Ll}}') AND regexp_matches(substr({_strip('l[i + 1]')}, 2), '\\p{{L}}')"
+_SCHEME = _z(G.SCHEME)
+_REPAIRED = f"""WITH rows AS (SELECT DISTINCT id, raw_pages FROM dora_regression_cases WHERE id IS NOT NULL AND raw_pages IS NOT NULL),
+pg AS (SELECT id, unnest(range(1, len(raw_pages) + 1)) AS page_no, coalesce(unnest(raw_pages), '') AS t FROM rows),
+r0 AS (SELECT id, page_no, len(regexp_extract_all(t, '{_SCHEME}')) AS n_scheme, regexp_replace(t, '{_SCHEME}', '\\1://\\2\\3', 'g') AS t FROM pg), r1 AS (SELECT id, page_no, n_scheme, {_LINES('t')} AS l FROM r0),
+{_joined('r1', 'r2', 'n_wrap', _WRAPS, _rstrip('l[i]'))}, r3 AS (SELECT id, page_no, n_scheme, n_wrap, {_LINES('text')} AS l FROM r2),
+{_joined('r3', 'r4', 'n_split', _SPLITS, _strip('l[i]'))}
+"""
+
+
+def _tails(src: str, out: str, versions: bool) -> str:
+    """The last four non-empty lines of each page of ``src`` (id, page_no, text): index, line and anchor by depth."""
+    clean = _squeeze("line")
+    numbered = f"regexp_matches({clean}, '{_PAGED}')" + (f" AND NOT regexp_matches({clean}, '{_z(G.VERSION)}')" if versions else "")
+    return f"""{out}l AS (SELECT *, {_LINES('text')} AS l, count(*) OVER (PARTITION BY id) AS n_pages FROM {src}),
+{out}e AS (SELECT id, page_no, i, line, row_number() OVER (PARTITION BY id, page_no ORDER BY i DESC) AS d FROM (SELECT id, page_no, unnest(range(len(l))) AS i, unnest(list_transform(l, lambda x: {_strip('x')})) AS line FROM {out}l) WHERE line <> '' QUALIFY d <= 4),
+{out}s AS (SELECT *, CASE WHEN NOT regexp_matches(line, '^\\d{{1,4}}$') AND NOT ({numbered}) AND regexp_matches(line, '\\p{{L}}') AND length({clean}) <= 140 THEN {_sig('line')} END AS a, TRY_CAST(nullif(regexp_extract({clean}, '{_z(G.PAGE_NUMBER)}', 1), '') AS INT) AS v FROM {out}e)"""
+
+
+_by = lambda c: ", ".join(f"max(CASE WHEN d = {k} THEN {c} END) AS {c}{k}" for k in (1, 2, 3, 4))
+_major = lambda n: f"(CASE WHEN {n} <= 2 THEN 2 ELSE {n} // 2 + 1 END)"
+_CLEAN = lambda gone: _strip(f"array_to_string(list_filter(list_transform(range(1, len(l) + 1), lambda i: CASE WHEN list_contains({gone}, i - 1) THEN NULL ELSE {_rstrip('l[i]')} END), lambda x: x IS NOT NULL), chr(10))")
+_FOOTERS = _REPAIRED + f""", {_tails('r4', 'g', True)},
+g1 AS (SELECT id, page_no, {_by('a')}, {_by('i')} FROM gs GROUP BY 1, 2), g2 AS (SELECT gl.id, gl.page_no, text, l, n_pages, i1, i2, i3, i4, a1 AS b1, a1 || chr(1) || a2 AS b2, a1 || chr(1) || a2 || chr(1) || a3 AS b3, a1 || chr(1) || a2 || chr(1) || a3 || chr(1) || a4 AS b4 FROM gl LEFT JOIN g1 ON g1.id = gl.id AND g1.page_no = gl.page_no),
+g3 AS (SELECT *, {', '.join(f"b{k} IS NOT NULL AND n_pages >= 10 AND count(*) OVER (PARTITION BY id, b{k}) >= greatest(10, {_major('n_pages')}, ceil(n_pages * 0.6)) AS o{k}" for k in (1, 2, 3, 4))} FROM g2), g4 AS (SELECT *, o4 AS c4 FROM g3),
+g5 AS (SELECT *, o3 AND bool_or(NOT c4) OVER (PARTITION BY id, b3) AS c3 FROM g4), g6 AS (SELECT *, o2 AND bool_or(NOT (c3 OR c4)) OVER (PARTITION BY id, b2) AS c2 FROM g5), g7 AS (SELECT *, o1 AND bool_or(NOT (c2 OR c3 OR c4)) OVER (PARTITION BY id, b1) AND bool_or(c2 OR c3 OR c4) OVER (PARTITION BY id, b1) AS c1 FROM g6),
+g8 AS (SELECT *, list_distinct(list_filter([{', '.join([f"CASE WHEN {' OR '.join(f'c{j}' for j in range(k, 5))} THEN i{k} END" for k in (1, 2, 3, 4)] + [f"CASE WHEN c{k} AND i{k} > 0 AND TRY_CAST(nullif(regexp_extract({_squeeze(f'l[i{k}]')}, '{_z(G.PAGE_NUMBER)}', 1), '') AS INT) = page_no THEN i{k} - 1 END" for k in (2, 3, 4)])}], lambda x: x IS NOT NULL)) AS gone FROM g7),
+high AS (SELECT id, page_no, n_pages AS np, len(gone) AS n_gone, CASE WHEN n_pages < 10 THEN {_strip('text')} ELSE {_CLEAN('gone')} END AS text FROM g8), h0 AS (SELECT id, page_no, text FROM high), {_tails('h0', 'h', False)},
+spots AS (SELECT hs.id, hs.page_no, hs.d, hs.a AS sig, hs.i, hl.n_pages, hl.l FROM hs JOIN hl ON hl.id = hs.id AND hl.page_no = hs.page_no WHERE hs.a IS NOT NULL AND hl.n_pages > 1 QUALIFY count(*) OVER (PARTITION BY hs.id, hs.d, hs.a) >= {_major('hl.n_pages')}),
+tries AS (SELECT s.*, s.d + u.o AS e FROM spots s, (VALUES (-1), (1)) u(o) WHERE s.d + u.o BETWEEN 1 AND 4),
+f0 AS (SELECT t.*, x.i AS j, x.v, x.i IS NULL AS lacks FROM tries t LEFT JOIN hs x ON x.id = t.id AND x.page_no = t.page_no AND x.d = t.e),
+f1 AS (SELECT *, v IS NOT NULL AND len(list_filter(range(greatest(least(i, j) - 1, 0), least(len(l), greatest(i, j) + 2)), lambda k: k <> i AND k <> j AND {_CTX('l[k + 1]')})) > 0 AS risky FROM f0),
+f2 AS (SELECT *, v IS NOT NULL AND NOT risky AS good FROM f1), f3 AS (SELECT f.*, lag(v) OVER (PARTITION BY id, d, sig, e ORDER BY page_no) AS last FROM f2 f WHERE good),
+an AS (SELECT id, page_no, {_by('a')} FROM hs GROUP BY 1, 2),
+sh AS (SELECT f.id, f.d, f.sig, f.e, bool_or(f.last >= f.v) AS disorder, {', '.join(f"count(an.a{k}) = count(*) AND count(DISTINCT an.a{k}) = 1 AS s{k}" for k in (1, 2, 3, 4))} FROM f3 f LEFT JOIN an ON an.id = f.id AND an.page_no = f.page_no GROUP BY ALL),
+k0 AS (SELECT id, d, sig, e, any_value(n_pages) AS n_pages, count(*) FILTER (good) AS n_good, count(*) FILTER (risky) AS n_risky, count(*) FILTER (lacks) AS n_lacks, count(*) FILTER (v IS NULL AND NOT lacks) AS n_odd FROM f2 GROUP BY ALL),
+k1 AS (SELECT k0.*, coalesce(disorder, false) AS disorder, s1, s2, s3, s4, n_good < {_major('n_pages')} AS few FROM k0 LEFT JOIN sh USING (id, d, sig, e)), k2 AS (SELECT *, NOT few AND NOT disorder AS ok FROM k1),
+k3 AS (SELECT *, coalesce(lag(ok) OVER (PARTITION BY id, d, sig ORDER BY e), false) AS done FROM k2), k4 AS (SELECT * FROM k3 WHERE NOT done),
+why AS (SELECT id, coalesce(sum(n_lacks) FILTER (ok), 0)::BIGINT AS n_missing, coalesce(sum(n_odd) FILTER (ok), 0)::BIGINT AS n_nonparseable, coalesce(sum(n_risky) FILTER (ok OR few), 0)::BIGINT AS n_context, coalesce(sum(n_good) FILTER (NOT few AND disorder), 0)::BIGINT AS n_order FROM k4 GROUP BY 1),
+m0 AS (SELECT id, d, sig, e, unnest([{', '.join(f"CASE WHEN (CASE WHEN e < d THEN {k} >= d ELSE {k} <= d END) AND " + ' AND '.join(f"(NOT {x} BETWEEN least(d, {k}) AND greatest(d, {k}) OR s{x})" for x in (1, 2, 3, 4)) + f" THEN {k} END" for k in (1, 2, 3, 4))}, e]) AS depth FROM k4 WHERE ok),
+m1 AS (SELECT DISTINCT f2.id, f2.page_no, depth FROM f2 JOIN m0 USING (id, d, sig, e) WHERE good AND depth IS NOT NULL), m2 AS (SELECT m1.id, m1.page_no, list(hs.i) AS spot FROM m1 JOIN hs ON hs.id = m1.id AND hs.page_no = m1.page_no AND hs.d = m1.depth GROUP BY ALL),
+last AS (SELECT hl.id, hl.page_no, coalesce(spot, []) AS spot, {_CLEAN('coalesce(spot, [])')} AS text FROM hl LEFT JOIN m2 ON m2.id = hl.id AND m2.page_no = hl.page_no)
+"""
 _ACC = _DIAG + """, lang AS (SELECT DISTINCT id, coalesce(lang, 'none') AS source_key FROM dora_regression_cases), m AS (SELECT source_key, sum(n_lines)::BIGINT AS lines, sum(layout_artifacts)::BIGINT AS artifacts FROM diag JOIN lang USING (id) GROUP BY 1),
 mm AS (SELECT source_key, 'lines' AS path, lines AS value FROM m UNION ALL SELECT source_key, 'artifacts', artifacts FROM m),
 spec AS (SELECT k.k AS source_key, s.* FROM (VALUES ('en'), ('de'), ('none'), ('it')) k(k), (VALUES ('retained lines', 'lines', 100::BIGINT, 5000::BIGINT), ('layout artifacts', 'artifacts', 0::BIGINT, 300::BIGINT)) s(label, path, minimum, maximum)),
@@ -343,6 +402,13 @@ SQL = {
  k AS (SELECT doc_id, list_filter(c, lambda x, i: NOT coalesce(starts_with(c[i + 1], x), false)) AS c FROM l) SELECT doc_id, len(c)::INT AS cues, sha256(array_to_string(c, chr(10))) AS cue_hash FROM k""",
     "pdf_trailing_lines": _D + "SELECT id, page_no::INT AS page_no, (n - i)::INT AS depth, line FROM ln WHERE n - i <= 4",
     "pdf_footer_signatures": _D + f", s AS (SELECT id, page_no, (n - i)::INT AS depth, {_sig('line')} AS signature FROM ln WHERE n - i <= 4 AND length({_squeeze('line')}) <= 140), c AS (SELECT id, depth, signature, count(DISTINCT page_no) AS pages FROM s GROUP BY ALL), np AS (SELECT id, count(*) AS n_pages FROM pg GROUP BY 1) SELECT id, depth, signature, pages, n_pages FROM c JOIN np USING (id) WHERE pages >= CASE WHEN n_pages <= 2 THEN 2 ELSE n_pages // 2 + 1 END",
+    "pdf_repairs": _REPAIRED + "SELECT id, page_no::INT AS page_no, n_scheme::INT AS n_scheme, n_wrap::INT AS n_wrap, n_split::INT AS n_split, sha256(text) AS text_hash FROM r4",
+    "pdf_footer_suppressed": _FOOTERS + """SELECT last.id, any_value(np)::BIGINT AS n_pages, sum(n_gone)::BIGINT AS n_high, sum(len(spot))::BIGINT AS n_anchored, coalesce(any_value(n_missing), 0)::BIGINT AS n_missing, coalesce(any_value(n_nonparseable), 0)::BIGINT AS n_nonparseable, coalesce(any_value(n_context), 0)::BIGINT AS n_context,
+ coalesce(any_value(n_order), 0)::BIGINT AS n_order, sha256(string_agg(last.text, chr(12) ORDER BY last.page_no)) AS text_hash FROM last JOIN high USING (id, page_no) LEFT JOIN why ON why.id = last.id GROUP BY 1""",
+    "pdf_cleanup_counters": _FOOTERS + """, a AS (SELECT id, sum(n_scheme)::BIGINT AS total_scheme, count(*) FILTER (n_scheme > 0) AS pages_scheme, sum(n_wrap)::BIGINT AS total_wrap, count(*) FILTER (n_wrap > 0) AS pages_wrap, sum(n_split)::BIGINT AS total_split, count(*) FILTER (n_split > 0) AS pages_split FROM r4 GROUP BY 1),
+ b AS (SELECT last.id, any_value(np)::BIGINT AS n_pages, sum(n_gone)::BIGINT AS total_covering, sum(len(spot))::BIGINT AS total_anchored, count(*) FILTER (last.text = '') AS empty_pages FROM last JOIN high USING (id, page_no) GROUP BY 1) SELECT * FROM a JOIN b USING (id)""",
+    "canonical_json": """WITH j AS (SELECT DISTINCT id, expected_metadata AS x FROM dora_regression_cases WHERE expected_metadata IS NOT NULL), k AS (SELECT id, x, list_sort(json_keys(x)) AS ks FROM j)
+ SELECT id, '{' || array_to_string(list_transform(ks, lambda k: '"' || k || '":' || CAST(json_extract(x, '$.' || k) AS VARCHAR)), ',') || '}' || chr(10) AS canonical, CASE WHEN len(ks) > 0 THEN 2 ELSE 1 END AS depth, NULL::VARCHAR AS problem FROM k""",
     "pdf_line_diagnostics": _DIAG + "SELECT *, printf('%.3f', layout_artifacts / n_lines) AS density FROM diag",
     "caption_selection": """WITH t AS (SELECT origin, lang AS language, CASE WHEN source = 'youtube' THEN 'creator' ELSE 'automatic' END AS kind, CASE WHEN n_chars > 1000 THEN 'vtt' ELSE 'srv3' END AS format, coalesce(title, '') || '#' || doc_id::VARCHAR AS name, CASE WHEN lower(lang) = 'es' THEN 0 WHEN split_part(lower(lang), '-', 1) = 'es' THEN 1 WHEN lower(lang) = 'de-ch' THEN 2 WHEN split_part(lower(lang), '-', 1) = 'de' THEN 3 END AS r FROM documents WHERE lang IS NOT NULL)
  SELECT origin, language, kind, format, name, 'creator_then_automatic:' || CASE WHEN r % 2 = 0 THEN 'exact' ELSE 'base-language-fallback' END || ':' || language || ':' || kind AS reason FROM t WHERE r IS NOT NULL QUALIFY row_number() OVER (PARTITION BY origin ORDER BY CASE WHEN kind = 'creator' THEN 0 ELSE 1 END, r, CASE WHEN format = 'vtt' THEN 0 ELSE 1 END, language, name) = 1""",
