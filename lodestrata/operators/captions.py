@@ -21,6 +21,21 @@ ASIDE = ("NOTE", "STYLE", "REGION")
 NO_UTF8, NO_HEADER, MALFORMED, NO_CUES = "captions are not valid UTF-8", "missing WEBVTT header", "malformed WebVTT cue", "WebVTT contains no spoken cues"
 
 
+def enriched(videos: DataFrame, *, payload: str = "payload", most: int = 64) -> DataFrame:
+    """The caption tracks that a video's payload names: ``video_id, kind, language, format, name``, one row a track.
+
+    ``subtitles`` are made by the creator, ``automatic_captions`` are not; both map a language to its tracks. A video with more than ``most``
+    tracks is an error. A null payload, or one without tracks, gives no rows. Choose with ``choose``, then fetch the winners only.
+    """
+    v = F.try_parse_json(payload)
+    kind = "map<string,array<struct<ext:string,name:string>>>"
+    tracks = lambda path, name: F.flatten(F.transform(F.map_entries(F.coalesce(F.try_variant_get(v, path, kind), F.create_map().cast(kind))), lambda e: F.transform(F.coalesce(e["value"], F.array().cast("array<struct<ext:string,name:string>>")), lambda t: F.struct(
+        F.lit(name).alias("kind"), e["key"].alias("language"), t["ext"].alias("format"), t["name"].alias("name")))))
+    every = F.concat(tracks("$.subtitles", "creator"), tracks("$.automatic_captions", "automatic"))
+    out = videos.select(F.try_variant_get(v, "$.id", "string").alias("video_id"), every.alias("_t"))
+    return out.select("video_id", F.explode(F.when(F.size("_t") > most, F.raise_error(F.lit(f"more than {most} caption tracks")).cast(out.schema["_t"].dataType)).otherwise(F.col("_t"))).alias("t")).select("video_id", "t.*")
+
+
 def choose(tracks: DataFrame, *, on: str, languages: list[str], policy: str = "creator_then_automatic", base_fallback: bool = True) -> DataFrame:
     """The best track of each video: columns ``on, language, kind, format, name, reason``; no row if none is eligible.
 

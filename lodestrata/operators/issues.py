@@ -54,3 +54,22 @@ def hydrate(parents: DataFrame, comments: DataFrame, key: str) -> DataFrame:
     """Parents with their arrays; those without comments get an empty one. Limit the parents first."""
     kind = comments.schema["comments"].dataType
     return parents.join(comments, key, "left").withColumn("comments", F.coalesce("comments", F.array().cast(kind)))
+
+
+STATES = ["open", "closed", "all"]
+
+
+def options_problem(repo: str, state: str = "open", since: str | None = None, max_items: int | None = None) -> str | None:
+    """What is wrong with a scan's options, before any request: the repository's form, the state, the time or the limit."""
+    owner, _, name = repo.partition("/")
+    if not owner or not name or "/" in name or owner != owner.strip() or name != name.strip():
+        return "repo must be owner/name"
+    if state not in STATES:
+        return f"state must be one of {', '.join(STATES)}"
+    if max_items is not None and max_items < 1:
+        return "max_items must be at least 1"
+    try:
+        datetime.fromisoformat((since or "2000-01-01").replace("Z", "+00:00"))
+    except ValueError:
+        return "since must be an ISO-8601 time"
+    return None

@@ -145,6 +145,15 @@ def video_discovery(spark: SparkSession, d: str) -> DataFrame:
     return L.discovered(p).select("collection_id", "video_id", "position", "available", "failure")
 
 
+def video_enrichment(spark: SparkSession, d: str) -> DataFrame:
+    """The caption tracks that orders' payloads name, by language and kind."""
+    track = lambda ext, name: F.struct(F.lit(ext).alias("ext"), name.alias("name"))
+    subs = F.map_filter(F.create_map(F.lit("en"), F.array(track("vtt", F.col("o_orderpriority")), track("srv1", F.lit(None).cast("string"))), F.lit("de"), F.array(track("vtt", F.lit("x")))), lambda k, _: (k == "en") | (F.col("o_orderstatus") == "O"))
+    auto = F.when(F.col("o_orderstatus") != "F", F.create_map(F.lit("fr"), F.array(track("vtt", F.lit("auto")))))
+    p = F.to_json(F.struct(F.col("o_orderkey").cast("string").alias("id"), subs.alias("subtitles"), auto.alias("automatic_captions")))
+    return C.enriched(table(spark, d, "orders").select(p.alias("payload"))).select("video_id", "kind", "language", "format", "name")
+
+
 def canonical_ids(spark: SparkSession, d: str) -> DataFrame:
     """Ids and output paths of tracker records and repository files."""
     doc = table(spark, d, "documents").where("source IN ('github_metadata', 'git_repo') AND origin IS NOT NULL")
@@ -335,7 +344,7 @@ def report_order(spark: SparkSession, d: str) -> DataFrame:
     return M.in_report_order(n.select("bundle_name", "output_path", "canonical_id", (F.col("before") + 1).alias("place")), "stale", ["bundle_name"])
 
 
-QUERIES = {f.__name__: f for f in (page_records, page_summaries, stub_pages, child_listing, served_listing, issue_records, pull_request_records, release_records, pull_request_markdown, next_links, rate_limits, video_discovery, canonical_ids, web_html_text, web_link_targets, web_target_selection,
+QUERIES = {f.__name__: f for f in (page_records, page_summaries, stub_pages, child_listing, served_listing, issue_records, pull_request_records, release_records, pull_request_markdown, next_links, rate_limits, video_discovery, video_enrichment, canonical_ids, web_html_text, web_link_targets, web_target_selection,
                                    joined_urls, caption_cues, written_files, manifest_round_trip, state_round_trip, cache_round_trip, bundle_inputs, readiness_matrix, retry_decisions, reconciliation, first_examples, run_report_text, orchestrated_runs, request_records, verified_claims, report_order)}
 
 _TIME = lambda c: f"strftime({c} AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ')"
@@ -402,6 +411,8 @@ SQL: dict[str, str] = {
     "video_discovery": """WITH e AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag) AS i, l_partkey % 5 AS k FROM lineitem),
  f AS (SELECT *, CASE WHEN l_suppkey % 9 = 0 THEN 'no_id' WHEN k = 1 THEN 'private' WHEN k = 3 THEN 'unavailable' END AS failure FROM e)
  SELECT l_orderkey::VARCHAR AS collection_id, CASE WHEN l_suppkey % 9 <> 0 THEN l_partkey::VARCHAR END AS video_id, CASE WHEN l_linenumber % 2 = 0 THEN l_linenumber * 10 ELSE i END::BIGINT AS position, failure IS NULL AS available, failure FROM f""",
+    "video_enrichment": """SELECT o_orderkey::VARCHAR AS video_id, t.kind, t.language, t.format, CASE WHEN t.name = 'p' THEN o_orderpriority ELSE t.name END AS name FROM orders, (VALUES ('creator', 'en', 'vtt', 'p'), ('creator', 'en', 'srv1', NULL), ('creator', 'de', 'vtt', 'x'), ('automatic', 'fr', 'vtt', 'auto')) t(kind, language, format, name)
+ WHERE t.language = 'en' OR (t.language = 'de' AND o_orderstatus = 'O') OR (t.language = 'fr' AND o_orderstatus <> 'F')""",
     "canonical_ids": """SELECT doc_id, CASE WHEN source = 'git_repo' THEN origin || '@' || substr(sha256(origin), 1, 40) || ':' || coalesce(canonical_id, 'x') ELSE 'github_metadata:tracker.example:' || origin || ':issue:' || doc_id::VARCHAR END AS id,
  'pages/' || coalesce(canonical_id, 'x') || CASE WHEN coalesce(canonical_id, 'x') LIKE '%.md' THEN '' ELSE '.md' END AS output_path FROM documents WHERE source IN ('github_metadata', 'git_repo') AND origin IS NOT NULL""",
     "web_html_text": f"""WITH r AS (SELECT id, max(raw_content) AS c FROM article_chrome_cases WHERE id IS NOT NULL AND raw_content IS NOT NULL GROUP BY 1),

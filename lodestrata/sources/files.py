@@ -58,6 +58,15 @@ def write_files(rows: DataFrame, root: str, *, path: str = "output_path", conten
     return rows.select(F.concat(F.lit(root.rstrip("/") + "/"), path).alias("path"))
 
 
+def present(paths: DataFrame, root: str, *, path: str = "output_path") -> DataFrame:
+    """The distinct paths that are files below ``root``, a folder all executors share; each is looked for where its row lies."""
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([p for p in b.column(0).to_pylist() if os.path.isfile(os.path.join(root, p))], pa.string())], [path])
+
+    return paths.select(path).where(F.col(path).isNotNull()).distinct().mapInArrow(look, f"{path} string")
+
+
 def numbered_name(output: str, index: int, total: int) -> str:
     """``stem-001.suffix`` ..., or the name itself for a single file."""
     stem, dot, suffix = output.rpartition(".")

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import json
+import os
 import re
 import socket
+import ssl
 import urllib.error
 import urllib.parse
 import urllib.request
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from lodestrata.operators.urls import special_address
+from lodestrata.sources.config import choose
 
 MAX_BYTES = 5_000_000
 NEXT = re.compile(r'<([^<>,;]+)>\s*;[^,]*rel="next"')
@@ -58,6 +61,24 @@ def address_problem(url: str) -> str | None:
     return next(filter(None, map(special_address, sorted(found))), None)
 
 
+def _bearer(options: dict[str, str]) -> tuple[dict[str, str], ssl.SSLContext | None]:
+    name = options.get("tokenenv")
+    token = options.get("token") or (os.environ.get(name) if name else None)
+    if name and not token:
+        raise ValueError(f"the environment variable {name} is not set")
+    return ({"Authorization": f"Bearer {token}"} if token else {}), None
+
+
+def _certificate(options: dict[str, str]) -> tuple[dict[str, str], ssl.SSLContext | None]:
+    context = ssl.create_default_context(cafile=options.get("cabundle"))
+    context.load_cert_chain(options["clientcert"], options.get("clientkey"))
+    return {}, context
+
+
+# How a reader proves who it is: option ``auth``; secrets are named by the environment, never columns. Add strategies here.
+AUTH: dict[str, Callable[[dict[str, str]], tuple[dict[str, str], ssl.SSLContext | None]]] = {"bearer": _bearer, "client_cert": _certificate}
+
+
 def _get(url: str, options: dict[str, str]) -> tuple[int | None, str, str, bytes | None, str | None, dict[str, str]]:
     """(status, final url, content type, body, problem, headers); a body over the limit is no body.
 
@@ -69,9 +90,10 @@ def _get(url: str, options: dict[str, str]) -> tuple[int | None, str, str, bytes
     problem = None if private else address_problem(url)
     if problem:
         return None, url, "", None, problem, {}
-    req = urllib.request.Request(url, headers={"Authorization": f"Bearer {options['token']}"} if options.get("token") else {})
+    headers, context = choose(AUTH, options.get("auth", "bearer"), label="auth")(options)
+    req = urllib.request.Request(url, headers=headers)
     try:
-        with urllib.request.build_opener(_Checked(private)).open(req, timeout=float(options.get("timeout", TIMEOUT))) as r:
+        with urllib.request.build_opener(_Checked(private), *([urllib.request.HTTPSHandler(context=context)] if context else [])).open(req, timeout=float(options.get("timeout", TIMEOUT))) as r:
             kind, head = r.headers.get_content_type(), {k.lower(): v for k, v in r.headers.items()}
             if accept and kind not in accept:
                 return r.status, r.url, kind, None, "content type not accepted", head
