@@ -257,3 +257,23 @@ def test_spam_odd_rows(spark):
     got = {r["doc_id"] for r in K.spam_documents(docs, labels).collect()}
     assert got == {i for i in range(40) if i % 2} | {103}
     assert K.spam_documents(docs, labels.where("label = 'ok'")).count() == 0 and K.spam_documents(docs.where("false"), labels).count() == 0
+
+
+def test_spam_model_is_fitted_where_the_texts_lie(spark):
+    """The words' log-odds equal those counted at hand, labels that a document lacks don't count, and no text reaches the driver."""
+    rng = random.Random(8)
+    nouns, verbs = [f"thing{i}" for i in range(40)], "we saw that it was and then they had gone to the house for a while".split()
+    def text(spam):
+        return " ".join(rng.choice(nouns) for _ in range(3)) * 20 if spam else ". ".join(" ".join(rng.choice(verbs + nouns[:5]) for _ in range(9)) for _ in range(8)) + "."
+    rows = [(i, text(i % 3 == 0), "spam" if i % 3 == 0 else "ok") for i in range(120)]
+    known = spark.createDataFrame(rows, "_id bigint, _t string, _y string")
+    weights, model = K._fit_there(known)
+    want = K.word_weights([t for _, t, _ in rows], np.array([y == "spam" for *_, y in rows]))
+    assert weights.keys() == want.keys() and all(abs(weights[w] - want[w]) < 1e-12 for w in want)
+    x = K.expand(K.features([text(True), text(False)], weights))
+    assert (model.score(x) > 0).tolist() == [True, False]
+    assert K._fit_there(known.where("_y = 'ok'")) is None and K._fit_there(known.where("false")) is None
+
+
+def test_long_tags_are_tags():
+    assert K.TOKEN("<" + "a" * 3000 + "> x") == ["<" + "a" * 3000 + ">", "x"] and K.TOKEN("<" * 50 + "\n")[-1] == "\n"
