@@ -3,8 +3,8 @@
 Everything runs on (parent, child) link frames in O(log depth) join rounds; no step needs a whole tree in one task.
 
 * ``cyclic_links`` separates cycles. Nodes with one parent are contracted into the nearest ancestor with another number
-  of parents by pointer doubling; what remains is a much smaller graph between nodes of several parents, which is
-  contracted again with its links turned round, and so on. Results are carried back down the levels. What contraction does not
+  of parents by pointer doubling; what remains is a much smaller graph between nodes of several parents. One task solves it
+  if its counted links stay below a bound; beyond that it is contracted again with its links turned round, and so on. Results are carried back down the levels. What contraction does not
   shrink goes by reachability over jumps of doubling length (``_cyclic_by_colour``).
 * ``hierarchy`` then labels the forest by heavy-path decomposition: subtree sizes (doubling sums), the heavy child of
   each node, chains; a path is the concatenation of chain segments, and preorder numbers that run down each chain first
@@ -13,12 +13,19 @@ Everything runs on (parent, child) link frames in O(log depth) join rounds; no s
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.session import cut, release, scoped
 from lodestrata.session import rows as _rows
 
+# Links of the contracted graph that one task takes: some 100 bytes each in its memory.
+ONE_TASK_LINKS = 500_000
+
 
 def current_rows(pages: DataFrame) -> DataFrame:
     """The row that counts of each id: highest version (null lowest), then latest fetch, then a fixed order of content.
@@ -143,10 +150,69 @@ def _cyclic_by_colour(edges: DataFrame, *, growth: int = 4) -> DataFrame:
         turn += 1
 
 
+def _components_of(src: np.ndarray, dst: np.ndarray, n: int) -> np.ndarray:
+    """The number of each node's strongly connected component, by one depth-first walk that keeps its own stack."""
+    order = np.argsort(src, kind="stable")
+    to, first = dst[order].tolist(), np.searchsorted(src[order], np.arange(n + 1)).tolist()
+    seen, low, comp, stack, count, found = [0] * n, [0] * n, [-1] * n, [], 0, 0
+    for root in range(n):
+        if seen[root]:
+            continue
+        count += 1
+        seen[root] = low[root] = count
+        stack.append(root)
+        walk = [(root, first[root])]
+        while walk:
+            v, i = walk[-1]
+            if i < first[v + 1]:
+                walk[-1] = (v, i + 1)
+                w = to[i]
+                if not seen[w]:
+                    count += 1
+                    seen[w] = low[w] = count
+                    stack.append(w)
+                    walk.append((w, first[w]))
+                elif comp[w] < 0:
+                    low[v] = min(low[v], seen[w])
+                continue
+            walk.pop()
+            if walk:
+                u = walk[-1][0]
+                low[u] = min(low[u], low[v])
+            if low[v] == seen[v]:
+                while True:
+                    w = stack.pop()
+                    comp[w] = found
+                    if w == v:
+                        break
+                found += 1
+    return np.array(comp, np.int64)
+
+
+def _cyclic_in_one_task(edges: DataFrame) -> DataFrame:
+    """The links ``(src, dst)`` on cycles of a graph whose number of links the caller has checked; no link from a node to itself is given."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number: dict = {}
+        parts = [[np.array([number.setdefault(x, len(number)) for x in c.to_pylist()], np.int64) for c in b.columns] for b in batches]
+        if not parts:
+            return
+        src, dst = (np.concatenate(x) for x in zip(*parts))
+        comp = _components_of(src, dst, len(number))
+        names, keep = list(number), np.flatnonzero((comp[src] == comp[dst]) & (src != dst))
+        kind = pa.string() if not names or isinstance(names[0], str) else pa.int64()
+        yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in c[keep]], kind) for c in (src, dst)], ["src", "dst"])
+
+    kinds = ", ".join(f"{c} {edges.schema[c].dataType.simpleString()}" for c in ("src", "dst"))
+    return cut(edges.select("src", "dst").coalesce(1).mapInArrow(run, kinds))
+
+
 @scoped
-def cyclic_links(links: DataFrame, *, src: str = "parent", dst: str = "child", _stuck: int = 0) -> DataFrame:
+def cyclic_links(links: DataFrame, *, src: str = "parent", dst: str = "child", one_task: int = ONE_TASK_LINKS, _stuck: int = 0) -> DataFrame:
     """The links that lie on a cycle, a link from a node to itself included; columns ``src`` and ``dst``.
 
+    What the first contraction leaves is solved in one task if it has at most ``one_task`` links (0 for never), else by further rounds; the
+    result is the same.
+
     A node is on a cycle exactly when one of these links ends in it. Nulls on either side are no links; repeated links
     count once; an empty frame gives an empty frame.
     """
@@ -169,12 +235,14 @@ def cyclic_links(links: DataFrame, *, src: str = "parent", dst: str = "child", _
     pairs = cut(between.where("top <> dst").select(F.col("top").alias("a"), F.col("dst").alias("b")).distinct())
     n, before = _rows(pairs), _rows(edges)
     if n:
-        small = 4 * n <= 3 * before  # contraction has to pay, or its levels would be as many as the graph is long
-        if not small and _stuck >= 1:
+        small = 4 * n <= 3 * before
+        if n <= one_task:
+            inner = _cyclic_in_one_task(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"))).select(F.col("src").alias("a"), F.col("dst").alias("b"))
+        elif not small and _stuck >= 1:  # contraction has to pay, or its levels would be as many as the graph is long
             inner = _cyclic_by_colour(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")))
             inner = inner.select(F.col("src").alias("a"), F.col("dst").alias("b"))
         else:
-            turned = cyclic_links(pairs, src="b", dst="a", _stuck=0 if small else _stuck + 1)
+            turned = cyclic_links(pairs, src="b", dst="a", one_task=one_task, _stuck=0 if small else _stuck + 1)
             inner = turned.select(F.col("dst").alias("a"), F.col("src").alias("b"))
         closed = between.join(inner.select(F.col("a").alias("top"), F.col("b").alias("dst")), ["top", "dst"], "left_semi").select("src", "dst", "top")
     else:

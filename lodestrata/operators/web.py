@@ -306,7 +306,7 @@ def target_selection(pages: DataFrame, scored: DataFrame) -> DataFrame:
     j = j.withColumn("_case", case)
     pick = lambda k: functools.reduce(lambda w, x: w.when(F.col("_case") == x[0], F.lit(x[1][k])), TARGETS.items(), F.when(F.lit(False), F.lit("")))
     chosen = F.col("_case") == "selected"
-    sure = F.when(chosen, F.when(F.col("_top.score") >= 75, "high").otherwise("medium")).when(F.col("_case") == "no_mismatch", F.coalesce("confidence", F.lit("none"))).otherwise(pick(3))
+    sure = F.when(chosen, F.when(F.col("_top.score") >= 75, "high").otherwise("medium")).when(F.col("_case") == "no_mismatch", F.coalesce("confidence", F.lit("none")) if "confidence" in pages.columns else F.lit("none")).otherwise(pick(3))
     hidden = F.col("_case").isin("commercial", "no_mismatch") | F.col("_c").isNull()
     return j.select("id", pick(0).alias("status"), F.when(chosen, F.col("_top.reason")).otherwise(pick(1)).alias("reason"), pick(2).alias("canonical_status"), sure.alias("canonical_confidence"),
                     F.when(chosen, F.col("_top.url")).otherwise("").alias("selected_url"), F.when(chosen, F.col("_top.content_type")).otherwise("").alias("selected_content_type"),

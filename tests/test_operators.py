@@ -161,7 +161,7 @@ def test_web_text(spark):
     pages = spark.createDataFrame([(1, "The DORA 2025 report", "accelerate performance", "https://h.example/land", "https://h.example/land", True, False)], "id int, title string, visible_text string, requested_url string, resolved_url string, likely_target_mismatch boolean, commercial_landing boolean")
     s = W.scored_links(links, pages)
     assert [(r["url"], r["score"], r["rank"]) for r in s.collect()] == [("https://h.example/report/dora-2025.pdf", 48 + 8 + 12 + 12 + 16, 1)]
-    assert tuple(W.target_selection(pages, s).first()) == (1, "selected", "https://h.example/report/dora-2025.pdf", "high")
+    assert tuple(W.target_selection(pages, s).select("id", "status", "selected_url", "canonical_confidence").first()) == (1, "selected", "https://h.example/report/dora-2025.pdf", "high")
     c = spark.createDataFrame([(1, "u", 0, None), (1, "u", 1, "l"), (1, "u", 2, "m"), (1, "w", 5, ""), (1, "w", 6, None)], "id int, url string, pos int, label string")
     assert {r["url"]: (r["pos"], r["label"]) for r in W.link_choice(c, on="id").collect()} == {"u": (0, "l"), "w": (5, None)}
 
