@@ -15,6 +15,7 @@ from lodestrata.operators.issues import is_pull_request
 
 # Rules of a field: text (a string), filled (a string with a character), text? (a string or nothing), loose (nothing unless it is
 # a filled string), int, int?, loose int, flag, body (a string, nothing is ''), name (as text?, nothing is '').
+# The API's field names.
 _TRACKED = [("title", "$.title", "text"), ("state", "$.state", "text"), ("created_at", "$.created_at", "text"), ("updated_at", "$.updated_at", "text"), ("body", "$.body", "body"), ("author", "$.user.login", "loose")]
 _COMMENT = [("created_at", "$.created_at", "text"), ("updated_at", "$.updated_at", "text"), ("body", "$.body", "body"), ("author", "$.user.login", "loose")]
 _LINKED = [*_COMMENT, ("comment_id", "$.id", "int?"), ("html_url", "$.html_url", "text?"), ("url", "$.url", "text?")]

@@ -42,6 +42,16 @@ def record_markdown(*, title, canonical_id, source_url, content, source, adapter
     return F.concat(F.concat_ws("\n", *lines), F.lit("\n"), body_text(content), F.lit("\n"))
 
 
+def quality_lines(prefix: str, fields: dict[str, Column]) -> tuple[tuple[str, Column], ...]:
+    """Metadata lines of a candidate's assessment, for ``record_markdown``'s ``extra``; flags as ``True`` and ``False``.
+
+    The last line has all of them as one JSON object in the order of its keys, absent values left out.
+    """
+    shown = lambda v: F.coalesce(F.when(F.typeof(v) == "boolean", F.initcap(v.cast("string"))).otherwise(v.cast("string")), F.lit(""))
+    lines = [(f"{prefix}_{k}", shown(v)) for k, v in fields.items()]
+    return (*lines, (f"{prefix}_metadata_json", F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]))))
+
+
 def tree_output_path(path: str | Column, prefix: str = "") -> Column:
     """The source path with ``.md`` appended unless it is there already, below a prefix."""
     p = col(path)

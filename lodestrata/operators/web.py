@@ -215,7 +215,7 @@ def intent_shape(counts: DataFrame, requested: str = "requested_url", resolved:
     confidence = F.when(mismatch | thin, "low").when((c("retained_chars") >= 8000) & (c("substantive") >= 5), "high").otherwise("medium")
     shape = (F.when(commercial, "commercial_landing_page").when(index, "mutable_index_page").when(chapter, "chapter_navigation_source").when(redirect & mismatch, "historical_report_redirect").when(stable & ~mismatch, "stable_canonical_asset")
              .when(mismatch, "likely_wrong_capture_target").when(c("retained_chars") == 0, "no_retained_content").when(confidence != "low", "substantive_content_page").otherwise("insufficient_substantive_body"))
-    return counts.withColumns({"ratio": ratio, "wrapper": wrapper, "likely_target_mismatch": mismatch, "confidence": confidence, "shape": shape})
+    return counts.withColumns({"lead_form": lead, "download_landing": landing, "commercial_landing": commercial, "mutable_index": index, "chapter_navigation": chapter, "historical_redirect": redirect, "stable_asset": stable, "ratio": ratio, "wrapper": wrapper, "likely_target_mismatch": mismatch, "confidence": confidence, "shape": shape})
 
 
 def link_choice(links: DataFrame, *, on: str, url: str = "url", label: str = "label", pos: str = "pos") -> DataFrame:
@@ -282,6 +282,7 @@ def scored_links(links: DataFrame, pages: DataFrame, *, keep: int = 12, least: i
     stable = (pdf | any_of(path, STABLE_PATHS) | path.rlike(r"/(toc|table-of-contents)/?\z") | ((F.col("_host") == "queue.acm.org") & path.endswith("/detail.cfm") & F.lower(url_part("url", "query")).contains("id="))
               | (label.contains("canonical") & has_report_terms(F.concat_ws(" ", F.translate("_path", "_-", "  "), "_label"))))
     bare = lambda u: F.struct(url_part(u, "netloc").alias("a"), F.regexp_replace(url_part(u, "path"), r"/+\z", "").alias("b"))
+    # What each finding is worth, and the name it is given as a reason.
     terms = [(pdf, 48, "pdf_asset"), (~pdf & stable, 34, "stable_publication_url"), (~pdf & ~stable & any_of(text, ["report", "whitepaper", "download"]), 28, "report_like_html_target"),
              *((F.col("source") == x, 8, f"observed_in_{x}") for x in ("anchor_href", "link_href", "meta_url")), (any_of(label, ["canonical", "citation_pdf_url", "og:url"]), 10, "explicit_canonical_metadata"),
              (F.col("source") == "embedded_page_url", 6, "observed_in_embedded_page_url"), (stable, 12, "stable_research_asset"), (F.lit(True), F.least(F.lit(36), 6 * shared), None), (has("dora"), 8, None), (has("2025"), 8, None),

@@ -170,6 +170,33 @@ def _pages(spark, d):
     return rows.select("id", F.posexplode("raw_pages").alias("p", "t")).select("id", (F.col("p") + 1).alias("page_no"), F.coalesce("t", F.lit("")).alias("text"))
 
 
+def web_quality_markdown(spark, d):
+    """Captured pages with the lines of their assessment, by hash."""
+    rows, paras = _paras(spark, d)
+    c = W.intent_shape(W.intent_counts(paras).join(rows, "id"))
+    none = F.create_map().cast("map<string,bigint>")
+    c = c.select("*", F.explode(F.array(Q.classification("retained_chars", F.create_map(F.lit("page_chrome"), F.col("suppressed")), none, F.array().cast("array<string>"), F.col("likely_target_mismatch")))).alias("_q"))
+    fields = {"operational_state": F.col("_q.state"), "promotion_state": F.col("_q.promotion"), "review_effort": F.col("_q.effort"), "bounded_review_economics": F.col("_q.bounded"), "deterministic_cleanup_count": F.col("_q.cleanup"), "remaining_artifact_count": F.col("_q.remaining"),
+              "webpage_chrome_suppressed_paragraph_count": F.col("suppressed"), "webpage_target_shape_assessment": F.col("shape"), "webpage_possible_wrapper_page": F.col("wrapper"), "webpage_possible_lead_form_page": F.col("lead_form"), "webpage_possible_download_landing_page": F.col("download_landing"),
+              "webpage_commercial_landing_page_detected": F.col("commercial_landing"), "webpage_mutable_index_page_detected": F.col("mutable_index"), "webpage_chapter_navigation_source_detected": F.col("chapter_navigation"), "webpage_historical_report_redirect_detected": F.col("historical_redirect"),
+              "webpage_stable_research_asset_detected": F.col("stable_asset"), "webpage_substantive_content_confidence": F.col("confidence"), "webpage_likely_target_mismatch": F.col("likely_target_mismatch")}
+    md = R.record_markdown(title=F.lit("page"), canonical_id="id", source_url="resolved_url", content="raw_content", source=F.lit("public_webpage"), adapter=F.lit("public_webpage"), extra=(("candidate_status", F.lit("unreviewed")), ("extraction_notes", F.lit("Unreviewed candidate material.")), *R.quality_lines("replay_quality", fields)),
+                           note="This is unreviewed candidate material generated from an external public source.")
+    return c.select("id", sha256(md).alias("content_hash")).distinct()
+
+
+def paged_quality_markdown(spark, d):
+    """Cleaned reports with the counters of their repairs, by hash."""
+    rows = table(spark, d, "dora_regression_cases").where("id IS NOT NULL AND raw_pages IS NOT NULL").select("id", "raw_pages").distinct()
+    pages = cut(G.repaired_pages(rows))
+    clean = cut(G.without_footers(pages))
+    n = G.cleanup_counters(pages, clean).join(clean.select("id", "pages"), "id")
+    fields = {f"pdf_{k}": F.col(k) for k in ("total_scheme", "pages_scheme", "total_wrap", "pages_wrap", "total_split", "pages_split", "total_covering", "total_anchored", "empty_pages")}
+    text = F.array_join(F.transform("pages", lambda p, i: F.concat(F.lit("## Page "), (i + 1).cast("string"), F.lit("\n\n"), p)), "\n\n")
+    md = R.record_markdown(title=F.lit("report"), canonical_id="id", source_url=F.lit(""), content=text, source=F.lit("public_pdf"), adapter=F.lit("public_pdf"), fetched_at=F.lit(FETCHED), extra=(("candidate_status", F.lit("unreviewed")), ("page_count", F.col("n_pages").cast("string")), *R.quality_lines("replay_quality", fields)))
+    return n.select("id", sha256(md).alias("content_hash"))
+
+
 def pdf_trailing_lines(spark, d):
     """The last four non-empty lines of every page."""
     return G.trailing(G.page_lines(_pages(spark, d))).select("id", "page_no", "depth", "line")
@@ -239,7 +266,7 @@ def acceptance_report(spark, d):
     return Q.acceptance_report(acceptance_ranges(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (record_markdown, web_markdown, paged_markdown, bundle_sections, bundle_split, bundle_files, package_inventory, package_totals, canonical_json, git_skip_reasons, tree_bfs, tree_bfs_all, space_listing, url_output_name, public_url_check,
+QUERIES = {f.__name__: f for f in (record_markdown, web_markdown, paged_markdown, web_quality_markdown, paged_quality_markdown, bundle_sections, bundle_split, bundle_files, package_inventory, package_totals, canonical_json, git_skip_reasons, tree_bfs, tree_bfs_all, space_listing, url_output_name, public_url_check,
                                    api_roots, web_chrome_reasons, web_shape_counts, web_source_intent, web_link_choice, pdf_trailing_lines, pdf_footer_signatures, pdf_line_diagnostics, pdf_repairs, pdf_footer_suppressed, pdf_cleanup_counters, rolling_cues,
                                    caption_selection, replay_classification, acceptance_ranges, acceptance_report)}
 
@@ -375,7 +402,26 @@ mm AS (SELECT source_key, 'lines' AS path, lines AS value FROM m UNION ALL SELEC
 spec AS (SELECT k.k AS source_key, s.* FROM (VALUES ('en'), ('de'), ('none'), ('it')) k(k), (VALUES ('retained lines', 'lines', 100::BIGINT, 5000::BIGINT), ('layout artifacts', 'artifacts', 0::BIGINT, 300::BIGINT)) s(label, path, minimum, maximum)),
 acc AS (SELECT s.source_key, s.label, s.path, coalesce(mm.value, 0) AS value, s.minimum, s.maximum, coalesce(mm.value, 0) BETWEEN s.minimum AND s.maximum AS ok FROM spec s LEFT JOIN mm USING (source_key, path))"""
 
+_SHOWN = {  # line, column, kind of the assessment lines
+    "operational_state": ("q_state", "s"), "promotion_state": ("q_promotion", "s"), "review_effort": ("q_effort", "s"), "bounded_review_economics": ("retained_chars > 0", "b"), "deterministic_cleanup_count": ("suppressed", "n"), "remaining_artifact_count": ("0", "n"), "webpage_chrome_suppressed_paragraph_count": ("suppressed", "n"),
+    "webpage_target_shape_assessment": ("shape", "s"), "webpage_possible_wrapper_page": ("wrapper", "b"), "webpage_possible_lead_form_page": ("lead", "b"), "webpage_possible_download_landing_page": ("landing", "b"), "webpage_commercial_landing_page_detected": ("commercial", "b"), "webpage_mutable_index_page_detected": ("idx", "b"),
+    "webpage_chapter_navigation_source_detected": ("chap", "b"), "webpage_historical_report_redirect_detected": ("redirect", "b"), "webpage_stable_research_asset_detected": ("stable", "b"), "webpage_substantive_content_confidence": ("confidence", "s"), "webpage_likely_target_mismatch": ("likely_target_mismatch", "b")}
+_REPORTED = {f"pdf_{k}": (k, "n") for k in ("total_scheme", "pages_scheme", "total_wrap", "pages_wrap", "total_split", "pages_split", "total_covering", "total_anchored", "empty_pages")}
+
+
+def _quality(fields: dict) -> tuple:
+    text = lambda c, k: f"CASE WHEN {c} THEN 'True' ELSE 'False' END" if k == "b" else f"({c})::VARCHAR"
+    json = lambda n, c, k: f"'\"{n}\":' || " + (f"'\"' || {c} || '\"'" if k == "s" else f"({c})::VARCHAR")
+    return (*((f"replay_quality_{n}", text(c, k)) for n, (c, k) in fields.items()), ("replay_quality_metadata_json", "('{' || " + " || ',' || ".join(json(n, *fields[n]) for n in sorted(fields)) + " || '}')"))
+
+
 SQL = {
+    "web_quality_markdown": _INTENT + ", a AS (SELECT intent.*, r.raw_content, r.resolved_url AS at_url, CASE WHEN retained_chars > 0 AND likely_target_mismatch THEN 'likely-wrong-capture-target' WHEN retained_chars > 0 THEN 'review-ready' ELSE 'diagnostic-only' END AS q_state, CASE WHEN retained_chars = 0 OR likely_target_mismatch THEN 'unsafe-to-promote' ELSE 'promotion-capable' END AS q_promotion,"
+                            " CASE WHEN retained_chars > 0 AND likely_target_mismatch THEN 'source_target_review' WHEN retained_chars = 0 THEN 'not_useful' ELSE 'bounded' END AS q_effort FROM intent JOIN rows r USING (id)) SELECT DISTINCT id, sha256(md) AS content_hash FROM (SELECT id, "
+                            + _md("'page'", "id", "at_url", "raw_content", "'public_webpage'", extra=(("candidate_status", "'unreviewed'"), ("extraction_notes", "'Unreviewed candidate material.'"), *_quality(_SHOWN)), note="This is unreviewed candidate material generated from an external public source.") + " AS md FROM a)",
+    "paged_quality_markdown": _FOOTERS + """, a AS (SELECT id, sum(n_scheme)::BIGINT AS total_scheme, count(*) FILTER (n_scheme > 0) AS pages_scheme, sum(n_wrap)::BIGINT AS total_wrap, count(*) FILTER (n_wrap > 0) AS pages_wrap, sum(n_split)::BIGINT AS total_split, count(*) FILTER (n_split > 0) AS pages_split FROM r4 GROUP BY 1),
+ b AS (SELECT last.id, any_value(np)::BIGINT AS n_pages, sum(n_gone)::BIGINT AS total_covering, sum(len(spot))::BIGINT AS total_anchored, count(*) FILTER (last.text = '') AS empty_pages, string_agg('## Page ' || last.page_no::VARCHAR || chr(10) || chr(10) || last.text, chr(10) || chr(10) ORDER BY last.page_no) AS body FROM last JOIN high USING (id, page_no) GROUP BY 1), c AS (SELECT * FROM a JOIN b USING (id))
+ SELECT id, sha256(md) AS content_hash FROM (SELECT id, """ + _md("'report'", "id", "''", "body", "'public_pdf'", extra=(("candidate_status", "'unreviewed'"), ("page_count", "n_pages::VARCHAR"), *_quality(_REPORTED)), fetched=FETCHED) + " AS md FROM c)",
     "record_markdown": f"SELECT doc_id, strlen(md) AS n_bytes, sha256(md) AS content_hash FROM (SELECT doc_id, {_md('title', 'canonical_id', 'origin', 'text', 'source', 'lang')} AS md FROM documents)",
     "web_markdown": "SELECT DISTINCT id, sha256(md) AS content_hash FROM (SELECT id, " + _md("description", "id", "resolved_url", "raw_content", "'public_webpage'", extra=(("candidate_status", "'unreviewed'"), ("extraction_notes", "'Unreviewed candidate material.'")), note="This is unreviewed candidate material generated from an external public source.") + " AS md FROM article_chrome_cases)",
     "paged_markdown": "WITH p AS (SELECT id, description, coalesce(len(raw_pages), 0) AS n, array_to_string(list_transform(range(1, coalesce(len(raw_pages), 0) + 1), lambda i: '## Page ' || i::VARCHAR || chr(10) || chr(10) || coalesce(raw_pages[i], '')), chr(10) || chr(10)) AS body FROM dora_regression_cases) SELECT DISTINCT id, strlen(md) AS n_bytes, sha256(md) AS content_hash FROM (SELECT id, "

@@ -92,7 +92,10 @@ class _Unreadable(Exception):
 
 
 class _Check:
-    """One package's verification, a generator of (code, reference) a stage; a stage may use what the ones before it found sound."""
+    """One package's verification, a generator of (code, reference) a stage; a stage may use what the ones before it found sound.
+
+    The codes are fixed values of the package contract.
+    """
 
     def __init__(self, root: str, profile: Profile):
         self.root, self.profile, self.manifest, self.entries, self.found, self.items = root, profile, {}, {}, {}, []
