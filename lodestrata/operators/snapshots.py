@@ -129,10 +129,9 @@ def snapshot_changes(rows: DataFrame, delivered: DataFrame, *, grp: str, snap: s
              .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit.cast("int"))).alias("bits"),
                   F.array_sort(F.collect_list(F.struct(bit.cast("int").alias("bit"), "key", "val"))).alias("vec")))
 
-    # Every delivered snapshot with the numbers of the ones before and behind it.
-    turn = Window.partitionBy("grp").orderBy("snap")
-    seq = (delivered.select(F.col(grp).alias("grp"), F.col(snap).alias("snap")).where("grp IS NOT NULL AND snap IS NOT NULL").distinct()
-           .select("grp", "snap", F.lag("snap").over(turn).alias("before"), F.lead("snap").over(turn).alias("behind")))
+    # Every delivered snapshot with the numbers of the ones before and behind it; a group's deliveries are few beside its records.
+    seq = delivered.select(F.col(grp).alias("grp"), F.col(snap).alias("snap")).where("grp IS NOT NULL AND snap IS NOT NULL").groupBy("grp").agg(F.array_sort(F.collect_set("snap")).alias("s"))
+    seq = seq.select("grp", F.explode(F.transform("s", lambda x, i: F.struct(x.alias("snap"), F.get("s", i - 1).alias("before"), F.get("s", i + 1).alias("behind")))).alias("x")).select("grp", "x.*")
     small = broadcast_if_small(delivered)
     if small is not None:
         placed = words.join(F.broadcast(seq), ["grp", "snap"])
