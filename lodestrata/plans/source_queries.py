@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
+import os
+import subprocess
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.functions.text import byte_length, join_url, quote, sha256, unescaped
+from lodestrata.functions.text import byte_length, join_url, path_regex, quote, sha256, unescaped
 from lodestrata.operators import captions as C
 from lodestrata.operators import hierarchy as H
 from lodestrata.operators import issues as I
@@ -20,7 +23,7 @@ from lodestrata.operators import runs as U
 from lodestrata.operators import web as W
 from lodestrata.plans.record_queries import _fold, _has, _in, _squeeze
 from lodestrata.session import app_dir, table
-from lodestrata.sources import caches, files
+from lodestrata.sources import caches, checkpoints, config, files, git, packages
 from lodestrata.sources import manifests as stored
 
 WIKI = "https://wiki.example/base"
@@ -344,8 +347,75 @@ def report_order(spark: SparkSession, d: str) -> DataFrame:
     return M.in_report_order(n.select("bundle_name", "output_path", "canonical_id", (F.col("before") + 1).alias("place")), "stale", ["bundle_name"])
 
 
+def _nations(spark: SparkSession, d: str) -> list:
+    """The nations, which are 25 at any scale, for what a driver writes as one artifact."""
+    return table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey").orderBy("n_nationkey").limit(1000).collect()
+
+
+def checkpoint_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """A resume checkpoint of nations, saved and loaded with its invariants, and what two broken ones break."""
+    at = f"{_here(spark, 'checkpoint').removeprefix('file://')}/c.json"
+    ids = [str(r["n_nationkey"]) for r in _nations(spark, d)]
+    done = [{"video_id": i, "captured_sha256": "a" * 64, "normalized_sha256": "b" * 64} for i in ids if int(i) % 3 == 1]
+    state = {"request_fingerprint": "f", "run_id": "r2", "prior_run_ids": ["r1"], "observed": ids, "pending": [i for i in ids if int(i) % 3 == 0], "completed": done, "attempts": {i: 1 + int(i) % 3 for i in ids}}
+    checkpoints.save(state, at)
+    got = checkpoints.load(at, "f")
+    kept = {c["video_id"] for c in got["completed"]}
+    rows = [(i, "pending" if i in got["pending"] else "completed" if i in kept else "observed", got["attempts"][i]) for i in got["observed"]]
+    for name, change in (("overlap", {"pending": [c["video_id"] for c in done[:1]]}), ("stranger", {"pending": ["zz"]})):
+        rows.append((name, "; ".join(checkpoints.problems(got | change, "f")), None))
+    return spark.createDataFrame(rows, "id string, state string, attempts int")
+
+
+def configured_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Nations as the runs of a configuration file, loaded with its checks; relative folders are taken from the file's place."""
+    at = _here(spark, "config").removeprefix("file://")
+    os.makedirs(at, exist_ok=True)
+    runs = [{"name": r["n_name"], "type": config.RUN_TYPES[r["n_regionkey"] % 4], "enabled": r["n_nationkey"] % 6 != 0, "dry_run": r["n_regionkey"] == 2, "options": {"output_dir": f"out/../o/{r['n_nationkey']}"}} for r in _nations(spark, d)]
+    with open(f"{at}/runs.json", "w", encoding="utf-8") as f:
+        json.dump({"runs": runs}, f)
+    loaded, _ = config.load(f"{at}/runs.json")
+    place = F.replace(F.element_at("options", F.lit("output_dir")), F.lit(os.path.abspath(at)), F.lit("."))
+    return config.frame(spark, loaded).select("index", "name", "type", "enabled", "dry_run", place.alias("output_dir"))
+
+
+def git_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Nations as a repository's files, a folder a region, read at a branch: text, skipped, or left out by patterns."""
+    at = _here(spark, "git").removeprefix("file://")
+    for r in _nations(spark, d):
+        os.makedirs(f"{at}/r{r['n_regionkey']}", exist_ok=True)
+        with open(f"{at}/r{r['n_regionkey']}/{r['n_name']}.{'bin' if r['n_nationkey'] % 5 == 0 else 'md'}", "wb") as f:
+            f.write(b"\0" if r["n_nationkey"] % 5 == 0 else b"\xff" if r["n_nationkey"] % 7 == 0 else r["n_name"].encode())
+    for args in (["init", "-q", "-b", "main"], ["add", "."], ["-c", "user.name=x", "-c", "user.email=x@x.example", "commit", "-qm", "all"]):
+        subprocess.run(["git", "-C", at, *args], check=True, capture_output=True)
+    git.register(spark)
+    g = spark.read.format("lodestrata_git").option("repo", at).option("ref", "main").option("filesperpartition", "7").load()
+    return g.where(~F.col("repo_path").rlike(path_regex("r4/*"))).select("repo_path", "content", "skip_reason", (F.length("commit_sha") == 40).alias("resolved"))
+
+
+def verified_packages(spark: SparkSession, d: str) -> DataFrame:
+    """A sealed package a region, each but the first broken in another way, and what the verifier says of them."""
+    at, rows = _here(spark, "packages").removeprefix("file://"), []
+    for n in range(5):
+        mine = [r for r in _nations(spark, d) if r["n_regionkey"] == n]
+        items = [{"item_id": str(r["n_nationkey"]), "outcome": "completed", "artifacts": [f"data/{r['n_nationkey']}.txt"]} for r in mine]
+        P.seal(f"{at}/{n}", package_id=str(n), run_id="r", request={"request_id": "q"}, items=items, artifacts={f"data/{r['n_nationkey']}.txt": (r["n_name"].encode(), "record", "text/plain") for r in mine}, created_at="t")
+        if n == 1:
+            os.remove(f"{at}/{n}/package.sha256")
+        elif n == 2:
+            with open(f"{at}/{n}/package.json", "ab") as f:
+                f.write(b" ")
+        elif n > 2:
+            with open(f"{at}/{n}/" + ("extra" if n == 3 else f"data/{mine[0]['n_nationkey']}.txt"), "wb") as f:
+                f.write(b"other")
+        v = packages.verify(spark, f"{at}/{n}")
+        rows.append((n, v["state"], v["failed_stage"], v["last_completed_stage"], ",".join(v["findings"])))
+    return spark.createDataFrame(rows, "region int, state string, failed_stage string, last_completed_stage string, findings string")
+
+
 QUERIES = {f.__name__: f for f in (page_records, page_summaries, stub_pages, child_listing, served_listing, issue_records, pull_request_records, release_records, pull_request_markdown, next_links, rate_limits, video_discovery, video_enrichment, canonical_ids, web_html_text, web_link_targets, web_target_selection,
-                                   joined_urls, caption_cues, written_files, manifest_round_trip, state_round_trip, cache_round_trip, bundle_inputs, readiness_matrix, retry_decisions, reconciliation, first_examples, run_report_text, orchestrated_runs, request_records, verified_claims, report_order)}
+                                   joined_urls, caption_cues, written_files, manifest_round_trip, state_round_trip, cache_round_trip, bundle_inputs, readiness_matrix, retry_decisions, reconciliation, first_examples, run_report_text, orchestrated_runs, request_records, verified_claims, report_order,
+                                   checkpoint_round_trip, configured_runs, git_round_trip, verified_packages)}
 
 _TIME = lambda c: f"strftime({c} AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ')"
 _PAGES = """WITH r AS (SELECT DISTINCT CASE WHEN version % 7 = 0 THEN id || 'x' ELSE id END AS requested_id, id, title, content, version, last_modified FROM pages WHERE id IS NOT NULL),
@@ -456,5 +526,12 @@ SQL: dict[str, str] = {
  '{"adapter_type":"local_files"' || CASE WHEN o_custkey % 10 <> 0 THEN ',"output_location":"out"' ELSE '' END || CASE WHEN o_orderkey % 9 <> 0 THEN ',"request_id":"' || o_orderkey || '"' ELSE '' END || '}' AS json FROM orders""",
     "verified_claims": """WITH s AS (SELECT s_suppkey AS p, CASE WHEN s_suppkey % 3 > 0 THEN s_suppkey % 11 ELSE 11 END AS done, s_suppkey * 7 % 400 AS c FROM supplier)
  SELECT p, CASE WHEN p % 3 > 0 THEN 'rejected' ELSE 'verified' END AS state, CASE WHEN done > 3 AND c <= 200 THEN c END AS id_chars, CASE WHEN done > 7 THEN 'completed' END AS status, CASE WHEN done > 9 THEN 1 END AS n_prior, CASE WHEN done > 10 THEN p END AS bytes FROM s""",
+    "checkpoint_round_trip": """SELECT n_nationkey::VARCHAR AS id, CASE n_nationkey % 3 WHEN 0 THEN 'pending' WHEN 1 THEN 'completed' ELSE 'observed' END AS state, (1 + n_nationkey % 3)::INT AS attempts FROM nation
+ UNION ALL SELECT 'overlap', 'completed and pending overlap', NULL UNION ALL SELECT 'stranger', 'pending is no part of observed', NULL""",
+    "configured_runs": """SELECT n_nationkey::INT AS index, n_name AS name, (['confluence', 'local_files', 'git_repo', 'github_metadata'])[n_regionkey % 4 + 1] AS type, n_nationkey % 6 <> 0 AS enabled, n_regionkey = 2 AS dry_run, './o/' || n_nationkey::VARCHAR AS output_dir FROM nation""",
+    "git_round_trip": """SELECT 'r' || n_regionkey || '/' || n_name || CASE WHEN n_nationkey % 5 = 0 THEN '.bin' ELSE '.md' END AS repo_path, CASE WHEN n_nationkey % 5 <> 0 AND n_nationkey % 7 <> 0 THEN n_name END AS content,
+ CASE WHEN n_nationkey % 5 = 0 THEN 'binary file' WHEN n_nationkey % 7 = 0 THEN 'binary or non-UTF-8 file' END AS skip_reason, true AS resolved FROM nation WHERE n_regionkey <> 4""",
+    "verified_packages": """SELECT 0 AS region, 'verified' AS state, NULL::VARCHAR AS failed_stage, 'complete' AS last_completed_stage, '' AS findings UNION ALL SELECT 1, 'rejected', 'envelope', NULL, 'package.sha256: missing-required-file' UNION ALL SELECT 2, 'rejected', 'manifest-digest', 'sidecar-format', 'package.json: manifest-digest-mismatch'
+ UNION ALL SELECT 3, 'rejected', 'inventory-coverage', 'path-safety', 'extra: inventory-coverage-mismatch' UNION ALL SELECT 4, 'rejected', 'artifact-integrity', 'lineage', 'data/' || (SELECT min(n_nationkey) FROM nation WHERE n_regionkey = 4)::VARCHAR || '.txt: artifact-size-mismatch'""",
     "report_order": "SELECT bundle_name, output_path, canonical_id, row_number() OVER (PARTITION BY bundle_name ORDER BY output_path, canonical_id) AS place FROM (SELECT DISTINCT bundle_name, output_path, canonical_id FROM bundle_artifact WHERE output_path IS NOT NULL AND canonical_id IS NOT NULL AND bundle_name IS NOT NULL)",
 }
