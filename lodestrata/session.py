@@ -8,6 +8,7 @@ import os
 import shutil
 import subprocess
 import tempfile
+import threading
 import uuid
 import zipfile
 from collections.abc import Callable
@@ -18,7 +19,16 @@ from pyspark.sql import functions as F
 BROADCAST_LIMIT_BYTES = 32 * 1024 * 1024
 _OWN_DIR: dict[str, str] = {}
 _KEPT_CLEAN: set[str] = set()
-_SCOPES: list[list[DataFrame]] = []
+
+
+class _Scopes(threading.local):
+    """The tables written inside the ``scoped`` functions that are running, innermost last; each thread has its own."""
+
+    def __init__(self) -> None:
+        self.open: list[list[DataFrame]] = []
+
+
+_SCOPES = _Scopes()
 _SHIPPED: set[str] = set()
 
 
@@ -77,8 +87,8 @@ def cut(df: DataFrame, *, codec: str = "zstd", counted: Column | None = None) ->
     df.observe(seen, (F.count(F.lit(1)) if counted is None else F.count_if(counted)).alias("n")).write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lodestrata_path, out._lodestrata_rows = path, seen
-    if _SCOPES:
-        _SCOPES[-1].append(out)
+    if _SCOPES.open:
+        _SCOPES.open[-1].append(out)
     return out
 
 
@@ -90,17 +100,17 @@ def scoped(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
 
     @functools.wraps(f)
     def run(*args, **kwargs) -> DataFrame:
-        _SCOPES.append([])
+        _SCOPES.open.append([])
         try:
             out = f(*args, **kwargs)
         finally:
-            made = _SCOPES.pop()
+            made = _SCOPES.open.pop()
         path = getattr(out, "_lodestrata_path", None)
         if path:
             release(*(x for x in made if x._lodestrata_path != path))
             made = [out]
-        if _SCOPES:
-            _SCOPES[-1].extend(made)
+        if _SCOPES.open:
+            _SCOPES.open[-1].extend(made)
         return out
 
     return run

@@ -69,6 +69,26 @@ def test_scoped_functions_drop_what_they_wrote(spark):
     assert got.count() == 3 and os.path.isdir(path(got)) and not os.path.exists(path(kept[0])) and S.rows(got) == 3
 
 
+def test_scopes_are_of_one_thread(spark):
+    from threading import Event, Thread
+
+    inside, done, made = Event(), Event(), []
+
+    @S.scoped
+    def slow():
+        inside.set()
+        done.wait(60)
+        return S.cut(spark.range(1))
+
+    t = Thread(target=slow)
+    t.start()
+    inside.wait(60)
+    made.append(S.cut(spark.range(7)))
+    done.set()
+    t.join()
+    assert made[0].count() == 7
+
+
 def test_identity(spark):
     r = S.runtime_identity(spark).first()
     assert r["spark"] == spark.version and r["place"].endswith("lodestrata")
