@@ -13,6 +13,7 @@ from __future__ import annotations
 import functools
 import itertools
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +27,8 @@ from lodestrata.llm.chain import Chain
 MAX_REVIEWED = 3_000
 BLANK = regex.compile(r"\n(?:[ \t]*\r?\n)+")
 SEPARATORS = regex.compile(r"\s+[|»›>/·•→–—-]\s+|\s*[|·•]\s*")
-WORDS = regex.compile(r"\w+(?:['’]\w+)*|[©→»›|@#>:;!?.,/*-]")
-SENTENCE = regex.compile(r"\p{Ll}[^.!?\n]{12,}[.!?](?:\s|$)")
+WORDS = re.compile(r"\w+(?:['’]\w+)*|[©→»›|@#>:;!?.,/*-]")
+SENTENCE = re.compile(r"([^.!?\n]{13,})[.!?](?:\s|$)")
 YEAR = regex.compile(r"\d{4}")
 DATE = regex.compile(r"\b\d{4}-\d\d-\d\d\b|\b\d{1,2}\. ?\d{1,2}\. ?\d{4}\b|\b\d{1,2}/\d{1,2}/\d{4}\b|\b\d{1,2}\.? \p{L}+ \d{4}\b|\b\p{L}+ \d{1,2}, \d{4}\b")
 
@@ -49,8 +50,11 @@ def paragraphs(text: str | None) -> list[str]:
     return out
 
 
-def _sentence(text: str) -> bool:
-    return len(text) > 13 and ("." in text or "!" in text or "?" in text) and SENTENCE.search(text) is not None
+def sentences(text: str) -> int:
+    """Ends of sentences: a full stop, question or exclamation mark before a blank, twelve or more characters behind a lower-case letter."""
+    if len(text) < 14 or "." not in text and "!" not in text and "?" not in text:
+        return 0
+    return sum((head := x[:-12]).upper() != head for x in SENTENCE.findall(text))
 
 
 def density(par: str) -> tuple[float, int, int]:
@@ -60,7 +64,7 @@ def density(par: str) -> tuple[float, int, int]:
         items = SEPARATORS.split(line)
         for item in items:
             nodes += 1
-            if (len(items) > 1 or len(item) < 28) and len(item) < 60 and not _sentence(item):
+            if (len(items) > 1 or len(item) < 28) and len(item) < 60 and not sentences(item):
                 links += 1
             else:
                 plain += len(item)
@@ -105,10 +109,10 @@ class _Facts:
 
     def __init__(self, p: str):
         self.density, nodes, links = density(p)
-        self.words = ws = WORDS.findall(p.lower())
-        raw = [m[0] for m in itertools.islice(WORDS.finditer(p), 7)]
+        raw = WORDS.findall(p)
+        self.words = ws = " ".join(raw).lower().split(" ") if raw else []
         self.shape = " ".join(map(_shape, raw[:6])) + (" +" if len(raw) > 6 else "")
-        sent, lines, first, end = len(SENTENCE.findall(p)) if _sentence(p) else 0, p.count("\n") + 1, p.lstrip()[:1], p.rstrip()[-1:]
+        sent, lines, first, end = sentences(p), p.count("\n") + 1, p.lstrip()[:1], p.rstrip()[-1:]
         kind = "S" if sent and self.density > 60 else "s" if sent else "L" if lines > 2 else "t" if len(ws) > 1 else "w"
         self.kind = kind + (first if first in "*->•©" else "")
         date = (2 if len(ws) < 12 else 1) if YEAR.search(p) and DATE.search(p) else 0
@@ -191,6 +195,11 @@ def page_keys(pars: list[str], words: bool = True) -> list[list[tuple]]:
     return out
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.r_[True, x[1:] != x[:-1]]] if len(x) else x
+
+
 class Labeller:
     """A fitted chain with its word features as arrays, so that the words of many paragraphs are weighed at once."""
 
@@ -226,8 +235,7 @@ class Labeller:
         known = ids >= 0
 
         def once(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            u = np.unique(par[mask] * v + ids[mask])
-            return u // v, u % v
+            return np.divmod(_distinct(par[mask] * v + ids[mask]), v)
 
         own = self._sums(*once(known), self.weight[0], n)
         tail = known & (at >= np.repeat(size, size) - 5)
@@ -237,8 +245,7 @@ class Labeller:
             code = ids[both] * v + ids[both + 1]
             where = np.minimum(np.searchsorted(self.code, code), len(self.code) - 1)
             hit = self.code[where] == code
-            u = np.unique(par[both[hit]] * len(self.code) + where[hit])
-            own += self._sums(u // len(self.code), u % len(self.code), self.pair, n)
+            own += self._sums(*np.divmod(_distinct(par[both[hit]] * len(self.code) + where[hit]), len(self.code)), self.pair, n)
         near = once(known & (at < NEAR))
         return own, self._sums(*near, self.weight[2], n), self._sums(*near, self.weight[3], n)
 
