@@ -29,20 +29,20 @@ MISREAD = [("c", "e"), ("e", "c"), ("ri", "n"), ("l", "i"), ("i", "l"), ("f", "t
            ("!", "l"), ("|", "l"), ("|", "i"), ("li", "h"), ("cl", "d"), ("ii", "u"), ("ii", "ü"), ("6", "b"), ("6", "é"), ("6", "ó"), ("8", "b"), ("9", "g"), ("q", "g"), ("g", "q"), ("rn", "m"), ("m", "rn"),
            ("m", "in"), ("in", "m"), ("v", "y"), ("y", "v"), ("ν", "v"), ("vv", "w"), ("b", "ß"), ("β", "ß"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("fi", "ñ"), ("fl", "ß"), ("h", "b"), ("b", "h"), ("n", "u"), ("u", "n"), ("а", "a"), ("е", "e"), ("с", "c"), ("р", "p"), ("nn", "m"), ("tl", "d"), ("ni", "m")]
 MARKS = "-­=¬‐‑~_"
-TOKEN = regex.compile(r"[\w@!|$]+(?:['’][\w@!|$]+)*")
+TOKEN = re.compile(r"[\w@!|$]+(?:['’][\w@!|$]+)*")
 LETTER = regex.compile(r"\p{L}")
 SPACE = regex.compile(r"\s+")
 STARTS = ("flow", "para", "line")
-ROMAN = regex.compile(r"[ivxlc]+")
-NUMBER = regex.compile(r"\d+")
+ROMAN = re.compile(r"[ivxlc]+")
+NUMBER = re.compile(r"\d+")
 BANG = regex.compile(r"(?<=\p{L})!(?=[.,;:)])")
 UPPERS = regex.compile(r"\p{Lu}+")
 LOWERS = regex.compile(r"\p{Ll}+")
-LAST_PIECE = regex.compile(r"[\w@!|$]+$")
-FIRST_PIECE = regex.compile(r"[\w@!|$]+")
-HYPHENATED = regex.compile(r"(?<=\s)\w+-\w+(?=\s)")
-OWN_HYPHEN = regex.compile(r"\w[-‐]$")
-CHUNK = regex.compile(r"(\s*)(\S+)")
+LAST_PIECE = re.compile(r"[\w@!|$]+$")
+FIRST_PIECE = re.compile(r"[\w@!|$]+")
+HYPHENATED = re.compile(r"(?<=\s)\w+-\w+(?=\s)")
+OWN_HYPHEN = re.compile(r"\w[-‐]$")
+CHUNK = re.compile(r"(\s*)(\S+)")
 BULLET = regex.compile(r"(?:[-*•–·▪o]|\(?\w{1,2}[.)]|\d+[.)])\s")
 ROW = regex.compile(r"[\p{L}_ ()-]+(?:\s+[\d.,%]+)+")
 AS_DIGIT = regex.compile(r"(?<=^|[\s\[|/–-])(?=[\dlIO|]*\d|[lIO]\s*$)[\dlIO|]{1,4}(?=[\s\]|/–-]*$)|^\s*(?=[lIO|]*\d)[\dlIO|]{1,4}(?=\s{2,}|\s*$)")
@@ -130,17 +130,31 @@ def report_lines(pages: list[str | None] | None) -> list[tuple[int, int, str]]:
 
 def layout_keys(lines: list[tuple[int, int, str]]) -> tuple[list[int], list[list[tuple]]]:
     """The positions of the non-blank lines and the keys of their layout features (``layout_names``); one sequence is one report."""
-    at = [i for i, (_, _, t) in enumerate(lines) if t.strip()]
+    at: list[int] = []
     pages: dict[int, list[int]] = {}
+    full = [False] * len(lines)
+    stripped: dict[int, tuple[str, str]] = {}
     sig: dict[int, str] = {}
     found: dict[int, list[str]] = {}
     times: dict[str, set[int]] = {}
-    for i in at:
-        p, _, t = lines[i]
+    none: list[str] = []
+    for i, (p, _, t) in enumerate(lines):
+        s = t.strip()
+        if not s:
+            continue
+        at.append(i)
+        full[i] = True
         pages.setdefault(p, []).append(i)
+        kinds = s.translate(CLASSES)
+        stripped[i] = s, kinds
         d = _digits(t)
-        found[i] = NUMBER.findall(d)
-        sig[i] = g = _signature(d)
+        g = " ".join(d.split()).casefold()
+        if "9" in kinds or d is not t:
+            found[i] = NUMBER.findall(d)
+            g = NUMBER.sub("9", g)
+        else:
+            found[i] = none
+        sig[i] = g
         times.setdefault(g, set()).add(p)
     # A running line that was misread on one page counts as the line it repeats.
     often: dict[int, list[str]] = {}
@@ -149,45 +163,47 @@ def layout_keys(lines: list[tuple[int, int, str]]) -> tuple[list[int], list[list
             often.setdefault(len(g), []).append(g)
     if often:
         for i, g in sig.items():
-            if len(times[g]) < 2 and len(g) > 5:
+            if len(g) > 5 and len(times[g]) < 2:
                 sig[i] = _repeated(g, often)
     on_pages: dict[str, set[int]] = {}
-    bare: dict[str, set[int]] = {}
     nums: dict[int, set[int]] = {}
     number: dict[int, int | None] = {}
     for i in at:
-        p, _, t = lines[i]
+        p = lines[i][0]
         on_pages.setdefault(sig[i], set()).add(p)
-        bare.setdefault(sig[i].strip("9 |-–/[]."), set()).add(p)
-        v = int(found[i][-1][:9]) if found[i] and len(found[i]) <= 3 else _roman(t.strip().lower())
+        f = found[i]
+        v = int(f[-1][:9]) if f and len(f) <= 3 else _roman(stripped[i][0].lower())
         number[i] = v
         if v is not None:
             nums.setdefault(v - p, set()).add(p)
-        if len(found[i]) > 1:
-            nums.setdefault(int(found[i][0][:9]) - p, set()).add(p)
+        if len(f) > 1:
+            nums.setdefault(int(f[0][:9]) - p, set()).add(p)
+    bare: dict[str, set[int]] = {}
+    bare_of = {g: g.strip("9 |-–/[].") for g in on_pages}
+    for g, on in on_pages.items():
+        bare.setdefault(bare_of[g], set()).update(on)
     width = max(float(np.median([len(lines[i][2]) for i in at])), 1) if at else 1.0
     n_pages = max(1, len(pages))
+    share = lambda n: min(4, int(5 * n / n_pages)) if n > 1 else None
+    often_is = {g: (share(len(on)), share(len(bare[bare_of[g]])), min(len(on), 5)) for g, on in on_pages.items()}
+    few = min(n_pages, 4)
     out = []
     for p, own in pages.items():
+        last = len(own) - 1
         for j, i in enumerate(own):
             t = lines[i][2]
-            s, k = t.strip(), len(own) - 1 - j
-            top, low = min(j, 4), min(k, 4)
-            rep, rep2 = len(on_pages[sig[i]]), len(bare[sig[i].strip("9 |-–/[].")])
-            place = f"T{top}" if j <= k else f"B{low}"
-            v, number_key = number[i], None
+            (s, kinds), k, (here, beyond, rep) = stripped[i], last - j, often_is[sig[i]]
+            place = f"T{min(j, 4)}" if j <= k else f"B{min(k, 4)}"
+            first, end = s[0], s[-1]
+            gap_up = i == 0 or lines[i - 1][0] != p or not full[i - 1]
+            gap_dn = i + 1 == len(lines) or lines[i + 1][0] != p or not full[i + 1]
+            ws = _words(t)
+            f = [("at", min(j, 4), min(k, 4), place, here, beyond, rep), ("sh", RUNS.sub(r"\1", kinds)[:24], place), ("form", min(6, int(len(t) / width * 4)), place, gap_up, gap_dn, min(3, (len(t) - len(t.lstrip())) // 2), "   " in s),
+                 ("ends", end if not end.isalnum() else "a" if end.isalpha() else "9", "l" if first.islower() else "u" if first.isupper() else "9" if first.isdigit() else first, s.isupper(), few, place), ("words", min(8, len(ws)), place, rep > 1)]
+            v = number[i]
             if v is not None:
                 d = max(len(nums.get(v - p, ())), len(nums.get(int(found[i][0][:9]) - p, ())) if found[i] else 0)
-                number_key = ("num", min(d, 4), place, len(s) < 12, v == p, int(4 * d / n_pages) if n_pages > 1 else None)
-            gap_up = i == 0 or lines[i - 1][0] != p or not lines[i - 1][2].strip()
-            gap_dn = i + 1 == len(lines) or lines[i + 1][0] != p or not lines[i + 1][2].strip()
-            ws = _words(t)
-            f = [("at", top, low, place, min(4, int(5 * rep / n_pages)) if rep > 1 else None, min(4, int(5 * rep2 / n_pages)) if rep2 > 1 else None, min(rep, 5)),
-                 ("sh", RUNS.sub(r"\1", s.translate(CLASSES))[:24], place), ("form", min(6, int(len(t) / width * 4)), place, gap_up, gap_dn, min(3, (len(t) - len(t.lstrip())) // 2), "   " in s),
-                 ("ends", s[-1] if not s[-1].isalnum() else "a" if s[-1].isalpha() else "9", "l" if s[0].islower() else "u" if s[0].isupper() else "9" if s[0].isdigit() else s[0], s.isupper(), min(n_pages, 4), place),
-                 ("words", min(8, len(ws)), place, rep > 1)]
-            if number_key:
-                f.append(number_key)
+                f.append(("num", min(d, 4), place, len(s) < 12, v == p, int(4 * d / n_pages) if n_pages > 1 else None))
             f += [("w", w) for w in ws[:3]]
             f += [("z", w) for w in ws[-2:]]
             out.append(f)
