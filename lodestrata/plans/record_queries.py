@@ -165,8 +165,14 @@ def web_link_choice(spark, d):
     return W.link_choice(_links(spark, d), on="id").select("id", "url", "pos", "label")
 
 
+def _reports(spark, d):
+    """The distinct reports, spread over as many tasks as shuffles have: their texts cost more than their bytes tell."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return table(spark, d, "dora_regression_cases").where("id IS NOT NULL AND raw_pages IS NOT NULL").select("id", "raw_pages").distinct().repartition(n, "id")
+
+
 def _pages(spark, d):
-    rows = table(spark, d, "dora_regression_cases").where("id IS NOT NULL AND raw_pages IS NOT NULL").select("id", "raw_pages").distinct()
+    rows = _reports(spark, d)
     return rows.select("id", F.posexplode("raw_pages").alias("p", "t")).select("id", (F.col("p") + 1).alias("page_no"), F.coalesce("t", F.lit("")).alias("text"))
 
 
@@ -187,7 +193,7 @@ def web_quality_markdown(spark, d):
 
 def paged_quality_markdown(spark, d):
     """Cleaned reports with the counters of their repairs, by hash."""
-    rows = table(spark, d, "dora_regression_cases").where("id IS NOT NULL AND raw_pages IS NOT NULL").select("id", "raw_pages").distinct()
+    rows = _reports(spark, d)
     pages = cut(G.repaired_pages(rows))
     clean = cut(G.without_footers(pages))
     n = G.cleanup_counters(pages, clean).join(clean.select("id", "pages"), "id")
@@ -216,19 +222,19 @@ def pdf_line_diagnostics(spark, d):
 
 def pdf_repairs(spark, d):
     """Line repairs of every page."""
-    rows = table(spark, d, "dora_regression_cases").where("id IS NOT NULL AND raw_pages IS NOT NULL").select("id", "raw_pages").distinct()
+    rows = _reports(spark, d)
     return G.repaired_pages(rows).select("id", "page_no", "n_scheme", "n_wrap", "n_split", sha256("text").alias("text_hash"))
 
 
 def pdf_footer_suppressed(spark, d):
     """Footers taken from every report, and what was refused."""
-    rows = table(spark, d, "dora_regression_cases").where("id IS NOT NULL AND raw_pages IS NOT NULL").select("id", "raw_pages").distinct()
+    rows = _reports(spark, d)
     return G.without_footers(G.repaired_pages(rows)).withColumn("text_hash", sha256(F.array_join("pages", "\f"))).drop("pages")
 
 
 def pdf_cleanup_counters(spark, d):
     """what each repair did to every report, in all and by pages."""
-    rows = table(spark, d, "dora_regression_cases").where("id IS NOT NULL AND raw_pages IS NOT NULL").select("id", "raw_pages").distinct()
+    rows = _reports(spark, d)
     pages = cut(G.repaired_pages(rows))
     return G.cleanup_counters(pages, G.without_footers(pages))
 
