@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import itertools
 import os
 from collections import defaultdict
 from collections.abc import Iterator
@@ -61,8 +62,8 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     ids: list[int] = []
     lens: list[int] = []
     parts: list[np.ndarray] = []
-    words: defaultdict[str, int] = defaultdict()
-    words.default_factory = words.__len__
+    # Numbered by a counter of its own: a factory that refers to its dictionary is a cycle, and every block's words would stay.
+    words: defaultdict[str, int] = defaultdict(itertools.count().__next__)
     chars = 0
 
     def flush() -> pa.RecordBatch:
@@ -72,8 +73,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                           pa.ListArray.from_arrays(pa.array([0, len(pos)], pa.int32()), pa.array(pos, pa.int32())),
                                           pa.array([list(words)], pa.list_(pa.string()))], schema=_BLOCK)
         ids, lens, parts, chars = [], [], [], 0
-        words = defaultdict()
-        words.default_factory = words.__len__
+        words = defaultdict(itertools.count().__next__)
         return out
 
     for b in batches:
@@ -95,7 +95,7 @@ def word_blocks(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """The dictionary-encoded (document, position, word) table, one row per block, written once to the shared folder."""
     out = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
         _blocks, "ids array<bigint>, lens array<int>, pos array<int>, words array<string>")
-    return cut(out.withColumn("block", F.monotonically_increasing_id()))
+    return cut(out.withColumn("block", F.monotonically_increasing_id()), group_rows=1)
 
 
 def encode_words(words: DataFrame, *, vocabulary: str = VOCABULARY) -> DataFrame:

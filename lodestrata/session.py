@@ -74,17 +74,20 @@ def _delete(fs, path) -> None:
         pass
 
 
-def cut(df: DataFrame, *, codec: str = "zstd", counted: Column | None = None) -> DataFrame:
+def cut(df: DataFrame, *, codec: str = "zstd", counted: Column | None = None, group_rows: int | None = None) -> DataFrame:
     """Write ``df`` once as a parquet table in the application's shared folder and return a scan of it.
 
     The returned frame has no lineage beyond the files, so lost executors recompute nothing, and nondeterministic
     numbering in ``df`` is frozen. ``rows`` of it gives the number of rows (those where ``counted`` holds) without a job.
+    ``group_rows``: rows of a Parquet row group at most, for rows of megabytes: a writer holds one row group, and a scan
+    up to 4096 rows of one, in memory.
     The table is dropped by ``release``, at the end of a ``scoped`` function, or when the driver ends.
     """
     spark = df.sparkSession
     path = f"{app_dir(spark)}/{uuid.uuid4().hex}"
     seen = Observation()
-    df.observe(seen, (F.count(F.lit(1)) if counted is None else F.count_if(counted)).alias("n")).write.option("compression", codec).parquet(path)
+    df.observe(seen, (F.count(F.lit(1)) if counted is None else F.count_if(counted)).alias("n")).write.options(
+        compression=codec, **({"parquet.block.row.count.limit": group_rows} if group_rows else {})).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lodestrata_path, out._lodestrata_rows = path, seen
     if _SCOPES.open:
