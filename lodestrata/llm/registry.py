@@ -10,11 +10,11 @@ from lodestrata.session import cut, table
 
 def p5_ids(spark: SparkSession, d: str) -> DataFrame:
     """Token ids of every document by byte_bpe_50k; null and empty texts have none."""
-    return tokens.encode(table(spark, d, "documents"))
+    return tokens.encode(table(spark, d, "documents", by_parts=True))
 
 
 def _packed(spark: SparkSession, d: str) -> DataFrame:
-    sizes = cut(tokens.count_tokens(table(spark, d, "documents")))
+    sizes = cut(tokens.count_tokens(table(spark, d, "documents", by_parts=True)))
     caps = [(r["pack_name"], r["capacity_tokens"]) for r in table(spark, d, "pack_capacity").distinct().orderBy("pack_name").limit(packing.MAX_PACKS + 1).collect()]
     return packing.pack(sizes, caps)
 

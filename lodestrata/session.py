@@ -175,8 +175,12 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+def table(spark: SparkSession, sf_dir: str, name: str, *, by_parts: bool = False) -> DataFrame:
+    """``by_parts``: for columns of long texts. Spark's default, vectored reads, may copy a row group's whole column through
+    one buffer outside the heap, besides the copy inside it; without them it comes in parts of megabytes.
+    """
+    reader = spark.read.option("parquet.hadoop.vectored.io.enabled", "false") if by_parts else spark.read
+    return reader.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
 def runtime_identity(spark: SparkSession) -> DataFrame:
